@@ -9,18 +9,13 @@ from .. import constants as C
 
 
 def identify(src_port: Column, dst_port: Column) -> Column:
-    """Protocol by port: the destination port decides, then the source port."""
-
-    def by_port(port: Column) -> Column:
-        ports_of: dict[str, list[int]] = {}
-        for number, name in C.PORT_PROTOCOLS.items():
-            ports_of.setdefault(name, []).append(number)
-        chain = None
-        for name, numbers in ports_of.items():
-            chain = (F if chain is None else chain).when(port.isin(numbers), F.lit(name))
-        return chain
-
-    return F.coalesce(by_port(dst_port), by_port(src_port), F.lit("unknown"))
+    """Protocol by port: the destination port decides, then the source port.
+
+    The port table is one literal map, which keeps the expression short wherever the
+    optimizer inlines it.
+    """
+    by_port = F.create_map(*[F.lit(x) for pair in C.PORT_PROTOCOLS.items() for x in pair])
+    return F.coalesce(F.try_element_at(by_port, dst_port), F.try_element_at(by_port, src_port), F.lit("unknown"))
 
 
 def is_ot(protocol: Column) -> Column:

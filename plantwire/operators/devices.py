@@ -15,7 +15,6 @@ from ..functions import columns as X
 from ..functions.scale import gap_statistics
 from .packets import function_code_name
 
-_IP = F.col("src_ip").alias("ip")
 
 
 def _order() -> Column:
@@ -124,7 +123,7 @@ def function_codes(messages: DataFrame) -> DataFrame:
     )
     counted = (
         messages.filter(F.col("protocol").isin("modbus", "dnp3") & code.isNotNull())
-        .groupBy(_IP, "protocol", "function_code")
+        .groupBy(F.col("src_ip").alias("ip"), "protocol", "function_code")
         .agg(F.count("*").alias("count"))
     )
     return function_code_name(counted).withColumn("is_write", write)

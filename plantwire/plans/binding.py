@@ -13,8 +13,12 @@ servers), ``flat`` (base with all private hosts in one /24).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.scale import shared_dir
+
 EPOCH_US = 1704067200000000  # 2024-01-01T00:00:00Z
 PAUSE_US = 1705363200000000  # 2024-01-16T00:00:00Z
 VARIANTS = ("base", "wide", "replay", "flat")
@@ -219,8 +223,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def packets(spark: SparkSession, sf_dir: str, variant: str = "base", where: str | None = None) -> DataFrame:
-    """Packet table of a variant; ``where`` is a condition on the events."""
+def derive_packets(spark: SparkSession, sf_dir: str, variant: str = "base", where: str | None = None) -> DataFrame:
+    """Packet rows computed from the events; ``where`` is a condition on the events."""
     df = events(spark, sf_dir)
     if where:
         df = df.filter(where)
@@ -229,6 +233,24 @@ def packets(spark: SparkSession, sf_dir: str, variant: str = "base", where: str
     return df.selectExpr(*_COLUMNS)
 
 
+_STAGED: dict[tuple, str] = {}
+
+
+def packets(spark: SparkSession, sf_dir: str, variant: str = "base", where: str | None = None) -> DataFrame:
+    """Packet table of a variant, written once per application.
+
+    Analyses start from a stored packet table, so that filters and columns reach the
+    scan instead of the derivation.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, variant, where)
+    if key not in _STAGED:
+        path = f"{shared_dir(spark).rstrip('/')}/packets-{variant}-{uuid.uuid4().hex}"
+        derive_packets(spark, sf_dir, variant, where).write.parquet(path)
+        _STAGED[key] = path
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return spark.read.parquet(_STAGED[key])
+
+
 def packets_sql(variant: str = "base", where: str | None = None, name: str = "pk") -> str:
     """The same table as a chain of common table expressions for DuckDB."""
     parts = []

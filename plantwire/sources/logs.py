@@ -82,7 +82,7 @@ def assets_of(connections: DataFrame) -> DataFrame:
     )
 
 
-_EVE = T.StructType.fromDDL(
+_EVE = (
     "timestamp string, event_type string, src_ip string, src_port int, dest_ip string, dest_port int, proto string, "
     "app_proto string, flow struct<pkts_toserver: bigint, pkts_toclient: bigint, bytes_toserver: bigint, "
     "bytes_toclient: bigint, start: string, end: string>, "
@@ -122,7 +122,7 @@ def read_suricata_eve(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
     return flows, alerts
 
 
-_WAZUH = T.StructType.fromDDL(
+_WAZUH = (
     "timestamp string, rule struct<level: int, description: string, id: string, groups: array<string>>, "
     "agent struct<id: string, name: string, ip: string>, "
     "data struct<srcip: string, src_ip: string, dstip: string, dst_ip: string, srcport: string, src_port: string, "
