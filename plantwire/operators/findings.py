@@ -8,7 +8,7 @@ to fit into one row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +34,7 @@ class Snapshot:
     modbus_peers: DataFrame | None = None
     dnp3_peers: DataFrame | None = None
     polling: DataFrame | None = None
-    context: dict[str, DataFrame] = field(default_factory=dict)
+    context: dict[str, DataFrame] | None = None
 
     def staged(self) -> "Snapshot":
         """Write the tables once, because every rule reads some of them."""
@@ -77,54 +77,71 @@ def with_type(table: DataFrame, assets: DataFrame, ip: str, name: str = "device_
     return table.join(kinds, ip, "left").withColumn(name, F.coalesce(name, F.lit("unknown")))
 
 
-def capture_context(snapshot: Snapshot) -> dict[str, DataFrame]:
-    """Helper tables derived from a snapshot.
+def _ot_ips(s: Snapshot) -> DataFrame:
+    reached = s.connections.filter(F.col("dst_port").isin(*C.OT_PORTS)).select("dst_ip")
+    return s.assets.filter(F.col("device_type").isin(*C.OT_DEVICE_TYPES)).select("ip_address").union(reached).distinct()
 
-    ot_ips (OT device types and destinations on OT ports), external_ips, ip_macs,
-    src_ports, write_targets, write_counts, read_targets. Every set is a table of
-    distinct rows.
-    """
-    assets, conns, devices = snapshot.assets, snapshot.connections, snapshot.devices
-    to_ot = conns.filter(F.col("dst_port").isin(*C.OT_PORTS))
-    ot_ips = (
-        assets.filter(F.col("device_type").isin(*C.OT_DEVICE_TYPES)).select("ip_address")
-        .union(to_ot.select("dst_ip")).distinct()
-    )
+
+def _ip_macs(s: Snapshot) -> DataFrame:
     macs = F.explode(
         F.array(
             F.struct(F.col("src_ip").alias("ip_address"), F.col("src_mac").alias("mac")),
             F.struct(F.col("dst_ip").alias("ip_address"), F.col("dst_mac").alias("mac")),
         )
     )
-    ip_macs = (
-        conns.select(macs.alias("m")).select("m.*")
-        .union(assets.select("ip_address", "mac_address"))
-        .filter(F.col("mac").isNotNull())
-        .withColumn("mac", F.lower("mac")).distinct()
-    )
-    masters = devices.filter(F.col("modbus.role").isin("master", "both")).select(
+    seen = s.connections.select(macs.alias("m")).select("m.*").union(s.assets.select("ip_address", "mac_address"))
+    return seen.filter(F.col("mac").isNotNull()).withColumn("mac", F.lower("mac")).distinct()
+
+
+def _write_counts(s: Snapshot) -> DataFrame:
+    masters = s.devices.filter(F.col("modbus.role").isin("master", "both")).select(
         "ip", F.col("modbus.write_count").alias("write_count")
     )
-    slaves = snapshot.modbus_peers.filter("remote_role = 'slave'").select("ip", "remote_ip")
-    write_targets = slaves.join(masters, "ip").select(
+    slaves = s.modbus_peers.filter("remote_role = 'slave'").select("ip", "remote_ip")
+    return slaves.join(masters, "ip").select(
         F.col("ip").alias("src_ip"), F.col("remote_ip").alias("dst_ip"), "write_count"
     )
-    return {
-        "ot_ips": ot_ips,
-        "external_ips": assets.filter("is_public_ip").select("ip_address"),
-        "ip_macs": ip_macs,
-        "src_ports": conns.select("src_ip", "dst_port").distinct(),
-        "write_targets": write_targets.select("src_ip", "dst_ip"),
-        "write_counts": write_targets.filter("write_count > 0"),
-        "read_targets": to_ot.select("src_ip", "dst_ip").distinct().join(
-            write_targets.select("src_ip", "dst_ip"), ["src_ip", "dst_ip"], "left_anti"
-        ),
-    }
+
+
+def _read_targets(s: Snapshot) -> DataFrame:
+    reached = s.connections.filter(F.col("dst_port").isin(*C.OT_PORTS)).select("src_ip", "dst_ip").distinct()
+    return reached.join(_write_counts(s).select("src_ip", "dst_ip"), ["src_ip", "dst_ip"], "left_anti")
+
+
+_CONTEXT = {
+    "ot_ips": _ot_ips,
+    "external_ips": lambda s: s.assets.filter("is_public_ip").select("ip_address"),
+    "ip_macs": _ip_macs,
+    "src_ports": lambda s: s.connections.select("src_ip", "dst_port").distinct(),
+    "write_targets": lambda s: _write_counts(s).select("src_ip", "dst_ip"),
+    "write_counts": lambda s: _write_counts(s).filter("write_count > 0"),
+    "read_targets": _read_targets,
+}
+
+
+def capture_context(snapshot: Snapshot) -> dict[str, DataFrame]:
+    """Helper tables derived from a snapshot, each a table of distinct rows.
+
+    ot_ips (OT device types and destinations on OT ports), external_ips, ip_macs,
+    src_ports, write_targets, write_counts, read_targets.
+    """
+    return {name: build(snapshot) for name, build in _CONTEXT.items()}
+
+
+class _Lazy(dict):
+    def __init__(self, snapshot):
+        super().__init__()
+        self.snapshot = snapshot
+
+    def __missing__(self, name):
+        self[name] = _CONTEXT[name](self.snapshot)
+        return self[name]
 
 
 def context_of(snapshot: Snapshot) -> dict[str, DataFrame]:
-    if not snapshot.context:
-        snapshot.context.update(capture_context(snapshot))
+    """The context of a snapshot, built table by table as rules ask for it."""
+    if snapshot.context is None:
+        snapshot.context = _Lazy(snapshot)
     return snapshot.context
 
 

@@ -26,14 +26,11 @@ def _ensure_protocol(packets: DataFrame) -> DataFrame:
 
 
 def _decoded(packets: DataFrame, protocol: str, fields) -> DataFrame:
-    found = fields(F.col("payload"), F.col("src_port"), F.col("dst_port"))
-    ok = found.pop("ok")
-    base = ["seq", "ts", "src_ip", "dst_ip", "src_port", "dst_port"]
-    return (
-        _ensure_protocol(packets)
-        .filter((F.col("protocol") == protocol) & ok)
-        .select(*base, *[c.alias(n) for n, c in found.items()])
+    frames = _ensure_protocol(packets).filter(
+        (F.col("protocol") == protocol) & decode.is_frame(protocol, F.col("payload"))
     )
+    base = ["seq", "ts", "src_ip", "dst_ip", "src_port", "dst_port"]
+    return decode.with_head(frames).select(*base, *[c.alias(n) for n, c in fields().items()])
 
 
 def decode_modbus(packets: DataFrame) -> DataFrame:
@@ -66,15 +63,7 @@ def messages(packets: DataFrame) -> DataFrame:
     for field in schemas.APP_FIELDS.fields:
         if field.name not in packets.columns:
             packets = packets.withColumn(field.name, F.lit(None).cast(field.dataType))
-    args = F.col("payload"), F.col("src_port"), F.col("dst_port")
     proto = F.col("protocol")
-    parts = {
-        "modbus": decode.modbus_fields(*args),
-        "dnp3": decode.dnp3_fields(*args),
-        "iec104": decode.iec104_fields(*args),
-        "s7comm": decode.s7_fields(*args),
-        "ethernet_ip": decode.enip_fields(*args),
-    }
 
     def pick(mapping: dict[str, Column]) -> Column:
         chain = None
@@ -82,18 +71,23 @@ def messages(packets: DataFrame) -> DataFrame:
             chain = (F if chain is None else chain).when(proto == name, value)
         return chain
 
+    framed = {p: decode.is_frame(p, F.col("payload")) for p in ("modbus", "dnp3", "iec104", "s7comm", "ethernet_ip")}
+    valid = pick({**framed, "bacnet": F.col("bacnet_role").isNotNull(), "profinet": F.col("pn_role").isNotNull()})
+    rows = decode.with_head(packets.filter(valid))
+    parts = {
+        "modbus": decode.modbus_fields(), "dnp3": decode.dnp3_fields(), "iec104": decode.iec104_fields(),
+        "s7comm": decode.s7_fields(), "ethernet_ip": decode.enip_fields(),
+    }
+
     def field(name: str, *protocols: str) -> Column:
         return pick({p: parts[p][name] for p in protocols}).alias(name)
 
-    command = parts["ethernet_ip"]["command"]
+    sends = F.col("_cmd").isin("send_rr_data", "send_unit_data")
     enip_role = (
-        F.when((command == "list_identity") & (parts["ethernet_ip"]["data_length"] > 0), "adapter")
-        .when(command == "register_session", "scanner")
-        .when(command.isin("send_rr_data", "send_unit_data") & F.col("cip_is_response"), "adapter")
-        .when(
-            command.isin("send_rr_data", "send_unit_data") & F.col("cip_service").isin("forward_open", "write"),
-            "scanner",
-        )
+        F.when((F.col("_cmd") == "list_identity") & (parts["ethernet_ip"]["data_length"] > 0), "adapter")
+        .when(F.col("_cmd") == "register_session", "scanner")
+        .when(sends & F.col("cip_is_response"), "adapter")
+        .when(sends & F.col("cip_service").isin("forward_open", "write"), "scanner")
         .otherwise("unknown")
     )
     role = pick(
@@ -104,14 +98,7 @@ def messages(packets: DataFrame) -> DataFrame:
             "profinet": F.coalesce("pn_role", F.lit("unknown")),
         }
     )
-    valid = pick(
-        {
-            **{p: fields["ok"] for p, fields in parts.items()},
-            "bacnet": F.col("bacnet_role").isNotNull(),
-            "profinet": F.col("pn_role").isNotNull(),
-        }
-    )
-    return packets.filter(valid).select(
+    return rows.select(
         "seq", "ts", "src_ip", "dst_ip", "src_port", "dst_port", "protocol",
         role.alias("role"),
         field("unit_id", "modbus"),

@@ -22,6 +22,30 @@ from . import binding
 OUI_ROWS = [("00:1c:06", "Siemens"), ("00:a0:45", "Phoenix Contact"), ("00:90:e8", "Moxa"), ("00:1b:1b", "Rockwell Automation")]
 
 
+class SiteSnapshot:
+    """A snapshot whose tables are built when a rule first reads them."""
+
+    def __init__(self, site: "Site"):
+        self.site, self.context = site, None
+
+    def __getattr__(self, name):
+        build = {
+            "assets": lambda s: s.assets, "connections": lambda s: s.connections, "devices": lambda s: s.devices,
+            "stats": lambda s: s.stats, "function_codes": lambda s: devices.function_codes(s.messages),
+            "modbus_peers": lambda s: devices.modbus_relationships(s.messages),
+            "dnp3_peers": lambda s: devices.dnp3_relationships(s.messages),
+            "polling": lambda s: devices.modbus_polling_intervals(s.messages),
+        }
+        if name not in build:
+            raise AttributeError(name)
+        table = build[name](self.site)
+        setattr(self, name, table)
+        return table
+
+    def staged(self) -> Snapshot:
+        return Snapshot.staged(self)
+
+
 class Site:
     def __init__(self, spark: SparkSession, sf_dir: str, variant: str = "base", where: str | None = None):
         self.spark, self.sf_dir, self.variant, self.where = spark, sf_dir, variant, where
@@ -71,13 +95,8 @@ class Site:
         return devices.device_protocol_info(self.messages)
 
     @cached_property
-    def snapshot(self) -> Snapshot:
-        m = self.messages
-        return Snapshot(
-            assets=self.assets, connections=self.connections, devices=self.devices, stats=self.stats,
-            function_codes=devices.function_codes(m), modbus_peers=devices.modbus_relationships(m),
-            dnp3_peers=devices.dnp3_relationships(m), polling=devices.modbus_polling_intervals(m),
-        )
+    def snapshot(self) -> "SiteSnapshot":
+        return SiteSnapshot(self)
 
     @cached_property
     def levels(self) -> DataFrame:
