@@ -286,9 +286,9 @@ def edits(s):
     )
 
 
-_EDITS = """ed AS (SELECT '10.' || (c_custkey // 2000) || '.' || (c_custkey % 8) || '.' || ((c_custkey // 8) % 250 + 1) AS ip, c_custkey AS at, c_name AS hostname,
+_EDITS = """ed AS (SELECT '10.' || (c_custkey // 2000) || '.' || (c_custkey % 8) || '.' || ((c_custkey // 8) % 250 + 1) AS ip, c_custkey AS tm, c_name AS hostname,
     CASE WHEN c_custkey % 3 = 0 THEN 'engineering_workstation' END AS device_type, c_nationkey % 8 AS lvl, lower(c_mktsegment) AS tag FROM customer),
-    el AS (SELECT ip, arg_max(hostname, at) AS hostname, arg_max(device_type, at) FILTER (WHERE device_type IS NOT NULL) AS device_type, arg_max(lvl, at) AS lvl, arg_max(tag, at) AS tag, max(at) AS at FROM ed GROUP BY ip)"""
+    el AS (SELECT ip, arg_max(hostname, tm) AS hostname, arg_max(device_type, tm) FILTER (WHERE device_type IS NOT NULL) AS device_type, arg_max(lvl, tm) AS lvl, arg_max(tag, tm) AS tag, max(tm) AS tm FROM ed GROUP BY ip)"""
 
 
 @on_site("b10_apply_overrides", f"""WITH {_EDITS} SELECT a.ip AS ip_address, coalesce(e.device_type, a.device_type) AS device_type, coalesce(e.hostname, '') AS hostname,
@@ -300,8 +300,8 @@ def _(s):
     )
 
 
-@on_site("b11_asset_history", f"""WITH {_EDITS} SELECT ip AS ip_address, f.f AS field, f.o AS old_value, f.n AS new_value, CAST(at AS BIGINT) AS changed_at FROM (
-    SELECT ip, e.at, unnest(list_filter([CASE WHEN e.device_type <> a.device_type THEN {{'f': 'device_type', 'o': a.device_type, 'n': e.device_type}} END,
+@on_site("b11_asset_history", f"""WITH {_EDITS} SELECT ip AS ip_address, f.f AS field, f.o AS old_value, f.n AS new_value, CAST(tm AS BIGINT) AS changed_at FROM (
+    SELECT ip, e.tm, unnest(list_filter([CASE WHEN e.device_type <> a.device_type THEN {{'f': 'device_type', 'o': a.device_type, 'n': e.device_type}} END,
     {{'f': 'hostname', 'o': '', 'n': e.hostname}}, {{'f': 'purdue_level', 'o': '', 'n': CAST(e.lvl AS VARCHAR)}}, {{'f': 'tags', 'o': '', 'n': e.tag}}], lambda x: x IS NOT NULL)) AS f
     FROM assw a JOIN el e USING (ip))""", "wide")
 def _(s):

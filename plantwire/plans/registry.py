@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import binding
-from .site import RECURSIVE, Site, site_ctes
+from .site import Site, site_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,11 +73,10 @@ def full_sql(sql: str) -> str:
     if not order:
         return sql
     parts = [_PACKETS[n] if n in _PACKETS else f"{n} AS ({_CTES[n]})" for n in order]
-    recursive = "RECURSIVE " if any(n.rstrip("wrfbc") in RECURSIVE or n in RECURSIVE for n in order) else ""
-    joined = ",\n".join(parts)
-    if re.match(r"\s*WITH\b", sql, re.I):
-        return f"WITH {recursive}{joined},\n{re.sub(r'^\s*WITH\s+', '', sql, flags=re.I)}"
-    return f"WITH {recursive}{joined}\n{sql}"
+    head = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql, re.I)
+    recursive = "RECURSIVE " if (head and head.group(1)) or any(n.startswith("cr") for n in order) else ""
+    prefix = f"WITH {recursive}" + ",\n".join(parts)
+    return f"{prefix},\n{sql[head.end():]}" if head else f"{prefix}\n{sql}"
 
 
 def joined(column: str | Column) -> Column:

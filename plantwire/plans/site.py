@@ -12,6 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scale import stage
 from ..operators import analysis as A
 from ..operators import assess, devices, patterns, segmentation, similarity, traffic
 from ..operators import packets as P
@@ -22,6 +23,17 @@ from . import binding
 OUI_ROWS = [("00:1c:06", "Siemens"), ("00:a0:45", "Phoenix Contact"), ("00:90:e8", "Moxa"), ("00:1b:1b", "Rockwell Automation")]
 
 
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def shared(site: "Site", name: str, build) -> DataFrame:
+    """A staged table of a site, written once per application."""
+    key = (site.spark.sparkContext.applicationId, site.sf_dir, site.variant, site.where, name)
+    if key not in _SHARED:
+        _SHARED[key] = stage(build(), name)
+    return _SHARED[key]
+
+
 class SiteSnapshot:
     """A snapshot whose tables are built when a rule first reads them."""
 
@@ -124,9 +136,11 @@ class Site:
 
     @cached_property
     def segment_inputs(self) -> tuple[DataFrame, DataFrame]:
-        return segmentation.segmentation_inputs(
+        # Everything after this reads the two tables many times, so they are written once.
+        profiles, observed = segmentation.segmentation_inputs(
             self.partly_leveled, self.connections, self.stats, self.anomalies, self.devices, self.allowlist, self.violations
         )
+        return shared(self, "profiles", lambda: profiles), shared(self, "observed", lambda: observed)
 
     @cached_property
     def neighbors(self) -> DataFrame:
@@ -135,7 +149,8 @@ class Site:
     @cached_property
     def groups(self) -> DataFrame:
         profiles, observed = self.segment_inputs
-        return segmentation.policy_groups(profiles, observed, self.neighbors, hot=5)
+        sets = shared(self, "neighbors", lambda: self.neighbors)
+        return shared(self, "groups", lambda: segmentation.policy_groups(profiles, observed, sets, hot=5))
 
     @cached_property
     def zones(self) -> DataFrame:
@@ -147,7 +162,7 @@ class Site:
 
     @cached_property
     def rules(self) -> DataFrame:
-        return segmentation.communication_matrix(self.segment_inputs[1], self.ip_zone)
+        return shared(self, "rules", lambda: segmentation.communication_matrix(self.segment_inputs[1], self.ip_zone))
 
 
 _OT = (
@@ -323,7 +338,7 @@ def _ctes() -> dict[str, str]:
                      WHEN least(a.level, b.level) = 2 AND greatest(a.level, b.level) >= 4 THEN 1 END AS r
             FROM cn{S} c JOIN lv{S} a ON a.ip = c.src_ip JOIN lv{S} b ON b.ip = c.dst_ip) WHERE r IS NOT NULL GROUP BY x, y""",
         # allowlist
-        "alb": """SELECT DISTINCT c.src_ip, c.dst_ip, c.dst_port, c.protocol FROM cn{S} c JOIN cn{S} r
+        "alrev": """SELECT DISTINCT c.src_ip, c.dst_ip, c.dst_port, c.protocol FROM cn{S} c JOIN cn{S} r
             ON r.src_ip = c.dst_ip AND r.dst_ip = c.src_ip AND r.protocol = c.protocol
             AND (r.dst_port = c.dst_port OR r.dst_port = c.src_port)""",
         "al": """SELECT f.src_ip, f.dst_ip, f.dst_port, f.protocol,
@@ -334,7 +349,7 @@ def _ctes() -> dict[str, str]:
                 WHEN x.device_type LIKE '%historian%' OR x.device_type LIKE '%scada%' OR y.device_type LIKE '%historian%'
                     OR lx.level = 3 OR ly.level = 3 THEN 'monitoring' ELSE 'operational' END AS classification
             FROM (SELECT DISTINCT src_ip, dst_ip, dst_port, protocol FROM cn{S}) f
-            LEFT JOIN alb{S} b USING (src_ip, dst_ip, dst_port, protocol)
+            LEFT JOIN alrev{S} b USING (src_ip, dst_ip, dst_port, protocol)
             JOIN st{S} s ON s.src_ip = f.src_ip AND s.dst_ip = f.dst_ip AND s.port = f.dst_port AND s.protocol = f.protocol
             JOIN ass{S} x ON x.ip = f.src_ip JOIN ass{S} y ON y.ip = f.dst_ip
             JOIN lv{S} lx ON lx.ip = f.src_ip JOIN lv{S} ly ON ly.ip = f.dst_ip""",
@@ -395,9 +410,9 @@ def _ctes() -> dict[str, str]:
                 WHEN level = 3 THEN 'scada_server' ELSE 'it_endpoint' END AS category, criticality
             FROM rl{S} r LEFT JOIN gs{S} g ON g.grp = 'L' || level || '-' || role
             UNION ALL SELECT c.ip, 'Unclassified-' || c.community, NULL,
-                CASE WHEN bool_or(len(list_filter(n.peers, lambda q: q IN (SELECT ip FROM pf{S} WHERE is_ot))) > 0) OVER (PARTITION BY c.community)
-                THEN 'network_infra' ELSE 'unknown' END, p.criticality
-            FROM cm{S} c JOIN pf{S} p USING (ip) JOIN nbl{S} n ON n.ip = c.ip""",
+                CASE WHEN bool_or(near) OVER (PARTITION BY c.community) THEN 'network_infra' ELSE 'unknown' END, p.criticality
+            FROM (SELECT *, ip IN (SELECT n.ip FROM nb{S} n JOIN pf{S} q ON q.ip = n.peer WHERE q.is_ot) AS near FROM cm{S}) c
+            JOIN pf{S} p USING (ip)""",
         "gt": """SELECT group_name, level, category, CASE WHEN level <= 1 THEN 'sl3' WHEN level IN (2, 3) THEN 'sl2' ELSE 'sl1' END AS security_level,
             CASE max(CASE criticality WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END)
                 WHEN 4 THEN 'critical' WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'unknown' END AS criticality,
@@ -422,9 +437,6 @@ def _ctes() -> dict[str, str]:
     }
 
 
-RECURSIVE = {"cr"}
-
-
 def site_ctes(suffix: str) -> dict[str, str]:
     """CTE name → SQL for the tables of a site with this name suffix."""
     out = {}
