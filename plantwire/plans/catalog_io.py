@@ -33,6 +33,12 @@ def _text(lines, path: str) -> str:
     return path
 
 
+def _document(lines, root: str, path: str) -> str:
+    """One well-formed document: a report is a single file by its format."""
+    edge = lambda text: lines.sparkSession.createDataFrame([(text,)], "line string")
+    return _text(edge(f"<{root}>").union(lines).union(edge(f"</{root}>")).coalesce(1), path)
+
+
 @on_site("s1_read_zeek", "SELECT src_ip, src_port, dst_ip, dst_port, protocol, transport, packet_count, byte_count, epoch_us(first_seen) AS first_us FROM cn")
 def _(s):
     fields = ["ts", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "orig_pkts", "resp_pkts", "orig_bytes"]
@@ -76,7 +82,7 @@ def _(s):
     per_host = s.connections.select("dst_ip", "dst_port").distinct().groupBy("dst_ip").agg(F.concat_ws("", F.collect_list(F.format_string(
         '<port protocol="tcp" portid="%d"><state state="open"/></port>', "dst_port"))).alias("ports"))
     line = F.format_string('<host><address addr="%s" addrtype="ipv4"/><ports>%s<port protocol="tcp" portid="1"><state state="closed"/></port></ports></host>', "dst_ip", "ports")
-    rows = I.read_nmap(s.spark, _text(per_host.select(line), _folder(s, "nmap")))
+    rows = I.read_nmap(s.spark, _document(per_host.select(line), "nmaprun", _folder(s, "nmap")))
     return rows.select("ip_address", F.size("open_ports").cast("bigint").alias("ports"), joined("protocols").alias("protocols"))
 
 
@@ -99,7 +105,7 @@ def _(s):
 @on_site("s7_read_tia_xml", "SELECT ip AS ip_address, 'node ' || ip AS hostname, 'Siemens' AS vendor, 'network_switch' AS device_type FROM ab")
 def _(s):
     line = F.format_string('<Device Name="node %s"><Address>%s</Address><TypeIdentifier>SCALANCE XC208</TypeIdentifier></Device>', "ip_address", "ip_address")
-    return I.read_tia_xml(s.spark, _text(s.base.select(line), _folder(s, "tia"))).select("ip_address", "hostname", "vendor", "device_type")
+    return I.read_tia_xml(s.spark, _document(s.base.select(line), "Project", _folder(s, "tia"))).select("ip_address", "hostname", "vendor", "device_type")
 
 
 @on_site("s8_read_device_inventory", """SELECT 'sw' || right(mac, 1) AS switch, 'port0' AS port, string_agg(DISTINCT mac, ',' ORDER BY mac) AS macs, string_agg(DISTINCT ip, ',' ORDER BY ip) AS ips FROM ab GROUP BY 1""")
