@@ -137,10 +137,12 @@ class Site:
     @cached_property
     def segment_inputs(self) -> tuple[DataFrame, DataFrame]:
         # Everything after this reads the two tables many times, so they are written once.
-        profiles, observed = segmentation.segmentation_inputs(
-            self.partly_leveled, self.connections, self.stats, self.anomalies, self.devices, self.allowlist, self.violations
-        )
-        return shared(self, "profiles", lambda: profiles), shared(self, "observed", lambda: observed)
+        def build() -> tuple[DataFrame, DataFrame]:
+            return segmentation.segmentation_inputs(
+                self.partly_leveled, self.connections, self.stats, self.anomalies, self.devices, self.allowlist, self.violations
+            )
+
+        return shared(self, "profiles", lambda: build()[0]), shared(self, "observed", lambda: build()[1])
 
     @cached_property
     def neighbors(self) -> DataFrame:
