@@ -35,8 +35,9 @@ def _text(lines, path: str) -> str:
 
 def _document(lines, root: str, path: str) -> str:
     """One well-formed document: a report is a single file by its format."""
-    edge = lambda text: lines.sparkSession.createDataFrame([(text,)], "line string")
-    return _text(edge(f"<{root}>").union(lines).union(edge(f"</{root}>")).coalesce(1), path)
+    edges = lines.sparkSession.createDataFrame([(0, f"<{root}>"), (2, f"</{root}>")], "place int, line string")
+    body = lines.toDF("line").select(F.lit(1).alias("place"), "line")
+    return _text(edges.union(body).coalesce(1).sortWithinPartitions("place").select("line"), path)
 
 
 @on_site("s1_read_zeek", "SELECT src_ip, src_port, dst_ip, dst_port, protocol, transport, packet_count, byte_count, epoch_us(first_seen) AS first_us FROM cn")
