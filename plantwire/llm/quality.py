@@ -27,7 +27,7 @@ RULES = {
     "length": (f"n_words < {MIN_WORDS}", "n_words >= 50"),
     "word_length": ("word_chars < 2.5 * n_words OR word_chars > 15 * n_words", "word_chars BETWEEN 3 * n_words AND 12 * n_words"),
     "symbols": ("n_symbols > 0.1 * n_words", "n_symbols <= 0.02 * n_words"),
-    "repeated_lines": ("n_dup_lines > 0.3 * n_lines", "n_lines >= 3 AND n_dup_lines <= 0.05 * n_lines"),
+    "repeated_lines": ("n_lines >= 5 AND n_dup_lines > 0.3 * n_lines", "n_lines >= 3 AND n_dup_lines <= 0.05 * n_lines"),
     "repeated_words": ("n_repeat_words > 0.3 * n_words", "n_words >= 50 AND n_repeat_words <= 0.1 * n_words"),
     "capitals": ("n_upper > 0.3 * word_chars", "n_upper <= 0.15 * word_chars"),
     "shouting": ("n_shouts > 0.1 * n_words", "n_shouts <= 0.02 * n_words"),
