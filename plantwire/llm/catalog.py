@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, quality, simhash
+from . import boilerplate, mixing, pieces, quality, simhash
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -43,3 +43,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = boilerplate.drop_boilerplate(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs), out="decoded")
+    plain = F.replace(F.coalesce("text", F.lit("")), F.lit(pieces.SPACE), F.lit(" "))
+    return both.select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.xxhash64("token_ids").alias("ids_hash"),
+        (F.col("decoded") == plain).alias("restored"),
+    )
+
+
+def domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain of each labelled document: toxic, else low, else clean."""
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "low").otherwise("clean")
+    return table(spark, sf_dir, "labels").select("doc_id", kind.alias("domain"))
+
+
+@query("op10_mixing")
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = mixing.rates(table(spark, sf_dir, "documents"), domains(spark, sf_dir), mixing.TARGETS)
+    shares = [F.col("posterior")[k].alias(f"p_{domain}") for k, domain in enumerate(sorted(mixing.TARGETS))]
+    return rates.select("doc_id", "n_tokens", *shares, "rate", "copies")
