@@ -30,9 +30,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Bounds of what a task holds: characters in one suffix array, of text handled at a time, words remembered.
-BLOCK_CHARS = 1_200_000
-TEXT_CHARS = 8_000_000
-CACHED_WORDS = 300_000
+BLOCK_CHARS = 1_000_000
+TEXT_CHARS = 5_000_000
+CACHED_WORDS = 250_000
 _PAIR_SLOTS = 1 << 22
 
 
@@ -59,9 +59,11 @@ class PieceModel:
         self._merges()
         order = sorted(p for p in self.ids if not (len(p) > 1 and p[0] == p[-1] == SPACE))
         self.alphabet = {c: k + 1 for k, c in enumerate(sorted(self.chars))}
-        self.coded = np.array([self._code(p) for p in order], dtype=object)
-        self.order = np.array([self.ids[p] for p in order], dtype=np.int64)
-        self.lengths = np.array([len(p) for p in order], dtype=np.int64)
+        coded, wide = [self._code(p) for p in order], 2 * self.longest
+        self.coded = np.array(coded, dtype=f"S{wide}")
+        self.coded_end = np.array([p.ljust(wide, b"\xff") for p in coded], dtype=f"S{wide}")
+        self.order = np.array([self.ids[p] for p in order], dtype=np.int32)
+        self.lengths = np.array([len(p) for p in order], dtype=np.int32)
         self.output = [b"" if not (i in self.score or model.is_byte(i)) else bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self._known = np.full(_PAIR_SLOTS, -1, dtype=np.int64)
         self._verdict = np.zeros(_PAIR_SLOTS, dtype=bool)
@@ -138,7 +140,7 @@ class PieceModel:
 
     def _compatible(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """``_stable`` with a table of pairs already decided."""
-        keys = first * len(self.pieces) + second
+        keys = first.astype(np.int64) * len(self.pieces) + second
         slots = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
         new = np.flatnonzero(self._known[slots] != keys)
         out = self._verdict[slots]
@@ -163,26 +165,26 @@ class PieceModel:
     def _edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Start, length and piece of every occurrence of a piece in the coded text."""
         width = self.longest
-        padded = np.concatenate([codes, np.zeros(width, dtype=codes.dtype)])
+        padded = np.concatenate([codes, np.zeros(width, dtype=codes.dtype)]).astype(">u2")
         windows = np.lib.stride_tricks.sliding_window_view(padded, width)[: len(codes)]
         # suffixes compare by their first ``longest`` characters; ranks double their reach in each round
         rank, reach = codes.astype(np.int64), 1
         while True:
-            other = np.concatenate([rank[reach:], np.zeros(min(reach, len(rank)), dtype=np.int64)])[: len(rank)]
-            keys = rank * (int(rank.max()) + 2 + int(other.max())) + other
+            keys = rank * (int(rank.max(initial=0)) + 1)
+            keys[: len(rank) - reach] += rank[reach:]
             suffixes = np.argsort(keys)
             if 2 * reach >= width:
                 break
             ordered = keys[suffixes]
             rank[suffixes] = np.cumsum(np.append(1, ordered[1:] != ordered[:-1]))
             reach *= 2
-        table = np.ascontiguousarray(windows[suffixes].astype(">u2")).view(f"S{2 * width}").ravel()
-        low = np.searchsorted(table, np.array([p for p in self.coded], dtype=f"S{2 * width}"), "left")
-        high = np.searchsorted(table, np.array([p.ljust(2 * width, b"\xff") for p in self.coded], dtype=f"S{2 * width}"), "right")
-        count = high - low
-        piece = np.repeat(np.arange(len(self.coded)), count)
-        offset = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        return suffixes[np.repeat(low, count) + offset], self.lengths[piece], self.order[piece]
+        suffixes = suffixes.astype(np.int32)
+        table = np.ascontiguousarray(windows[suffixes]).view(f"S{2 * width}").ravel()
+        low = np.searchsorted(table, self.coded, "left")
+        count = np.searchsorted(table, self.coded_end, "right") - low
+        piece = np.repeat(np.arange(len(self.coded), dtype=np.int32), count)
+        at = np.arange(len(piece), dtype=np.int32) + np.repeat((low - np.cumsum(count) + count).astype(np.int32), count)
+        return suffixes[at], self.lengths[piece], self.order[piece]
 
     def _encode_block(self, words: list[str]) -> list[list[int]]:
         """Ids of words made of known characters only."""
@@ -197,12 +199,12 @@ class PieceModel:
         lens = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         begins[1:] = np.cumsum(lens[:-1] + 1)
         start, length, piece = self._edges(codes)
-        begin = np.repeat(begins, np.append(lens[:-1] + 1, lens[-1] + 1)) if len(words) else begins
+        begin = np.repeat(begins.astype(np.int32), lens + 1)
         step = start - begin[start] + length
         # numbers of 16 bits are sorted by radix; longer words are rare
         order = np.argsort(step.astype(np.uint16) if step.max(initial=0) < 1 << 16 else step, kind="stable")
         start, length, piece, step = start[order], length[order], piece[order], step[order]
-        last = np.full(len(codes) + 1, -1, dtype=np.int64)  # last piece of the prefix that ends before a position
+        last = np.full(len(codes) + 1, -1, dtype=np.int32)  # last piece of the prefix that ends before a position
         bounds = np.searchsorted(step, np.arange(1, int(step.max(initial=0)) + 2))
         for a, b in zip(bounds, bounds[1:]):
             s, p, n = start[a:b], piece[a:b], length[a:b]
