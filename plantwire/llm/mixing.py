@@ -25,13 +25,14 @@ BUCKETS = 1 << 16
 FEATURES = 1024
 
 
-def _words(text: str) -> str:
-    return rf"filter(split(lower(coalesce({text}, '')), '[\\s.,;:]+'), w -> w <> '')"
+def _words(text: str) -> Column:
+    """Lower-cased words of a text; the first and the last may be empty."""
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s.,;:]+")
 
 
-def _buckets(text: str) -> Column:
-    """Distinct hashed words of a text."""
-    return F.expr(f"array_distinct(transform({_words(text)}, w -> pmod(xxhash64(w), {BUCKETS}L)))")
+def _buckets(words: Column) -> Column:
+    """Hashed words."""
+    return F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(BUCKETS - 1))
 
 
 def _numbers(values, kind: str) -> Column:
@@ -47,11 +48,11 @@ class Classifier:
     chosen: np.ndarray
     weights: np.ndarray  # (features + 1) x domains, the last row is the bias
 
-    def posterior(self, text: str) -> Column:
-        """Array of probabilities in the order of ``domains``."""
+    def posterior(self, words: Column) -> Column:
+        """Array of probabilities in the order of ``domains`` for an array of words."""
         dense = np.zeros((BUCKETS, len(self.domains)))
         dense[self.chosen] = self.weights[:-1]
-        hits = F.array_intersect(_buckets(text), _numbers(self.chosen, "bigint"))
+        hits = F.array_intersect(_buckets(words), _numbers(self.chosen, "bigint"))
 
         def score(k: int, found: Column) -> Column:
             table = _numbers([f"{x:.6g}" for x in dense[:, k]], "double")
@@ -98,7 +99,7 @@ def classify(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_ro
     sample = stages.write(named.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows), "labels")
     rows = stages.write(
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # sample_rows rows at most
-        .select("domain", _buckets("text").alias("buckets")),
+        .select("domain", F.array_distinct(_buckets(_words("text"))).alias("buckets")),
         "sample",
     )
     counts = {r[0]: r[1] for r in rows.groupBy("domain").agg(F.count("*")).collect()}
@@ -136,7 +137,7 @@ def _rate(steps: list[list[float]]) -> Column:
     return F.aggregate(moves, F.lit(1.0), move)
 
 
-def fit_steps(scored: DataFrame, targets: list[float], rounds: int = 40, tolerance: float = 1e-5) -> list[list[float]]:
+def fit_steps(scored: DataFrame, targets: list[float], rounds: int = 25, tolerance: float = 1e-4) -> list[list[float]]:
     """Gradient steps on rates for ``scored`` (n_tokens, posterior) towards shares of all tokens.
 
     Least squares are weighed by the inverse of the Gram matrix of memberships, for which steps
@@ -164,11 +165,14 @@ def fit_steps(scored: DataFrame, targets: list[float], rounds: int = 40, toleran
 
 def _scored(docs: DataFrame, model: Classifier, *carry: Column) -> DataFrame:
     names = docs.select(*carry).columns
-    tokens = F.expr(r"size(filter(split(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> ''))").cast("long")
     # a draw in [0, 1) that depends on the document alone
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 53)) / float(1 << 53)
-    return docs.select(*carry, tokens.alias("n_tokens"), model.posterior("text").alias("posterior"), draw.alias("draw")).select(
-        *names, "n_tokens", "posterior", "draw"
+    both = F.transform(
+        F.array(_words("text")),
+        lambda w: F.struct((F.size(w) - (w[0] == "").cast("int") - (F.element_at(w, -1) == "").cast("int")).alias("n"), model.posterior(w).alias("p")),
+    )
+    return docs.select(*carry, F.element_at(both, 1).alias("_both"), draw.alias("draw")).select(
+        *names, F.greatest(F.col("_both.n"), F.lit(0)).cast("long").alias("n_tokens"), F.col("_both.p").alias("posterior"), "draw"
     )
 
 
