@@ -10,8 +10,8 @@ encoding is the only path of edges on which every two neighbours stay apart when
 afresh, so relaxing keeps the one edge whose piece is stable behind the last piece of the
 prefix before it. Stability of a pair is decided by undoing its merges in reverse order.
 
-Words begin at a space or behind a line feed or other unknown character; no piece crosses
-those places (checked when the model is read), so each distinct word is encoded once.
+Words begin at a space, at a full stop or comma, and at or behind a line feed or other unknown
+character, where no piece crosses (read from the model), so each distinct word is encoded once.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Bounds of what a task holds: characters in one suffix array, of text handled at a time, words remembered.
-BLOCK_CHARS = 1_000_000
-TEXT_CHARS = 5_000_000
-CACHED_WORDS = 250_000
+BLOCK_CHARS = 500_000
+TEXT_CHARS = 4_000_000
+CACHED_WORDS = 200_000
 _PAIR_SLOTS = 1 << 22
 
 
@@ -53,7 +53,9 @@ class PieceModel:
         runs = [p for p in self.ids if p[:2] == SPACE * 2 and p.strip(SPACE)]
         if inside or runs:
             raise ValueError(f"pieces cross word borders: {(inside + runs)[:3]}")
-        self._runs: dict[int, list[int]] = {}
+        # marks that words end in: a cut before them is safe except behind characters that share a piece with them
+        self.marks = {m: sorted({p[k] for p in self.ids for k in range(len(p) - 1) if p[k + 1] == m}) for m in ".,"}
+        self._runs: dict[int, bytes] = {}
         self._words: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._merges()
@@ -258,8 +260,14 @@ class PieceModel:
         """Words with their leading space, single unknown characters between them, in order."""
         text = SPACE + text.replace(" ", SPACE)
         text = text.replace(SPACE, " " + SPACE)
-        for c in set(text) - self.chars - {" "}:
+        found = set(text)
+        for c in found - self.chars - {" "}:
             text = text.replace(c, f" {c} ")
+        for mark, before in self.marks.items():
+            text = text.replace(mark, " " + mark)
+            for c in before:
+                while c in found and f"{c} {mark}" in text:
+                    text = text.replace(f"{c} {mark}", c + mark)
         return [w for w in text.split(" ") if w]
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
