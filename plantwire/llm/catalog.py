@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, mixing, pieces, quality, simhash
+from . import boilerplate, caps, mixing, pieces, pii, quality, simhash, token_files
+from .staging import Stages
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -67,3 +68,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = mixing.rates(table(spark, sf_dir, "documents"), domains(spark, sf_dir), mixing.TARGETS)
     shares = [F.col("posterior")[k].alias(f"p_{domain}") for k, domain in enumerate(sorted(mixing.TARGETS))]
     return rates.select("doc_id", "n_tokens", *shares, "rate", "copies")
+
+
+@query("op5_token_files")
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stages = Stages(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), stages.path("set"), stages.path("encoded"))
+    stages.drop("encoded")
+    return token_files.digests(spark, stages.path("set"))
+
+
+@query("op6_embedding_dedup")
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[F.size(f"pii_{k.name}").cast("long").alias(f"n_{k.name}") for k in pii.BASE],
+        F.sha2(pii.joined(pii.BASE), 256).alias("base_sha256"), pii.joined(pii.BASE + pii.MORE).alias("spans"),
+    )
+
+
+@query("pii_base_spans", pii.oracle())
+def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op8_pii, which SQL can express."""
+    return op8_pii(spark, sf_dir).drop("spans")

@@ -30,8 +30,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Bounds of what a task holds: characters in one suffix array, of text handled at a time, words remembered.
-BLOCK_CHARS = 500_000
-TEXT_CHARS = 4_000_000
+BLOCK_CHARS = 400_000
+TEXT_CHARS = 3_000_000
 CACHED_WORDS = 200_000
 _PAIR_SLOTS = 1 << 22
 
@@ -318,7 +318,7 @@ class PieceModel:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids, without the space put before it."""
-        data = b"".join([self.output[i] for i in ids])
+        data = b"".join([self.output[i] for i in ids.tolist()])
         return data.decode("utf-8", "replace")[1:] if data[:1] == b" " else data.decode("utf-8", "replace")
 
 
