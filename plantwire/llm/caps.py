@@ -1,11 +1,12 @@
 """Near-duplicate vectors by spherical-cap filters from random product codes.
 
-A rotated vector is cut in two halves, and each half has a code of random directions. A filter
-is a pair of code words, one for each half; its direction is their concatenation. A vector
-belongs to every filter whose direction it meets by more than a threshold, and list decoding
-finds those filters without looking at all pairs: only code words that can still reach the
-threshold with the best word of the other half are combined. Vectors that share a filter are
-compared in double precision, in blocks. A pair counts in its smallest common filter only.
+A rotated vector is cut in two halves, and each half has a code of random directions; several
+rotations are used. A filter is a pair of code words, one for each half, and its direction is
+their concatenation. A vector belongs to every filter whose direction it meets by more than a
+threshold, and list decoding finds those without looking at all pairs of words: only words that
+can still reach the threshold with the best word of the other half are combined. Vectors that
+share a filter are compared in double precision, in blocks. A pair counts in its smallest
+common filter only.
 
 The code grows with the number of vectors so that filters keep their mean size, and the
 threshold follows from the number of filters that two linked vectors should share on average.
@@ -27,8 +28,10 @@ from . import graph
 from .staging import Stages
 
 COSINE = 0.9
-#: Filters that two vectors at the least cosine share on average; a link is missed with exp(-SHARED) at most.
-SHARED = 12.0
+#: Filters that two vectors at the least cosine share on average, over all rotations.
+SHARED = 28.0
+#: Independent rotations, each with a code of its own; they even out how many filters a vector meets.
+ROTATIONS = 4
 #: Vectors of a filter on average.
 MEAN_SIZE = 64
 #: Vectors in one block; larger filters are compared block by block, each pair of blocks in its own row.
@@ -42,6 +45,7 @@ class Code:
     dim: int
     words: int
     least: float
+    rotations: int = ROTATIONS
     seed: int = 7
 
 
@@ -63,36 +67,36 @@ def choose_code(n: int, dim: int, cosine: float = COSINE, shared: float = SHARED
     for _ in range(60):
         z = (low + high) / 2
         low, high = (z, high) if _tail(z) > part else (low, z)
-    words = math.ceil(math.sqrt(shared / _both(low, cosine)))
+    words = math.ceil(math.sqrt(shared / ROTATIONS / _both(low, cosine)))
     return Code(dim, words, low / math.sqrt(dim))
 
 
 @lru_cache(maxsize=2)
-def _directions(code: Code) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotation and the two half codes, whose words have the length of half a unit vector."""
+def _directions(code: Code) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per rotation, the words of both halves as directions in the unrotated space, at half a unit vector's length."""
     rng = np.random.default_rng(code.seed)
-    rotation = np.linalg.qr(rng.standard_normal((code.dim, code.dim)))[0]
-    halves = []
-    for size in (code.dim // 2, code.dim - code.dim // 2):
-        words = rng.standard_normal((code.words, size))
-        length = np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-300)
-        halves.append(words / length * math.sqrt(size / code.dim) if size else words)
-    return rotation, *halves
+    out, half = [], code.dim // 2
+    for _ in range(code.rotations):
+        rotation = np.linalg.qr(rng.standard_normal((code.dim, code.dim)))[0]
+        halves = []
+        for basis in (rotation[:, :half], rotation[:, half:]):
+            words = rng.standard_normal((code.words, basis.shape[1]))
+            words /= np.maximum(np.linalg.norm(words, axis=1, keepdims=True), 1e-300)
+            halves.append(basis @ words.T * math.sqrt(basis.shape[1] / code.dim))
+        out.append((halves[0], halves[1]))
+    return out
 
 
 def filters(vectors: np.ndarray, code: Code) -> list[np.ndarray]:
     """Sorted filter numbers of each unit vector, by list decoding."""
-    rotation, first, second = _directions(code)
-    turned = vectors @ rotation
-    half = code.dim // 2
-    a, b = turned[:, :half] @ first.T, turned[:, half:] @ second.T
-    out = []
-    for x, y in zip(a, b, strict=True):
-        left = np.flatnonzero(x >= code.least - y.max())
-        right = np.flatnonzero(y >= code.least - x.max())
-        i, j = np.nonzero(x[left, None] + y[right] >= code.least)
-        out.append(np.sort(left[i] * code.words + right[j]))
-    return out
+    found: list[list[np.ndarray]] = [[] for _ in vectors]
+    for turn, (first, second) in enumerate(_directions(code)):
+        for mine, x, y in zip(found, vectors @ first, vectors @ second, strict=True):
+            left = np.flatnonzero(x >= code.least - y.max())
+            right = np.flatnonzero(y >= code.least - x.max())
+            i, j = np.nonzero(x[left, None] + y[right] >= code.least)
+            mine.append(np.sort(left[i] * code.words + right[j]) + turn * code.words**2)
+    return [np.concatenate(mine) for mine in found]
 
 
 def _unit(values) -> np.ndarray | None:
@@ -158,18 +162,18 @@ def _compare(code: Code, cosine: float):
                 marks.append(m)
             near[np.ix_(rows, cols)] &= marks[0] @ marks[1].T == 0
         i, j = np.nonzero(near)
-        a, b = ids[0][i], ids[-1][j]
-        ends, count = np.unique(np.concatenate([a, b]), return_counts=True)
-        return np.column_stack([ends, count]), _forest(a, b)
+        rows = [np.array([r["size"] for r in side], dtype=np.float64) for side in sides]
+        ends = np.concatenate([ids[0], ids[-1]])
+        count = np.concatenate([near @ rows[-1], rows[0] @ near]).astype(np.int64)
+        return np.column_stack([ends, count])[count > 0], _forest(ids[0][i], ids[-1][j])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            parts = []
             for f, left, right in zip(batch["filter"], batch["left"], batch["right"], strict=True):
-                counts, edges = links(f, left, None if right is None else right)
-                yield pd.DataFrame({
-                    "u": np.concatenate([counts[:, 0], edges[:, 0]]), "v": np.concatenate([counts[:, 1], edges[:, 1]]),
-                    "edge": np.repeat([False, True], [len(counts), len(edges)]),
-                })
+                parts += [(x, edge) for x, edge in zip(links(f, left, right), (False, True)) if len(x)]
+            found = np.concatenate([x for x, _ in parts]) if parts else np.zeros((0, 2), dtype=np.int64)
+            yield pd.DataFrame({"u": found[:, 0], "v": found[:, 1], "edge": np.repeat([e for _, e in parts] or [False], [len(x) for x, _ in parts] or [0])})
 
     return run
 
@@ -199,17 +203,19 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, shared: float =
     Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing;
     vectors of different lengths neither. Rows that repeat a vec_id count as other vectors. A
     row without vec_id counts as a link of others, never names a group and is never kept. An
-    empty table gives no rows. A link at exactly ``cosine`` is missed with probability
-    exp(-``shared``), closer ones with less; ``block`` only says how large filters are split.
+    empty table gives no rows. ``shared`` sets how many filters two vectors at exactly ``cosine``
+    share on average, closer ones share more; a link that shares none is missed. ``block`` only
+    says how large filters are split.
     """
     stages = Stages(vectors.sparkSession, "caps")
+    number = "float" if "array<float>" in dict(vectors.dtypes)["embedding"] else "double"
     rows = stages.write(
-        vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"))
-        .mapInPandas(_clean, "vec_id long, vector array<double>, dim int"),
+        vectors.select("vec_id", F.col("embedding").cast(f"array<{number}>").alias("vector"))
+        .mapInPandas(_clean, f"vec_id long, vector array<{number}>, dim int"),
         "rows",
     )
     # equal vectors meet by their bytes; -0.0 and 0.0 are the same number
-    key = F.transform("vector", lambda x: x + F.lit(0.0))
+    key = F.transform("vector", lambda x: x + F.lit(0.0).cast(number))
     keyed = rows.withColumn("key", F.sha2(F.to_json(F.struct(key.alias("v"))), 256))
     good = keyed.filter("dim > 0")
     classes = stages.write(
@@ -257,9 +263,9 @@ def _links(classes: DataFrame, code: Code, cosine: float, block: int, stages: St
     ).select(
         "filter", "node", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), (F.col("at") <= F.col("other")).alias("is_left")
     )
-    member = F.struct("node", "vector")
+    member = F.struct("node", "size", "vector")
     met = (
-        pairs.join(classes.select("node", "vector"), "node")
+        pairs.join(classes.select("node", "size", "vector"), "node")
         .groupBy("filter", "i", "j")
         .agg(F.collect_list(F.when(F.col("is_left"), member)).alias("left"), F.collect_list(F.when(~F.col("is_left"), member)).alias("right"))
         .withColumn("right", F.when(F.col("i") < F.col("j"), F.col("right")))
