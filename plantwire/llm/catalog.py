@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, caps, mixing, pieces, pii, quality, simhash, token_files
+from . import boilerplate, caps, host_trust, mixing, pieces, pii, quality, simhash, token_files, tool_calls
 from .staging import Stages
 
 QUERIES = {}
@@ -96,3 +96,14 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pii_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base columns of op8_pii, which SQL can express."""
     return op8_pii(spark, sf_dir).drop("spans")
+
+
+@query("op2_url_filters")
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_trust.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op3_tool_calls")
+def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = tool_calls.calls_of(table(spark, sf_dir, "conversations"))
+    return tool_calls.link(calls, results, tool_calls.TOOLS)

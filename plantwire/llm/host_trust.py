@@ -89,30 +89,31 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return counted.filter("src <> '' AND dst <> ''").unionByName(both).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
-def spread(edges: DataFrame, seeds: DataFrame, stages: Stages, damping: float = DAMPING, tolerance: float = 1e-4, unroll: int = 3) -> DataFrame:
+def spread(edges: DataFrame, seeds: DataFrame, stages: Stages, damping: float = DAMPING, tolerance: float = 1e-3, unroll: int = 4) -> DataFrame:
     """Personalised PageRank of each kind of seed: (kind, host, score).
 
     ``edges``: kind, src, dst, weight; ``seeds``: kind, host, weight. Scores of a kind add up to
-    one; a host without out-edges gives its score back to the seeds. Rounds end when no kind's
+    one; a host without out-edges keeps what it sends. Rounds end when no kind's
     scores move by more than ``tolerance`` in all; what is left to move is bounded by damping to
     the number of rounds, so that many rounds suffice whatever the size of the graph.
     """
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
     start = stages.write(seeds.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("seed")), "seeds")
+    ends = start.select("kind", "host").unionByName(edges.select("kind", F.col("dst").alias("host"))).distinct()
+    stuck = ends.join(edges.select("kind", F.col("src").alias("host")).distinct(), ["kind", "host"], "left_anti")
+    edges = edges.unionByName(stuck.select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(1.0).alias("weight")))
     outs = edges.groupBy("kind", "src").agg(F.sum("weight").alias("out"))
-    steps = stages.write(edges.join(outs, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("out")).alias("part")), "steps")
+    steps = stages.write(
+        edges.join(outs, ["kind", "src"]).select("kind", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out")).alias("part")), "steps"
+    )
     now = start.select("kind", "host", F.col("seed").alias("score"))
     turn = 0
     while True:
         before = now
         for _ in range(unroll):
-            sent = now.join(steps, (now["kind"] == steps["kind"]) & (now["host"] == steps["src"])).groupBy(steps["kind"], "dst").agg(
-                F.sum(F.col("score") * F.col("part")).alias("sent")
-            ).select("kind", F.col("dst").alias("host"), "sent")
-            # what moved over edges is at most all; the rest returns to the seeds
-            moved = sent.groupBy("kind").agg((damping * F.sum("sent")).alias("moved"))
-            back = start.join(moved, "kind", "left").select("kind", "host", (F.col("seed") * (1 - F.coalesce("moved", F.lit(0.0)))).alias("score"))
-            now = back.unionByName(sent.select("kind", "host", (damping * F.col("sent")).alias("score"))).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+            sent = now.join(steps, ["kind", "host"]).select("kind", F.col("dst").alias("host"), (damping * F.col("score") * F.col("part")).alias("score"))
+            back = start.select("kind", "host", ((1 - damping) * F.col("seed")).alias("score"))
+            now = sent.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         turn += 1
         now = stages.write(now, f"scores-{turn}")
         change = (
