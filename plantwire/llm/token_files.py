@@ -32,8 +32,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 BLOCK_IDS = 1 << 18
 #: Bounds of a task's memory: words encoded at a time, words remembered.
-BATCH_WORDS = 20_000
-CACHED_WORDS = 250_000
+BATCH_WORDS = 5_000
+CACHED_WORDS = 200_000
 
 #: Bytes of each of the four ids of a control byte.
 _SIZES = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
@@ -92,7 +92,12 @@ class _Encoder:
             self.words, self.older = {}, self.words
         unseen = set().union(*split) - self.words.keys()
         self.words.update({w: self.older[w] for w in unseen & self.older.keys()})
-        fresh = list(unseen - self.older.keys())
+        fresh = unseen - self.older.keys()
+        # a word of lower-case ASCII letters is one piece of text to the vocabulary, as it stands
+        plain = [w for w in fresh if w.isalpha() and w.islower()]
+        split_word = self.tokenizer.model.tokenize
+        self.words.update((w, np.array([t.id for t in split_word(w.decode())], dtype="<u4").tobytes()) for w in plain)
+        fresh = list(fresh.difference(plain))
         for at in range(0, len(fresh), BATCH_WORDS):
             some = fresh[at : at + BATCH_WORDS]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
