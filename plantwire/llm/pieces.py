@@ -65,6 +65,9 @@ class PieceModel:
         self.coded = np.array(coded, dtype=f"S{wide}")
         self.coded_end = np.array([p.ljust(wide, b"\xff") for p in coded], dtype=f"S{wide}")
         self.order = np.array([self.ids[p] for p in order], dtype=np.int32)
+        ends = np.array([[self.alphabet[c] for c in (p[0], p[:2][-1], p[-2:][0], p[-1])] for p in order])
+        self.single = np.array([len(p) == 1 for p in order])
+        self.first_two, self.last_two = self._meeting(ends[:, 0], ends[:, 1]), self._meeting(ends[:, 2], ends[:, 3])
         self.lengths = np.array([len(p) for p in order], dtype=np.int32)
         self.output = [b"" if not (i in self.score or model.is_byte(i)) else bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         self._known = np.full(_PAIR_SLOTS, -1, dtype=np.int64)
@@ -73,6 +76,11 @@ class PieceModel:
         for i in self.order:
             self._alone[i] = self.plain(self.pieces[i]) == [i]
 
+    @staticmethod
+    def _meeting(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Slots of 16 bits for pairs of characters."""
+        return (a * 40_503 + b * 9_973) & 0xFFFF
+
     def _code(self, piece: str) -> bytes:
         return np.array([self.alphabet[c] for c in piece], dtype=">u2").tobytes()
 
@@ -182,9 +190,13 @@ class PieceModel:
             reach *= 2
         suffixes = suffixes.astype(np.int32)
         table = np.ascontiguousarray(windows[suffixes]).view(f"S{2 * width}").ravel()
-        low = np.searchsorted(table, self.coded, "left")
-        count = np.searchsorted(table, self.coded_end, "right") - low
-        piece = np.repeat(np.arange(len(self.coded), dtype=np.int32), count)
+        # pieces whose first or last two characters never meet here have no range to search for
+        met = np.zeros(1 << 16, dtype=bool)
+        met[self._meeting(codes[:-1], codes[1:])] = True
+        sought = np.flatnonzero(self.single | (met[self.first_two] & met[self.last_two]))
+        low = np.searchsorted(table, self.coded[sought], "left")
+        count = np.searchsorted(table, self.coded_end[sought], "right") - low
+        piece = np.repeat(sought.astype(np.int32), count)
         at = np.arange(len(piece), dtype=np.int32) + np.repeat((low - np.cumsum(count) + count).astype(np.int32), count)
         return suffixes[at], self.lengths[piece], self.order[piece]
 
@@ -318,7 +330,7 @@ class PieceModel:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids, without the space put before it."""
-        data = b"".join([self.output[i] for i in ids.tolist()])
+        data = b"".join(map(self.output.__getitem__, ids.tolist()))
         return data.decode("utf-8", "replace")[1:] if data[:1] == b" " else data.decode("utf-8", "replace")
 
 
