@@ -1,0 +1,305 @@
+"""Operators against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import oracle
+import public_tokenizers
+import pytest
+import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import __spark_entry__ as entry
+from plantwire.llm import boilerplate, caps, catalog, graph, host_trust, mixing, pieces, pii, quality, simhash, token_files, tool_calls
+from plantwire.llm.staging import Stages
+
+SF = "/root/testdata/sf0.001"
+LONG = "word " * 30_000 + "end."
+TEXTS = [None, "", " \n\t ", "one", "One two", "the same text here twice", "the same text here twice", LONG, "ünï cödé 日本 \U0001d518 a,b. c", "▁ x  y\n\nz"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Odd texts, a repeated row, a null id and columns whose names operators use."""
+    rows = [(i, t, "s", "n", True, 1.0) for i, t in enumerate(TEXTS)] + [(3, "one", None, "n", None, None), (None, "one", "s", None, False, 2.0)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, n_words string, kept boolean, rate double")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def texts_of(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+def smallest(nodes, linked):
+    """Smallest member of each node's component."""
+    at = {n: n for n in nodes}
+
+    def root(x):
+        while at[x] != x:
+            x = at[x]
+        return x
+
+    for a, b in linked:
+        a, b = sorted((root(a), root(b)))
+        at[b] = a
+    return {n: root(n) for n in nodes}
+
+
+def plain_print(text):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    shingles = [b" ".join(words[k : k + 3]) for k in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(1, 40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (200, 150), (160, 161), (161, 160)]
+    got = graph.components(spark.createDataFrame(edges, "a long, b long"), Stages(spark, "t")).collect()
+    want = smallest({x for e in edges if None not in e and e[0] != e[1] for x in e}, [e for e in edges if None not in e])
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("crowded", [2048, 2])
+def test_simhash(docs, crowded):
+    texts = texts_of(docs)
+    prints = {i: plain_print(t) for i, t in texts.items()}
+    linked = [(i, j) for i in prints for j in prints if i < j and (prints[i] ^ prints[j]).bit_count() <= 3]
+    got = simhash.near_duplicates(docs, crowded).collect()
+    assert {r.doc_id: (r.print % (1 << 64), r.component_id) for r in got} == {i: (prints[i], c) for i, c in smallest(prints, linked).items()}
+
+
+def test_covering_is_complete():
+    rng = np.random.default_rng(3)
+    for masks in simhash.covering_masks(2):
+        for _ in range(300):
+            bits = sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
+            assert any(not bits & m for m in masks)
+
+
+def test_simhash_odd(odd):
+    got = simhash.near_duplicates(odd).collect()
+    assert len(got) == len(TEXTS) + 2
+    assert {r.component_id for r in got if r.print == 0} == {0}
+    assert {r.component_id for r in got if r.print % (1 << 64) == plain_print("one")} == {3}
+    kept = simhash.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns
+    ids = Counter(r.doc_id for r in kept.collect())
+    assert ids[3] == 1 and ids[None] == 1 and ids[6] == 0 and ids[5] == 1
+    assert simhash.near_duplicates(odd.limit(0)).count() == 0
+
+
+def test_url_filters(spark):
+    urls = [
+        "http://A.Example.org/es/x", "https://example.org/en/15?q", "https://x.example.org/fr", "http://b.com/de/#a", "http://b.com/fr/1", "http://b.com/x",
+        "http://notorg/x", "no scheme", None, "http://net.net", "http://sub.b.com/y",
+    ]
+    html = '<a class="k" href="//other.net/p">x</a><a href="/rel">y</a>'
+    rows = [(i, u, html if i == 3 else None, 9) for i, u in enumerate(urls)]
+    got = {r.page_id: r for r in host_trust.judge(spark.createDataFrame(rows, "page_id long, url string, html string, trust int")).collect()}
+    assert [got[i].rule for i in range(11)] == ["example.org/es/", "example.org/en/1", "org/", "com/de/", "com/fr/", None, None, None, None, None, None]
+    assert [got[i].verdict for i in range(5)] == ["block", "block", "allow", "block", "allow"]
+    assert (got[0].host, got[0].path) == ("a.example.org", "/es/x") and (got[7].host, got[7].path, got[8].host) == ("", "", "")
+    assert got[9].verdict == got[7].verdict == "allow"
+    assert host_trust.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_spread_is_personalised_pagerank(spark):
+    rng = np.random.default_rng(5)
+    pairs = sorted({(int(a), int(b)) for a, b in rng.integers(0, 12, (30, 2))})
+    edges = spark.createDataFrame([("k", str(a), str(b), 1.0 + a) for a, b in pairs], "kind string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("k", "1", 3.0), ("k", "4", 1.0)], "kind string, host string, weight double")
+    m = np.zeros((12, 12))
+    for a, b in pairs:
+        m[b, a] += 1.0 + a
+    for a in range(12):
+        m[a, a] += m[:, a].sum() == 0
+    m /= m.sum(axis=0)
+    seed = np.zeros(12)
+    seed[[1, 4]] = 0.75, 0.25
+    want = np.linalg.solve(np.eye(12) - 0.85 * m, 0.15 * seed)
+    got = {int(r.host): r.score for r in host_trust.spread(edges, seeds, Stages(spark, "t"), tolerance=1e-7).collect()}
+    assert all(abs(got.get(k, 0.0) - want[k]) < 1e-5 for k in range(12))
+
+
+def test_tool_calls(spark):
+    calls = [
+        (1, 0, "a", "search", '{"query":"q","limit":2}'), (1, 1, "b", "search", '{"limit":2,"query":"$a"}'), (1, 2, "c", "translate", '{"text":"$b","to":"$a"}'),
+        (1, 3, "d", "count", '{"text":"$e"}'), (1, 4, "e", "count", '{"text":"$d"}'), (1, 5, "f", "rank", "{}"), (1, 6, "g", "search", '{"query":1,"limit":2}'),
+        (1, 7, "h", "search", "oops"), (1, 8, "i", "count", '{"text":"x","more":1}'), (1, 9, "a", "count", '{"text":"again"}'), (2, 0, "a", "count", '{"text":"$a"}'),
+        (None, 0, "a", "count", "{}"), (3, 0, "z", "search", None), (1, 10, "j", "count", '{"words":true,"text":"$zz"}'),
+    ]
+    results = [(1, 1, "a", "ra"), (1, 2, "a", "later"), (1, 0, "b", "early"), (1, 3, "c", "rc"), (4, 0, "x", "lone")]
+    got = tool_calls.link(
+        spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, arguments string"),
+        spark.createDataFrame(results, "conv_id long, turn long, call_id string, content string"), tool_calls.TOOLS,
+    )
+    rows = {(r.conv_id, r.call_id): r for r in got.collect()}
+    assert {k: r.status for k, r in rows.items()} == {
+        (1, "a"): "ok", (1, "b"): "result_first", (1, "c"): "ok", (1, "d"): "circular", (1, "e"): "circular", (1, "f"): "unknown_tool", (1, "g"): "bad_arguments",
+        (1, "h"): "bad_arguments", (1, "i"): "bad_arguments", (2, "a"): "circular", (3, "z"): "bad_arguments", (4, "x"): "orphan_result", (1, "j"): "no_result",
+    }
+    assert [rows[1, k].level for k in "abc"] == [0, 1, 2] and rows[1, "d"].level is None
+    assert (rows[1, "a"].n_calls, rows[1, "a"].n_results) == (2, 2)
+    assert rows[1, "g"].problem == "query is no string" and rows[1, "i"].problem == "unknown argument"
+    assert r'{\"limit\":2,\"query\":\"$a\"}' in rows[1, "b"].message
+    none = tool_calls.calls_of(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
+    assert tool_calls.link(*none, tool_calls.TOOLS).count() == 0
+
+
+def test_quality_features(docs):
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    for i, text in texts_of(docs).items():
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        windows = [tuple(words[k : k + 8]) for k in range(len(words) - 7)]
+        times = Counter(windows)
+        covered = {k + j for k, w in enumerate(windows) if times[w] > 1 for j in range(8)}
+        want = (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered))
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == want
+        assert r.base_failed == (len(words) < 20 or 100 * len(covered) > 30 * len(words)) and not (r.kept and r.base_failed)
+
+
+def test_quality_agrees_with_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = quality.judge(spark.read.parquet(f"{sf}/documents.parquet")).withColumnRenamed("quality", "p").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id")
+    rows = rows.filter("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
+    share = {r[0]: r[1] for r in rows}
+    assert share[1] > 0.98 and share[0] < 0.1
+
+
+def test_quality_odd(odd):
+    got = quality.judge(odd).collect()
+    assert len(got) == len(TEXTS) + 2 and not any(r.kept for r in got)
+    assert max(r.n_repeat_words for r in got) == 30_000
+    kept = quality.keep_good(odd)
+    assert kept.columns == odd.columns and kept.count() == 0
+    assert quality.judge(odd.limit(0)).count() == 0
+
+
+def test_token_files(spark, odd):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(token_files.TOKENIZER))
+    stages = Stages(spark, "t")
+    token_files.write(odd, stages.path("a"), stages.path("b"))
+    got = token_files.digests(spark, stages.path("a")).orderBy("start").collect()
+    texts = sorted([(i, t) for i, t in enumerate(TEXTS)] + [(3, "one")], key=lambda x: x[0])
+    start = 0
+    assert [r.doc_id for r in got] == [i for i, _ in texts]
+    for r, (_, t) in zip(got, texts, strict=True):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()))
+        start += len(ids)
+    assert {r.doc_id: len(r.ids) for r in token_files.read(spark, stages.path("a")).collect()} == {r.doc_id: r.n_tokens for r in got}
+    token_files.write(odd.limit(0), stages.path("c"), stages.path("d"))
+    assert token_files.digests(spark, stages.path("c")).count() == 0
+
+
+def test_variable_length_bytes():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 3, 4, 5, 1000):
+        ranks = (rng.integers(0, 1 << 32, n) >> rng.integers(0, 32, n)).astype(np.uint32)
+        assert (token_files.unpack(*token_files.pack(ranks), n) == ranks).all()
+
+
+def test_words_get_the_tokens_of_their_text():
+    path = public_tokenizers.path(token_files.TOKENIZER)
+    tokenizer, mine = Tokenizer.from_file(path), token_files._Encoder(path)
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("abAB .,'sSΣσéÉ́0<|>endoftext\n\x1c!İ"), int(n))) for n in rng.integers(0, 40, 500)] + ["A<|ENDOFTEXT|>.b", "x<|endoftext|>."]
+    assert [list(x) for x in mine.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("block", [512, 3])
+def test_caps(spark, block):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((5, 16))
+    rows = [(k, [float(x) for x in (base[k % 5] + 0.15 * rng.standard_normal(16) * (k % 3 > 0)).astype(np.float32)]) for k in range(60)]
+    dead = [(100, None), (101, [0.0] * 16), (102, [1.0, None] + [0.0] * 14), (103, [float("nan")] * 16), (104, [])]
+    more = [(None, rows[0][1]), (5, rows[0][1]), (200, [1.0] * 3), (201, [2.0] * 3)]
+    got = caps.near_duplicates(spark.createDataFrame(rows + dead + more, "vec_id long, embedding array<float>"), block=block).collect()
+    live = [(i, np.array(v, dtype=float) / np.linalg.norm(v)) for i, v in rows + more]
+    want = [(i, sum(m != k and len(v) == len(w) and v @ w >= 0.9 for m, (_, w) in enumerate(live))) for k, (i, v) in enumerate(live)]
+    assert sorted(map(str, ((r.vec_id, r.n_links) for r in got if r.vec_id not in dict(dead)))) == sorted(map(str, want))
+    assert all((r.n_links, r.component_id, r.kept) == (0, r.vec_id, True) for r in got if r.vec_id in dict(dead)) and len(got) == 69
+    assert caps.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_line_dedup(spark, odd):
+    pages = [(i, f"top line\nunique {i}\n\nbottom", "h") for i in range(8)] + [(20 + i, f"only {i}\ntop line", "g") for i in range(4)] + [(30, None, None)]
+    got = {r.doc_id: r for r in boilerplate.drop_boilerplate(spark.createDataFrame(pages, "doc_id long, text string, source string")).collect()}
+    assert got[3].text == "unique 3\n" and got[3].n_dropped == 2 and got[21].text == "only 1\ntop line" and got[30].text is None
+    copies = [(i, "copied\npage", "h") for i in range(50)]
+    kept = boilerplate.drop_boilerplate(spark.createDataFrame(copies, "doc_id long, text string, source string")).collect()
+    assert {r.text for r in kept} == {"copied\npage"}
+    out = boilerplate.drop_boilerplate(odd)
+    assert out.columns == [*odd.columns, "n_lines", "n_dropped"] and out.count() == odd.count()
+    assert boilerplate.drop_boilerplate(odd.limit(0)).count() == 0
+
+
+def test_pii(spark, odd):
+    text = "a@b.c_d@e.fr x 1.2.3.4 300.1.1.1 card 4111 1111 1111 1111 +1 (202) 555-0100. IBAN DE89370400440532013000 call 202-555-0199 é\U0001d518 z@y.zz"
+    found = pii.find(spark.createDataFrame([(1, text, 5)], "doc_id long, text string, pii_ip int"))
+    got = {k.name: [text[s.start : s.end] for s in found.first()[f"pii_{k.name}"]] for k in pii.BASE + pii.MORE}
+    assert got == {
+        "email": ["a@b.c", "_d@e.fr", "z@y.zz"], "ip": ["1.2.3.4"], "card": ["4111 1111 1111 1111"], "phone": ["+1 (202) 555-0100"],
+        "iban": ["DE89370400440532013000"], "short_card": [], "local_phone": ["202-555-0199"],
+    }
+    assert pii.mask(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().text.startswith("<email><email> x <ip> 300.1.1.1 card <card> <phone>.")
+    many = spark.createDataFrame([(1, "1 " * 40_000), (2, "a" * 100_000 + "@"), (3, "+1" + "." * 50_000)], "doc_id long, text string")
+    assert pii.find(many).select(*[F.size(f"pii_{k.name}").alias(k.name) for k in pii.BASE]).groupBy().sum().first() == (0, 0, 0, 0)
+    assert pii.find(odd).count() == odd.count() and pii.mask(odd).columns == odd.columns
+
+
+def test_pieces_agree_with_their_library():
+    path = public_tokenizers.path(pieces.MODEL)
+    model, library = pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = np.random.default_rng(4)
+    texts = ["".join(rng.choice(list("abcdefgh  \n.,!éü▁01中)\"-"), int(n))) for n in rng.integers(0, 60, 1500)] + [t for t in TEXTS if t]
+    texts += [" " * 40 + "q", "the" * 50, "...,,.", "\x00"]
+    got = model.encode(texts)
+    assert [list(x) for x in got] == [library.encode(t) for t in texts]
+    assert [model.decode(x) for x in got] == [t.replace("▁", " ") for t in texts]
+
+
+def test_pieces_odd(odd):
+    got = pieces.decode(pieces.encode(odd, out="rate"), ids="rate", out="back").collect()
+    assert len(got) == len(TEXTS) + 2 and all(r.back == (r.text or "").replace("▁", " ") for r in got)
+    assert pieces.encode(odd.limit(0)).count() == 0
+
+
+def test_mixing(spark, docs, odd):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rates = mixing.rates(docs, catalog.domains(spark, sf), mixing.TARGETS)
+    sums = rates.agg(*[F.sum(F.col("n_tokens") * F.col("rate") * F.col("posterior")[k]) / F.sum("n_tokens") for k in range(3)]).first()
+    assert all(abs(got - want) < 0.01 for got, want in zip(sums, (0.99, 0.0, 0.01), strict=True))
+    toxic = rates.join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").groupBy("toxic").agg(F.avg(F.col("posterior")[2])).collect()
+    assert dict(map(tuple, toxic))[1] > 0.8 > 0.1 > dict(map(tuple, toxic))[0]
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    got = mixing.mix(odd, none, {"a": 0.5, "b": 0.5})
+    assert got.columns == odd.columns and got.count() == odd.count()
+    assert mixing.rates(odd.limit(0), none, {"a": 1.0}).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
+def test_sql(spark, name):
+    ok, note = oracle.compare(spark, oracle.connect(SF), SF, name, catalog.QUERIES[name], catalog.SQL[name])
+    assert ok, note
+
+
+def test_pipeline(spark):
+    got = entry.queries()["pipeline"](spark, SF)
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "token_ids"]
+    rows = got.collect()
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(pieces.MODEL))
+    assert rows and all(r.token_ids == library.encode(r.text) for r in rows)
+    prints = {r.doc_id: plain_print(r.text) for r in rows}
+    assert all((prints[a] ^ prints[b]).bit_count() > 3 for a in prints for b in prints if a < b)
