@@ -123,7 +123,7 @@ def classify(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_ro
     return Classifier(domains, chosen, _fit_softmax(x, y, len(domains)).astype(float))
 
 
-def _rate(steps: list[list[float]]) -> Column:
+def _rate(posterior: Column, steps: list[list[float]]) -> Column:
     """Rate of a document after the steps: from 1, down along each step, never under zero."""
     if not steps:
         return F.lit(1.0)
@@ -131,17 +131,18 @@ def _rate(steps: list[list[float]]) -> Column:
     moves = F.transform(moves, lambda m: F.split(m, ",").cast("array<double>"))
 
     def move(rate: Column, step: Column) -> Column:
-        along = F.aggregate(F.zip_with("posterior", step, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
+        along = F.aggregate(F.zip_with(posterior, step, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
         return F.greatest(F.lit(0.0), rate - along)
 
     return F.aggregate(moves, F.lit(1.0), move)
 
 
-def fit_steps(scored: DataFrame, targets: list[float], rounds: int = 25, tolerance: float = 1e-4) -> list[list[float]]:
+def fit_steps(scored: DataFrame, targets: list[float], rounds: int = 25, tolerance: float = 2e-3, ridge: float = 0.02) -> list[list[float]]:
     """Gradient steps on rates for ``scored`` (n_tokens, posterior) towards shares of all tokens.
 
-    Least squares are weighed by the inverse of the Gram matrix of memberships, for which steps
-    of length one never overshoot. Ends when every share is met within ``tolerance`` or moves no more.
+    Least squares are weighed by the inverse of the Gram matrix of memberships plus ``ridge``, for
+    which steps of length one never overshoot; the ridge keeps domains that hardly occur from
+    being met by the noise in other documents' posteriors. Ends when every share is met within ``tolerance`` or moves no more.
     """
     k = len(targets)
     p = [F.col("posterior")[i] for i in range(k)]
@@ -149,36 +150,36 @@ def fit_steps(scored: DataFrame, targets: list[float], rounds: int = 25, toleran
     total = gram[0] or 0
     if not total:
         return []
-    inverse = np.linalg.pinv(np.array(gram[1:], dtype=float).reshape(k, k) / total)
+    inverse = np.linalg.inv(np.array(gram[1:], dtype=float).reshape(k, k) / total + ridge * np.eye(k))
     steps: list[list[float]] = []
     before = np.full(k, np.inf)
     for _ in range(rounds):
-        weighed = scored.select("*", (F.col("n_tokens") * _rate(steps)).alias("w"))
+        weighed = scored.select("*", (F.col("n_tokens") * _rate(F.col("posterior"), steps)).alias("w"))
         now = np.array(weighed.agg(*[F.sum(F.col("w") * x) for x in p]).first(), dtype=float) / total
         miss = now - np.array(targets)
-        if np.abs(miss).max() <= tolerance or np.abs(miss - before).max() <= tolerance:
+        if np.abs(miss).max() <= tolerance or np.abs(miss - before).max() <= tolerance / 100:
             break
         before = miss
         steps.append([round(float(x), 9) for x in inverse @ miss])
     return steps
 
 
+def _copies(rate: Column, hash_: Column) -> Column:
+    """Whole part of the rate, plus one if a draw in [0, 1) from the document's hash is under the rest."""
+    draw = F.pmod(hash_, F.lit(1 << 53)) / float(1 << 53)
+    return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("int")).cast("long")
+
+
 def _scored(docs: DataFrame, model: Classifier, *carry: Column) -> DataFrame:
+    """``carry``, a hash of the document, n_tokens and posterior; the words are split once."""
     names = docs.select(*carry).columns
-    # a draw in [0, 1) that depends on the document alone
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 53)) / float(1 << 53)
-    both = F.transform(
-        F.array(_words("text")),
-        lambda w: F.struct((F.size(w) - (w[0] == "").cast("int") - (F.element_at(w, -1) == "").cast("int")).alias("n"), model.posterior(w).alias("p")),
-    )
-    return docs.select(*carry, F.element_at(both, 1).alias("_both"), draw.alias("draw")).select(
-        *names, F.greatest(F.col("_both.n"), F.lit(0)).cast("long").alias("n_tokens"), F.col("_both.p").alias("posterior"), "draw"
-    )
 
+    def member(w: Column) -> Column:
+        n = F.size(w) - (w[0] == "").cast("int") - (F.element_at(w, -1) == "").cast("int")
+        return F.struct(F.greatest(n, F.lit(0)).cast("long").alias("n_tokens"), model.posterior(w).alias("posterior"))
 
-def _with_copies(scored: DataFrame, steps: list[list[float]]) -> DataFrame:
-    rated = scored.withColumn("rate", F.round(_rate(steps), 6))
-    return rated.withColumn("copies", (F.floor("rate") + (F.col("draw") < F.col("rate") - F.floor("rate")).cast("int")).cast("long")).drop("draw")
+    both = F.transform(F.array(_words("text")), member)
+    return docs.select(*carry, F.xxhash64("doc_id", "text").alias("hash"), F.element_at(both, 1).alias("_both")).select(*names, "hash", "_both.*")
 
 
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
@@ -194,7 +195,9 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Da
     domains = sorted(targets)
     model = classify(docs, labelled, domains)
     scored = Stages(docs.sparkSession, "mixing").write(_scored(docs, model, F.col("doc_id")), "scored")
-    return _with_copies(scored, fit_steps(scored, [targets[d] for d in domains]))
+    steps = fit_steps(scored, [targets[d] for d in domains])
+    rated = scored.withColumn("rate", F.round(_rate(F.col("posterior"), steps), 6))
+    return rated.select("doc_id", "n_tokens", "posterior", "rate", _copies(F.col("rate"), F.col("hash")).alias("copies"))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
@@ -206,5 +209,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
     model = classify(docs, labelled, domains)
     scored = Stages(docs.sparkSession, "mixing").write(_scored(docs, model), "scored")
     steps = fit_steps(scored, [targets[d] for d in domains])
-    rows = _with_copies(_scored(docs, model, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), steps)
-    return rows.select("_row", F.explode(F.expr("array_repeat(0, int(copies))"))).select("_row.*")
+    # bound in one expression: a column of posteriors would be computed again wherever it is used
+    rate = F.transform(F.array(_words("text")), lambda w: F.transform(F.array(model.posterior(w)), lambda p: F.round(_rate(p, steps), 6))[0])
+    copies = F.transform(rate, lambda r: _copies(r, F.col("_hash")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", F.xxhash64("doc_id", "text").alias("_hash"))
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(0), copies[0].cast("int")))).select("_row.*")
