@@ -30,10 +30,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Bounds of what a task holds: characters in one suffix array, of text handled at a time, words remembered.
-BLOCK_CHARS = 400_000
-TEXT_CHARS = 3_000_000
-CACHED_WORDS = 200_000
-_PAIR_SLOTS = 1 << 22
+BLOCK_CHARS = 250_000
+TEXT_CHARS = 2_500_000
+CACHED_WORDS = 120_000
+_PAIR_SLOTS = 1 << 21
 
 
 class PieceModel:
@@ -151,7 +151,7 @@ class PieceModel:
     def _compatible(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """``_stable`` with a table of pairs already decided."""
         keys = first.astype(np.int64) * len(self.pieces) + second
-        slots = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+        slots = ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
         new = np.flatnonzero(self._known[slots] != keys)
         out = self._verdict[slots]
         if len(new):
