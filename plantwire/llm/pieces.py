@@ -16,12 +16,14 @@ character, where no piece crosses (read from the model), so each distinct word i
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -334,6 +336,14 @@ class PieceModel:
         return data.decode("utf-8", "replace")[1:] if data[:1] == b" " else data.decode("utf-8", "replace")
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, as a worker stays idle for long between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim:
+        trim(0)
+
+
 @lru_cache(maxsize=1)
 def load(path: str) -> PieceModel:
     return PieceModel(path)
@@ -350,7 +360,9 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
 
     @F.pandas_udf(ArrayType(IntegerType()))
     def ids(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(load(path).encode([t if isinstance(t, str) else None for t in texts])), dtype=object)
+        found = pd.Series(load(path).encode([t if isinstance(t, str) else None for t in texts]), dtype=object)
+        _give_back()
+        return found
 
     return docs.withColumn(out, ids(text))
 
