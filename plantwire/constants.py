@@ -138,7 +138,7 @@ MODBUS_FUNCTION_NAMES = {
     12: "Get Comm Event Log", 15: "Write Multiple Coils", 16: "Write Multiple Registers",
     17: "Report Server ID", 20: "Read File Record", 21: "Write File Record",
     22: "Mask Write Register", 23: "Read/Write Multiple Registers", 24: "Read FIFO Queue",
-    43: "Encapsulated Interface Transport",
+    43: "Read Device Identification",
 }
 DNP3_FUNCTION_NAMES = {
     0: "Confirm", 1: "Read", 2: "Write", 3: "Select", 4: "Operate", 5: "Direct Operate",

@@ -149,7 +149,7 @@ def gap_statistics(
     )
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node id of each undirected component: (id, component).
 
     ``nodes``: id; ``edges``: src, dst. Each round takes the smallest label among
@@ -162,7 +162,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 5
         "edges",
     )
     labels = stage(nodes.select("id").distinct().withColumn("component", F.col("id")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels, both.dst == labels.id)
             .groupBy("src")
@@ -181,4 +181,3 @@ def connected_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 5
         labels = new.select("id", "component")
         if new.filter(F.col("old") != F.col("component")).limit(1).count() == 0:
             return labels
-    raise RuntimeError("components did not settle; raise max_rounds")

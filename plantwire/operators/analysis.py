@@ -341,15 +341,18 @@ def analysis_summary(findings: DataFrame, anomalies: DataFrame, assets: DataFram
     )
 
 
-def top_findings(findings: DataFrame, n: int = 1000) -> DataFrame:
-    """The first ``n`` findings by severity, as the report shows them."""
-    return findings.orderBy(severity_rank().desc(), "id").limit(n)
+def top_findings(findings: DataFrame, n: int | None = None) -> DataFrame:
+    """Findings by severity, as the report shows them: all, or the first ``n``."""
+    ordered = findings.orderBy(severity_rank().desc(), "id")
+    return ordered if n is None else ordered.limit(n)
 
 
-def top_anomalies(anomalies: DataFrame, n: int = 500) -> DataFrame:
-    return anomalies.orderBy(
+def top_anomalies(anomalies: DataFrame, n: int | None = None) -> DataFrame:
+    """Anomalies by severity and confidence: all, or the first ``n``."""
+    ordered = anomalies.orderBy(
         severity_rank().desc(), F.desc("confidence"), "anomaly_type", "affected_asset", "evidence"
-    ).limit(n)
+    )
+    return ordered if n is None else ordered.limit(n)
 
 
 def advice(technique: Column, title: Column) -> Column:

@@ -161,7 +161,7 @@ def zeek_device_events(conns: DataFrame, alerts: DataFrame) -> DataFrame:
     )
 
 
-def zeek_event_samples(conns: DataFrame, samples: int = 50) -> DataFrame:
+def zeek_event_samples(conns: DataFrame, samples: int) -> DataFrame:
     """First ``samples`` log rows per device, for display."""
     order = [F.col(c) for c in ("first_seen", "src_ip", "src_port", "dst_ip", "dst_port")]
     rows = top_n_per_key(_device_events(conns), ["device_ip"], order, samples)

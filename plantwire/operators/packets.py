@@ -151,12 +151,14 @@ def filter_packets(packets: DataFrame, ips=(), ports=()) -> DataFrame:
     return packets.filter(cond)
 
 
-def connection_packets(packets: DataFrame, n: int = 1000, connection_id: str | None = None) -> DataFrame:
-    """First ``n`` packets of each connection by (ts, seq), without payload."""
+def connection_packets(packets: DataFrame, n: int | None = None, connection_id: str | None = None) -> DataFrame:
+    """Packets of each connection by (ts, seq), without payload: all of them, or the first ``n`` with their rank."""
     rows = _ensure_protocol(packets).select(
         X.natural_id(*[F.col(c) for c in CONNECTION_KEY]).alias("connection_id"),
         "seq", "ts", "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "transport", "length", "origin_file",
     )
     if connection_id is not None:
         rows = rows.filter(F.col("connection_id") == connection_id)
+    if n is None:
+        return rows
     return top_n_per_key(rows, ["connection_id"], [F.col("ts"), F.col("seq")], n)

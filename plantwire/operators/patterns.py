@@ -83,7 +83,7 @@ def pattern_anomalies(stats: DataFrame) -> DataFrame:
 
 def pattern_rows(
     stats: DataFrame, anomalies: DataFrame, protocol: str | None = None, anomalies_only: bool = False,
-    sort: str = "packet_count", descending: bool = True, page: int = 0, page_size: int = 100,
+    sort: str = "packet_count", descending: bool = True, page: int = 0, page_size: int | None = None,
 ) -> DataFrame:
     """Statistics with their anomaly count, filtered, sorted and paged."""
     counts = anomalies.groupBy(*STATS_KEY).agg(F.count("*").alias("anomaly_count"))
@@ -93,7 +93,8 @@ def pattern_rows(
         "anomaly_count", F.coalesce("anomaly_count", F.lit(0).cast("bigint"))
     )
     first = F.desc(sort) if descending else F.asc(sort)
-    return rows.orderBy(first, *STATS_KEY).offset(page * page_size).limit(page_size)
+    rows = rows.orderBy(first, *STATS_KEY)
+    return rows if page_size is None else rows.offset(page * page_size).limit(page_size)
 
 
 def device_first_last_seen(stats: DataFrame) -> DataFrame:

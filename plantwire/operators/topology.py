@@ -68,22 +68,21 @@ def topo_edges(packets: DataFrame) -> DataFrame:
     )
 
 
-def _both_ends_in(edges: DataFrame, ids: DataFrame, small: bool = False) -> DataFrame:
+def _both_ends_in(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges whose two ends are in ``ids`` (column ip_address)."""
-    side = F.broadcast(ids) if small else ids
-    a, b = side.select(F.col("ip_address").alias("src_ip")), side.select(F.col("ip_address").alias("dst_ip"))
-    if small:
-        a, b = F.broadcast(a), F.broadcast(b)
+    a, b = ids.select(F.col("ip_address").alias("src_ip")), ids.select(F.col("ip_address").alias("dst_ip"))
     return edges.join(a, "src_ip", "left_semi").join(b, "dst_ip", "left_semi")
 
 
 def cap_topology(
-    nodes: DataFrame, edges: DataFrame, n: int = 5000, e: int = 20000
+    nodes: DataFrame, edges: DataFrame, n: int | None = None, e: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Busiest ``n`` nodes and the busiest ``e`` edges among them, for display."""
-    top = nodes.orderBy(F.desc("packet_count"), "ip_address").limit(n)
-    kept = _both_ends_in(edges, top.select("ip_address"), small=n <= 100_000)
-    return top, kept.orderBy(F.desc("packet_count"), *EDGE_KEY).limit(e)
+    """Busiest ``n`` nodes and the busiest ``e`` edges among them, for display; None: all of them."""
+    top, kept = nodes, edges
+    if n is not None:
+        top = nodes.orderBy(F.desc("packet_count"), "ip_address").limit(n)
+        kept = _both_ends_in(edges, top.select("ip_address"))
+    return top, kept if e is None else kept.orderBy(F.desc("packet_count"), *EDGE_KEY).limit(e)
 
 
 def neighbor_subgraph(

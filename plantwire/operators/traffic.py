@@ -104,9 +104,9 @@ def infer_device_type(base: DataFrame, servers: DataFrame | None = None) -> Data
 
 
 def enrich_oui(table: DataFrame, oui: DataFrame, mac: str = "mac_address") -> DataFrame:
-    """Vendor by MAC prefix. The registry has fewer than 65 536 rows, hence the broadcast."""
+    """Vendor by MAC prefix; how the registry is joined is left to Spark, which knows its size."""
     key = oui.select(F.col("prefix").alias("_prefix"), F.col("vendor").alias("oui_vendor"))
-    return table.join(F.broadcast(key), F.lower(F.substring(mac, 1, 8)) == F.col("_prefix"), "left").drop("_prefix")
+    return table.join(key, F.lower(F.substring(mac, 1, 8)) == F.col("_prefix"), "left").drop("_prefix")
 
 
 is_public_ip = X.is_public_ip
@@ -259,7 +259,10 @@ def data_counts(assets: DataFrame, conns: DataFrame) -> DataFrame:
     return assets.agg(F.count("*").alias("asset_count")).withColumn("connection_count", total)
 
 
-def _page(table: DataFrame, order: list[Column], page: int, page_size: int) -> DataFrame:
+def _page(table: DataFrame, order: list[Column], page: int, page_size: int | None) -> DataFrame:
+    """One page in order, or the whole table as one page."""
+    if page_size is None:
+        return table.orderBy(*order).withColumn("total", table.agg(F.count("*")).scalar()).withColumn("has_more", F.lit(False))
     total = table.agg(F.count("*")).scalar()
     return (
         table.orderBy(*order).offset(page * page_size).limit(page_size)
@@ -268,7 +271,7 @@ def _page(table: DataFrame, order: list[Column], page: int, page_size: int) -> D
     )
 
 
-def list_assets(assets: DataFrame, page: int = 0, page_size: int = 200, sort_by: str | None = None) -> DataFrame:
+def list_assets(assets: DataFrame, page: int = 0, page_size: int | None = None, sort_by: str | None = None) -> DataFrame:
     """One page of assets by ``ip`` (default), ``packets`` or ``protocol``."""
     first = {
         "packets": [F.desc("packet_count")],
@@ -277,7 +280,7 @@ def list_assets(assets: DataFrame, page: int = 0, page_size: int = 200, sort_by:
     return _page(assets, first + [F.asc("ip_address")], page, page_size)
 
 
-def list_connections(conns: DataFrame, page: int = 0, page_size: int = 500, sort_by: str | None = None) -> DataFrame:
+def list_connections(conns: DataFrame, page: int = 0, page_size: int | None = None, sort_by: str | None = None) -> DataFrame:
     """One page of connections by ``packets``, ``bytes`` or id."""
     first = {"packets": [F.desc("packet_count")], "bytes": [F.desc("byte_count")]}.get(sort_by, [])
     return _page(conns, first + [F.asc(c) for c in CONNECTION_KEY], page, page_size)

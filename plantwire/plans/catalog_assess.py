@@ -222,7 +222,7 @@ def _(s):
     AS INT) AS rank, upper(transport) || ' ' || src_ip || ':' || src_port || ' -> ' || dst_ip || ':' || dst_port || ' (' || packet_count || ' pkts)' AS summary FROM (
     SELECT src_ip AS ip, dst_ip AS peer, * FROM cn UNION ALL SELECT dst_ip, src_ip, * FROM cn)) WHERE rank <= 50""")
 def _(s):
-    return B.zeek_event_samples(imported(s)).select("device_ip", "rank", "peer_ip", "summary")
+    return B.zeek_event_samples(imported(s), 50).select("device_ip", "rank", "peer_ip", "summary")
 
 
 def ingest_batch(spark, d):

@@ -89,7 +89,7 @@ def _(s):
 @on_site("p10_connection_packets", f"""SELECT * FROM (SELECT seq, {KEY}, length,
     CAST(row_number() OVER (PARTITION BY {KEY} ORDER BY ts, seq) AS INT) AS rank FROM pk) WHERE rank <= 1000""")
 def _(s):
-    return P.connection_packets(s.packets).select("seq", *KEY.split(", "), "length", "rank")
+    return P.connection_packets(s.packets, 1000).select("seq", *KEY.split(", "), "length", "rank")
 
 
 _SIG = """SELECT seq, src_ip, dst_ip, unnest(list_filter([
@@ -287,7 +287,7 @@ def _(s):
 @on_site("a13_list_connections", f"""SELECT {KEY}, byte_count, (SELECT count(*) FROM cnw) AS total, (SELECT count(*) FROM cnw) > 1500 AS has_more
     FROM cnw ORDER BY byte_count DESC, {KEY} OFFSET 1000 LIMIT 500""", "wide")
 def _(s):
-    return A.list_connections(s.connections, page=2, sort_by="bytes").select(*KEY.split(", "), "byte_count", "total", "has_more")
+    return A.list_connections(s.connections, page=2, page_size=500, sort_by="bytes").select(*KEY.split(", "), "byte_count", "total", "has_more")
 
 
 @on_site("a14_search_assets", """SELECT ip AS ip_address, device_type FROM ass WHERE (ip LIKE '%10.200.1%' OR mac LIKE '%10.200.1%'
