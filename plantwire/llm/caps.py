@@ -62,13 +62,13 @@ def _both(z: float, rho: float) -> float:
 
 def choose_code(n: int, dim: int, cosine: float = COSINE, shared: float = SHARED, mean_size: int = MEAN_SIZE) -> Code:
     """Code for ``n`` vectors: filters hold about ``mean_size`` of them, linked pairs share ``shared`` filters."""
-    part = min(0.02, mean_size / max(n, 1))
+    part = min(0.5, mean_size / max(n, 1))
     low, high = 0.0, 12.0
     for _ in range(60):
         z = (low + high) / 2
         low, high = (z, high) if _tail(z) > part else (low, z)
     words = math.ceil(math.sqrt(shared / ROTATIONS / _both(low, cosine)))
-    return Code(dim, words, low / math.sqrt(dim))
+    return Code(dim, words, min(low / math.sqrt(dim), 0.6))  # few dimensions know no high caps
 
 
 @lru_cache(maxsize=2)
@@ -142,6 +142,8 @@ def _compare(code: Code, cosine: float):
 
     def links(filter_id: int, left: list, right: list) -> tuple[np.ndarray, np.ndarray]:
         sides = [left] if right is None else [left, right]
+        if not all(len(side) for side in sides):
+            return np.zeros((0, 2), dtype=np.int64), np.zeros((0, 2), dtype=np.int64)
         ids = [np.array([r["node"] for r in side]) for side in sides]
         units = [np.array([_unit(r["vector"]) for r in side]) for side in sides]
         near = units[0] @ units[-1].T >= cosine

@@ -183,7 +183,7 @@ class PieceModel:
         rank, reach = codes.astype(np.int64), 1
         while True:
             keys = rank * (int(rank.max(initial=0)) + 1)
-            keys[: len(rank) - reach] += rank[reach:]
+            keys[: max(len(rank) - reach, 0)] += rank[reach:]
             suffixes = np.argsort(keys)
             if 2 * reach >= width:
                 break

@@ -226,7 +226,7 @@ def test_caps(spark, block):
     more = [(None, rows[0][1]), (5, rows[0][1]), (200, [1.0] * 3), (201, [2.0] * 3)]
     got = caps.near_duplicates(spark.createDataFrame(rows + dead + more, "vec_id long, embedding array<float>"), block=block).collect()
     live = [(i, np.array(v, dtype=float) / np.linalg.norm(v)) for i, v in rows + more]
-    want = [(i, sum(m != k and len(v) == len(w) and v @ w >= 0.9 for m, (_, w) in enumerate(live))) for k, (i, v) in enumerate(live)]
+    want = [(i, int(sum(m != k and len(v) == len(w) and v @ w >= 0.9 for m, (_, w) in enumerate(live)))) for k, (i, v) in enumerate(live)]
     assert sorted(map(str, ((r.vec_id, r.n_links) for r in got if r.vec_id not in dict(dead)))) == sorted(map(str, want))
     assert all((r.n_links, r.component_id, r.kept) == (0, r.vec_id, True) for r in got if r.vec_id in dict(dead)) and len(got) == 69
     assert caps.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
