@@ -37,6 +37,8 @@ def _buckets(words: Column) -> Column:
 
 def _numbers(values, kind: str) -> Column:
     """An array constant that reaches the plan as one literal."""
+    if not len(values):
+        return F.array().cast(f"array<{kind}>")
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
