@@ -7,7 +7,9 @@ with the reader, and are compared with the traffic itself.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import shared_dir
@@ -40,21 +42,50 @@ def _document(lines, root: str, path: str) -> str:
     return _text(edges.union(body).coalesce(1).sortWithinPartitions("place").select("line"), path)
 
 
-@on_site("s1_read_zeek", "SELECT src_ip, src_port, dst_ip, dst_port, protocol, transport, packet_count, byte_count, epoch_us(first_seen) AS first_us FROM cn")
-def _(s):
-    fields = ["ts", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "orig_pkts", "resp_pkts", "orig_bytes"]
+#: Column orders of the written logs by kind.
+_ZEEK_LOGS = {
+    "conn": ["ts", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "orig_pkts", "resp_pkts", "orig_bytes"],
+    "notice": ["service", "id.resp_p", "id.resp_h", "uid", "id.orig_p", "id.orig_h", "ts"],
+} | {kind: ["id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "ts", "func"] for kind in ("modbus", "dnp3", "s7comm")}
+_ZEEK = """SELECT src_ip, src_port, dst_ip, dst_port, protocol, transport, packet_count, byte_count, epoch_us(first_seen) AS first_us FROM cn
+UNION ALL SELECT src_ip, src_port, dst_ip, dst_port, protocol, 'tcp', CAST(1 AS BIGINT), CAST(0 AS BIGINT), epoch_us(first_seen) FROM cn WHERE protocol IN ('modbus', 'dnp3', 's7comm')
+UNION ALL SELECT src_ip, src_port, dst_ip, dst_port, CASE WHEN dst_port >= 49152 THEN 'unknown' ELSE protocol END, 'tcp', CAST(1 AS BIGINT), CAST(0 AS BIGINT), epoch_us(first_seen) FROM cn"""
+
+
+def _zeek_folder(s) -> str:
+    """Logs of all kinds in one folder, each file with its own header."""
     us = F.unix_micros("first_seen")
-    ts = F.concat(F.expr("CAST(unix_micros(first_seen) div 1000000 AS STRING)"), F.lit("."), F.lpad((us % 1000000).cast("string"), 6, "0"))
-    line = F.concat_ws("\t", ts, "src_ip", F.col("src_port").cast("string"), "dst_ip", F.col("dst_port").cast("string"), "transport",
-                       "protocol", F.col("packet_count").cast("string"), F.lit("-"), F.col("byte_count").cast("string"))
-    head = s.spark.createDataFrame([("#path\tconn\n#fields\t" + "\t".join(fields),)], "line string")
+    values = {
+        "ts": F.concat(F.expr("CAST(unix_micros(first_seen) div 1000000 AS STRING)"), F.lit("."), F.lpad((us % 1000000).cast("string"), 6, "0")),
+        "id.orig_h": F.col("src_ip"), "id.orig_p": F.col("src_port").cast("string"), "id.resp_h": F.col("dst_ip"), "id.resp_p": F.col("dst_port").cast("string"),
+        "proto": F.col("transport"), "orig_pkts": F.col("packet_count").cast("string"), "resp_pkts": F.lit("-"), "orig_bytes": F.col("byte_count").cast("string"),
+    }
+    files, rows = int(s.spark.conf.get("spark.sql.shuffle.partitions")), []
+    for kind, fields in _ZEEK_LOGS.items():
+        line = F.concat_ws("\t", *[values.get(f, {"conn": F.col("protocol"), "notice": F.lit("(empty)")}.get(kind, F.lit("READ"))) for f in fields])
+        head = F.lit(f"#separator \\x09\n#path\t{kind}\n#fields\t" + "\t".join(fields))
+        logged = s.connections if kind in ("conn", "notice") else s.connections.filter(F.col("protocol") == kind)
+        file = F.pmod(F.xxhash64("src_ip", "dst_ip", "src_port", "dst_port"), F.lit(files))
+        rows += [s.spark.range(files).select(F.lit(kind).alias("log"), F.col("id").alias("file"), F.lit(0).alias("place"), head.alias("line")),
+                 logged.select(F.lit(kind).alias("log"), file.alias("file"), F.lit(1).alias("place"), line.alias("line"))]
     path = _folder(s, "zeek")
-    head.union(s.connections.select(line)).write.text(path)
-    return L.read_zeek(s.spark, path).select(
+    reduce(DataFrame.union, rows).repartition(files, "log", "file").sortWithinPartitions("log", "file", "place").drop("place").write.partitionBy("log", "file").text(path)
+    return path
+
+
+@on_site("s1_read_zeek", _ZEEK)
+def _(s):
+    return L.read_zeek(s.spark, _zeek_folder(s)).select(
         "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "transport", "packet_count", "byte_count", F.unix_micros("first_seen").alias("first_us")
     )
 
 
+@on_site("s1_zeek_assets", f"""SELECT ip_address, string_agg(DISTINCT protocol, ',' ORDER BY protocol) AS protocols FROM (
+SELECT src_ip AS ip_address, protocol FROM ({_ZEEK}) UNION ALL SELECT dst_ip, protocol FROM ({_ZEEK})) GROUP BY 1""")
+def _(s):
+    return L.assets_of(L.read_zeek(s.spark, _zeek_folder(s))).select("ip_address", joined("protocols").alias("protocols"))
+
+
 @on_site("s2_read_suricata_eve", """SELECT src_ip, src_port, dst_ip, dst_port, protocol, packet_count, byte_count FROM cn""")
 def _(s):
     flow = F.struct(F.col("packet_count").alias("pkts_toserver"), F.lit(0).alias("pkts_toclient"), F.col("byte_count").alias("bytes_toserver"))
@@ -65,6 +96,16 @@ def _(s):
     return conns.select("src_ip", "src_port", "dst_ip", "dst_port", "protocol", "packet_count", "byte_count")
 
 
+@on_site("s2_suricata_alerts", """SELECT epoch_us(ts) AS at_us, src_ip, src_port, dst_ip, dst_port, seq AS signature_id, 'error on ' || protocol AS signature, 'anomaly' AS category, CAST(seq % 3 + 1 AS INT) AS severity FROM pk WHERE et = 'error'""")
+def _(s):
+    time = F.date_format(F.to_utc_timestamp("timestamp", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+0000'")
+    alert = F.struct("signature_id", "signature", "category", "severity")
+    body = F.to_json(F.struct(F.lit("alert").alias("event_type"), time.alias("timestamp"), "src_ip", "src_port",
+                              F.col("dst_ip").alias("dest_ip"), F.col("dst_port").alias("dest_port"), alert.alias("alert")))
+    _, found = L.read_suricata_eve(s.spark, _text(alerts(s).select(body), _folder(s, "eve")))
+    return found.select(F.unix_micros("timestamp").alias("at_us"), "src_ip", "src_port", "dst_ip", "dst_port", "signature_id", "signature", "category", "severity")
+
+
 @on_site("s3_read_wazuh", """SELECT seq AS signature_id, src_ip, dst_ip, dst_port, CASE seq % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS severity FROM pk WHERE et = 'error'""")
 def _(s):
     level = F.when(F.col("signature_id") % 3 == 0, 5).when(F.col("signature_id") % 3 == 1, 7).otherwise(12)

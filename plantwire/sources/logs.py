@@ -29,44 +29,53 @@ def _by_port(port: Column) -> Column:
     return X.identify(F.lit(0), port)
 
 
+_ZEEK_COLUMNS = (
+    "ts", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "proto", "service", "orig_pkts", "resp_pkts", "orig_bytes", "resp_bytes",
+)
+
+
+def _zeek_headers(lines: DataFrame) -> DataFrame:
+    """One row per file: its kind and the place of each needed column, 0 for a column it lacks."""
+    fields, kind = F.lit("#fields\t"), F.lit("#path\t")
+    names = F.split(F.substring("fields", 9, 1 << 30), "\t")
+    places = [F.array_position(names, name).cast("int").alias(name.replace(".", "_")) for name in _ZEEK_COLUMNS]
+    return lines.filter(F.startswith("value", fields) | F.startswith("value", kind)).groupBy("file").agg(
+        F.min(F.when(F.startswith("value", fields), F.col("value"))).alias("fields"),
+        F.min(F.when(F.startswith("value", kind), F.trim(F.substring("value", 7, 1 << 30)))).alias("kind"),
+    ).filter("fields IS NOT NULL").select("file", F.coalesce("kind", F.lit("conn")).alias("kind"), F.struct(*places).alias("place"))
+
+
 def read_zeek(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
-    """Zeek TSV logs of one kind as connections.
+    """Zeek TSV logs of any kinds as connections.
 
-    The kind (``#path``) and the columns (``#fields``) come from the first header found
-    under ``path``; files of one call share them. Rows without both addresses and
-    ports are dropped.
+    Every file under ``path``, subfolders included, has its own kind (``#path``, else conn) and
+    columns (``#fields``); ``kind`` overrides the former. Files without ``#fields`` and rows without
+    both addresses and ports are dropped. Kinds without counters of their own are read like conn.
+    Headers are gathered in a first pass over the lines, one row per file, and joined to them.
     """
-    head = spark.read.text(path).filter(
-        F.col("value").startswith("#fields\t") | F.col("value").startswith("#path\t")
-    ).take(2)
-    header = dict(row.value.split("\t", 1) for row in head)
-    names = header["#fields"].split("\t")
-    kind = kind or header.get("#path", "conn").strip()
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    raw = spark.read.csv(
-        path, schema=schema, sep="\t", comment="#", nullValue="-", quote="", ignoreLeadingWhiteSpace=False
-    )
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    headers = _zeek_headers(lines)
+    rows = lines.filter(~F.startswith("value", F.lit("#"))).join(headers, "file")
+    rows = rows.select(F.lit(kind).alias("kind") if kind else F.col("kind"), "place", F.split("value", "\t").alias("fields"))
 
     def col(name: str) -> Column:
-        return F.nullif(F.col(f"`{name}`"), F.lit("(empty)")) if name in names else F.lit(None).cast("string")
+        value = F.get("fields", F.col(f"place.{name.replace('.', '_')}") - 1)
+        return F.when(~value.isin("-", "(empty)", ""), value)
 
     def number(name: str, default: int) -> Column:
         return F.coalesce(col(name).try_cast("bigint"), F.lit(default))
 
+    message = F.col("kind").isin(*_MESSAGE_LOGS)
     ts = F.timestamp_micros(F.round(col("ts").try_cast("double") * 1e6).cast("bigint"))
     dst_port = _port(col("id.resp_p"))
-    if kind in _MESSAGE_LOGS:
-        protocol, transport = F.lit(kind), F.lit("tcp")
-        packets, octets = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
-    else:
-        protocol = F.coalesce(col("service"), _by_port(dst_port))
-        transport = F.coalesce(col("proto"), F.lit("tcp"))
-        packets = number("orig_pkts", 1) + number("resp_pkts", 0)
-        octets = number("orig_bytes", 0) + number("resp_bytes", 0)
-    return raw.select(
+    return rows.select(
         col("id.orig_h").alias("src_ip"), _port(col("id.orig_p")).alias("src_port"), col("id.resp_h").alias("dst_ip"),
-        dst_port.alias("dst_port"), protocol.alias("protocol"), transport.alias("transport"), packets.alias("packet_count"),
-        octets.alias("byte_count"), ts.alias("first_seen"), ts.alias("last_seen"), F.lit("Zeek").alias("source"),
+        dst_port.alias("dst_port"),
+        F.when(message, F.col("kind")).otherwise(F.coalesce(col("service"), _by_port(dst_port))).alias("protocol"),
+        F.when(message, "tcp").otherwise(F.coalesce(col("proto"), F.lit("tcp"))).alias("transport"),
+        F.when(message, F.lit(1)).otherwise(number("orig_pkts", 1) + number("resp_pkts", 0)).cast("bigint").alias("packet_count"),
+        F.when(message, F.lit(0)).otherwise(number("orig_bytes", 0) + number("resp_bytes", 0)).cast("bigint").alias("byte_count"),
+        ts.alias("first_seen"), ts.alias("last_seen"), F.lit("Zeek").alias("source"),
     ).na.drop(subset=["src_ip", "src_port", "dst_ip", "dst_port"])
 
 
