@@ -33,7 +33,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Bounds of what a task holds: characters in one suffix array, of text handled at a time, words remembered.
 BLOCK_CHARS = 250_000
-TEXT_CHARS = 2_500_000
+TEXT_CHARS = 500_000
 CACHED_WORDS = 120_000
 _PAIR_SLOTS = 1 << 21
 
@@ -202,7 +202,7 @@ class PieceModel:
         at = np.arange(len(piece), dtype=np.int32) + np.repeat((low - np.cumsum(count) + count).astype(np.int32), count)
         return suffixes[at], self.lengths[piece], self.order[piece]
 
-    def _encode_block(self, words: list[str]) -> list[list[int]]:
+    def _encode_block(self, words: list[str]) -> list[bytes]:
         """Ids of words made of known characters only."""
         codes = np.zeros(sum(map(len, words)) + len(words), dtype=np.int64)
         at, begins = 0, np.zeros(len(words), dtype=np.int64)
@@ -234,7 +234,7 @@ class PieceModel:
         size = np.zeros(len(self.pieces), dtype=np.int64)
         size[self.order] = self.lengths
         # walk back from the ends of all words in step
-        ends, out = begins + lens, []
+        ends = begins + lens
         open_words = np.arange(len(words))
         steps = []
         while len(open_words):
@@ -248,9 +248,8 @@ class PieceModel:
         found = np.concatenate([p for _, p in steps]) if steps else np.zeros(0, dtype=np.int64)
         order = np.argsort(owner[::-1], kind="stable")
         found, counts = found[::-1][order].astype("<u4"), np.bincount(owner, minlength=len(words))
-        cuts = np.cumsum(counts)
-        out = [found[e - c : e].tobytes() for e, c in zip(cuts, counts)]
-        return out
+        data, cuts = found.tobytes(), np.append(0, 4 * np.cumsum(counts)).tolist()
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def _learn(self, words: set[str]) -> None:
         """Put unseen words into the cache, block by block."""
@@ -282,7 +281,7 @@ class PieceModel:
             for c in before:
                 while c in found and f"{c} {mark}" in text:
                     text = text.replace(f"{c} {mark}", c + mark)
-        return [w for w in text.split(" ") if w]
+        return list(filter(None, text.split(" ")))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null or empty: none."""
