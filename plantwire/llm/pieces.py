@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Bounds of what a task holds: characters in one suffix array, of text handled at a time, words remembered.
 BLOCK_CHARS = 250_000
-TEXT_CHARS = 500_000
+TEXT_CHARS = 1_000_000
 CACHED_WORDS = 120_000
 _PAIR_SLOTS = 1 << 21
 
@@ -251,7 +252,7 @@ class PieceModel:
         data, cuts = found.tobytes(), np.append(0, 4 * np.cumsum(counts)).tolist()
         return [data[a:b] for a, b in zip(cuts, cuts[1:])]
 
-    def _learn(self, words: set[str]) -> None:
+    def _learn(self, words: list[str]) -> None:
         """Put unseen words into the cache, block by block."""
         block, size = [], 0
         for word in words:
@@ -269,8 +270,8 @@ class PieceModel:
             self._runs[spaces] = np.array(self.plain(SPACE * spaces), dtype="<u4").tobytes()
         return self._runs[spaces]
 
-    def _split(self, text: str) -> list[str]:
-        """Words with their leading space, single unknown characters between them, in order."""
+    def _split(self, text: str) -> str:
+        """Words with their leading space and single unknown characters, in order, with blanks between."""
         text = SPACE + text.replace(" ", SPACE)
         text = text.replace(SPACE, " " + SPACE)
         found = set(text)
@@ -281,7 +282,7 @@ class PieceModel:
             for c in before:
                 while c in found and f"{c} {mark}" in text:
                     text = text.replace(f"{c} {mark}", c + mark)
-        return list(filter(None, text.split(" ")))
+        return text
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null or empty: none."""
@@ -296,38 +297,60 @@ class PieceModel:
             at = to
         return out
 
-    def _encode_some(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self._split(t) if t else [] for t in texts]
+    def _known_words(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, unseen ones learnt first."""
         if len(self._words) > CACHED_WORDS:  # words that are used again come back from the older half
             self._words, self._older = {}, self._words
-        unseen = set().union(*split) - self._words.keys()
-        self._words.update({w: self._older[w] for w in unseen & self._older.keys()})
-        unseen -= self._older.keys()
-        unknown = {w for w in unseen if w[0] not in self.chars}
-        self._words.update({c: np.array([self.bytes[b] for b in c.encode()], dtype="<u4").tobytes() for c in unknown})
-        self._learn(unseen - unknown)
-        out = []
-        for words in split:
-            ids = list(map(self._words.__getitem__, words))
-            self._join_spaces(words, ids)
-            out.append(np.frombuffer(b"".join(ids), dtype="<u4"))
-        return out
+        unseen = [w for w in words if w not in self._words]
+        self._words.update({w: self._older[w] for w in unseen if w in self._older})
+        unseen = [w for w in unseen if w not in self._older]
+        self._words.update({c: np.array([self.bytes[b] for b in c.encode()], dtype="<u4").tobytes() for c in unseen if c[0] not in self.chars})
+        self._learn([w for w in unseen if w[0] in self.chars])
+        return list(map(self._words.__getitem__, words))
 
-    def _join_spaces(self, words: list[str], ids: list[bytes]) -> None:
-        """Merge runs of spaces: lone spaces and a space that the word behind it left alone."""
-        lone = np.array([self.ids[SPACE]], dtype="<u4").tobytes()
-        k = 0
-        while SPACE in words[k:]:
-            k = words.index(SPACE, k)
-            end = k
-            while end < len(words) and words[end] == SPACE:
-                end += 1
-            tail = end < len(words) and words[end][0] == SPACE and ids[end][:4] == lone
-            ids[k] = self._run(end - k + tail)
-            ids[k + 1 : end] = [b""] * (end - k - 1)
-            if tail:
-                ids[end] = ids[end][4:]
-            k = end
+    def _encode_some(self, texts: list[str | None]) -> list[np.ndarray]:
+        split = pc.split_pattern(pa.array([self._split(t) if t else "" for t in texts], pa.large_string()), " ")
+        flat = split.flatten()
+        full = pc.not_equal(flat, "")
+        bounds = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))[split.offsets.to_numpy()]  # words before each text
+        words = flat.filter(full).dictionary_encode()
+        known, code = words.dictionary.to_pylist(), words.indices.to_numpy()
+        ids = self._known_words(known)
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        begin = np.cumsum(size) - size
+        begin, size = begin[code], size[code]
+        if SPACE in known:
+            self._join_spaces(np.flatnonzero(code == known.index(SPACE)), bounds, ids, begin, size)
+        pool = np.frombuffer(b"".join(ids), dtype="<i4")
+        ends = np.cumsum(size)
+        found = pool[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - ends + size, size)]
+        cuts = np.append(0, ends)[bounds].tolist()
+        return [found[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def _join_spaces(self, spaces: np.ndarray, bounds: np.ndarray, ids: list[bytes], begin: np.ndarray, size: np.ndarray) -> None:
+        """Merge runs of lone spaces, and a space that the word behind a run left alone.
+
+        ``spaces``: positions of such words; ``bounds``: words before each text. The ids of
+        runs are put behind ``ids``; ``begin`` and ``size`` of the words are changed to them.
+        """
+        lone = self.ids[SPACE]
+        pool = np.frombuffer(b"".join(ids), dtype="<i4")
+        of = np.searchsorted(bounds, spaces, "right")
+        heads = np.flatnonzero(np.append(True, (np.diff(spaces) > 1) | (np.diff(of) > 0)))
+        first, length = spaces[heads], np.diff(np.append(heads, len(spaces)))
+        behind = first + length
+        inside = np.flatnonzero(behind < bounds[of[heads]])
+        tails = inside[pool[begin[behind[inside]]] == lone]
+        length[tails] += 1
+        begin[behind[tails]] += 1
+        size[behind[tails]] -= 1
+        size[spaces] = 0
+        at = len(pool)
+        for n in np.unique(length).tolist():
+            run = self._run(n)
+            begin[first[length == n]], size[first[length == n]] = at, len(run) // 4
+            ids.append(run)
+            at += len(run) // 4
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids, without the space put before it."""
