@@ -21,7 +21,6 @@ from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +35,8 @@ SPACE = "▁"
 BLOCK_CHARS = 250_000
 TEXT_CHARS = 1_000_000
 CACHED_WORDS = 120_000
+#: Rows whose texts are Python strings at a time.
+ROWS = 256
 _PAIR_SLOTS = 1 << 21
 
 
@@ -380,11 +381,15 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
     """
     path = path or public_tokenizers.path(MODEL)
 
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def ids(texts: pd.Series) -> pd.Series:
-        found = pd.Series(load(path).encode([t if isinstance(t, str) else None for t in texts]), dtype=object)
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def ids(texts: pa.Array) -> pa.Array:
+        model = load(path)
+        parts = [model.encode(texts.slice(at, ROWS).to_pylist()) for at in range(0, len(texts), ROWS)]
+        found = [x for part in parts for x in part]
+        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+        values = np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
         _give_back()
-        return found
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
 
     return docs.withColumn(out, ids(text))
 
@@ -396,10 +401,14 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "token_ids", out
     """
     path = path or public_tokenizers.path(MODEL)
 
-    @F.pandas_udf(StringType())
-    def texts(arrays: pd.Series) -> pd.Series:
-        model = load(path)
-        return pd.Series([None if a is None else model.decode(a) for a in arrays], dtype=object)
+    @F.arrow_udf(StringType())
+    def texts(arrays: pa.Array) -> pa.Array:
+        model, parts = load(path), [pa.array([], pa.string())]
+        for at in range(0, len(arrays), ROWS):
+            some = arrays.slice(at, ROWS)
+            values, bounds = pc.fill_null(some.values, 0).to_numpy(), some.offsets.to_pylist()
+            parts.append(pa.array([model.decode(values[a:b]) if known else None for a, b, known in zip(bounds, bounds[1:], some.is_valid().to_pylist())], pa.string()))
+        return pa.concat_arrays(parts)
 
     return docs.withColumn(out, texts(ids))
 
