@@ -248,6 +248,7 @@ ROUTER_VENDORS = (
     "juniper", "mikrotik", "ubiquiti", "opnsense", "pfsense", "extreme networks",
     "hp networking", "aruba", "dell networking",
 )
+POLICY_TABLE_HEADER = ("Action", "Src Zone", "Src Net", "Dst Zone", "Dst Net", "Proto", "Port", "Dir", "Risk", "Justification")
 VENDOR_PORT_NOTES = (
     ("siemens", 102, "S7comm PLC communication"),
     ("siemens", 443, "SCALANCE web management"),

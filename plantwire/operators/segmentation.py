@@ -481,7 +481,10 @@ def transport_of(protocol: Column, port: Column) -> Column:
 
 
 def _acl_name(zone: str) -> Column:
-    return F.substring(F.upper(F.regexp_replace(zone, "[^0-9A-Za-z]", "_")), 1, 28)
+    """Name of at most 28 characters; a cut one ends in a hash of the zone, so that it stays unique."""
+    name = F.upper(F.regexp_replace(zone, "[^0-9A-Za-z]", "_"))
+    cut = F.concat(F.substring(name, 1, 19), F.lit("_"), F.upper(F.substring(F.sha2(F.col(zone), 256), 1, 8)))
+    return F.when(F.length(name) <= 28, name).otherwise(cut)
 
 
 def vendor_remarks(rules: DataFrame, zone_vendors: DataFrame) -> DataFrame:
@@ -502,8 +505,8 @@ def enforcement_rules(
 ) -> DataFrame:
     """Policy rules as text, one line per rule: src_zone, dst_zone, protocol, dst_port, line.
 
-    ``fmt``: ``router_acl``, ``firewall_acl``, ``table``, ``ids`` or ``json``. Default
-    denies are :func:`enforcement_denies`.
+    ``fmt``: ``router_acl``, ``firewall_acl``, ``table`` (columns ``C.POLICY_TABLE_HEADER``),
+    ``ids`` or ``json``. Default denies are :func:`enforcement_denies`.
     """
     key = ["src_zone", "dst_zone", "protocol", "dst_port"]
     if zone_vendors is not None:
@@ -531,8 +534,9 @@ def enforcement_rules(
             F.lit(" extended permit "), transport, F.lit(" "), clause["src"], F.lit(" "), clause["dst"], eq,
         )
     elif fmt == "table":
-        why = F.when(context == "", F.col("justification")).otherwise(F.concat("justification", F.lit(" ["), context, F.lit("]")))
-        line = F.concat_ws("\t", F.lit("ALLOW"), "src_zone", F.lit("any"), "dst_zone", F.lit("any"), transport, port, "risk", why)
+        note = F.when(context == "", "").otherwise(F.concat(F.lit(" ["), context, F.lit("]")))
+        why = F.concat(F.translate("justification", "\t", " "), note)
+        line = F.concat_ws("\t", F.lit("ALLOW"), "src_zone", F.lit("any"), "dst_zone", F.lit("any"), transport, port, F.lit("→"), "risk", why)
     elif fmt == "ids":
         # Numbering: position inside the zone pair plus the rules of the pairs before it.
         pairs = rules.groupBy("src_zone", "dst_zone").agg(F.count("*").alias("_n"))
@@ -567,7 +571,7 @@ def enforcement_denies(rules: DataFrame, fmt: str) -> DataFrame:
         return pairs.select("src_zone", "dst_zone", F.concat(head, F.lit("deny ip any any log")).alias("line"))
     n = rules.agg(F.count("*").alias("n"))
     line = {
-        "table": F.lit("DENY\t*\t*\t*\t*\t*\t*\t*\tDefault deny"),
+        "table": F.lit("DENY\t*\t*\t*\t*\t*\t*\t*\t—\tDefault deny"),
         "ids": F.concat(
             F.lit('drop ip any any -> any any (msg:"DENY: default deny"; sid:'),
             (F.col("n") + 9000001).cast("string"), F.lit("; rev:1;)"),

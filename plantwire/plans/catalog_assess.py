@@ -529,7 +529,8 @@ def _(s):
 
 
 _T = "CASE WHEN dst_port IN (47808, 34962, 34963, 34964, 2222, 161, 162, 69, 123, 514) OR protocol IN ('bacnet', 'profinet', 'snmp', 'dns') THEN 'udp' ELSE 'tcp' END"
-_N = "substr(upper(regexp_replace({0}, '[^0-9A-Za-z]', '_', 'g')), 1, 28)"
+_UP = "upper(regexp_replace({0}, '[^0-9A-Za-z]', '_', 'g'))"
+_N = f"CASE WHEN length({_UP}) <= 28 THEN {_UP} ELSE substr({_UP}, 1, 19) || '_' || upper(substr(sha256({{0}}), 1, 8)) END"
 
 
 def _enforce(fmt: str, line: str, source: str = "mx", keys: str = "src_zone, dst_zone, protocol, dst_port"):
@@ -546,11 +547,28 @@ _enforce("ids", f"""'pass ' || {_T} || ' any any -> any ' || dst_port || ' (msg:
     (9000000 + row_number() OVER (ORDER BY src_zone, dst_zone, protocol, dst_port)) || '; rev:1;)'""")
 
 
+_REMARKS = """SELECT m.src_zone, m.dst_zone, m.protocol, m.dst_port, string_agg(DISTINCT v.vendor || ': ' || n.note, '; ' ORDER BY v.vendor || ': ' || n.note) AS vendor_context FROM mx m
+    JOIN (SELECT DISTINCT zone, vendor FROM pf JOIN iz USING (ip) WHERE vendor IS NOT NULL) v ON v.zone IN (m.src_zone, m.dst_zone)
+    JOIN (VALUES ('siemens', 102, 'S7comm PLC communication'), ('siemens', 443, 'SCALANCE web management'), ('siemens', 34962, 'PROFINET IO'), ('rockwell', 44818, 'EtherNet/IP explicit messaging'),
+    ('rockwell', 2222, 'EtherNet/IP I/O')) n(word, port, note) ON n.port = m.dst_port AND contains(lower(v.vendor), n.word) GROUP BY 1, 2, 3, 4"""
+
+
 @on_site("z17_enforcement_table")
 def _(s):
     return Z.enforcement_rules(s.rules, s.zones, "table", zone_vendors(s))
 
 
+@on_site("z17_table_columns", f"""SELECT src_zone, dst_zone, protocol, dst_port, concat_ws(chr(9), 'ALLOW', src_zone, 'any', dst_zone, 'any', {_T}, CAST(dst_port AS VARCHAR), '→', risk) AS lead,
+    CASE WHEN vendor_context IS NULL THEN '' ELSE '[' || vendor_context || ']' END AS note, 10 AS n_columns
+    FROM mx LEFT JOIN ({_REMARKS}) USING (src_zone, dst_zone, protocol, dst_port)""")
+def _(s):
+    rows = Z.enforcement_rules(s.rules, s.zones, "table", zone_vendors(s))
+    return rows.select(
+        "src_zone", "dst_zone", "protocol", "dst_port", F.substring_index("line", "\t", 9).alias("lead"),
+        F.regexp_extract("line", r"\[[^\]]*\]$", 0).alias("note"), F.size(F.split("line", "\t")).alias("n_columns"),
+    )
+
+
 @on_site("z17_enforcement_json")
 def _(s):
     return Z.enforcement_rules(s.rules, s.zones, "json", zone_vendors(s))
@@ -561,10 +579,7 @@ def zone_vendors(s):
     return profiles.filter("vendor IS NOT NULL").join(s.ip_zone, "ip").select("zone", "vendor").distinct()
 
 
-@on_site("z17_vendor_remarks", """SELECT m.src_zone, m.dst_zone, m.protocol, m.dst_port, string_agg(DISTINCT v.vendor || ': ' || n.note, '; ' ORDER BY v.vendor || ': ' || n.note) AS vendor_context FROM mx m
-    JOIN (SELECT DISTINCT zone, vendor FROM pf JOIN iz USING (ip) WHERE vendor IS NOT NULL) v ON v.zone IN (m.src_zone, m.dst_zone)
-    JOIN (VALUES ('siemens', 102, 'S7comm PLC communication'), ('siemens', 443, 'SCALANCE web management'), ('siemens', 34962, 'PROFINET IO'), ('rockwell', 44818, 'EtherNet/IP explicit messaging'),
-    ('rockwell', 2222, 'EtherNet/IP I/O')) n(word, port, note) ON n.port = m.dst_port AND contains(lower(v.vendor), n.word) GROUP BY 1, 2, 3, 4""")
+@on_site("z17_vendor_remarks", _REMARKS)
 def _(s):
     return Z.vendor_remarks(s.rules, zone_vendors(s))
 
@@ -572,3 +587,12 @@ def _(s):
 @on_site("z17_enforcement_denies", "SELECT DISTINCT src_zone, dst_zone, 'deny ip any any log' AS line FROM mx")
 def _(s):
     return Z.enforcement_denies(s.rules, "router_acl")
+
+
+@on_site("z17_enforcement_denies_all", """SELECT 'firewall_acl' AS format, src_zone, dst_zone, 'access-list ACL-' || %s || '-TO-' || %s || ' extended deny ip any any log' AS line
+    FROM (SELECT DISTINCT src_zone, dst_zone FROM mx) UNION ALL SELECT 'table', '*', '*', concat_ws(chr(9), 'DENY', '*', '*', '*', '*', '*', '*', '*', '—', 'Default deny')
+    UNION ALL SELECT 'ids', '*', '*', 'drop ip any any -> any any (msg:"DENY: default deny"; sid:' || (9000001 + count(*)) || '; rev:1;)' FROM mx
+    UNION ALL SELECT 'json', '*', '*', '{"default_action":"deny"}'""" % (_N.format("src_zone"), _N.format("dst_zone")))
+def _(s):
+    parts = [Z.enforcement_denies(s.rules, f).select(F.lit(f).alias("format"), "src_zone", "dst_zone", "line") for f in ("firewall_acl", "table", "ids", "json")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -127,13 +127,14 @@ def _(s):
         || CASE WHEN n >= 3 THEN ' ' || lower(substr(t, 5, 2)) ELSE '' END AS value FROM h WHERE n > 0
     UNION ALL SELECT seq, 'be', CAST(CAST('0x' || substr(t, 1, 4) AS BIGINT) AS VARCHAR) FROM h WHERE n >= 2
     UNION ALL SELECT seq, 'le', CAST(CAST('0x' || substr(t, 3, 2) || substr(t, 1, 2) AS BIGINT) AS VARCHAR) FROM h WHERE n >= 2
-    UNION ALL SELECT seq, 'text', 'HELF' FROM h WHERE t = '48454C46'""")
+    UNION ALL SELECT seq, 'text', v FROM (SELECT seq, array_to_string(list_transform(list_filter(CASE WHEN z > 0 THEN b[:z - 1] ELSE b END,
+        lambda x: x BETWEEN '20' AND '7E'), lambda x: chr(CAST('0x' || x AS INT))), '') AS v
+        FROM (SELECT seq, b, coalesce(list_position(b, '00'), 0) AS z FROM (SELECT seq, list_transform(range(n), lambda i: substr(t, CAST(2 * i + 1 AS BIGINT), 2)) AS b FROM h))) WHERE v <> ''""")
 def _(s):
-    rows = G.extract_payload_fields(s.packets, [
+    return G.extract_payload_fields(s.packets, [
         {"label": "head", "offset": 0, "length": 3, "format": "hex"}, {"label": "be", "offset": 0, "length": 2, "format": "uint16_be"},
         {"label": "le", "offset": 0, "length": 2, "format": "uint16_le"}, {"label": "text", "offset": 0, "length": 0, "format": "ascii"},
     ])
-    return rows.filter("label <> 'text' OR value = 'HELF'")
 
 
 @on_site("p14_test_signature", f"""SELECT src_ip, dst_ip, src_port, dst_port, 'remote_desktop' AS signature_name, 3 AS confidence FROM cn
