@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from . import graph
+from .near_copies import drop_near_duplicates  # noqa: F401
 from .staging import Stages
 
 RADIUS = 3
@@ -141,15 +142,3 @@ def near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
         classes.join(groups, "node", "left").select(F.col("print"), F.coalesce("component", "node").alias("component_id")), "groups"
     )
     return prints.join(named, "print").select("doc_id", "print", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """Documents with one row of each group kept: that of the smallest doc_id.
-
-    All columns stay. Rows that repeat the kept doc_id go as well. Rows without doc_id stay,
-    as no decision can name them.
-    """
-    kept = near_duplicates(docs, crowded).filter("doc_id = component_id").select("doc_id").distinct()
-    stages = Stages(docs.sparkSession, "simhash-kept")
-    kept = stages.write(kept, "kept")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
-from plantwire.llm import boilerplate, caps, catalog, graph, host_trust, mixing, pieces, pii, quality, simhash, token_files, tool_calls
+from plantwire.llm import boilerplate, caps, catalog, graph, host_trust, mixing, near_copies, pieces, pii, quality, simhash, token_files, tool_calls
 from plantwire.llm.staging import Stages
 
 SF = "/root/testdata/sf0.001"
@@ -96,6 +96,35 @@ def test_simhash_odd(odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [256, 7])
+def test_near_copies_agree_with_brute_force(spark, docs, block):
+    rng, texts = np.random.default_rng(6), texts_of(docs)
+    for k in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, int(rng.integers(60, 300)))]
+        for n in range(4):  # each copy has a few words changed
+            texts[100_000 + 10 * k + n] = " ".join(words)
+            for at in rng.integers(0, len(words), max(1, len(words) // 80)):
+                words[at] = f"x{rng.integers(0, 5000)}"
+
+    def shingles(text):
+        words = re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()).split()
+        return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)}
+
+    sets = {i: shingles(t) for i, t in texts.items()}
+    linked = [(i, j) for i in sets for j in sets if i < j and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    far = [(i, j) for i, j in linked if (plain_print(texts[i]) ^ plain_print(texts[j])).bit_count() > 3]
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = [r.doc_id for r in near_copies.drop_near_duplicates(rows, block).select("doc_id").collect()]
+    assert far and sorted(got) == sorted(set(smallest(sets, linked).values()))
+
+
+def test_near_copies_of_repeated_ids(spark):
+    one, two = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
+    rows = [(1, one), (1, two), (1, one), (2, one + " more"), (3, two)]
+    got = near_copies.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(1, one), (1, two)]
+
+
 def test_url_filters(spark):
     urls = [
         "http://A.Example.org/es/x", "https://example.org/en/15?q", "https://x.example.org/fr", "http://b.com/de/#a", "http://b.com/fr/1", "http://b.com/x",
