@@ -2,13 +2,16 @@
 
 A classifier fitted on labelled documents gives each document a probability per domain. Then
 non-negative rates per document are sought whose expected token totals by domain meet the
-targets: projected-gradient least squares, where each step is one distributed sum over all
-documents. A rate is a fold of the document's posterior over the steps so far, so no state
-is kept between steps. All work on documents is done by DataFrame functions.
+targets and that change least: projected least squares, solved by Newton steps on its dual, each
+of which is two distributed sums over the distinct posteriors. A rate follows from the document's
+posterior and one slope per domain, so no state is kept between steps. All work on documents is
+done by DataFrame functions.
 """
 
 from __future__ import annotations
 
+import math
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +26,11 @@ TARGETS = {"clean": 0.99, "low": 0.0, "toxic": 0.01}
 SAMPLE_ROWS = 5000
 BUCKETS = 1 << 16
 FEATURES = 1024
+#: A share may miss its target by so much of it; one whose target is zero by so much of all tokens.
+RELATIVE = 0.01
+ABSOLUTE = 2e-3
+#: Weight of the slopes in the dual, which bounds them where a target cannot be met.
+EASE = 1e-7
 
 
 def _words(text: str) -> Column:
@@ -125,45 +133,76 @@ def classify(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_ro
     return Classifier(domains, chosen, _fit_softmax(x, y, len(domains)).astype(float))
 
 
-def _rate(posterior: Column, steps: list[list[float]]) -> Column:
-    """Rate of a document after the steps: from 1, down along each step, never under zero."""
-    if not steps:
-        return F.lit(1.0)
-    moves = F.split(F.lit(";".join(",".join(map(repr, s)) for s in steps)), ";")
-    moves = F.transform(moves, lambda m: F.split(m, ",").cast("array<double>"))
+def _along(posterior: Column, slopes: list[float]) -> Column:
+    table = _numbers([repr(x) for x in slopes], "double")
+    return F.aggregate(F.zip_with(posterior, table, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
 
-    def move(rate: Column, step: Column) -> Column:
-        along = F.aggregate(F.zip_with(posterior, step, lambda p, g: p * g), F.lit(0.0), lambda a, x: a + x)
-        return F.greatest(F.lit(0.0), rate - along)
 
-    return F.aggregate(moves, F.lit(1.0), move)
+def _rate(posterior: Column, slopes: list[float]) -> Column:
+    """Rate of a document: from 1 down along the slopes of its domains, never under zero."""
+    return F.greatest(F.lit(0.0), 1.0 - _along(posterior, slopes)) if slopes else F.lit(1.0)
 
 
-def fit_steps(scored: DataFrame, targets: list[float], rounds: int = 25, tolerance: float = 2e-3, ridge: float = 0.02) -> list[list[float]]:
-    """Gradient steps on rates for ``scored`` (n_tokens, posterior) towards shares of all tokens.
+def _best_step(slope: np.ndarray, miss: np.ndarray, curve: np.ndarray, slack: np.ndarray) -> np.ndarray:
+    """Slopes that maximise the quadratic model at ``slope`` less ``slack`` times their size, one coordinate at a time."""
+    new = slope.copy()
+    for _ in range(10_000):
+        moved = 0.0
+        for k in range(len(new)):
+            pull = miss[k] - curve[k] @ (new - slope) + curve[k, k] * new[k]
+            x = math.copysign(max(0.0, abs(pull) - slack[k]), pull) / curve[k, k]
+            moved, new[k] = max(moved, abs(x - new[k]) / max(1.0, abs(x))), x
+        if moved <= 1e-12:
+            break
+    return new
+
+
+def fit_slopes(scored: DataFrame, targets: list[float]) -> list[float]:
+    """Slopes of the rates for ``scored`` (n_tokens, posterior) with which the shares of all tokens meet ``targets``.
 
-    Least squares are weighed by the inverse of the Gram matrix of memberships plus ``ridge``, for
-    which steps of length one never overshoot; the ridge keeps domains that hardly occur from
-    being met by the noise in other documents' posteriors. Ends when every share is met within ``tolerance`` or moves no more.
+    Of all non-negative rates that meet each target within RELATIVE of it (a target of zero within ABSOLUTE),
+    those are sought that differ least from 1, in squares weighed by tokens. They are ``max(0, 1 - posterior *
+    slopes)``; the slopes maximise the dual, by Newton steps that end only when its projected gradient is within a
+    hundredth of each tolerance. EASE bounds the slopes of targets that cannot be met; those are reported by a warning.
     """
     k = len(targets)
     p = [F.col("posterior")[i] for i in range(k)]
-    gram = scored.agg(F.sum("n_tokens").alias("n"), *[F.sum(F.col("n_tokens") * p[i] * p[j]) for i in range(k) for j in range(k)]).first()
-    total = gram[0] or 0
+    total = scored.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
         return []
-    inverse = np.linalg.inv(np.array(gram[1:], dtype=float).reshape(k, k) / total + ridge * np.eye(k))
-    steps: list[list[float]] = []
-    before = np.full(k, np.inf)
-    for _ in range(rounds):
-        weighed = scored.select("*", (F.col("n_tokens") * _rate(F.col("posterior"), steps)).alias("w"))
-        now = np.array(weighed.agg(*[F.sum(F.col("w") * x) for x in p]).first(), dtype=float) / total
-        miss = now - np.array(targets)
-        if np.abs(miss).max() <= tolerance or np.abs(miss - before).max() <= tolerance / 100:
+    goal = np.array(targets, dtype=float)
+    slack = np.where(goal > 0, RELATIVE * goal, ABSOLUTE)
+
+    def dual(tried: list[np.ndarray]) -> np.ndarray:
+        def part(x: np.ndarray) -> Column:
+            return F.sum(F.col("n_tokens") * F.transform(F.array(_along(F.col("posterior"), x.tolist())), lambda a: F.when(a < 1, a - a * a / 2).otherwise(0.5))[0])
+
+        sums = np.array(scored.agg(*[part(x).alias(f"d{i}") for i, x in enumerate(tried)]).first(), dtype=float) / total
+        return sums - np.array([x @ goal + slack @ np.abs(x) + EASE / 2 * x @ x for x in tried])
+
+    slope = np.zeros(k)
+    while True:
+        weighed = scored.select("posterior", "n_tokens", _rate(F.col("posterior"), slope.tolist()).alias("rate"))
+        sums = weighed.agg(
+            *[F.sum(F.col("n_tokens") * F.col("rate") * x) for x in p],
+            *[F.sum(F.when(F.col("rate") > 0, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(k)],
+        ).first()
+        sums = np.array(sums, dtype=float) / total
+        miss, curve = sums[:k] - goal, sums[k:].reshape(k, k) + EASE * np.eye(k)
+        pull = miss - EASE * slope
+        left = np.where(slope == 0, np.maximum(0, np.abs(pull) - slack), np.abs(pull - np.sign(slope) * slack))
+        if (left <= slack / 100).all():
             break
-        before = miss
-        steps.append([round(float(x), 9) for x in inverse @ miss])
-    return steps
+        step = _best_step(slope, pull, curve, slack) - slope
+        tried = [slope] + [slope + step * 0.5**i for i in range(24)]
+        gains = dual(tried)
+        if np.argmax(gains) == 0:  # as far as double precision goes
+            break
+        slope = tried[int(np.argmax(gains))]
+    unmet = {i: round(goal[i] + miss[i], 6) for i in np.flatnonzero(np.abs(miss) > 1.05 * slack)}
+    if unmet:
+        warnings.warn(f"targets {targets} cannot be met: shares by place of domain {unmet}", stacklevel=2)
+    return slope.tolist()
 
 
 def _copies(rate: Column, hash_: Column) -> Column:
@@ -184,6 +223,11 @@ def _scored(docs: DataFrame, model: Classifier, *carry: Column) -> DataFrame:
     return docs.select(*carry, F.xxhash64("doc_id", "text").alias("hash"), F.element_at(both, 1).alias("_both")).select(*names, "hash", "_both.*")
 
 
+def _merged(scored: DataFrame, stages: Stages) -> DataFrame:
+    """Tokens of each distinct posterior: all that the rates depend on, so that a step reads few rows."""
+    return stages.write(scored.groupBy("posterior").agg(F.sum("n_tokens").alias("n_tokens")), "merged")
+
+
 def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """Posterior, rate and number of copies of every document.
 
@@ -192,13 +236,15 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Da
     posterior (array in the order of the sorted domains), rate (0 or more) and copies (whole
     part of the rate, plus one if a draw from the document's hash says so), one row for each
     input row. A null or empty text has no tokens and the posterior of no words. A domain that
-    no document belongs to cannot be filled; the others still meet their shares. Empty: no rows.
+    no document belongs to cannot be filled, which a warning says; the others still meet their
+    shares. Empty: no rows.
     """
     domains = sorted(targets)
     model = classify(docs, labelled, domains)
-    scored = Stages(docs.sparkSession, "mixing").write(_scored(docs, model, F.col("doc_id")), "scored")
-    steps = fit_steps(scored, [targets[d] for d in domains])
-    rated = scored.withColumn("rate", F.round(_rate(F.col("posterior"), steps), 6))
+    stages = Stages(docs.sparkSession, "mixing")
+    scored = stages.write(_scored(docs, model, F.col("doc_id")), "scored")
+    slopes = fit_slopes(_merged(scored, stages), [targets[d] for d in domains])
+    rated = scored.withColumn("rate", F.round(_rate(F.col("posterior"), slopes), 6))
     return rated.select("doc_id", "n_tokens", "posterior", "rate", _copies(F.col("rate"), F.col("hash")).alias("copies"))
 
 
@@ -209,10 +255,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
     """
     domains = sorted(targets)
     model = classify(docs, labelled, domains)
-    scored = Stages(docs.sparkSession, "mixing").write(_scored(docs, model), "scored")
-    steps = fit_steps(scored, [targets[d] for d in domains])
+    stages = Stages(docs.sparkSession, "mixing")
+    slopes = fit_slopes(_merged(_scored(docs, model), stages), [targets[d] for d in domains])
     # bound in one expression: a column of posteriors would be computed again wherever it is used
-    rate = F.transform(F.array(_words("text")), lambda w: F.transform(F.array(model.posterior(w)), lambda p: F.round(_rate(p, steps), 6))[0])
+    rate = F.transform(F.array(_words("text")), lambda w: F.transform(F.array(model.posterior(w)), lambda p: F.round(_rate(p, slopes), 6))[0])
     copies = F.transform(rate, lambda r: _copies(r, F.col("_hash")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", F.xxhash64("doc_id", "text").alias("_hash"))
     return rows.select("_row", F.explode(F.array_repeat(F.lit(0), copies[0].cast("int")))).select("_row.*")

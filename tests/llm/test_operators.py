@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
+import corpus_pipeline
 from plantwire.llm import boilerplate, caps, catalog, graph, host_trust, mixing, near_copies, pieces, pii, quality, simhash, token_files, tool_calls
 from plantwire.llm.staging import Stages
 
@@ -318,6 +319,26 @@ def test_mixing(spark, docs, odd):
     assert mixing.rates(odd.limit(0), none, {"a": 1.0}).count() == 0
 
 
+def test_mixing_meets_targets_after_the_stages_before(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, sf)
+    docs = Stages(spark, "t").write(docs, "fourth")
+    rates = mixing.rates(docs, catalog.domains(spark, sf), mixing.TARGETS)
+    sums = rates.agg(*[F.sum(F.col("n_tokens") * F.col("rate") * F.col("posterior")[k]) / F.sum("n_tokens") for k in range(3)]).first()
+    assert all(abs(got - want) <= slack for got, want, slack in zip(sums, (0.99, 0.0, 0.01), (0.011, 0.0022, 0.00011), strict=True))
+
+
+def test_mixing_reports_targets_out_of_reach(spark):
+    rows = [(10, [1.0, 0.0, 0.0]), (30, [0.4, 0.6, 0.0])]
+    with pytest.warns(UserWarning, match="cannot be met"):
+        slopes = mixing.fit_slopes(spark.createDataFrame(rows, "n_tokens long, posterior array<double>"), [0.5, 0.3, 0.2])
+    rate = [max(0.0, 1 - float(np.dot(p, slopes))) for _, p in rows]
+    shares = [sum(n * r * p[k] for r, (n, p) in zip(rate, rows, strict=True)) / 40 for k in range(2)]
+    assert abs(shares[0] - 0.5) < 0.0055 and abs(shares[1] - 0.3) < 0.0033
+
+
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_sql(spark, name):
     ok, note = oracle.compare(spark, oracle.connect(SF), SF, name, catalog.QUERIES[name], catalog.SQL[name])
