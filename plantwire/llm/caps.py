@@ -9,14 +9,15 @@ share a filter are compared in double precision, in blocks. A pair counts in its
 common filter only.
 
 The code grows with the number of vectors so that filters keep their mean size, and the
-threshold follows from the number of filters that two linked vectors should share on average.
+threshold follows from the number of filters that two linked vectors should share on average,
+by the caps of the sphere itself; rotations are added where too many pairs would share none.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +33,9 @@ COSINE = 0.9
 SHARED = 28.0
 #: Independent rotations, each with a code of its own; they even out how many filters a vector meets.
 ROTATIONS = 4
+#: Part of random pairs at the least cosine that may share no filter, and how many pairs it is measured on.
+MISSED = 0.01
+PAIRS = 300
 #: Vectors of a filter on average.
 MEAN_SIZE = 64
 #: Vectors in one block; larger filters are compared block by block, each pair of blocks in its own row.
@@ -49,26 +53,57 @@ class Code:
     seed: int = 7
 
 
-def _tail(z: float) -> float:
-    return 0.5 * math.erfc(z / math.sqrt(2))
-
-
-def _both(z: float, rho: float) -> float:
-    """Probability that two normal variables of correlation ``rho`` both exceed ``z``."""
-    x = np.linspace(z, z + 10, 4001)
-    inner = np.array([_tail((z - rho * v) / math.sqrt(1 - rho * rho)) for v in x])
-    return float(np.trapezoid(inner * np.exp(-x * x / 2) / math.sqrt(2 * math.pi), x))
+def _cap(dim: int, least: np.ndarray) -> np.ndarray:
+    """Part of the sphere whose product with a fixed direction is ``least`` or more."""
+    if dim < 2:
+        return np.where(least <= -1, 1.0, np.where(least <= 1, 0.5, 0.0))
+    angle = np.linspace(0, math.pi, 200_001)
+    dense = np.sin(angle) ** (dim - 2)
+    area = np.concatenate([[0.0], np.cumsum((dense[1:] + dense[:-1]) / 2)])
+    return np.where(least > 1, 0.0, np.interp(np.arccos(np.clip(least, -1, 1)), angle, area / area[-1]))
+
+
+def _both(dim: int, least: float, cosine: float) -> float:
+    """Part of the sphere that meets both of two directions of product ``cosine`` by ``least`` or more."""
+    if dim < 2 or cosine >= 1:
+        return float(_cap(dim, np.array(least)))
+    if dim == 2:
+        return max(0.0, math.acos(least) - math.acos(cosine) / 2) / math.pi
+    angle = np.linspace(0, math.acos(least), 4001)[1:]
+    x, side = np.cos(angle), np.sin(angle)
+    inner = _cap(dim - 1, (least - cosine * x) / (math.sqrt(1 - cosine * cosine) * side))
+    turn = np.linspace(0, math.pi, 20_001)
+    return float(np.trapezoid(inner * side ** (dim - 2), angle) / np.trapezoid(np.sin(turn) ** (dim - 2), turn))
+
+
+def _missed(code: Code, cosine: float, pairs: int = PAIRS) -> float:
+    """Part of ``pairs`` random pairs at ``cosine`` that share no filter of the code."""
+    rng = np.random.default_rng(code.seed + 1)
+    a, b = rng.standard_normal((2, pairs, code.dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    b = cosine * a + math.sqrt(max(0.0, 1 - cosine * cosine)) * b
+    return float(np.mean([not np.intersect1d(*filters(np.array(pair), code)).size for pair in zip(a, b, strict=True)]))
 
 
 def choose_code(n: int, dim: int, cosine: float = COSINE, shared: float = SHARED, mean_size: int = MEAN_SIZE) -> Code:
-    """Code for ``n`` vectors: filters hold about ``mean_size`` of them, linked pairs share ``shared`` filters."""
+    """Code for ``n`` vectors: filters hold about ``mean_size`` of them, linked pairs share ``shared`` filters.
+
+    Probabilities are those of the sphere of ``dim`` dimensions. As pairs differ in how many filters they
+    share, rotations are added until no more than MISSED of random pairs at ``cosine`` share none.
+    """
     part = min(0.5, mean_size / max(n, 1))
-    low, high = 0.0, 12.0
+    low, high = 0.0, 1.0
     for _ in range(60):
         z = (low + high) / 2
-        low, high = (z, high) if _tail(z) > part else (low, z)
-    words = math.ceil(math.sqrt(shared / ROTATIONS / _both(low, cosine)))
-    return Code(dim, words, min(low / math.sqrt(dim), 0.6))  # few dimensions know no high caps
+        low, high = (z, high) if _cap(dim, np.array(z)) > part else (low, z)
+    least = min(low, 0.6)  # few dimensions know no high caps
+    words = math.ceil(math.sqrt(shared / ROTATIONS / _both(dim, least, cosine)))
+    code = Code(dim, words, least)
+    while dim > 3 and cosine < 1 and _missed(code, cosine) > MISSED:
+        code = replace(code, rotations=code.rotations + 2)
+    return code
 
 
 @lru_cache(maxsize=2)

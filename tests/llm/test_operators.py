@@ -262,6 +262,17 @@ def test_caps(spark, block):
     assert caps.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("n", [10**6, 2 * 10**7, 10**8])
+def test_code_finds_pairs_whatever_the_number_of_vectors(n):
+    code, rng = caps.choose_code(n, 64), np.random.default_rng(8)
+    a, b = rng.standard_normal((2, 200, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (b * a).sum(axis=1, keepdims=True) * a
+    b = 0.9 * a + np.sqrt(0.19) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    shared = np.array([np.intersect1d(*caps.filters(np.array(pair), code)).size for pair in zip(a, b, strict=True)])
+    assert (shared > 0).mean() >= 0.97 and 20 < shared.mean() < 60
+
+
 def test_line_dedup(spark, odd):
     pages = [(i, f"top line\nunique {i}\n\nbottom", "h") for i in range(8)] + [(20 + i, f"only {i}\ntop line", "g") for i in range(4)] + [(30, None, None)]
     got = {r.doc_id: r for r in boilerplate.drop_boilerplate(spark.createDataFrame(pages, "doc_id long, text string, source string")).collect()}
