@@ -55,9 +55,21 @@ BASE = [
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", f"length({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 8 AND 15", needs="+"),
 ]
+#: Length of an account number by country: those of the registry, then those in use without being in it.
+_LENGTHS = (
+    "NO15 BE16 DK18 FI18 FK18 FO18 GL18 NL18 SD18 MK19 SI19 AT20 BA20 EE20 KZ20 LT20 LU20 MN20 XK20 CH21 HR21 LI21 LV21 BG22 BH22 CR22 "
+    "DE22 GB22 GE22 IE22 ME22 RS22 VA22 AE23 GI23 IL23 IQ23 OM23 SO23 TL23 AD24 CZ24 ES24 MD24 PK24 RO24 SA24 SE24 SK24 TN24 VG24 LY25 "
+    "PT25 ST25 IS26 TR26 BI27 DJ27 FR27 GR27 IT27 MC27 MR27 SM27 AL28 AZ28 BY28 CY28 DO28 GT28 HN28 HU28 LB28 NI28 PL28 SV28 BR29 EG29 PS29 "
+    "QA29 UA29 JO30 KW30 MU30 YE30 MT31 SC31 LC32 RU33 "
+    "AO25 CV25 GW25 MZ25 DZ26 IR26 CF27 CG27 CM27 GA27 GQ27 KM27 MG27 TD27 BF28 BJ28 CI28 MA28 ML28 NE28 SN28 TG28"
+).split()
+#: A number ends where its country says, whatever capitals or digits follow after a blank.
+_IBAN = "|".join(
+    rf"(?:{'|'.join(x[:2] for x in _LENGTHS if x[2:] == n)})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{int(n) - 4}}}" for n in sorted({x[2:] for x in _LENGTHS})
+)
 #: Kinds beyond the base: account numbers by mod-97; shorter card numbers and plain phone numbers only near their words.
 MORE = [
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _MOD97, 0.6, "iban|account|konto|cuenta|compte"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])", _MOD97, 0.6, "iban|account|konto|cuenta|compte"),
     Kind(
         "short_card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", f"length({_DIGITS}) BETWEEN 13 AND 15 AND {_LUHN}", 0.3,
         "card|karte|carte|tarjeta|visa|amex|credit",

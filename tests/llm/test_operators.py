@@ -299,6 +299,15 @@ def test_pii(spark, odd):
     assert pii.find(odd).count() == odd.count() and pii.mask(odd).columns == odd.columns
 
 
+def test_pii_account_number_before_capitals_and_digits(spark):
+    numbers = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606"]
+    tails = [" BIC COBADEFFXXX", " BY MAY", " 2024", ". X", ""]
+    texts = [f"IBAN {n}{t}" for n in numbers for t in tails] + ["NO12 DE89370400440532013000 A", "DE89370400440532013001 BIC", "DE89370400440532013000X"]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: [r.text[s.start : s.end] for s in r.pii_iban] for r in found}
+    assert got == dict(enumerate([[n] for n in numbers for _ in tails] + [["DE89370400440532013000"], [], []]))
+
+
 def test_pieces_agree_with_their_library():
     path = public_tokenizers.path(pieces.MODEL)
     model, library = pieces.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
