@@ -93,9 +93,10 @@ def spread(edges: DataFrame, seeds: DataFrame, stages: Stages, damping: float =
     """Personalised PageRank of each kind of seed: (kind, host, score).
 
     ``edges``: kind, src, dst, weight; ``seeds``: kind, host, weight. Scores of a kind add up to
-    one; a host without out-edges keeps what it sends. Rounds end when no kind's
-    scores move by more than ``tolerance`` in all; what is left to move is bounded by damping to
-    the number of rounds, so that many rounds suffice whatever the size of the graph.
+    one; a host without out-edges keeps what it sends. Rounds end when no host's score moves by
+    more than ``tolerance`` of itself and no new host is reached, so that hosts with a small part
+    of all scores are as exact as others. A move shrinks by damping with every round; scores
+    under 1e-300 are beyond double precision and not waited for.
     """
     total = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))
     start = stages.write(seeds.join(total, "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("seed")), "seeds")
@@ -116,13 +117,13 @@ def spread(edges: DataFrame, seeds: DataFrame, stages: Stages, damping: float =
             now = sent.unionByName(back).groupBy("kind", "host").agg(F.sum("score").alias("score"))
         turn += 1
         now = stages.write(now, f"scores-{turn}")
-        change = (
-            now.unionByName(before.withColumn("score", -F.col("score"))).groupBy("kind", "host").agg(F.abs(F.sum("score")).alias("d"))
-            .groupBy("kind").agg(F.sum("d").alias("d")).agg(F.max("d")).first()[0]
+        moves = now.unionByName(before.withColumn("score", -F.col("score"))).groupBy("kind", "host").agg(
+            F.abs(F.sum("score")).alias("d"), F.max("score").alias("score")
         )
+        change = moves.filter("score > 1e-300").agg(F.max(F.col("d") / F.col("score"))).first()[0]
         if turn > 1:
             stages.drop(f"scores-{turn - 1}")
-        if not change or change <= tolerance or damping ** (unroll * turn) <= tolerance / 2:
+        if not change or change <= tolerance:
             return now
 
 
@@ -148,11 +149,13 @@ def judge(pages: DataFrame, rules: list[Rule] = RULES, threshold: float = THRESH
     )
     scores = spread(edges, seeds, stages, damping)
     by_host = scores.groupBy("host").agg(
-        *[F.round(F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)), 9).alias(k) for k in ("trust", "distrust")]
+        *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("score"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")]
     )
     by_host = stages.write(by_host, "by-host")
-    blocked = F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))
+    # the part is rounded, not the scores: those of all hosts add up to one and shrink with their number
+    both = F.col("trust") + F.col("distrust")
+    blocked = F.round(F.when(both > 0, F.col("distrust") / both), 9) > threshold
     return ruled.join(by_host, "host", "left").select(
-        "page_id", "host", "path", "rule", "trust", "distrust",
+        "page_id", "host", "path", "rule", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"),
         F.coalesce("rule_verdict", F.when(blocked, "block"), F.lit("allow")).alias("verdict"),
     )

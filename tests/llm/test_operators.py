@@ -159,6 +159,23 @@ def test_spread_is_personalised_pagerank(spark):
     assert all(abs(got.get(k, 0.0) - want[k]) < 1e-5 for k in range(12))
 
 
+def test_weakly_linked_hosts_are_judged(spark):
+    chain, link = ["b.com", "x1.net", "x2.net", "x3.net"], '<a href="//{}/">x</a>'
+    rows = [(0, "http://b.com/de/", None)] + [(k, f"http://{chain[k]}/", link.format(chain[k - 1])) for k in (1, 2, 3)]
+    rows += [(10 + k, f"http://y{k}.net/", link.format(chain[k]) * 2000) for k in range(3)]  # take nearly all distrust
+    got = {r.page_id: r for r in host_trust.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {r.verdict for r in got.values()} == {"block"} and got[3].distrust < 5e-10
+
+
+def test_small_scores_converge(spark):
+    names = [f"h{k}" for k in range(30)]
+    edges = spark.createDataFrame([("k", a, b, 1.0) for a, b in zip(names, names[1:])] + [("k", "big", "big", 1.0)], "kind string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("k", "big", 1e9), ("k", "h0", 1.0)], "kind string, host string, weight double")
+    got = {r.host: r.score * (1e9 + 1) for r in host_trust.spread(edges, seeds, Stages(spark, "t")).collect()}
+    want = {h: 0.15 * 0.85**k for k, h in enumerate(names[:-1])} | {names[-1]: 0.85**29}
+    assert all(abs(got.get(h, 0.0) - x) <= 2e-3 * x for h, x in want.items())
+
+
 def test_tool_calls(spark):
     calls = [
         (1, 0, "a", "search", '{"query":"q","limit":2}'), (1, 1, "b", "search", '{"limit":2,"query":"$a"}'), (1, 2, "c", "translate", '{"text":"$b","to":"$a"}'),
