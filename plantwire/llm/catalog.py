@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, caps, host_trust, mixing, pieces, pii, quality, simhash, token_files, tool_calls
+from . import boilerplate, caps, host_trust, mixing, pieces, pii, pivot_clusters, quality, simhash, token_files, tool_calls
 from .staging import Stages
 
 QUERIES = {}
@@ -107,3 +107,8 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = tool_calls.calls_of(table(spark, sf_dir, "conversations"))
     return tool_calls.link(calls, results, tool_calls.TOOLS)
+
+
+@query("op11_centroid_clusters", pivot_clusters.ORACLE)
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_clusters.cluster(table(spark, sf_dir, "embeddings"))
