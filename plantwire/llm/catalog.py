@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import boilerplate, caps, host_trust, mixing, pieces, pii, pivot_clusters, quality, simhash, token_files, tool_calls
+from . import boilerplate, caps, decontaminate, host_trust, mixing, pieces, pii, pivot_clusters, prefix_trie, quality, simhash, token_files, tool_calls
 from .staging import Stages
 
 QUERIES = {}
@@ -112,3 +112,18 @@ def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_centroid_clusters", pivot_clusters.ORACLE)
 def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_prefix_trie", prefix_trie.ORACLE)
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_decontamination", decontaminate.ORACLE)
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    items = F.col("leaks.items")
+    return found.select(
+        "doc_id", "leaks.n_words", "leaks.n_hit", F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("leaks.n_hit") > 0).alias("contaminated"),
+    )
