@@ -84,33 +84,72 @@ def global_rank(df: DataFrame, lead: Column, id_col: str, prefix: int = 3) -> Da
     )
 
 
+#: Widths of slices tried one after the other, as powers of two of microseconds: from 13 days to one.
+SLICE_BITS = (40, 32, 24, 16, 8, 0)
+#: Rows that one slice of a key may hold.
+SLICE_ROWS = 1 << 20
+
+
+def measured_slices(rows: DataFrame, keys: list[str], time: str, limit: int = SLICE_ROWS) -> DataFrame:
+    """Add ``_bits`` and ``_slice``, the time slice of each row, such that no slice of a key holds over ``limit`` rows.
+
+    Rows are counted by key and wide slice first. Only slices that hold too many are counted again
+    at the next width, and so on down to single microseconds; rows of one microsecond that are too
+    many even so get ``_bits`` -1. The counted tables of full slices hold rows / limit lines at
+    most, and a key without a full slice costs one aggregation and no join.
+    """
+    left, full = rows.select(*keys, time), []
+    for bits in SLICE_BITS:
+        counted = left.groupBy(*keys, F.shiftright(time, bits).alias("_b")).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
+        counted = stage(counted.drop("_n"), "full-slices")
+        if counted.isEmpty():
+            break
+        full.append((bits, counted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_b", F.lit(True).alias(f"_full{bits}"))))
+        left = left.join(full[-1][1], _in_slice(left, keys, time, bits, full[-1][1]), "left_semi")
+    level = F.lit(SLICE_BITS[len(full)] if len(full) < len(SLICE_BITS) else -1)
+    for bits, table in full:
+        rows = rows.join(table, _in_slice(rows, keys, time, bits, table), "left").drop("_b", *[f"_k{i}" for i in range(len(keys))])
+    for bits, _ in reversed(full):
+        level = F.when(F.col(f"_full{bits}").isNull(), bits).otherwise(level)
+    number = F.lit(None).cast("bigint")
+    for bits in (*SLICE_BITS, -1):
+        number = F.when(F.col("_bits") == bits, F.shiftright(time, max(bits, 0))).otherwise(number)
+    return rows.withColumn("_bits", level).withColumn("_slice", number).drop(*[f"_full{bits}" for bits, _ in full])
+
+
+def _in_slice(rows: DataFrame, keys: list[str], time: str, bits: int, table: DataFrame) -> Column:
+    same = F.shiftright(rows[time], bits) == table["_b"]
+    for i, k in enumerate(keys):
+        same &= rows[k].eqNullSafe(table[f"_k{i}"])
+    return same
+
+
 def gap_statistics(
     df: DataFrame,
     keys: list[str],
     time_us: Column,
     keep=None,
     extra: dict[str, Column] | None = None,
-    slice_seconds: int = 600,
+    slice_rows: int = SLICE_ROWS,
 ) -> DataFrame:
     """Inter-arrival statistics per key, in microseconds.
 
     Gaps are computed inside (key, time slice) first and then between neighbouring
-    slices of a key, so a hot key is spread over its slices. ``keep(gap)`` selects
+    slices of a key. Slices are measured (``measured_slices``), so no task sorts more than
+    ``slice_rows`` rows of a key, however they crowd in time. ``keep(gap)`` selects
     the gaps that count (all by default); ``extra`` names columns to sum per key.
     Returns keys, n, first_us, last_us, gap_n, gap_sum, gap_min, gap_max, gap_m2
     (squared deviations from the mean) and the extra sums.
     """
     keep = keep or (lambda gap: F.lit(True))
     extra = extra or {}
-    width = slice_seconds * 1_000_000
-    rows = df.select(*keys, time_us.alias("_t"), *[c.alias(n) for n, c in extra.items()]).withColumn(
-        "_slice", F.expr(f"floor(_t / {width})")
-    )
-    inside = Window.partitionBy(*keys, "_slice").orderBy("_t")
+    rows = df.select(*keys, time_us.alias("_t"), *[c.alias(n) for n, c in extra.items()])
+    rows = measured_slices(rows, keys, "_t", slice_rows)
+    inside = Window.partitionBy(*keys, "_bits", "_slice").orderBy("_t")
     gap = F.col("_t") - F.lag("_t").over(inside)
-    rows = rows.withColumn("_gap", gap)
+    spread_out = rows.filter("_bits >= 0").withColumn("_gap", gap)
     kept = F.when(F.col("_gap").isNotNull() & keep(F.col("_gap")), F.col("_gap"))
-    slices = rows.groupBy(*keys, "_slice").agg(
+    slices = spread_out.groupBy(*keys, "_bits", "_slice").agg(
         F.count("*").alias("_n"),
         F.min("_t").alias("_first"),
         F.max("_t").alias("_last"),
@@ -121,7 +160,16 @@ def gap_statistics(
         F.var_pop(kept).alias("_gv"),
         *[F.sum(n).alias(n) for n in extra],
     )
-    across = Window.partitionBy(*keys).orderBy("_slice")
+    # rows of one microsecond have gaps of zero, which need no order
+    nought = F.when(keep(F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
+    at_once = rows.filter("_bits < 0").groupBy(*keys, "_bits", "_slice").agg(
+        F.count("*").alias("_n"), F.min("_t").alias("_first"), F.max("_t").alias("_last"),
+        F.when(keep(F.lit(0).cast("bigint")), F.count("*") - 1).otherwise(F.lit(0)).cast("bigint").alias("_gn"),
+        nought.alias("_gs"), nought.alias("_gmin"), nought.alias("_gmax"), nought.cast("double").alias("_gv"),
+        *[F.sum(n).alias(n) for n in extra],
+    )
+    slices = slices.unionByName(at_once)
+    across = Window.partitionBy(*keys).orderBy("_first")
     whole = Window.partitionBy(*keys)
     edge = F.col("_first") - F.lag("_last").over(across)
     slices = slices.withColumn("_edge", edge).withColumn(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import columns as X
-from ..functions.scale import gap_statistics
+from ..functions.scale import SLICE_ROWS, gap_statistics
 from .packets import function_code_name
 
 
@@ -165,7 +165,7 @@ def dnp3_relationships(messages: DataFrame) -> DataFrame:
 
 
 def modbus_polling_intervals(
-    messages: DataFrame, max_gap_ms: int = 60000, min_samples: int = 3, slice_seconds: int = 600
+    messages: DataFrame, max_gap_ms: int = 60000, min_samples: int = 3, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """Gaps between equal requests of a master, per (master, slave, function, unit)."""
     requests = (
@@ -175,7 +175,7 @@ def modbus_polling_intervals(
     )
     g = gap_statistics(
         requests, ["ip", "remote_ip", "function_code", "unit_id"], X.micros(F.col("ts")),
-        keep=lambda gap: (gap > 0) & (gap < max_gap_ms * 1000), slice_seconds=slice_seconds,
+        keep=lambda gap: (gap > 0) & (gap < max_gap_ms * 1000), slice_rows=slice_rows,
     ).filter((F.col("n") >= min_samples) & (F.col("gap_n") >= 2))
 
     def tenth(us: Column) -> Column:

@@ -7,17 +7,17 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import columns as X
-from ..functions.scale import gap_statistics
+from ..functions.scale import SLICE_ROWS, gap_statistics
 from .packets import _ensure_protocol
 
 STATS_KEY = ["src_ip", "dst_ip", "port", "protocol"]
 
 
-def connection_stats(packets: DataFrame, slice_seconds: int = 600) -> DataFrame:
+def connection_stats(packets: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Packets, bytes and gap statistics per (src, dst, destination port, protocol)."""
     rows = _ensure_protocol(packets).withColumn("port", F.col("dst_port"))
     g = gap_statistics(
-        rows, STATS_KEY, X.micros(F.col("ts")), extra={"byte_count": F.col("length")}, slice_seconds=slice_seconds
+        rows, STATS_KEY, X.micros(F.col("ts")), extra={"byte_count": F.col("length")}, slice_rows=slice_rows
     )
     zero = F.lit(0.0)
     some = F.col("gap_n") > 0

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plantwire.functions import columns as X
-from plantwire.functions.scale import connected_components, gap_statistics, global_rank, top_n_per_key
+from plantwire.functions.scale import connected_components, gap_statistics, global_rank, measured_slices, top_n_per_key
 from plantwire.operators import packets as P
 from plantwire.operators import patterns, similarity
 
@@ -39,9 +39,9 @@ def test_public_ip(spark, ip, public):
     assert spark.createDataFrame([(ip,)], "ip string").select(X.is_public_ip(F.col("ip"))).first()[0] is public
 
 
-def stats_of(spark, times, slice_seconds=600):
+def stats_of(spark, times, slice_rows=600):
     df = spark.createDataFrame([packet(i, t) for i, t in enumerate(times)], PACKET)
-    return patterns.connection_stats(P.identify_protocol(df), slice_seconds)
+    return patterns.connection_stats(P.identify_protocol(df), slice_rows)
 
 
 def test_periodic_and_one_off(spark):
@@ -114,3 +114,29 @@ def test_similar_pairs_find_all(spark):
         lead.setdefault(frozenset(sets[d]), d)
     want = {(a, b) for a, b in itertools.combinations(sorted(lead.values()), 2) if _jaccard(sets[a], sets[b]) > 0.6}
     assert got == want
+
+
+def test_crowded_slices_are_split_down_to_equal_times(spark):
+    crowd = [(i * 37) % 1_000_000 for i in range(6000)] + [500_000] * 900 + [2_000_000 + i for i in range(300)]
+    rows = [("hot", t) for t in crowd] + [("cold", 10**9 * i) for i in range(40)] + [(None, 5), (None, 9)]
+    df = spark.createDataFrame(rows, "k string, t bigint").repartition(6)
+    limit = 256
+    cut = measured_slices(df, ["k"], "t", limit)
+    assert cut.columns == ["k", "t", "_bits", "_slice"] and cut.count() == len(rows)
+    sizes = cut.groupBy("k", "_bits", "_slice").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("z")).collect()
+    assert all(r.n <= limit if r._bits >= 0 else r.a == r.z for r in sizes)
+    assert sum(r.n > limit for r in sizes) == 1 and sum(r.k == "hot" for r in sizes) > 20
+    ordered = sorted((r.a, r.z) for r in sizes if r.k == "hot")
+    assert all(z < a for (_, z), (a, _) in zip(ordered, ordered[1:]))
+    # the windows of the hot key run in several tasks
+    tasks = cut.filter("k = 'hot'").repartition(8, "k", "_bits", "_slice").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 4 and max(r["count"] for r in tasks) < len(crowd) / 2
+    for keep in (None, lambda gap: gap > 0):
+        got = {r.k: r for r in gap_statistics(df, ["k"], F.col("t"), keep=keep, slice_rows=limit).collect()}
+        for k in ("hot", "cold", None):
+            times = sorted(t for name, t in rows if name == k)
+            gaps = [b - a for a, b in zip(times, times[1:]) if keep is None or b > a]
+            r, mean = got[k], sum(gaps) / len(gaps)
+            assert (r.n, r.first_us, r.last_us) == (len(times), times[0], times[-1])
+            assert (r.gap_n, r.gap_sum, r.gap_min, r.gap_max) == (len(gaps), sum(gaps), min(gaps), max(gaps))
+            assert abs(r.gap_m2 - sum((g - mean) ** 2 for g in gaps)) <= 1e-9 * max(1.0, r.gap_m2)
