@@ -35,11 +35,15 @@ def _text(lines, path: str) -> str:
     return path
 
 
-def _document(lines, root: str, path: str) -> str:
-    """One well-formed document: a report is a single file by its format."""
-    edges = lines.sparkSession.createDataFrame([(0, f"<{root}>"), (2, f"</{root}>")], "place int, line string")
-    body = lines.toDF("line").select(F.lit(1).alias("place"), "line")
-    return _text(edges.union(body).coalesce(1).sortWithinPartitions("place").select("line"), path)
+def _framed(lines, head: str, tail: str | None, path: str) -> str:
+    """Lines in as many files as shuffles have partitions, each file with its own first and last line."""
+    spark, files = lines.sparkSession, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    body = lines.toDF("line").select(F.pmod(F.xxhash64("line"), F.lit(files)).alias("file"), F.lit(1).alias("place"), "line")
+    for place, text in ((0, head), (2, tail)):
+        if text is not None:
+            body = body.union(spark.range(files).select("id", F.lit(place), F.lit(text)))
+    body.repartition(files, "file").sortWithinPartitions("file", "place").drop("place").write.partitionBy("file").text(path)
+    return path
 
 
 #: Column orders of the written logs by kind.
@@ -106,13 +110,26 @@ def _(s):
     return found.select(F.unix_micros("timestamp").alias("at_us"), "src_ip", "src_port", "dst_ip", "dst_port", "signature_id", "signature", "category", "severity")
 
 
-@on_site("s3_read_wazuh", """SELECT seq AS signature_id, src_ip, dst_ip, dst_port, CASE seq % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS severity FROM pk WHERE et = 'error'""")
-def _(s):
+_WAZUH = """SELECT seq AS signature_id, src_ip, dst_ip, dst_port, CASE seq % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS severity FROM pk WHERE et = 'error'"""
+
+
+def _wazuh_line():
     level = F.when(F.col("signature_id") % 3 == 0, 5).when(F.col("signature_id") % 3 == 1, 7).otherwise(12)
     body = F.to_json(F.struct(
         F.struct(level.alias("level"), F.col("signature").alias("description"), F.col("signature_id").cast("string").alias("id")).alias("rule"),
         F.struct(F.col("src_ip").alias("ip")).alias("agent"), F.struct(F.col("dst_ip").alias("dstip"), F.col("dst_port").cast("string").alias("dstport")).alias("data")))
-    return L.read_wazuh(s.spark, _text(alerts(s).select(body), _folder(s, "wazuh"))).select("signature_id", "src_ip", "dst_ip", "dst_port", "severity")
+    return body
+
+
+@on_site("s3_read_wazuh", _WAZUH)
+def _(s):
+    return L.read_wazuh(s.spark, _text(alerts(s).select(_wazuh_line()), _folder(s, "wazuh"))).select("signature_id", "src_ip", "dst_ip", "dst_port", "severity")
+
+
+@on_site("s3_read_wazuh_array", _WAZUH)
+def _(s):
+    path = _framed(alerts(s).select(F.concat(F.lit(","), _wazuh_line())), '[{"rule": null}', "]", _folder(s, "wazuh"))
+    return L.read_wazuh(s.spark, path, multiline=True).select("signature_id", "src_ip", "dst_ip", "dst_port", "severity")
 
 
 _PORTS = "SELECT dst_ip AS ip_address, count(DISTINCT dst_port) AS ports, string_agg(DISTINCT protocol, ',' ORDER BY protocol) AS protocols FROM {} GROUP BY dst_ip"
@@ -124,7 +141,7 @@ def _(s):
     per_host = s.connections.select("dst_ip", "dst_port").distinct().groupBy("dst_ip").agg(F.concat_ws("", F.collect_list(F.format_string(
         '<port protocol="tcp" portid="%d"><state state="open"/></port>', "dst_port"))).alias("ports"))
     line = F.format_string('<host><address addr="%s" addrtype="ipv4"/><ports>%s<port protocol="tcp" portid="1"><state state="closed"/></port></ports></host>', "dst_ip", "ports")
-    rows = I.read_nmap(s.spark, _document(per_host.select(line), "nmaprun", _folder(s, "nmap")))
+    rows = I.read_nmap(s.spark, _framed(per_host.select(line), "<nmaprun>", "</nmaprun>", _folder(s, "nmap")))
     return rows.select("ip_address", F.size("open_ports").cast("bigint").alias("ports"), joined("protocols").alias("protocols"))
 
 
@@ -135,6 +152,14 @@ def _(s):
     return rows.select("ip_address", F.size("open_ports").cast("bigint").alias("ports"), joined("protocols").alias("protocols"))
 
 
+@on_site("s5_read_masscan_array", _PORTS.format(_BYPORT))
+def _(s):
+    body = F.to_json(F.struct(F.col("dst_ip").alias("ip"), F.array(F.struct(F.col("dst_port").alias("port"), F.lit("tcp").alias("proto"))).alias("ports")))
+    path = _framed(s.connections.select(F.concat(F.lit(","), body)), '[{"finished": 1}', "]", _folder(s, "masscan"))
+    rows = I.read_masscan(s.spark, path)
+    return rows.select("ip_address", F.size("open_ports").cast("bigint").alias("ports"), joined("protocols").alias("protocols"))
+
+
 @on_site("s6_read_sinema_csv", "SELECT ip AS ip_address, mac AS mac_address, 'dev ' || ip AS hostname, 'Siemens' AS vendor, 'plc' AS device_type, 's7comm' AS protocols FROM ab")
 def _(s):
     rows = s.base.select(F.concat(F.lit("dev "), "ip_address").alias("Device Name"), F.col("ip_address").alias("IP Address"), F.col("mac_address").alias("MAC Address"),
@@ -147,7 +172,7 @@ def _(s):
 @on_site("s7_read_tia_xml", "SELECT ip AS ip_address, 'node ' || ip AS hostname, 'Siemens' AS vendor, 'network_switch' AS device_type FROM ab")
 def _(s):
     line = F.format_string('<Device Name="node %s"><Address>%s</Address><TypeIdentifier>SCALANCE XC208</TypeIdentifier></Device>', "ip_address", "ip_address")
-    return I.read_tia_xml(s.spark, _document(s.base.select(line), "Project", _folder(s, "tia"))).select("ip_address", "hostname", "vendor", "device_type")
+    return I.read_tia_xml(s.spark, _framed(s.base.select(line), "<Project>", "</Project>", _folder(s, "tia"))).select("ip_address", "hostname", "vendor", "device_type")
 
 
 @on_site("s8_read_device_inventory", """SELECT 'sw' || right(mac, 1) AS switch, 'port0' AS port, string_agg(DISTINCT mac, ',' ORDER BY mac) AS macs, string_agg(DISTINCT ip, ',' ORDER BY ip) AS ips FROM ab GROUP BY 1""")
@@ -158,16 +183,77 @@ def _(s):
     return I.read_device_inventory(s.spark, path).select("switch", "port", joined("mac_addresses").alias("macs"), joined("ip_addresses").alias("ips"))
 
 
-@on_site("s9_read_mac_table", "SELECT mac AS mac_address, 100 AS vlan, 'Gi1/0/1' AS port FROM ab")
+def _device_list(s):
+    return s.base.select(F.concat(F.lit("sw"), F.substring("mac_address", -1, 1)).alias("hostname"), "ip_address", F.upper("mac_address").alias("mac_address"),
+                         F.when(F.col("mac_address").endswith("1"), "Gi1/0/1").alias("port"), F.lit(7).alias("vlan"))
+
+
+_DEVICE_ROWS = """SELECT 'sw' || right(mac, 1) AS switch, CASE WHEN right(mac, 1) = '1' THEN 'Gi1/0/1' ELSE 'port0' END AS port, mac AS mac_address,
+    ip AS ip_address, 7 AS vlan, CAST(NULL AS VARCHAR) AS description FROM ab"""
+
+
+@on_site("s8_read_device_rows", _DEVICE_ROWS)
 def _(s):
-    line = F.format_string(" 100    %s    DYNAMIC     Gi1/0/1", "mac_address")
-    return I.read_mac_table(s.spark, _text(s.base.select(line), _folder(s, "mac")), "cisco").select("mac_address", "vlan", "port")
+    path = _folder(s, "devices")
+    _device_list(s).write.option("header", True).csv(path)
+    return I.read_device_rows(s.spark, path)
 
 
-@on_site("s9_read_arp_table", "SELECT ip AS ip_address, mac AS mac_address, 'Vlan10' AS interface, 10 AS vlan FROM ab")
+@on_site("s8_read_device_rows_json", _DEVICE_ROWS)
 def _(s):
-    line = F.format_string("Internet  %s   5   %s  ARPA   Vlan10", "ip_address", "mac_address")
-    return I.read_arp_table(s.spark, _text(s.base.select(line), _folder(s, "arp")), "cisco")
+    path = _framed(_device_list(s).select(F.concat(F.lit(","), F.to_json(F.struct("*")))), '[{"port": "none", "hostname": null}', "]", _folder(s, "devices"))
+    return I.read_device_rows(s.spark, path, "json", multiline=True).filter("ip_address IS NOT NULL")
+
+
+def _spelled(mac: str, vendor: str):
+    """A MAC address as the listings of a vendor write it."""
+    digits = F.replace(mac, F.lit(":"), F.lit(""))
+    if vendor == "cisco":
+        return F.concat_ws(".", *[F.substring(digits, 4 * i + 1, 4) for i in range(3)])
+    return F.concat_ws("-", F.substring(digits, 1, 6), F.substring(digits, 7, 6)) if vendor == "aruba" else F.col(mac)
+
+
+_TAIL = "CAST(CAST('0x' || right(mac, 2) AS INT) AS INT)"
+# --- fixed values: how switches print their tables ---
+_MAC_LISTINGS = {  # title, line of a device, its columns, port in SQL
+    "cisco": ("Vlan    Mac Address       Type        Ports", " %2$d    %1$s    DYNAMIC     Gi1/0/%2$d", f"'Gi1/0/' || {_TAIL}"),
+    "juniper": ("  VLAN              MAC                 Type         Age Interfaces", "  v%2$d   %1$s   Learn          0 ge-0/0/%2$d.0", f"'ge-0/0/' || {_TAIL}"),
+    "aruba": (" MAC Address    Port  VLAN   Type", " %1$s  A%2$d     %2$d    Dynamic", f"'A' || {_TAIL}"),
+}
+_ARP_LISTINGS = {
+    "cisco": ("Protocol  Address          Age (min)  Hardware Addr   Type   Interface", "Internet  %3$s   5   %1$s  ARPA   Vlan%2$d", f"'Vlan' || {_TAIL}"),
+    "juniper": ("MAC Address       Address         Name                      Interface           Flags", "%1$s %3$s    host-%2$d        ge-0/0/%2$d.0          none", f"'ge-0/0/' || {_TAIL}"),
+    "aruba": (" IP Address     MAC Address       Type     Age(min)  Port", " %3$s    %1$s     dynamic  15        A%2$d", f"'A' || {_TAIL}"),
+}
+
+
+def _listed(s, vendor: str, title: str, form: str) -> str:
+    """The devices as listings of a vendor, with rulers, notes and an entry without an address between them."""
+    tail = F.conv(F.substring("mac_address", -2, 2), 16, 10).cast("int")
+    line = F.format_string(form, _spelled("mac_address", vendor), tail, F.col("ip_address"))
+    noise = s.spark.range(3).select(F.element_at(F.array(*[F.lit(x) for x in ("----    -----------", "Total Mac Addresses for this criterion: 5", "")]), (F.col("id") + 1).cast("int")))
+    return _framed(s.base.select(line).union(noise), title, None, _folder(s, "listing"))
+
+
+def _listing_queries(vendor: str, suffix: str) -> None:
+    title, form, port = _MAC_LISTINGS[vendor]
+    vlan = "1" if vendor == "juniper" else _TAIL
+    kind = "learn" if vendor == "juniper" else "dynamic"
+
+    @on_site(f"s9_read_mac_table{suffix}", f"SELECT mac AS mac_address, {vlan} AS vlan, {port} AS port, '{kind}' AS entry_type FROM ab")
+    def _(s):
+        return I.read_mac_table(s.spark, _listed(s, vendor, title, form), vendor)
+
+    head, line, place = _ARP_LISTINGS[vendor]
+    number = _TAIL if vendor == "cisco" else "CAST(NULL AS INT)"
+
+    @on_site(f"s9_read_arp_table{suffix}", f"SELECT mac AS mac_address, ip AS ip_address, {place} AS interface, {number} AS vlan FROM ab")
+    def _(s):
+        return I.read_arp_table(s.spark, _listed(s, vendor, head, line), vendor)
+
+
+for _vendor, _suffix in (("cisco", ""), ("juniper", "_juniper"), ("aruba", "_aruba")):
+    _listing_queries(_vendor, _suffix)
 
 
 @on_site("s10_read_oui", "SELECT DISTINCT substr(mac, 1, 8) AS prefix, 'Vendor ' || substr(mac, 7, 2) AS vendor FROM ab")
