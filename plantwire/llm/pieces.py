@@ -33,10 +33,11 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Bounds of what a task holds: characters in one suffix array, of text handled at a time, words remembered.
 BLOCK_CHARS = 250_000
-TEXT_CHARS = 1_000_000
-CACHED_WORDS = 120_000
-#: Rows whose texts are Python strings at a time.
-ROWS = 256
+TEXT_CHARS = 3_000_000
+CACHED_WORDS = 400_000
+#: Rows whose texts, or whose ids, are handled at a time.
+ROWS = 1024
+ID_ROWS = 256
 _PAIR_SLOTS = 1 << 21
 
 
@@ -73,7 +74,10 @@ class PieceModel:
         self.single = np.array([len(p) == 1 for p in order])
         self.first_two, self.last_two = self._meeting(ends[:, 0], ends[:, 1]), self._meeting(ends[:, 2], ends[:, 3])
         self.lengths = np.array([len(p) for p in order], dtype=np.int32)
-        self.output = [b"" if not (i in self.score or model.is_byte(i)) else bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        output = [b"" if not (i in self.score or model.is_byte(i)) else bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.output_pool = np.frombuffer(b"".join(output), dtype=np.uint8)
+        self.output_size = np.array([len(p) for p in output])
+        self.output_begin = np.cumsum(self.output_size) - self.output_size
         self._known = np.full(_PAIR_SLOTS, -1, dtype=np.int64)
         self._verdict = np.zeros(_PAIR_SLOTS, dtype=bool)
         self._alone = np.zeros(n, dtype=bool)
@@ -355,8 +359,15 @@ class PieceModel:
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids, without the space put before it."""
-        data = b"".join(map(self.output.__getitem__, ids.tolist()))
-        return data.decode("utf-8", "replace")[1:] if data[:1] == b" " else data.decode("utf-8", "replace")
+        return self.decode_all(ids, np.array([0, len(ids)]))[0]
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """Text of each run of ids between two bounds, without the space put before it."""
+        size = self.output_size[ids]
+        ends = np.append(0, np.cumsum(size))
+        data = self.output_pool[np.arange(ends[-1]) + np.repeat(self.output_begin[ids] - ends[:-1], size)].tobytes()
+        cuts = ends[bounds].tolist()
+        return [data[a + (data[a : a + 1] == b" " and a < b) : b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
 def _give_back() -> None:
@@ -404,10 +415,11 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "token_ids", out
     @F.arrow_udf(StringType())
     def texts(arrays: pa.Array) -> pa.Array:
         model, parts = load(path), [pa.array([], pa.string())]
-        for at in range(0, len(arrays), ROWS):
-            some = arrays.slice(at, ROWS)
-            values, bounds = pc.fill_null(some.values, 0).to_numpy(), some.offsets.to_pylist()
-            parts.append(pa.array([model.decode(values[a:b]) if known else None for a, b, known in zip(bounds, bounds[1:], some.is_valid().to_pylist())], pa.string()))
+        for at in range(0, len(arrays), ID_ROWS):
+            some = arrays.slice(at, ID_ROWS)
+            bounds = some.offsets.to_numpy()
+            values = pc.fill_null(some.values.slice(bounds[0], bounds[-1] - bounds[0]), 0).to_numpy()
+            parts.append(pa.array(model.decode_all(values, bounds - bounds[0]), pa.string(), mask=some.is_null().to_numpy(zero_copy_only=False)))
         return pa.concat_arrays(parts)
 
     return docs.withColumn(out, texts(ids))
