@@ -8,6 +8,7 @@ built in one projection per text, and the model is fitted on counts of vote patt
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -60,31 +61,44 @@ def _repeat_words(words: str) -> str:
     return f"if(size({words}) < {WINDOW + 1}, 0, {hashed})"
 
 
-def features(docs: DataFrame, *carry: Column) -> DataFrame:
-    """``carry`` and the FEATURES of every whole text (null: no words), one row for each input row."""
+def _parts(text: str) -> dict[str, str]:
+    """SQL of the struct or number that each group of features of a text comes from."""
     words = "struct(size(w) AS n_words, aggregate(w, 0L, (a, x) -> a + char_length(x)) AS word_chars, " + _repeat_words("w") + " AS n_repeat_words)"
     lines = (
         "struct(size(l) AS n_lines, size(l) - size(array_distinct(l)) AS n_dup_lines, "
         r"size(filter(l, x -> x rlike '[.!?:;\"]\\s*$')) AS n_ended_lines)"
     )
-    marks = r"regexp_replace(_text, '[^#*$%&|<>!]+', '')"
+    marks = rf"regexp_replace({text}, '[^#*$%&|<>!]+', '')"
+    return {
+        "_w": _let(rf"filter(split({text}, '{SPACE}'), x -> x <> '')", "w", words),
+        "_l": _let(rf"filter(split({text}, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')", "l", lines),
+        "_m": _let(marks, "m", "struct(char_length(m) AS n, char_length(replace(m, '!', '')) AS n_symbols)"),
+        "_upper": rf"char_length(regexp_replace({text}, '[^\\p{{Lu}}]+', ''))",
+    }
+
+
+def _feature(name: str, of: str = "") -> str:
+    """SQL of a feature from the groups, which are columns or fields of ``of``."""
+    places = {"n_symbols": "_m.n_symbols", "n_shouts": f"_m.n - {of}_m.n_symbols", "n_upper": "_upper"}
+    lines = ("n_lines", "n_dup_lines", "n_ended_lines")
+    return f"CAST({of}{places.get(name, f'_l.{name}' if name in lines else f'_w.{name}')} AS LONG)"
+
+
+def features(docs: DataFrame, *carry: Column) -> DataFrame:
+    """``carry`` and the FEATURES of every whole text (null: no words), one row for each input row."""
     names = docs.select(*carry).columns
     row = docs.select(*carry, F.coalesce("text", F.lit("")).alias("_text")).select(
-        *names,
-        F.expr(_let(rf"filter(split(_text, '{SPACE}'), x -> x <> '')", "w", words)).alias("_w"),
-        F.expr(_let(rf"filter(split(_text, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')", "l", lines)).alias("_l"),
-        F.expr(_let(marks, "m", "struct(char_length(m) AS n, char_length(replace(m, '!', '')) AS n_symbols)")).alias("_m"),
-        F.expr(r"char_length(regexp_replace(_text, '[^\\p{Lu}]+', ''))").alias("_upper"),
-    )
-    out = row.select(
-        *names, "_w.*", "_l.*", F.col("_m.n_symbols"), (F.col("_m.n") - F.col("_m.n_symbols")).alias("n_shouts"),
-        F.col("_upper").alias("n_upper"),
+        *names, *[F.expr(sql).alias(part) for part, sql in _parts("_text").items()]
     )
-    return out.select(*names, *[F.col(c).cast("long") for c in FEATURES])
+    return row.select(*names, *[F.expr(_feature(c)).alias(c) for c in FEATURES])
+
+
+def _vote(bad: str, good: str) -> str:
+    return f"CASE WHEN {bad} THEN false WHEN {good} THEN true END"
 
 
-def _vote(bad: str, good: str) -> Column:
-    return F.when(F.expr(bad), False).when(F.expr(good), True)
+_FAILED = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words"
+_NAME = re.compile(rf"\b({'|'.join(FEATURES)})\b")
 
 
 @dataclass
@@ -108,15 +122,13 @@ class Accuracies:
             out.append(share)
         return out
 
-    def posterior(self) -> Column:
-        """Probability of the good class for the vote columns."""
+    def posterior(self, of: str = "") -> str:
+        """SQL of the probability of the good class; the votes are columns or fields of ``of``."""
         joint = []
         for share, good in zip(self.share, self.good_vote, strict=True):
-            weight = F.lit(share)
-            for rule, p in zip(self.rules, good, strict=True):
-                weight = weight * F.when(F.col(rule), p).when(~F.col(rule), 1 - p).otherwise(1.0)
-            joint.append(weight)
-        return joint[0] / sum(joint[1:], joint[0])
+            cases = [f"CASE WHEN {of}{rule} THEN {p!r}D WHEN NOT {of}{rule} THEN {1 - p!r}D ELSE 1D END" for rule, p in zip(self.rules, good, strict=True)]
+            joint.append(" * ".join([f"{share!r}D", *cases]))
+        return _let(f"array({', '.join(joint)})", "j", "j[0] / aggregate(slice(j, 2, size(j) - 1), j[0], (a, x) -> a + x)")
 
 
 def fit(votes: DataFrame, rules: list[str], rounds: int = 100, tolerance: float = 1e-6, least_on_good: float = 0.99) -> Accuracies:
@@ -168,17 +180,16 @@ def judge(docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES, threshold:
     text has no words, so it fails; a null doc_id stays null. An empty table gives no rows.
     """
     rows = Stages(docs.sparkSession, "quality").write(features(docs, F.col("doc_id")), "features")
-    return _verdicts(rows, fit(_votes(rows, rules), list(rules)), rules, threshold)
+    return _verdicts(rows, fit(_votes(rows, rules).select(*rules), list(rules)), rules, threshold)
 
 
 def _votes(rows: DataFrame, rules: dict[str, tuple[str, str]]) -> DataFrame:
-    return rows.select("*", *[_vote(*rule).alias(name) for name, rule in rules.items()])
+    return rows.select("*", *[F.expr(_vote(*rule)).alias(name) for name, rule in rules.items()])
 
 
 def _verdicts(rows: DataFrame, model: Accuracies, rules: dict[str, tuple[str, str]], threshold: float) -> DataFrame:
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     return _votes(rows, rules).select(
-        *rows.columns, failed.alias("base_failed"), F.round(model.posterior(), 9).alias("quality")
+        *rows.columns, F.expr(_FAILED).alias("base_failed"), F.round(F.expr(model.posterior()), 9).alias("quality")
     ).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
@@ -187,8 +198,13 @@ def keep_good(docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES, thresh
 
     The features are built twice, once to fit the model and once beside the text, so that no
     text is shuffled or written and every row, repeated doc_id or not, is judged on its own text.
+    The verdict is one expression in which every value is bound once: as columns, a filter on it
+    would be moved below them and repeat their expressions wherever they are used.
     """
-    votes = _votes(features(docs), rules).select(*rules)
-    model = fit(votes, list(rules))
-    rows = features(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    return _verdicts(rows, model, rules, threshold).filter("kept").select("_row.*")
+    model = fit(_votes(features(docs), rules).select(*rules), list(rules))
+    parts = ", ".join(f"{sql} AS {name}" for name, sql in _parts("t").items())
+    counted = ", ".join(f"{_feature(c, 'p.')} AS {c}" for c in FEATURES)
+    votes = ", ".join(f"{_NAME.sub(r'f.\1', _vote(*rule))} AS {name}" for name, rule in rules.items())
+    good = _let(f"struct({votes})", "v", f"round({model.posterior('v.')}, 9) >= {threshold!r}D")
+    judged = _let(f"struct({counted})", "f", f"NOT ({_NAME.sub(r'f.\1', _FAILED)}) AND {good}")
+    return docs.filter(F.expr(_let("coalesce(text, '')", "t", _let(f"struct({parts})", "p", judged))))

@@ -210,7 +210,12 @@ def _(s):
 # --- findings -----------------------------------------------------------------------------
 
 
+#: What each rule's query finds, by name of the query.
+RULE_FN = {}
+
+
 def rule(name: str, fn, sql: str, variant: str = "base"):
+    RULE_FN[name] = fn
     on_site(name, sql, variant)(lambda s: shown_findings(fn(s)))
 
 

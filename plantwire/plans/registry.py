@@ -18,8 +18,10 @@ BEFORE, AFTER = "ts < '2024-01-16'", "ts >= '2024-01-16'"
 # Suffix of the SQL names → (variant, condition on the events).
 SITES = {
     "": ("base", None), "w": ("wide", None), "r": ("replay", None), "f": ("flat", None),
-    "b": ("base", BEFORE), "c": ("base", AFTER),
+    "b": ("base", BEFORE), "c": ("base", AFTER), "m": ("base", None),
 }
+#: Labels of a sensor, right or wrong, on the connections of the site with suffix m.
+SENSOR_LABEL = "CASE WHEN dst_port = 9999 THEN 'modbus' WHEN dst_port = 502 AND src_port = 49153 THEN 'http' ELSE protocol END"
 
 
 def query(name: str, sql: str | None = None):
@@ -49,12 +51,24 @@ def _all_ctes() -> tuple[dict[str, str], dict[str, str]]:
     for suffix, (variant, where) in SITES.items():
         ctes.update(site_ctes(suffix))
         packets[f"pk{suffix}"] = binding.packets_sql(variant, where, f"pk{suffix}")
+    ctes["cnm"] = f"SELECT * REPLACE ({SENSOR_LABEL} AS protocol) FROM ({ctes['cnm']})"
     return ctes, packets
 
 
 _CTES, _PACKETS = _all_ctes()
 _NAMES = re.compile(r"\b(" + "|".join(sorted([*_CTES, *_PACKETS], key=len, reverse=True)) + r")\b")
 _PLACE = re.compile(r"(?:FROM|JOIN|,)\s+(\w+)", re.I)
+_BASE = {name + suffix: name for suffix in SITES for name in [*site_ctes(""), "pk"]}
+
+
+def at_site(sql: str, suffix: str) -> str:
+    """The SQL with its tables taken from the site of another suffix."""
+
+    def moved(match: re.Match) -> str:
+        whole, name = match.group(0), match.group(1)
+        return whole[: len(whole) - len(name)] + _BASE[name] + suffix if name in _BASE else whole
+
+    return _PLACE.sub(moved, sql)
 
 
 def full_sql(sql: str) -> str:

@@ -167,6 +167,16 @@ class Site:
         return shared(self, "rules", lambda: segmentation.communication_matrix(self.segment_inputs[1], self.ip_zone))
 
 
+class LabelledSite(Site):
+    """A site whose connections carry the labels of a sensor, so that wrong labels occur."""
+
+    @cached_property
+    def connections(self) -> DataFrame:
+        from .registry import SENSOR_LABEL
+
+        return super().connections.withColumn("protocol", F.expr(SENSOR_LABEL))
+
+
 _OT = (
     "('modbus','dnp3','ethernet_ip','bacnet','s7comm','opc_ua','profinet','iec104','mqtt','hart_ip',"
     "'foundation_fieldbus','ge_srtp','wonderware_suitelink')"
