@@ -2,15 +2,17 @@
 
 A classifier fitted on labelled documents gives each document a probability per domain. Then
 non-negative rates per document are sought whose expected token totals by domain meet the
-targets and that change least: projected least squares, solved by Newton steps on its dual, each
-of which is two distributed sums over the distinct posteriors. A rate follows from the document's
-posterior and one slope per domain, so no state is kept between steps. All work on documents is
-done by DataFrame functions.
+targets: least squares on the totals by projected gradient from rates of one. A step moves every
+rate against its gradient, which is its posterior times one number per domain, and cuts it off
+at zero; the numbers come from one distributed sum over the distinct posteriors. The gradient is
+taken in the metric of the rates that are not cut off, so that rare domains settle as fast as
+common ones. A document's rate follows from its posterior and the numbers of all steps. All work
+on documents is done by DataFrame functions.
 """
 
 from __future__ import annotations
 
-import math
+import json
 import warnings
 from dataclasses import dataclass
 
@@ -20,17 +22,17 @@ from pyspark.sql import functions as F
 
 from .staging import Stages
 
-#: Wanted share of tokens by domain.
-TARGETS = {"clean": 0.99, "low": 0.0, "toxic": 0.01}
+#: Wanted share of tokens by domain. The classifier sees a little of ``low`` in most clean documents.
+TARGETS = {"clean": 0.988, "low": 0.002, "toxic": 0.01}
 #: The classifier is fitted on so many labelled documents at most, the first by a hash of their id.
 SAMPLE_ROWS = 5000
 BUCKETS = 1 << 16
 FEATURES = 1024
 #: A share may miss its target by so much of it; one whose target is zero by so much of all tokens.
-RELATIVE = 0.01
-ABSOLUTE = 2e-3
-#: Weight of the slopes in the dual, which bounds them where a target cannot be met.
-EASE = 1e-7
+TOLERANCE = 1e-3
+#: Steps after which the rates are written, so that plans stay short.
+WRITTEN = 8
+_PAGE = 256
 
 
 def _words(text: str) -> Column:
@@ -60,15 +62,19 @@ class Classifier:
 
     def posterior(self, words: Column) -> Column:
         """Array of probabilities in the order of ``domains`` for an array of words."""
-        dense = np.zeros((BUCKETS, len(self.domains)))
-        dense[self.chosen] = self.weights[:-1]
         hits = F.array_intersect(_buckets(words), _numbers(self.chosen, "bigint"))
-
-        def score(k: int, found: Column) -> Column:
-            table = _numbers([f"{x:.6g}" for x in dense[:, k]], "double")
-            return F.aggregate(found, F.lit(float(self.weights[-1, k])), lambda a, b: a + F.element_at(table, b.cast("int") + 1))
-
-        scores = F.element_at(F.transform(F.array(hits), lambda h: F.array(*[score(k, h) for k in range(len(self.domains))])), 1)
+        # weights by pages of buckets: few entries to search, and no table of all buckets in the plan
+        pages: list[list[dict]] = [[] for _ in range(BUCKETS // _PAGE)]
+        for bucket, row in zip(self.chosen.tolist(), self.weights[:-1].tolist()):
+            pages[bucket // _PAGE].append({"b": bucket, "w": [float(f"{x:.6g}") for x in row]})
+        table = F.from_json(F.lit(json.dumps(pages)), "array<array<struct<b: bigint, w: array<double>>>>")
+        place = lambda b: F.element_at(table, F.shiftright(b, _PAGE.bit_length() - 1).cast("int") + 1)
+        found = F.transform(hits, lambda b: F.element_at(F.filter(place(b), lambda e: e["b"] == b), 1)["w"])
+
+        def score(k: int, rows: Column) -> Column:
+            return F.aggregate(rows, F.lit(float(self.weights[-1, k])), lambda a, w: a + F.element_at(w, k + 1))
+
+        scores = F.element_at(F.transform(F.array(found), lambda h: F.array(*[score(k, h) for k in range(len(self.domains))])), 1)
         powers = F.element_at(F.transform(F.array(scores), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s)))), 1)
         total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
         return F.element_at(F.transform(F.array(powers), lambda e: F.transform(e, lambda x: F.round(x / total(e), 6))), 1)
@@ -133,76 +139,57 @@ def classify(docs: DataFrame, labelled: DataFrame, domains: list[str], sample_ro
     return Classifier(domains, chosen, _fit_softmax(x, y, len(domains)).astype(float))
 
 
-def _along(posterior: Column, slopes: list[float]) -> Column:
-    table = _numbers([repr(x) for x in slopes], "double")
-    return F.aggregate(F.zip_with(posterior, table, lambda p, x: p * x), F.lit(0.0), lambda a, x: a + x)
-
-
-def _rate(posterior: Column, slopes: list[float]) -> Column:
-    """Rate of a document: from 1 down along the slopes of its domains, never under zero."""
-    return F.greatest(F.lit(0.0), 1.0 - _along(posterior, slopes)) if slopes else F.lit(1.0)
+def _rate(posterior: Column, steps: list[list[float]], rate: Column | None = None) -> Column:
+    """Rate of a document after the steps, from ``rate`` or 1, never under zero."""
+    rate = F.lit(1.0) if rate is None else rate
+    for step in steps:
+        rate = F.greatest(F.lit(0.0), rate - sum(F.element_at(posterior, k + 1) * F.lit(x) for k, x in enumerate(step)))
+    return rate
 
 
-def _best_step(slope: np.ndarray, miss: np.ndarray, curve: np.ndarray, slack: np.ndarray) -> np.ndarray:
-    """Slopes that maximise the quadratic model at ``slope`` less ``slack`` times their size, one coordinate at a time."""
-    new = slope.copy()
-    for _ in range(10_000):
-        moved = 0.0
-        for k in range(len(new)):
-            pull = miss[k] - curve[k] @ (new - slope) + curve[k, k] * new[k]
-            x = math.copysign(max(0.0, abs(pull) - slack[k]), pull) / curve[k, k]
-            moved, new[k] = max(moved, abs(x - new[k]) / max(1.0, abs(x))), x
-        if moved <= 1e-12:
-            break
-    return new
+def fit_steps(scored: DataFrame, targets: list[float], stages: Stages | None = None) -> list[list[float]]:
+    """Steps of the projected gradient after which the rates of ``scored`` (n_tokens, posterior) meet ``targets``.
 
-
-def fit_slopes(scored: DataFrame, targets: list[float]) -> list[float]:
-    """Slopes of the rates for ``scored`` (n_tokens, posterior) with which the shares of all tokens meet ``targets``.
-
-    Of all non-negative rates that meet each target within RELATIVE of it (a target of zero within ABSOLUTE),
-    those are sought that differ least from 1, in squares weighed by tokens. They are ``max(0, 1 - posterior *
-    slopes)``; the slopes maximise the dual, by Newton steps that end only when its projected gradient is within a
-    hundredth of each tolerance. EASE bounds the slopes of targets that cannot be met; those are reported by a warning.
+    Targets are shares of all tokens. A step is one number per domain; a rate falls by its posterior times these
+    and is cut off at zero. Steps end when every target is met within TOLERANCE, or when no step, however short,
+    brings the totals nearer in the metric of all rows: then a warning names the targets that cannot be met.
     """
     k = len(targets)
-    p = [F.col("posterior")[i] for i in range(k)]
+    stages = stages or Stages(scored.sparkSession, "rates")
     total = scored.agg(F.sum("n_tokens")).first()[0] or 0
     if not total:
         return []
     goal = np.array(targets, dtype=float)
-    slack = np.where(goal > 0, RELATIVE * goal, ABSOLUTE)
-
-    def dual(tried: list[np.ndarray]) -> np.ndarray:
-        def part(x: np.ndarray) -> Column:
-            return F.sum(F.col("n_tokens") * F.transform(F.array(_along(F.col("posterior"), x.tolist())), lambda a: F.when(a < 1, a - a * a / 2).otherwise(0.5))[0])
-
-        sums = np.array(scored.agg(*[part(x).alias(f"d{i}") for i, x in enumerate(tried)]).first(), dtype=float) / total
-        return sums - np.array([x @ goal + slack @ np.abs(x) + EASE / 2 * x @ x for x in tried])
+    slack = TOLERANCE * np.where(goal > 0, goal, 1.0)
+    p = [F.element_at("posterior", i + 1) for i in range(k)]
 
-    slope = np.zeros(k)
-    while True:
-        weighed = scored.select("posterior", "n_tokens", _rate(F.col("posterior"), slope.tolist()).alias("rate"))
-        sums = weighed.agg(
+    def sums(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Totals less the targets, and the products of posteriors over rows whose rate is not cut off."""
+        got = rows.agg(
             *[F.sum(F.col("n_tokens") * F.col("rate") * x) for x in p],
             *[F.sum(F.when(F.col("rate") > 0, F.col("n_tokens") * p[i] * p[j]).otherwise(0.0)) for i in range(k) for j in range(k)],
         ).first()
-        sums = np.array(sums, dtype=float) / total
-        miss, curve = sums[:k] - goal, sums[k:].reshape(k, k) + EASE * np.eye(k)
-        pull = miss - EASE * slope
-        left = np.where(slope == 0, np.maximum(0, np.abs(pull) - slack), np.abs(pull - np.sign(slope) * slack))
-        if (left <= slack / 100).all():
-            break
-        step = _best_step(slope, pull, curve, slack) - slope
-        tried = [slope] + [slope + step * 0.5**i for i in range(24)]
-        gains = dual(tried)
-        if np.argmax(gains) == 0:  # as far as double precision goes
-            break
-        slope = tried[int(np.argmax(gains))]
-    unmet = {i: round(goal[i] + miss[i], 6) for i in np.flatnonzero(np.abs(miss) > 1.05 * slack)}
+        got = np.array(got, dtype=float) / total
+        return got[:k] - goal, got[k:].reshape(k, k)
+
+    rows = scored.select("n_tokens", "posterior", F.lit(1.0).alias("rate"))
+    miss, curve = sums(rows)
+    metric, steps, since, length = np.linalg.pinv(curve, rcond=1e-9, hermitian=True), [], 0, 1.0
+    while (np.abs(miss) > slack).any() and length > 1e-4:
+        step = (length * np.linalg.pinv(curve, rcond=1e-9, hermitian=True) @ miss).tolist()
+        tried = rows.withColumn("rate", _rate(F.col("posterior"), [*steps[since:], step], F.col("rate")))
+        new_miss, new_curve = sums(tried)
+        if new_miss @ metric @ new_miss >= (1 - 1e-6) * (miss @ metric @ miss):
+            length /= 2
+            continue
+        steps.append(step)
+        miss, curve, length = new_miss, new_curve, min(1.0, 2 * length)
+        if len(steps) - since == WRITTEN:
+            rows, since = stages.write(tried, f"rates-{len(steps)}"), len(steps)
+    unmet = {i: round(float(goal[i] + miss[i]), 6) for i in np.flatnonzero(np.abs(miss) > slack)}
     if unmet:
         warnings.warn(f"targets {targets} cannot be met: shares by place of domain {unmet}", stacklevel=2)
-    return slope.tolist()
+    return steps
 
 
 def _copies(rate: Column, hash_: Column) -> Column:
@@ -243,8 +230,8 @@ def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Da
     model = classify(docs, labelled, domains)
     stages = Stages(docs.sparkSession, "mixing")
     scored = stages.write(_scored(docs, model, F.col("doc_id")), "scored")
-    slopes = fit_slopes(_merged(scored, stages), [targets[d] for d in domains])
-    rated = scored.withColumn("rate", F.round(_rate(F.col("posterior"), slopes), 6))
+    steps = fit_steps(_merged(scored, stages), [targets[d] for d in domains], stages)
+    rated = scored.withColumn("rate", F.round(_rate(F.col("posterior"), steps), 6))
     return rated.select("doc_id", "n_tokens", "posterior", "rate", _copies(F.col("rate"), F.col("hash")).alias("copies"))
 
 
@@ -256,9 +243,9 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
     domains = sorted(targets)
     model = classify(docs, labelled, domains)
     stages = Stages(docs.sparkSession, "mixing")
-    slopes = fit_slopes(_merged(_scored(docs, model), stages), [targets[d] for d in domains])
+    steps = fit_steps(_merged(_scored(docs, model), stages), [targets[d] for d in domains], stages)
     # bound in one expression: a column of posteriors would be computed again wherever it is used
-    rate = F.transform(F.array(_words("text")), lambda w: F.transform(F.array(model.posterior(w)), lambda p: F.round(_rate(p, slopes), 6))[0])
+    rate = F.transform(F.array(_words("text")), lambda w: F.transform(F.array(model.posterior(w)), lambda p: F.round(_rate(p, steps), 6))[0])
     copies = F.transform(rate, lambda r: _copies(r, F.col("_hash")))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "text", F.xxhash64("doc_id", "text").alias("_hash"))
     return rows.select("_row", F.explode(F.array_repeat(F.lit(0), copies[0].cast("int")))).select("_row.*")

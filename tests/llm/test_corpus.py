@@ -367,11 +367,36 @@ def test_mixing_meets_targets_after_the_stages_before(spark):
     assert all(abs(got - want) <= slack for got, want, slack in zip(sums, (0.99, 0.0, 0.01), (0.011, 0.0022, 0.00011), strict=True))
 
 
+def plain_rates(posteriors, steps):
+    rate = np.ones(len(posteriors))
+    for step in steps:
+        rate = np.maximum(0, rate - np.array(posteriors) @ np.array(step))
+    return rate
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_meets_targets_that_long_plain_descent_meets(spark, seed):
+    rng = np.random.default_rng(seed)
+    scores = rng.normal(size=(400, 3)) * 3 + np.array([2.0, -1.0, -2.0])
+    p = np.exp(scores) / np.exp(scores).sum(axis=1, keepdims=True)
+    n = rng.integers(1, 500, 400)
+    goal = np.array([[0.8, 0.05, 0.15], [0.97, 0.02, 0.01], [0.3, 0.3, 0.4]][seed])
+    steps = mixing.fit_steps(spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, posterior array<double>"), goal.tolist())
+    rate = plain_rates(p, steps)
+    shares = (n * rate) @ p / n.sum()
+    assert (rate >= 0).all() and (np.abs(shares - goal) <= 1e-3 * goal).all()
+    plain = np.ones(400)  # least squares by many short steps, without a metric
+    for _ in range(200_000):
+        plain = np.maximum(0, plain - 0.9 * p @ ((n * plain) @ p / n.sum() - goal))
+    assert (np.abs((n * plain) @ p / n.sum() - goal) <= 1e-3 * goal).all()
+    assert (n * (rate - 1) ** 2).sum() <= 1.5 * (n * (plain - 1) ** 2).sum()  # and it does not change rates much more
+
+
 def test_mixing_reports_targets_out_of_reach(spark):
     rows = [(10, [1.0, 0.0, 0.0]), (30, [0.4, 0.6, 0.0])]
     with pytest.warns(UserWarning, match="cannot be met"):
-        slopes = mixing.fit_slopes(spark.createDataFrame(rows, "n_tokens long, posterior array<double>"), [0.5, 0.3, 0.2])
-    rate = [max(0.0, 1 - float(np.dot(p, slopes))) for _, p in rows]
+        steps = mixing.fit_steps(spark.createDataFrame(rows, "n_tokens long, posterior array<double>"), [0.5, 0.3, 0.2])
+    rate = plain_rates([p for _, p in rows], steps)
     shares = [sum(n * r * p[k] for r, (n, p) in zip(rate, rows, strict=True)) / 40 for k in range(2)]
     assert abs(shares[0] - 0.5) < 0.0055 and abs(shares[1] - 0.3) < 0.0033
 
