@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .staging import Stages
+from .staging import Stages, fresh
 
 RATIO = 0.1
-MIN_PAGES = 5
+#: A line of a single page is that page's own, whatever its share of a small host.
+MIN_PAGES = 2
 
 _HASH = "struct(xxhash64(x) AS a, xxhash64('line', x) AS b)"
 
@@ -43,34 +44,36 @@ def boilerplate(docs: DataFrame, host: str, ratio: float, min_pages: int) -> Dat
     return often.groupBy("_host").agg(F.sort_array(F.collect_list("line")).alias("_drop"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, counts: bool = True) -> DataFrame:
     """Documents without the lines that more than ``ratio`` of their host's pages hold.
 
     ``docs`` has text and the ``host`` column; all columns stay, and n_lines (lines with more
-    than blanks) and n_dropped (such lines taken out) are added. Blank lines stay as they are.
-    A line is its exact text between line feeds. A host with fewer than ``min_pages`` pages
-    loses nothing. Null hosts count as the host of empty name. A null text stays null with
+    than blanks) and n_dropped (such lines taken out) are added, replacing columns of these
+    names, unless ``counts`` is false. Blank lines stay as they are.
+    A line is its exact text between line feeds. A line of fewer than ``min_pages`` pages stays.
+    Null hosts count as the host of empty name. A null text stays null with
     zero lines; a text that loses every line becomes empty or blank, and its row stays. Repeated
-    rows all stay. An empty table gives no rows. Columns of ``docs`` must not be named _host,
-    _drop, n_lines or n_dropped; those are replaced.
+    rows all stay, very long texts are handled whole. An empty table gives no rows.
     """
     stages = Stages(docs.sparkSession, "boilerplate")
     drops = stages.write(boilerplate(docs, host, ratio, min_pages), "lines")
-    columns = [c for c in docs.columns if c not in ("_host", "_drop", "n_lines", "n_dropped")]
+    site, gone, kept = (fresh(n, docs) for n in ("_host", "_drop", "_kept"))
+    columns = [c for c in docs.columns if not counts or c not in ("n_lines", "n_dropped")]
     rows = (
-        docs.select(*columns).withColumn("_host", F.coalesce(F.col(host).cast("string"), F.lit("")))
-        .join(drops, "_host", "left")
+        docs.select(*[F.col(f"`{c}`") for c in columns]).withColumn(site, F.coalesce(F.col(host).cast("string"), F.lit("")))
+        .join(drops.toDF(site, gone), site, "left")
     )
     keep = F.expr(
-        rf"filter(split(text, '\n'), x -> _drop IS NULL OR trim(x) = '' OR NOT array_contains(_drop, {_HASH}))"
+        rf"filter(split(text, '\n'), x -> {gone} IS NULL OR trim(x) = '' OR NOT array_contains({gone}, {_HASH}))"
     )
-    rows = rows.withColumn("_kept", keep)
-    before, after = F.size(_lines("text")), F.expr("size(filter(_kept, x -> trim(x) <> ''))")
+    rows = rows.withColumn(kept, keep)
+    text = [F.array_join(kept, "\n").alias(c) if c == "text" else F.col(f"`{c}`") for c in columns]
+    if not counts:
+        return rows.select(*text)
+    before, after = F.size(_lines("text")), F.expr(f"size(filter({kept}, x -> trim(x) <> ''))")
     none = F.col("text").isNull()
     return rows.select(
-        *[F.array_join("_kept", "\n").alias(c) if c == "text" else F.col(c) for c in columns],
-        F.when(none, 0).otherwise(before).cast("long").alias("n_lines"),
-        F.when(none, 0).otherwise(before - after).cast("long").alias("n_dropped"),
+        *text, F.when(none, 0).otherwise(before).cast("long").alias("n_lines"), F.when(none, 0).otherwise(before - after).cast("long").alias("n_dropped"),
     )
 
 

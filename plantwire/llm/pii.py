@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import fresh
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -112,26 +114,29 @@ def find(docs: DataFrame, kinds: list[Kind] = BASE + MORE) -> DataFrame:
     may overlap. A null or empty text has no spans. All rows and other columns stay; columns
     named ``pii_<kind>`` are replaced. An empty table gives no rows.
     """
-    rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    return rows.withColumns({f"pii_{k.name}": _spans(k, "_text") for k in kinds}).drop("_text")
+    text = fresh("_text", docs)
+    rows = docs.withColumn(text, F.coalesce("text", F.lit("")))
+    return rows.withColumns({f"pii_{k.name}": _spans(k, text) for k in kinds}).drop(text)
 
 
 def mask(docs: DataFrame, kinds: list[Kind] = BASE + MORE) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets.
 
     Spans are put in order of their start, longer first; one that begins inside an earlier
-    one is swallowed by it up to the farther end. A null text stays null; other columns stay.
+    one is swallowed by it up to the farther end. A null text stays null; other columns stay, but
+    for those named ``pii_<kind>``.
     """
     found = find(docs, kinds)
     names = [f"pii_{k.name}" for k in kinds]
     ordered = F.array_sort(F.flatten(F.array(*names)), lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(b["end"] - a["end"]))
-    rows = found.withColumn("_spans", ordered)
+    spans = fresh("_spans", found)
+    rows = found.withColumn(spans, ordered)
     masked = F.expr(
-        "aggregate(_spans, struct('' AS done, 0 AS at), (a, s) -> struct("
+        f"aggregate({spans}, struct('' AS done, 0 AS at), (a, s) -> struct("
         "if(s.start < a.at, a.done, concat(a.done, substr(text, a.at + 1, s.start - a.at), '<', s.kind, '>')) AS done, "
         "greatest(a.at, s.end) AS at), a -> concat(a.done, substr(text, a.at + 1)))"
     )
-    return rows.withColumn("text", F.when(F.col("text").isNotNull(), masked)).drop("_spans", *names)
+    return rows.withColumn("text", F.when(F.col("text").isNotNull(), masked)).drop(spans, *names)
 
 
 def joined(kinds: list[Kind]) -> Column:

@@ -13,6 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.scale import shared_dir
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """``name``, or a longer one that no column of the tables has, in any case."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 class Stages:
     """Folder of one job with named tables."""
 

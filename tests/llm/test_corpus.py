@@ -293,7 +293,7 @@ def test_code_finds_pairs_whatever_the_number_of_vectors(n):
 def test_line_dedup(spark, odd):
     pages = [(i, f"top line\nunique {i}\n\nbottom", "h") for i in range(8)] + [(20 + i, f"only {i}\ntop line", "g") for i in range(4)] + [(30, None, None)]
     got = {r.doc_id: r for r in boilerplate.drop_boilerplate(spark.createDataFrame(pages, "doc_id long, text string, source string")).collect()}
-    assert got[3].text == "unique 3\n" and got[3].n_dropped == 2 and got[21].text == "only 1\ntop line" and got[30].text is None
+    assert got[3].text == "unique 3\n" and got[3].n_dropped == 2 and got[21].text == "only 1" and got[30].text is None  # four pages are enough
     copies = [(i, "copied\npage", "h") for i in range(50)]
     kept = boilerplate.drop_boilerplate(spark.createDataFrame(copies, "doc_id long, text string, source string")).collect()
     assert {r.text for r in kept} == {"copied\npage"}
@@ -415,3 +415,24 @@ def test_pipeline(spark):
     assert rows and all(r.token_ids == library.encode(r.text) for r in rows)
     prints = {r.doc_id: plain_print(r.text) for r in rows}
     assert all((prints[a] ^ prints[b]).bit_count() > 3 for a in prints for b in prints if a < b)
+
+
+def test_columns_with_names_that_operators_use_stay(spark):
+    names = ["_text", "_spans", "_text_key", "_host", "_drop", "_kept", "n_lines", "n_dropped", "_row", "rate", "copies", "domain", "hash", "kept", "group"]
+    body = "some plain words of a text that goes on for a while so that nothing is short about it at all and mail to a@b.org now "
+    texts = ["menu | home\n" + body + f"number {i} " * 30 for i in range(5)] + [None, "", "menu | home\n" + "long " * 20_000]
+    rows = [(i % 7, t, "en", "s", 1, *[f"{n}-{i}" for n in names]) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    none = spark.createDataFrame([], "doc_id long, domain string")
+    results = [
+        pii.find(docs), pii.mask(docs), near_copies.drop_near_duplicates(docs), boilerplate.drop_boilerplate(docs, counts=False),
+        quality.keep_good(docs), mixing.mix(docs, none, {"a": 1.0}),
+    ]
+    for got in results:
+        assert got.columns[: len(docs.columns)] == docs.columns
+        kept = got.collect()
+        assert kept and all(r[n] == f"{n}-{r._row.split('-')[1]}" for r in kept for n in names)
+    assert not any("menu" in (r.text or "") for r in results[3].collect())
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns == results[0].columns[: len(docs.columns)] and stage(spark, docs.limit(0), SF).count() == 0
