@@ -286,13 +286,13 @@ def credential_findings(matches: DataFrame) -> DataFrame:
 # --- the full run -----------------------------------------------------------------------------
 
 
-def attack_findings(s: Snapshot, servers: DataFrame, seen: DataFrame) -> DataFrame:
+def attack_findings(s: Snapshot, servers: DataFrame, seen: DataFrame, io_writes: int = 500) -> DataFrame:
     return _union(
         R.t0855_modbus_writes(s), R.t0814_modbus_diagnostics(s), R.t0856_dnp3_unsolicited(s),
         R.t0846_remote_discovery(s), R.enip_rules(s), R.s7_rules(s), R.bacnet_rules(s), R.iec104_rules(s),
         R.flat_network(s.assets), R.cleartext_ot(s.connections), R.internet_exposed_ot(s.assets),
         R.t0822_external_remote(s), R.t0867_lateral_transfer(s), R.t0885_uncommon_port(s.connections),
-        R.t0849_masquerading(s.connections), R.t0868_operating_mode(s), R.t0806_brute_force_io(s),
+        R.t0849_masquerading(s.connections), R.t0868_operating_mode(s), R.t0806_brute_force_io(s, io_writes),
         R.t0802_automated_collection(s), R.t0861_point_tag_scan(s), R.t0840_connection_enumeration(s),
         R.t0803_block_command(s), R.t0804_block_reporting(s), R.t0881_service_stop(s, servers),
         R.t0864_transient_asset(s, seen), R.t0830_aitm(s), R.t0884_connection_proxy(s),
@@ -300,7 +300,7 @@ def attack_findings(s: Snapshot, servers: DataFrame, seen: DataFrame) -> DataFra
     )
 
 
-def run_full_analysis(s: Snapshot, servers: DataFrame, seen: DataFrame) -> dict[str, DataFrame]:
+def run_full_analysis(s: Snapshot, servers: DataFrame, seen: DataFrame, io_writes: int = 500) -> dict[str, DataFrame]:
     """All rules over one snapshot: findings, assignments and anomalies.
 
     Pass ``snapshot.staged()`` so that the rules share written tables.
@@ -310,7 +310,7 @@ def run_full_analysis(s: Snapshot, servers: DataFrame, seen: DataFrame) -> dict[
     role_a, role_f = role_reversal(s)
     pub_a, pub_f = unexpected_public_ip(s.assets)
     findings = _union(
-        attack_findings(s, servers, seen), purdue_violations(s.connections, assignments), poll_f, role_f, pub_f
+        attack_findings(s, servers, seen, io_writes), purdue_violations(s.connections, assignments), poll_f, role_f, pub_f
     )
     return {
         "findings": findings,

@@ -333,12 +333,28 @@ def t0861_point_tag_scan(s: Snapshot) -> DataFrame:
 
 
 def t0840_connection_enumeration(s: Snapshot, threshold: int = 10) -> DataFrame:
-    rows = (
-        s.connections.filter(F.col("dst_port").isin(*C.OT_PORTS))
+    """Sources of many OT ports; where the context names no ports, sources of many hosts on OT ports.
+
+    Distinct hosts are counted in two levels, over parts of a source first, so that a scanner of
+    very many hosts is no single group.
+    """
+    ports = context_of(s)["src_ports"]
+    none_known = ports.agg(F.count("*")).scalar() == 0
+    swept = (
+        ports.filter(F.col("dst_port").isin(*C.OT_PORTS))
         .groupBy("src_ip").agg(F.countDistinct("dst_port").alias("ports")).filter(F.col("ports") >= threshold)
     )
-    return attack(rows, "high", text("OT port sweep by %s (%d OT ports)", "src_ip", "ports"),
-                  text("%d distinct OT ports", "ports"), "T0840", "src_ip")
+    hosts = (
+        s.connections.filter(F.col("dst_port").isin(*C.OT_PORTS)).select("src_ip", "dst_ip").distinct()
+        .groupBy("src_ip", F.pmod(F.xxhash64("dst_ip"), F.lit(64)).alias("_part")).agg(F.count("*").alias("hosts"))
+        .groupBy("src_ip").agg(F.sum("hosts").alias("hosts")).filter((F.col("hosts") >= threshold) & none_known)
+    )
+    return _union(
+        attack(swept, "high", text("OT port sweep by %s (%d OT ports)", "src_ip", "ports"),
+               text("%d distinct OT ports", "ports"), "T0840", "src_ip"),
+        attack(hosts, "high", text("OT host sweep by %s (%d hosts)", "src_ip", "hosts"),
+               text("%d distinct hosts on OT ports", "hosts"), "T0840", "src_ip"),
+    )
 
 
 def t0803_block_command(s: Snapshot) -> DataFrame:

@@ -14,7 +14,7 @@ from ..functions import columns as X
 from ..functions.scale import connected_components
 from .assess import assess_criticality
 from .findings import text
-from .similarity import average_group_similarity, communities
+from .similarity import average_group_similarity, communities, sketched_group_similarity
 
 UNCLASSIFIED = "Unclassified Zone"
 DMZ = "DMZ Zone"
@@ -144,18 +144,20 @@ def asset_roles(profiles: DataFrame, observed: DataFrame) -> DataFrame:
 
 def policy_groups(
     profiles: DataFrame, observed: DataFrame, sets: DataFrame, vendor_max: float = 0.3, hot: int = 200,
-    min_sim: float = 0.6,
+    min_sim: float = 0.6, hashes: int | None = None,
 ) -> DataFrame:
     """Group of every asset: ip, group_name, purdue_level, category, security_level, criticality.
 
     Level and role make a group; it is split by vendor only if every pair of vendors in
     it is less similar than ``vendor_max`` on average. Assets without a level fall into
-    communities of similar neighbours.
+    communities of similar neighbours. With ``hashes``, vendors are compared by sketches of so many
+    hash functions, linear in the assets, instead of exactly.
     """
     roles = asset_roles(profiles, observed)
     base = F.concat_ws("-", F.concat(F.lit("L"), F.col("purdue_level").cast("string")), "role")
     roles = roles.withColumn("grp", base)
-    similar = average_group_similarity(roles.select("grp", F.col("vendor").alias("part"), "ip"), sets, hot)
+    parts = roles.select("grp", F.col("vendor").alias("part"), "ip")
+    similar = average_group_similarity(parts, sets, hot) if hashes is None else sketched_group_similarity(parts, sets, hashes)
     split = similar.groupBy("grp").agg((F.max("similarity") < vendor_max).alias("_split"))
     named = roles.join(split, "grp", "left").select(
         "ip", F.when(F.coalesce("_split", F.lit(False)), F.concat_ws("-", "grp", "vendor")).otherwise(F.col("grp"))

@@ -115,20 +115,81 @@ def average_group_similarity(groups: DataFrame, sets: DataFrame, hot: int = 200)
     )
 
 
-def similar_pairs(ips: DataFrame, sets: DataFrame, min_sim: float = 0.6) -> DataFrame:
+#: Modulus of the sketch's hash functions, a prime, so that any two peers swap ranks as often as not.
+SKETCH_PRIME = (1 << 31) - 1
+
+
+def sketch_factors(hashes: int) -> list[tuple[int, int]]:
+    """Factor and offset of each hash function, by a rule any engine can follow."""
+    return [(1 + (i * i * 40503 + i * 2654435) % (SKETCH_PRIME - 1), (i * 1640531527 + 12345) % SKETCH_PRIME) for i in range(1, hashes + 1)]
+
+
+def minhash_sketch(sets: DataFrame, hashes: int) -> DataFrame:
+    """Smallest hash of each member's peers for every hash function: ip, i, v.
+
+    Two members have the same v with a probability equal to their Jaccard similarity. The
+    smallest is taken before the shuffle, so a device with very many peers is no large group.
+    """
+    number = F.conv(F.substring(F.md5("peer"), 1, 7), 16, 10).cast("bigint")
+    functions = F.array(*[F.struct(F.lit(a).cast("bigint").alias("a"), F.lit(b).cast("bigint").alias("b")) for a, b in sketch_factors(hashes)])
+    hashed = sets.select("ip", number.alias("x")).select(
+        "ip", F.posexplode(F.transform(functions, lambda f: (f["a"] * F.col("x") + f["b"]) % SKETCH_PRIME)).alias("i", "h")
+    )
+    return hashed.groupBy("ip", "i").agg(F.min("h").alias("v"))
+
+
+def sketched_group_similarity(groups: DataFrame, sets: DataFrame, hashes: int = 256) -> DataFrame:
+    """Mean Jaccard over all pairs of members of two parts of a group, estimated without pairs.
+
+    ``groups``: grp, part, ip. Returns grp, part_a, part_b (a < b), similarity. For one hash
+    function the share of pairs with equal smallest hash is the sum over hash values of the
+    members of one part times those of the other; its mean over the functions estimates the
+    mean similarity with a standard error of at most 0.5 / sqrt(hashes). The work is linear in
+    the members: ``hashes`` rows each, however large their group. Members without peers are
+    alike among themselves and unlike all others. Parts of a group meet in the result only.
+    """
+    values = groups.select("grp", "part", "ip").join(minhash_sketch(sets, hashes), "ip", "left")
+    every = F.sequence(F.lit(0), F.lit(hashes - 1))
+    values = values.withColumn("i", F.explode(F.when(F.col("i").isNull(), every).otherwise(F.array("i"))))
+    counted = stage(values.groupBy("grp", "i", F.coalesce("v", F.lit(-1)).alias("v"), "part").agg(F.count("*").alias("m")), "sketches")
+    size = groups.groupBy("grp", "part").agg(F.countDistinct("ip").alias("m"))
+
+    def meet(table: DataFrame, *keys: str) -> DataFrame:
+        a = table.select(*keys, F.col("part").alias("part_a"), F.col("m").alias("m_a"))
+        b = table.select(*keys, F.col("part").alias("part_b"), F.col("m").alias("m_b"))
+        return a.join(b, list(keys)).filter("part_a < part_b")
+
+    both = meet(counted, "grp", "i", "v").groupBy("grp", "part_a", "part_b").agg(F.sum(F.col("m_a") * F.col("m_b")).alias("equal"))
+    return meet(size, "grp").join(both, ["grp", "part_a", "part_b"], "left").select(
+        "grp", "part_a", "part_b", (F.coalesce("equal", F.lit(0)) / (F.col("m_a") * F.col("m_b") * hashes)).alias("similarity")
+    )
+
+
+def similar_pairs(ips: DataFrame, sets: DataFrame, min_sim: float = 0.6, crowd: int = 1000) -> DataFrame:
     """Pairs of distinct neighbour sets with similarity above ``min_sim``: (a, b) by the
-    smallest address of each set.
+    smallest address of each set, and their similarity."""
+    candidates = candidate_pairs(ips, sets, min_sim, crowd)
+    return jaccard_similarity(sets, candidates).filter(F.col("similarity") > min_sim)
+
+
+def candidate_pairs(ips: DataFrame, sets: DataFrame, min_sim: float = 0.6, crowd: int = 1000) -> DataFrame:
+    """Pairs (a, b) among which all pairs of distinct sets more similar than ``min_sim`` are.
 
-    Prefix filter: two sets can only be that similar if they share one of their rarest
-    peers, so only those are joined; candidates of unsuitable size are dropped and the
-    rest verified on the full sets.
+    Devices with equal sets are one set. Two sets can only be that similar if they share one of
+    their rarest peers (prefix filter), their sizes lie within that ratio, and enough peers of each
+    are no rarer than the first one they share (position filter). Sizes are cut in bands of that
+    ratio, which the join matches on, and the other two are conditions of the join, so that sets
+    that cannot be alike never become rows. A peer in more than ``crowd`` prefixes of a band deals
+    its sets over salts on one side and copies those of the other side to all salts, so that none of
+    its groups is large. Callers verify what is left on the full sets.
     """
+    from pyspark.sql.window import Window
+
     sig = _signatures(sets.join(ips.select("ip"), "ip", "left_semi"))
     lead = stage(sig.groupBy("sig", "n").agg(F.min("ip").alias("ip")), "leads")
     tokens = lead.join(sets, "ip").select("ip", "n", "peer")
     freq = tokens.groupBy("peer").agg(F.count("*").alias("f"))
     tokens = stage(tokens.join(freq, "peer"), "prefix")
-    from pyspark.sql.window import Window
 
     # Peers of a set in order of rarity, by frequency class rather than one by one.
     per_class = tokens.groupBy("ip", "n", "f").agg(F.count("*").alias("c"))
@@ -136,17 +197,28 @@ def similar_pairs(ips: DataFrame, sets: DataFrame, min_sim: float = 0.6) -> Data
     length = F.col("n") - F.ceil(F.col("n") * F.lit(min_sim)) + 1
     chosen = (
         per_class.withColumn("b", F.coalesce(F.sum("c").over(before), F.lit(0))).filter(F.col("b") < length)
-        .select("ip", "f")
+        .select("ip", "f", "b")
     )
-    prefix = tokens.join(chosen, ["ip", "f"]).select("ip", "n", "peer")
-    a = prefix.select(F.col("ip").alias("a"), F.col("n").alias("na"), "peer")
-    b = prefix.select(F.col("ip").alias("b"), F.col("n").alias("nb"), "peer")
-    candidates = (
-        a.join(b, "peer").filter("a < b")
-        .filter(F.least("na", "nb") > F.lit(min_sim) * F.greatest("na", "nb"))
-        .select("a", "b").distinct()
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / min_sim)))
+    # ``rest``: peers of the set from this frequency class on, all that two sets whose rarest common peer it is can share
+    prefix = tokens.join(chosen, ["ip", "f"]).select("ip", "n", "peer", (F.col("n") - F.col("b")).alias("rest"), band.alias("band"))
+    crowds = prefix.groupBy("peer", "band").agg(F.ceil(F.count("*") / crowd).cast("int").alias("salts"))
+    prefix = stage(prefix.join(crowds, ["peer", "band"]), "dealt")
+    # a set meets those of its own band, of which it is the larger address, and all of the band below
+    met = crowds.select(F.col("peer").alias("pb"), F.col("band").alias("bb"), F.col("salts").alias("copies"))
+    b = prefix.select(
+        F.col("ip").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("peer").alias("pb"), F.col("band").alias("own"),
+        F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("bb"),
     )
-    return jaccard_similarity(sets, candidates).filter(F.col("similarity") > min_sim)
+    b = b.join(met, ["pb", "bb"]).withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    a = prefix.select(
+        F.col("ip").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("peer").alias("pa"), F.col("band").alias("ba"),
+        F.pmod(F.xxhash64("ip"), F.col("salts")).cast("int").alias("sa"),
+    )
+    return a.join(b, F.expr(
+        "pa = pb AND ba = bb AND sa = sb AND (own > ba OR a < b) "
+        f"AND least(na, nb) > {min_sim}D * greatest(na, nb) AND least(ra, rb) * {1 + min_sim}D > {min_sim}D * (na + nb) - 1e-9D"
+    )).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def communities(ips: DataFrame, sets: DataFrame, min_sim: float = 0.6) -> DataFrame:

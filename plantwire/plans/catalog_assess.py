@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..operators import analysis as A
 from ..operators import assess as E
 from ..operators import drift as B
 from ..operators import segmentation as Z
 from ..operators import similarity as J
 from ..operators import topology as G
-from .catalog_findings import _FEW, few_findings, switch_site
+from .catalog_findings import found_sql, run_of, switch_site
 from .catalog_traffic import _LLDP, lldp_rows, packets_with_props
-from .registry import AFTER, BEFORE, joined, on_site, query, sql_joined, us
+from .registry import AFTER, BEFORE, SQL, joined, on_site, query, sql_joined, us
 from .site import SQL_SETS, Site
 
 # --- assessments ---------------------------------------------------------------------------
@@ -81,28 +82,81 @@ def _(s):
 _NO_ASSET = "none"
 
 
-@on_site("e6_compliance_report", f"""WITH {_FEW}, f AS (SELECT count(*) FILTER (WHERE finding_type = 'purdue_violation') AS v, count(*) FILTER (WHERE finding_type = 'attack_technique') AS a,
-    count(*) FILTER (WHERE finding_type = 'attack_technique' AND severity = 'critical') AS c FROM few2), n AS (SELECT count(*) AS n, count(*) FILTER (WHERE device_type <> 'unknown') AS t FROM ass),
-    x AS (SELECT count(*) FILTER (WHERE src_ip = '203.0.113.4' OR dst_ip = '203.0.113.4') AS ext, string_agg(DISTINCT protocol, ', ' ORDER BY protocol) FILTER (WHERE protocol IN {SQL_SETS['ICS']}) AS p FROM cn)
-    SELECT 'iec62443' AS framework, r.id AS requirement_id, r.name AS requirement_name, r.status, CASE r.kind WHEN 'seg' THEN f.v || ' cross-zone violations'
-    WHEN 'creds' THEN 'no matches across ' || n.n || ' assets' WHEN 'clear' THEN 'unencrypted OT protocols: ' || x.p WHEN 'attack' THEN f.a || ' findings, ' || f.c || ' critical, 0 high'
-    WHEN 'inv' THEN n.t || ' of ' || n.n || ' devices typed' WHEN 'lvl' THEN n.n || ' of ' || n.n || ' devices leveled' WHEN 'ext' THEN x.ext || ' connections with public addresses'
-    ELSE 'redundancy unknown' END AS evidence FROM f, n, x, (VALUES ('SR 5.1', 'Network Segmentation', 'partial', 'seg'), ('SR 5.2', 'Zone Boundary Protection', 'gap', 'seg'),
-    ('SR 1.1', 'Human User Identification and Authentication', 'met', 'creds'), ('SR 4.1', 'Information Confidentiality', 'gap', 'clear'),
-    ('SR 3.3', 'Security Functionality Verification', 'gap', 'attack'), ('FR 1', 'Identification and Authentication', CASE WHEN (SELECT t * 100 // n FROM n) >= 80 THEN 'met' ELSE 'partial' END, 'inv'),
-    ('SR 5.1 (Purdue)', 'Purdue Model Zone Assignment', 'met', 'lvl'), ('SR 1.13', 'Access via Untrusted Networks', 'partial', 'ext'),
-    ('SR 7.1', 'Denial of Service Protection', 'not_assessed', 'ring')) r(id, name, status, kind)""")
-def _(s):
-    return E.compliance_report(few_findings(s), s.leveled, s.connections, "iec62443")
+def _status_sql() -> str:
+    """One row per check: check_type, status, evidence, from the counts in ``facts``."""
+
+    def check(name: str, *cases: tuple[str, str, str], otherwise: tuple[str, str]) -> str:
+        status = " ".join(f"WHEN {cond} THEN '{state}'" for cond, state, _ in cases)
+        why = " ".join(f"WHEN {cond} THEN {text}" for cond, _, text in cases)
+        return f"SELECT '{name}' AS check_type, CASE {status} ELSE '{otherwise[0]}' END AS status, CASE {why} ELSE {otherwise[1]} END AS evidence FROM facts"
+
+    none, quiet = ("assets = 0", "not_assessed", "'no asset data'"), ("conns = 0", "not_assessed", "'no connection data'")
+    typed, leveled = "typed || ' of ' || assets || ' devices typed'", "leveled || ' of ' || assets || ' devices leveled'"
+    share = "{0} * 100 // greatest(assets, 1) >= {1}"
+    return " UNION ALL ".join([
+        check("flat_network", ("flat > 0", "gap", "flat || ' flat network findings'"), ("violations > 0", "partial", "violations || ' cross-zone violations'"), none,
+              otherwise=("met", "'no flat network across ' || assets || ' assets'")),
+        check("purdue_violations", ("violations > 0", "gap", "violations || ' cross-zone violations'"), none, otherwise=("met", "assets || ' assets analyzed'")),
+        check("default_creds", ("defaults > 0", "gap", "defaults || ' devices with default credentials'"), none, otherwise=("met", "'no matches across ' || assets || ' assets'")),
+        check("cleartext_ot", ("clear > 0", "gap", "'cleartext OT protocols in ' || ot_conns || ' connections'"),
+              ("ot_conns > 0", "gap", "'unencrypted OT protocols: ' || ot_names"), quiet, otherwise=("met", "'no unencrypted OT traffic'")),
+        check("attack_findings", ("attacks > 0", "gap", "attacks || ' findings, ' || critical || ' critical, ' || high || ' high'"), none,
+              otherwise=("met", "assets || ' assets, ' || conns || ' connections analyzed'")),
+        check("device_inventory", none, (share.format("typed", 80), "met", typed), otherwise=("partial", typed)),
+        check("purdue_assigned", none, (share.format("leveled", 90), "met", leveled), (share.format("leveled", 50), "partial", leveled), otherwise=("gap", leveled)),
+        check("external_access", ("remote > 0", "gap", "remote || ' remote access findings'"), ("external > 0", "partial", "external || ' connections with public addresses'"), quiet,
+              otherwise=("met", "'no external access seen'")),
+        check("redundancy", ("no_ring > 0", "gap", "'no redundancy protocol seen'"), ("ring > 0", "met", "'redundancy protocol seen'"), otherwise=("not_assessed", "'redundancy unknown'")),
+        check("internet_exposure", ("exposed > 0", "gap", "exposed || ' exposure findings'"), ("public_ot > 0", "gap", "public_ot || ' OT devices with public addresses'"), none,
+              otherwise=("met", "'no exposure across ' || assets || ' assets'")),
+    ])
+
+
+def _compliance_sql(findings: str, frameworks: tuple[str, ...]) -> str:
+    """The report over ``findings`` (finding_type, severity, title, technique_id) and the labelled site."""
+    rows = ", ".join(f"('{f}', '{i}', '{n}', '{c}')" for f, i, n, c in C.COMPLIANCE_REQUIREMENTS if f in frameworks)
+
+    def titled(*words: str) -> str:
+        return " OR ".join(f"contains(lower(title), '{w}')" for w in words)
+
+    counts = {
+        "flat": f"{titled('flat network')} OR technique_id = 'T0869'", "violations": "finding_type = 'purdue_violation'",
+        "defaults": titled("default credential", "default password"), "clear": titled("cleartext", "unencrypted ot"),
+        "attacks": "finding_type = 'attack_technique'", "critical": "finding_type = 'attack_technique' AND severity = 'critical'",
+        "high": "finding_type = 'attack_technique' AND severity = 'high'", "remote": f"technique_id = 'T0822' OR {titled('remote access', 'external remote')}",
+        "no_ring": titled("no redundancy"), "ring": titled("redundancy", "mrp", "rstp", "hsr", "prp", "dlr"), "exposed": titled("internet", "public ip"),
+    }
+    ics = SQL_SETS["ICS"]
+    return f"""WITH all_found AS ({findings}),
+    f AS (SELECT {", ".join(f"count(*) FILTER ({cond}) AS {name}" for name, cond in counts.items())} FROM all_found),
+    a AS (SELECT count(*) AS assets, count(*) FILTER (device_type <> 'unknown') AS typed, count(level) AS leveled,
+        count(*) FILTER (is_public AND (level <= 3 OR list_has_any(protocols, [{ics[1:-1]}]))) AS public_ot FROM assm JOIN lvm USING (ip, device_type)),
+    c AS (SELECT count(*) AS conns, count(*) FILTER (protocol IN {ics}) AS ot_conns, coalesce(string_agg(DISTINCT protocol, ', ' ORDER BY protocol) FILTER (protocol IN {ics}), '') AS ot_names,
+        count(*) FILTER (src_ip IN (SELECT ip FROM assm WHERE is_public) OR dst_ip IN (SELECT ip FROM assm WHERE is_public)) AS external FROM cnm),
+    facts AS (SELECT * FROM f, a, c), checks AS ({_status_sql()})
+    SELECT framework, requirement_id, requirement_name, status, evidence FROM (VALUES {rows}) r(framework, requirement_id, requirement_name, check_type) JOIN checks USING (check_type)"""
+
+
+_KINDS = "SELECT finding_type, severity, title, technique_id FROM ({})"
+
+
+@query("e6_compliance_report", _compliance_sql(_KINDS.format(found_sql()), ("iec62443",)))
+def _(spark, d):
+    run = run_of(spark, d)
+    return E.compliance_report(run["findings"], run["site"].leveled, run["site"].connections, "iec62443")
+
 
+_SWITCH_KINDS = f"""SELECT 'attack_technique' AS finding_type, severity, title, '' AS technique_id FROM ({SQL["f39_switch_security"]})
+    UNION ALL SELECT 'attack_technique', 'critical', 'Default credential match on ' || ip, '' FROM ass WHERE vendor = 'Moxa'"""
 
-@query("e6_compliance_report_all_frameworks")
+
+@query("e6_compliance_report_all_frameworks", _compliance_sql(f"{_KINDS.format(found_sql())} UNION ALL {_SWITCH_KINDS}", ("iec62443", "nist80082", "nerccip")))
 def _(spark, d):
-    s = Site(spark, d)
-    assets, vlans, ring, defaults = switch_site(s)
+    run = run_of(spark, d)
+    assets, vlans, ring, defaults = switch_site(Site(spark, d))
     found = A.switch_findings(A.switch_security(assets, vlans, ring, defaults)).unionByName(A.credential_findings(defaults))
-    found = found.unionByName(few_findings(s))
-    parts = [E.compliance_report(found, s.leveled, s.connections, f) for f in ("iec62443", "nist80082", "nerccip")]
+    found = found.unionByName(run["findings"])
+    parts = [E.compliance_report(found, run["site"].leveled, run["site"].connections, f) for f in ("iec62443", "nist80082", "nerccip")]
     return parts[0].union(parts[1]).union(parts[2])
 
 
@@ -371,6 +425,19 @@ def _(s):
     return J.average_group_similarity(groups, s.neighbors, hot=5).withColumn("similarity", F.round("similarity", 6))
 
 
+_HASHES = 64
+_SKETCH = f"""fn AS (SELECT i, 1 + (i * i * 40503 + i * 2654435) % {J.SKETCH_PRIME - 1} AS a, (i * 1640531527 + 12345) % {J.SKETCH_PRIME} AS b FROM range(1, {_HASHES + 1}) t(i)),
+    sk AS (SELECT ip, i, min((a * x + b) % {J.SKETCH_PRIME}) AS v FROM (SELECT ip, CAST('0x' || left(md5(peer), 7) AS BIGINT) AS x FROM nbw), fn GROUP BY 1, 2)"""
+
+
+@on_site("z3_sketched_similarity", f"""WITH {_SKETCH}, mem AS (SELECT ip, device_type AS grp, vendor AS part FROM assw WHERE vendor IS NOT NULL)
+    SELECT x.grp, x.part AS part_a, y.part AS part_b, round(count(*) FILTER (p.v = q.v) / CAST(count(*) AS DOUBLE), 6) AS similarity
+    FROM mem x JOIN mem y ON x.grp = y.grp AND x.part < y.part JOIN sk p ON p.ip = x.ip JOIN sk q ON q.ip = y.ip AND q.i = p.i GROUP BY 1, 2, 3""", "wide")
+def _(s):
+    groups = s.assets.filter("vendor IS NOT NULL").select(F.col("device_type").alias("grp"), F.col("vendor").alias("part"), F.col("ip_address").alias("ip"))
+    return J.sketched_group_similarity(groups, s.neighbors, _HASHES).withColumn("similarity", F.round("similarity", 6))
+
+
 @on_site("z4_policy_groups", "SELECT group_name, coalesce(CAST(level AS VARCHAR), 'none') AS purdue_level, category, security_level, criticality, member_count FROM gt")
 def _(s):
     return Z.group_table(s.groups).select(

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..operators import analysis as A
 from ..operators import attack_rules as R
 from ..operators import findings as N
 from ..operators import topology as G
 from ..operators import traffic
+from ..operators.patterns import device_first_last_seen
 from .catalog_traffic import lldp_rows, packets_with_props, redundancy_rows
-from .registry import joined, on_site, query, shown_findings, sql_finding, sql_joined
-from .site import SQL_SETS, Site
+from .registry import SITES, SQL, at_site, joined, on_site, query, shown_findings, sql_finding, sql_joined
+from .site import SQL_SETS, LabelledSite, Site, shared
 
 _OTP, _OTT, _ICS = SQL_SETS["OTP"], SQL_SETS["OTT"], SQL_SETS["ICS"]
 
@@ -343,6 +345,17 @@ rule("f20_t0840_connection_enumeration", S(R.t0840_connection_enumeration), sql_
     "'high'", "'OT port sweep by ' || src_ip || ' (' || n || ' OT ports)'", "T0840", "src_ip", "n || ' distinct OT ports'",
     f"(SELECT src_ip, count(DISTINCT dst_port) AS n FROM cnw WHERE dst_port IN {_OTP} GROUP BY src_ip HAVING count(DISTINCT dst_port) >= 10)"), "wide")
 
+def without_ports(s):
+    """The snapshot with a context that knows no ports, as an import without them gives."""
+    snap = s.snapshot
+    N.context_of(snap)["src_ports"] = snap.connections.select("src_ip", "dst_port").limit(0)
+    return R.t0840_connection_enumeration(snap)
+
+
+rule("f20_host_sweep", without_ports, sql_finding(
+    "'high'", "'OT host sweep by ' || src_ip || ' (' || n || ' hosts)'", "T0840", "src_ip", "n || ' distinct hosts on OT ports'",
+    f"(SELECT src_ip, count(DISTINCT dst_ip) AS n FROM cnw WHERE dst_port IN {_OTP} GROUP BY src_ip HAVING count(DISTINCT dst_ip) >= 10)"), "wide")
+
 rule("f21_t0803_block_command", S(R.t0803_block_command), sql_finding(
     "'medium'", "'PLC/RTU ' || ip || ' receiving no OT commands'", "T0803", "ip", "ip || ' has traffic but no inbound OT-port connection'",
     f"ass WHERE device_type IN ('plc','rtu') AND ip NOT IN (SELECT dst_ip FROM cn WHERE dst_port IN {_OTP})"))
@@ -374,10 +387,10 @@ rule("f26_t0884_connection_proxy", S(R.t0884_connection_proxy), sql_finding(
     INTERSECT SELECT dst_ip, dst_port FROM cn WHERE dst_port IN {_OTP}) GROUP BY ip) JOIN ass USING (ip) WHERE device_type NOT IN {_OTT}"""))
 
 rule("f27_t0866_remote_exploitation", S(R.t0866_remote_exploitation), sql_finding(
-    "'high'", "CASE WHEN src_ip = '203.0.113.4' THEN 'External' ELSE 'Non-OT' END || ' host ' || src_ip || ' connecting to OT device ' || dst_ip || ' (port ' || dst_port || ')'",
+    "'high'", "CASE WHEN src_ip IN (SELECT ip FROM ass WHERE is_public) THEN 'External' ELSE 'Non-OT' END || ' host ' || src_ip || ' connecting to OT device ' || dst_ip || ' (port ' || dst_port || ')'",
     "T0866", "src_ip || ',' || dst_ip", f"{_SERVICE} || ', ' || n || ' packets'",
     """(SELECT src_ip, dst_ip, dst_port, CAST(sum(packet_count) AS BIGINT) AS n FROM cn WHERE dst_port IN (22, 23, 80, 443, 3389)
-    AND dst_ip IN (SELECT ip FROM oti) AND (src_ip = '203.0.113.4' OR src_ip NOT IN (SELECT ip FROM oti)) GROUP BY 1, 2, 3)"""))
+    AND dst_ip IN (SELECT ip FROM oti) AND (src_ip IN (SELECT ip FROM ass WHERE is_public) OR src_ip NOT IN (SELECT ip FROM oti)) GROUP BY 1, 2, 3)"""))
 
 _FIELD = """(SELECT src_ip AS ip, count(DISTINCT dst_ip) AS n FROM cnw WHERE dst_ip IN (SELECT ip FROM assw WHERE device_type IN ('plc','rtu')) GROUP BY src_ip)"""
 rule("f28_t0800_firmware_mode", S(R.t0800_firmware_mode), " UNION ALL ".join(sql_finding(
@@ -520,63 +533,107 @@ def _(s):
     return A.switch_security(*switch_site(s))
 
 
-def full_run(s: Site):
-    snap = s.snapshot.staged()
-    return snap, A.run_full_analysis(snap, traffic.server_ips(snap.connections), N_seen(snap))
+#: The queries whose rows together are the findings of a run, and those of its anomalies.
+RULES = [
+    "f1_t0855_modbus_writes", "f2_t0814_modbus_diagnostics", "f3_t0856_dnp3_unsolicited", "f4_t0846_remote_discovery", "f5_enip_rules",
+    "f6_s7_rules", "f7_iec104_rules", "f8_bacnet_rules", "f9_flat_network", "f10_cleartext_ot", "f11_internet_exposed_ot",
+    "f12_t0822_external_remote", "f13_t0867_lateral_transfer", "f14_t0885_uncommon_port", "f15_t0849_masquerading", "f16_t0868_operating_mode",
+    "f17_t0806_brute_force_io", "f18_t0802_automated_collection", "f19_t0861_point_tag_scan", "f20_t0840_connection_enumeration",
+    "f21_t0803_block_command", "f22_t0804_block_reporting", "f23_t0881_service_stop", "f24_t0864_transient_asset", "f25_t0830_aitm",
+    "f26_t0884_connection_proxy", "f27_t0866_remote_exploitation", "f28_t0800_firmware_mode", "f29_t0801_monitor_state",
+    "f31_polling_deviation_findings", "f32_role_reversal_findings", "f33_unexpected_public_ip", "f35_purdue_violations",
+]
+ANOMALIES = ["f31_polling_deviation", "f32_role_reversal", "f33_unexpected_public_ip_anomalies"]
+#: Write commands from which a writer counts as heavy on the derived traffic (as in f17).
+HEAVY = 100
+#: The site with a sensor's labels, where most rules fire; the others complete them.
+RUN_SITES = {"": "m", "_wide": "w", "_flat": "f", "_replay": "r"}
 
 
-def N_seen(snap):
-    from ..operators.patterns import device_first_last_seen
+def run_of(spark, sf_dir: str, suffix: str = "m") -> dict:
+    """Tables of a full run over a site, written once per application."""
+    site = LabelledSite(spark, sf_dir) if suffix == "m" else Site(spark, sf_dir, SITES[suffix][0])
+    site.label = suffix
 
-    return device_first_last_seen(snap.stats)
+    def build(name):
+        if not hasattr(site, "_run"):
+            snap = site.snapshot.staged()
+            site._run = A.run_full_analysis(snap, traffic.server_ips(snap.connections), device_first_last_seen(snap.stats), io_writes=HEAVY)
+        return site._run[name]
 
+    return {"site": site} | {name: shared(site, f"run-{name}", lambda name=name: build(name)) for name in ("findings", "anomalies")}
 
-@query("f40_run_full_analysis")
-def _(spark, d):
-    _, out = full_run(Site(spark, d))
-    return out["findings"].groupBy("finding_type", "severity", F.coalesce("technique_id", F.lit("")).alias("technique_id")).agg(
-        F.count("*").alias("findings")
-    )
+
+def found_sql(suffix: str = "m", names: list[str] = RULES) -> str:
+    """Rows of all these queries on the site with the suffix, duplicates kept; connections have the site's own labels."""
+    return " UNION ALL ".join(f"SELECT * FROM ({at_site(SQL[name].replace(_TAGGED, 'cn'), suffix)})" for name in names)
+
+
+#: All findings of the labelled site with their id, and the rank of their severity.
+FOUND = f"""found AS ({found_sql()}), ranked AS (SELECT *, sha256(finding_type || '|' || technique_id || '|' || title || '|' || affected) AS id,
+    CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS r FROM found)"""
+ODD = f"odd AS ({found_sql(names=ANOMALIES)})"
 
 
-_FEW = """few AS (SELECT 'purdue_violation' AS finding_type, severity, 'Cross-zone communication: L' || low || ' with L' || high || ' (' || x || ', ' || y || ')' AS title,
-    'T0886' AS technique_id, x || ',' || y AS affected FROM pv
-    UNION ALL SELECT 'anomaly', 'high', 'Modbus role reversal: slave ' || ip || ' acting as master', '', ip FROM dv WHERE m_role = 'slave' AND m_master > 0
-    UNION ALL SELECT 'attack_technique', 'critical', 'IEC 104 Reset Process command from ' || ip, 'T0816', ip FROM dv WHERE i_reset),
-    few2 AS (SELECT *, sha256(finding_type || '|' || technique_id || '|' || title || '|' || affected) AS id,
-    CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 WHEN 'low' THEN 1 ELSE 0 END AS r FROM few)"""
+def _run_query(name: str, suffix: str) -> None:
+    @query(f"f40_run_full_analysis{name}", found_sql(suffix))
+    def _(spark, d):
+        return shown_findings(run_of(spark, d, suffix)["findings"])
 
+    @query(f"f40_run_anomalies{name}", found_sql(suffix, ANOMALIES))
+    def _(spark, d):
+        return run_of(spark, d, suffix)["anomalies"]
 
-def few_findings(s):
-    reset = R.iec104_rules(s.snapshot).filter("technique_id = 'T0816'")
-    return s.violations.unionByName(A.role_reversal(s.snapshot)[1]).unionByName(reset)
 
+for _name, _suffix in RUN_SITES.items():
+    _run_query(_name, _suffix)
 
-@on_site("f41_analysis_summary", f"""WITH {_FEW} SELECT count(*) AS total_findings, count(*) FILTER (WHERE severity = 'critical') AS critical_count,
+
+@query("f41_analysis_summary", f"""WITH {FOUND}, {ODD} SELECT count(*) AS total_findings, count(*) FILTER (WHERE severity = 'critical') AS critical_count,
     count(*) FILTER (WHERE severity = 'high') AS high_count, count(*) FILTER (WHERE severity = 'medium') AS medium_count,
     count(*) FILTER (WHERE severity = 'low') AS low_count, count(*) FILTER (WHERE severity = 'info') AS info_count,
-    count(*) FILTER (WHERE finding_type = 'purdue_violation') AS purdue_violations, (SELECT count(*) FROM dv WHERE (m_role = 'slave' AND m_master > 0)) +
-    (SELECT count(*) FROM dv WHERE d_role = 'outstation' AND d_unsol AND d_master > 0) AS anomaly_count,
-    (SELECT count(*) FROM ab) AS assets_analyzed, (SELECT count(*) FROM cn) AS connections_analyzed,
+    count(*) FILTER (WHERE finding_type = 'purdue_violation') AS purdue_violations, (SELECT count(*) FROM odd) AS anomaly_count,
+    (SELECT count(*) FROM ab) AS assets_analyzed, (SELECT count(*) FROM cnm) AS connections_analyzed,
     (SELECT round(CAST(greatest(sum(packet_count) FILTER (WHERE protocol IN {SQL_SETS['OT']}) - sum(packet_count) FILTER (WHERE protocol IN ('https', 'ssh')), 0) AS BIGINT)
-    * 100.0 / CAST(sum(packet_count) FILTER (WHERE protocol IN {SQL_SETS['OT']}) AS BIGINT), 1) FROM cn) AS unencrypted_ot_percent FROM few2""")
-def _(s):
-    return A.analysis_summary(few_findings(s), A.role_reversal(s.snapshot)[0], s.assets, s.connections)
+    * 100.0 / CAST(sum(packet_count) FILTER (WHERE protocol IN {SQL_SETS['OT']}) AS BIGINT), 1) FROM cnm) AS unencrypted_ot_percent FROM ranked""")
+def _(spark, d):
+    run = run_of(spark, d)
+    return A.analysis_summary(run["findings"], run["anomalies"], run["site"].assets, run["site"].connections)
 
 
-@on_site("f42_top_findings", f"WITH {_FEW} SELECT severity, title, id FROM few2 ORDER BY r DESC, id LIMIT 40")
-def _(s):
-    return A.top_findings(few_findings(s), 40).select("severity", "title", "id")
+_TOP_FINDINGS = "SELECT severity, title, id FROM ranked ORDER BY r DESC, id"
 
 
-@on_site("f42_top_anomalies", f"""SELECT CASE WHEN cv > 2 THEN 'high' ELSE 'medium' END AS severity, CAST(CASE WHEN cv > 2 THEN 0.9 WHEN cv > 1 THEN 0.7 ELSE 0.5 END AS DOUBLE)
-    AS confidence, ip AS affected_asset, {_POLL_TEXT} AS evidence FROM {_POLL} 0.5 ORDER BY (cv > 2) DESC, confidence DESC, ip, evidence LIMIT 30""", "replay")
-def _(s):
-    return A.top_anomalies(A.polling_deviation(s.snapshot.polling)[0], 30).select("severity", "confidence", "affected_asset", "evidence")
+@query("f42_top_findings", f"WITH {FOUND} {_TOP_FINDINGS} LIMIT 40")
+def _(spark, d):
+    return A.top_findings(run_of(spark, d)["findings"], 40).select("severity", "title", "id")
 
 
-@on_site("f43_remediation_list", f"""WITH {_FEW} SELECT row_number() OVER (ORDER BY r DESC, id) AS rank, severity, title, CASE technique_id
-    WHEN 'T0886' THEN 'Segment Purdue levels with firewalls or a DMZ' WHEN 'T0816' THEN 'Allow stop commands from engineering workstations only'
-    ELSE 'Review the finding and apply vendor hardening guidance' END AS remediation FROM few2""")
-def _(s):
-    return A.remediation_list(few_findings(s)).select("rank", "severity", "title", "remediation")
+@query("f42_all_findings", f"WITH {FOUND} {_TOP_FINDINGS}")
+def _(spark, d):
+    return A.top_findings(run_of(spark, d)["findings"]).select("severity", "title", "id")
+
+
+_TOP_ANOMALIES = f"""SELECT severity, confidence, affected_asset, evidence FROM ({found_sql("r", ANOMALIES)})
+    ORDER BY CASE severity WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END DESC, confidence DESC, anomaly_type, affected_asset, evidence"""
+
+
+@query("f42_top_anomalies", f"{_TOP_ANOMALIES} LIMIT 30")
+def _(spark, d):
+    return A.top_anomalies(run_of(spark, d, "r")["anomalies"], 30).select("severity", "confidence", "affected_asset", "evidence")
+
+
+@query("f42_all_anomalies", _TOP_ANOMALIES)
+def _(spark, d):
+    return A.top_anomalies(run_of(spark, d, "r")["anomalies"]).select("severity", "confidence", "affected_asset", "evidence")
+
+
+def _advice_sql() -> str:
+    by_code = " ".join(f"WHEN technique_id = '{code}' THEN '{tip}'" for code, tip in reversed(C.ADVICE_BY_TECHNIQUE.items()))
+    by_title = " ".join(f"WHEN contains(lower(title), '{word}') THEN '{tip}'" for word, tip in C.ADVICE_BY_TITLE)
+    return f"CASE {by_code} {by_title} ELSE '{C.ADVICE_DEFAULT}' END"
+
+
+@query("f43_remediation_list", f"WITH {FOUND} SELECT row_number() OVER (ORDER BY r DESC, id) AS rank, severity, title, {_advice_sql()} AS remediation FROM ranked")
+def _(spark, d):
+    return A.remediation_list(run_of(spark, d)["findings"]).select("rank", "severity", "title", "remediation")

@@ -28,7 +28,7 @@ _SHARED: dict[tuple, DataFrame] = {}
 
 def shared(site: "Site", name: str, build) -> DataFrame:
     """A staged table of a site, written once per application."""
-    key = (site.spark.sparkContext.applicationId, site.sf_dir, site.variant, site.where, name)
+    key = (site.spark.sparkContext.applicationId, site.sf_dir, site.variant, site.where, site.label, name)
     if key not in _SHARED:
         _SHARED[key] = stage(build(), name)
     return _SHARED[key]
@@ -60,7 +60,7 @@ class SiteSnapshot:
 
 class Site:
     def __init__(self, spark: SparkSession, sf_dir: str, variant: str = "base", where: str | None = None):
-        self.spark, self.sf_dir, self.variant, self.where = spark, sf_dir, variant, where
+        self.spark, self.sf_dir, self.variant, self.where, self.label = spark, sf_dir, variant, where, None
 
     @cached_property
     def packets(self) -> DataFrame:

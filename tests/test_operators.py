@@ -104,6 +104,42 @@ def test_group_similarity_equals_brute_force(spark, hot):
         assert abs(got[(x, y)] - sum(values) / len(values)) < 1e-9
 
 
+def test_sketched_similarity_within_its_error(spark):
+    sets = {f"d{i}": {f"p{(i % 5) * 7 + j}" for j in range(6 + i % 9)} | ({"hub"} if i % 2 else set()) for i in range(90)}
+    sets |= {"e0": set(), "e1": set(), "e2": set()}
+    parts = {d: "abc"[i % 3] for i, d in enumerate(sets)}
+    long = spark.createDataFrame([(d, p) for d, ps in sets.items() for p in ps], "ip string, peer string")
+    groups = spark.createDataFrame([("g", parts[d], d) for d in sets] + [("h", "a", "e0"), ("h", "b", "e1"), ("h", "c", "d0")], "grp string, part string, ip string")
+    hashes = 400
+    got = {(r.grp, r.part_a, r.part_b): r.similarity for r in similarity.sketched_group_similarity(groups, long, hashes).collect()}
+    assert [got["h", *k] for k in ("ab", "ac", "bc")] == [1.0, 0.0, 0.0]
+    for x, y in itertools.combinations("abc", 2):
+        values = [_jaccard(sets[a], sets[b]) for a in sets for b in sets if parts[a] == x and parts[b] == y]
+        assert abs(got["g", x, y] - sum(values) / len(values)) < 3 * 0.5 / hashes**0.5
+
+
+def test_a_hub_shared_by_all_makes_no_pairs(spark):
+    n = 1200
+    rows = [(f"d{i}", "hub") for i in range(n)] + [(f"d{i}", f"p{i}-{j}") for i in range(n) for j in range(1 + i % 3)]
+    rows += [(f"s{i}", p) for i in range(40) for p in ("hub", "q1", "q2", "q3", f"r{i % 4}")]
+    sets = spark.createDataFrame(rows, "ip string, peer string")
+    ips = sets.select("ip").distinct()
+    found = similarity.candidate_pairs(ips, sets, 0.6, crowd=50).collect()
+    # equal sets are one, so four classes of s remain, each named after its smallest member
+    assert {(r.a, r.b) for r in found} == set(itertools.combinations(["s0", "s1", "s10", "s11"], 2))
+
+
+@pytest.mark.parametrize("crowd", [2, 1000])
+def test_similar_pairs_of_crowded_peers(spark, crowd):
+    sets = {f"d{i:02}": {f"p{j}" for j in range(12) if (i * i + j * 5) % 7 < 4} | {f"x{i % 6}"} for i in range(60)}
+    long = spark.createDataFrame([(d, p) for d, ps in sets.items() for p in ps], "ip string, peer string")
+    got = {(r.a, r.b) for r in similarity.similar_pairs(long.select("ip").distinct(), long, crowd=crowd).collect()}
+    lead = {}
+    for d in sorted(sets):
+        lead.setdefault(frozenset(sets[d]), d)
+    assert got == {(a, b) for a, b in itertools.combinations(sorted(lead.values()), 2) if _jaccard(sets[a], sets[b]) > 0.6}
+
+
 def test_similar_pairs_find_all(spark):
     sets = {f"d{i}": {f"p{j}" for j in range(10) if (i + j) % 4 and (i * j) % 7 != 3} for i in range(10)}
     long = spark.createDataFrame([(d, p) for d, ps in sets.items() for p in ps], "ip string, peer string")
