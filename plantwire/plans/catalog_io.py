@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions.scale import shared_dir
 from ..operators import topology as G
 from ..operators import traffic
@@ -346,14 +347,23 @@ def _(s):
     return V.connection_totals(updates).select(*KEY.split(", "), "packet_count", "byte_count")
 
 
-@on_site("l2_live_alerts")
+_ALERT_PORTS = " ".join(f"WHEN port IN ({', '.join(map(str, ports))}) THEN {{'t': '{code}', 'n': '{title}', 's': '{severity}'}}" for ports, code, title, severity in C.LIVE_ALERT_PORTS)
+
+
+@on_site("l2_live_alerts", f"""WITH ot AS (SELECT ip FROM ass WHERE device_type IN ('plc', 'rtu', 'hmi', 'scada_server', 'historian')),
+    near AS (SELECT *, CASE {_ALERT_PORTS} END AS a FROM (SELECT *, CASE WHEN dst_ip IN (SELECT ip FROM ot) THEN dst_ip ELSE src_ip END AS ot_ip,
+        CASE WHEN dst_ip IN (SELECT ip FROM ot) THEN dst_port ELSE src_port END AS port FROM pk) WHERE ot_ip IN (SELECT ip FROM ot))
+    SELECT {KEY}, ot_ip, a.t AS technique_id, a.n AS title, a.s AS severity, epoch_us(min(ts)) AS first_us FROM near WHERE a IS NOT NULL GROUP BY ALL""")
 def _(s):
     ot = s.assets.filter(F.col("device_type").isin("plc", "rtu", "hmi", "scada_server", "historian")).select("ip_address")
-    return V.run_available(V.live_alerts(_stream(s), ot), "append").groupBy("technique_id", "severity").agg(F.count("*").alias("alerts"))
+    return V.live_alerts(_stream(s), ot).select(*KEY.split(", "), "ot_ip", "technique_id", "title", "severity", F.unix_micros("ts").alias("first_us"))
 
 
-@on_site("l3_live_stats", "SELECT count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes FROM pk")
+@on_site("l3_live_stats", """WITH t AS (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS h FROM pk),
+    e AS (SELECT h, src_ip AS ip FROM t UNION SELECT h, dst_ip FROM t)
+    SELECT epoch_us(h) AS interval_us, count(*) AS packets, CAST(sum(length) AS BIGINT) AS bytes, round(count(*) / 3600.0, 6) AS packets_per_sec,
+    count(DISTINCT (src_ip, src_port, dst_ip, dst_port, protocol)) AS active_connections, (SELECT count(*) FROM e WHERE e.h = t.h) AS assets
+    FROM t GROUP BY h HAVING h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM pk) - INTERVAL 10 MINUTE""")
 def _(s):
-    rows = V.run_available(V.live_stats(_stream(s), "1 hour"), "update")
-    last = rows.groupBy("interval_start").agg(F.max("packets").alias("packets"), F.max("bytes").alias("bytes"))
-    return last.agg(F.sum("packets").alias("packets"), F.sum("bytes").alias("bytes"))
+    rows = V.run_available(V.live_stats(_stream(s), "1 hour"), "append")
+    return rows.select(F.unix_micros("interval_start").alias("interval_us"), "packets", "bytes", F.round("packets_per_sec", 6).alias("packets_per_sec"), "active_connections", "assets")

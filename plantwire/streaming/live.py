@@ -1,7 +1,7 @@
 """Structured Streaming jobs over a packet stream.
 
-All state expires by event time: connections per one-hour window, alerts within the
-watermark, counters per tumbling interval.
+State expires by event time: connections per one-hour window, counters per tumbling interval.
+Alerts keep none: the table they are written to says which connections were alerted before.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import constants as C
 from ..functions.scale import shared_dir
@@ -51,12 +52,11 @@ def _alert(port: Column) -> Column:
     return out
 
 
-def live_alerts(stream: DataFrame, ot_assets: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """First sight of a connection that touches an OT device on a watched port (append mode).
+def alert_candidates(stream: DataFrame, ot_assets: DataFrame) -> DataFrame:
+    """Packets of connections that touch an OT device on a watched port, with the alert they give.
 
     ``ot_assets``: ip_address of OT devices, a static table. The port is the one on the
-    OT device's side; the destination counts first. Rows that cannot alert are dropped
-    before the state.
+    OT device's side; the destination counts first.
     """
     watched = [p for ports, *_ in C.LIVE_ALERT_PORTS for p in ports]
     near = _ensure_protocol(stream).filter(F.col("src_port").isin(*watched) | F.col("dst_port").isin(*watched))
@@ -68,45 +68,79 @@ def live_alerts(stream: DataFrame, ot_assets: DataFrame, watermark: str = "10 mi
         "ts", *CONNECTION_KEY, F.when(to_dst, F.col("dst_ip")).otherwise(F.col("src_ip")).alias("ot_ip"),
         _alert(F.when(to_dst, F.col("dst_port")).otherwise(F.col("src_port"))).alias("a"),
     )
-    return (
-        rows.filter("a IS NOT NULL").withWatermark("ts", watermark).dropDuplicatesWithinWatermark(CONNECTION_KEY)
-        .select("ts", *CONNECTION_KEY, "ot_ip", "a.*")
-    )
+    return rows.filter("a IS NOT NULL").select("ts", *CONNECTION_KEY, "ot_ip", "a.*")
+
+
+def new_alerts(batch: DataFrame, seen: DataFrame) -> DataFrame:
+    """First packet of each connection of a batch, for connections that ``seen`` has no alert of."""
+    rest = [c for c in batch.columns if c not in (*CONNECTION_KEY, "ts")]
+    first = batch.groupBy(*CONNECTION_KEY).agg(F.min(F.struct("ts", *rest)).alias("_f"))
+    return first.join(seen.select(*CONNECTION_KEY), CONNECTION_KEY, "left_anti").select("_f.ts", *CONNECTION_KEY, *[f"_f.{c}" for c in rest])
+
+
+def live_alerts(stream: DataFrame, ot_assets: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """One alert per connection, at its first sight; processes what has arrived and returns all alerts so far.
+
+    A connection alerts once however long it lasts or pauses. Every micro-batch writes its own
+    folder under ``path``, which replaces what a failed run of the same batch left, and leaves out
+    connections that folders of earlier batches hold. So a restart neither loses nor repeats an
+    alert. ``path`` must be given, with ``checkpoint``, to go on from an earlier run.
+    """
+    candidates = alert_candidates(stream, ot_assets)
+
+    def alerted(batch: DataFrame, seen: DataFrame) -> DataFrame:
+        return new_alerts(batch, seen)
+
+    return run_available(candidates, "append", path, checkpoint, alerted)
 
 
 def live_stats(stream: DataFrame, every: str = "1 second", watermark: str = "10 minutes") -> DataFrame:
-    """Packets, bytes, rate, connections and assets per interval (update mode).
+    """Packets, bytes, rate, connections and assets per interval, all exact (append mode).
 
-    Distinct counts are sketches, whose size does not depend on the traffic.
+    Two aggregations in a row: the first sees each connection and each address once per interval
+    and keeps only its counters, the second counts them. An interval is put out once the
+    watermark has passed its end.
     """
+    none = F.lit(None).cast("string")
+    connection = F.struct(*[F.col(c).cast("string").alias(c) for c in CONNECTION_KEY], none.alias("ip"), F.col("length").alias("length"))
+
+    def address(ip: str) -> Column:
+        return F.struct(*[none.alias(c) for c in CONNECTION_KEY], F.col(ip).alias("ip"), F.lit(0).cast("bigint").alias("length"))
+
+    sights = _ensure_protocol(stream).withWatermark("ts", watermark).select(
+        "ts", F.explode(F.array(connection, address("src_ip"), address("dst_ip"))).alias("s")
+    ).select("ts", "s.*")
+    once = sights.groupBy(F.window("ts", every).alias("w"), *CONNECTION_KEY, "ip").agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
     seconds = F.unix_micros("w.end") / 1e6 - F.unix_micros("w.start") / 1e6
-    rows = _ensure_protocol(stream).withWatermark("ts", watermark).withColumn("_ip", F.explode(F.array("src_ip", "dst_ip")))
-    first = F.col("_ip") == F.col("src_ip")
-    # A packet to oneself has two equal ends; half of them counts.
-    share = F.when(F.col("src_ip") == F.col("dst_ip"), 0.5).when(first, 1.0).otherwise(0.0)
+    of_connection = F.col("ip").isNull()
     return (
-        rows.groupBy(F.window("ts", every).alias("w"))
-        .agg(
-            F.sum(share).cast("bigint").alias("packets"), F.sum(share * F.col("length")).cast("bigint").alias("bytes"),
-            F.approx_count_distinct(F.struct(*CONNECTION_KEY)).alias("active_connections"),
-            F.approx_count_distinct("_ip").alias("assets"),
+        once.groupBy("w").agg(
+            F.sum(F.when(of_connection, F.col("n")).otherwise(0)).alias("packets"), F.sum("bytes").alias("bytes"),
+            F.count_if(of_connection).alias("active_connections"), F.count_if(~of_connection).alias("assets"),
         )
         .select(F.col("w.start").alias("interval_start"), "packets", "bytes", (F.col("packets") / seconds).alias("packets_per_sec"),
                 "active_connections", "assets")
     )
 
 
-def run_available(stream: DataFrame, mode: str, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+def run_available(stream: DataFrame, mode: str, path: str | None = None, checkpoint: str | None = None, change=None) -> DataFrame:
     """Process what has arrived and return the written table.
 
     Each micro-batch writes its own folder, replaced if the batch runs again after a
-    failure, so a restart neither loses nor repeats rows.
+    failure, so a restart neither loses nor repeats rows. ``change`` turns a batch and the
+    table written by earlier batches into the rows to write.
     """
     spark = stream.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     path, checkpoint = path or f"{base}/rows", checkpoint or f"{base}/checkpoint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if change is not None:
+            own, shape = batch.sparkSession, StructType([*stream.schema.fields, StructField("batch", LongType())])
+            folder = own._jvm.org.apache.hadoop.fs.Path(path)
+            written = folder.getFileSystem(own._jsc.hadoopConfiguration()).exists(folder)
+            seen = own.read.schema(shape).parquet(path).filter(F.col("batch") < batch_id) if written else own.createDataFrame([], shape)
+            batch = change(batch, seen.drop("batch"))
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     query = (
