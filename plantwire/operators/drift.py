@@ -238,23 +238,40 @@ def merge_assets(assets: DataFrame, ingested: DataFrame) -> DataFrame:
 def merge_connections(existing: DataFrame, ingested: DataFrame) -> DataFrame:
     """Add imported totals to the same 4-tuple, or insert it.
 
-    An existing row keeps its protocol, transport and times; the import adds counts
-    and its source tag.
+    An existing row keeps its protocol, transport and times; the import adds counts. Where
+    ``existing`` has the array origin_files, the import adds its source tag to it;
+    ``merge_connection_files`` keeps origins as rows.
     """
-    key = ["src_ip", "src_port", "dst_ip", "dst_port"]
     rest = ["protocol", "transport", "first_seen", "last_seen"]
-    a = existing.select(*key, *rest, "packet_count", "byte_count", "origin_files", F.lit(0).alias("_late"))
+    files = ["origin_files"] if "origin_files" in existing.columns else []
+    a = existing.select(*_TUPLE, *rest, "packet_count", "byte_count", *files, F.lit(0).alias("_late"))
     b = ingested.select(
-        *key, *rest, "packet_count", "byte_count",
-        F.array(F.concat(F.lit("["), F.col("source"), F.lit("]"))).alias("origin_files"), F.lit(1).alias("_late"),
+        *_TUPLE, *rest, "packet_count", "byte_count", *[F.array(_tag()).alias(c) for c in files], F.lit(1).alias("_late"),
     )
     both = a.unionByName(b)
     lead = F.min(F.struct("_late", *rest)).alias("_r")
-    totals = both.groupBy(*key).agg(
+    totals = both.groupBy(*_TUPLE).agg(
         lead, F.sum("packet_count").alias("packet_count"), F.sum("byte_count").alias("byte_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("origin_files")))).alias("origin_files"),
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c) for c in files],
     )
-    return totals.select(*key, *[f"_r.{c}" for c in rest], "packet_count", "byte_count", "origin_files")
+    return totals.select(*_TUPLE, *[f"_r.{c}" for c in rest], "packet_count", "byte_count", *files)
+
+
+_TUPLE = ["src_ip", "src_port", "dst_ip", "dst_port"]
+
+
+def _tag() -> Column:
+    return F.concat(F.lit("["), F.col("source"), F.lit("]"))
+
+
+def merge_connection_files(existing: DataFrame, ingested: DataFrame) -> DataFrame:
+    """Origins of merged connections, one row each: the 4-tuple and origin_file.
+
+    ``existing``: output of ``connection_files``; ``ingested``: imported connections, whose
+    origin is the tag of their source.
+    """
+    a = existing.select(*_TUPLE, "origin_file")
+    return a.union(ingested.filter("source IS NOT NULL").select(*_TUPLE, _tag())).distinct()
 
 
 _EDITABLE = ["device_type", "hostname", "notes", "purdue_level", "tags"]

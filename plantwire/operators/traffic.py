@@ -14,8 +14,12 @@ def _order() -> Column:
     return F.struct("ts", "seq")
 
 
-def connections(packets: DataFrame) -> DataFrame:
-    """One row per (source, destination, ports, protocol) with totals and first MACs."""
+def connections(packets: DataFrame, files: bool = False) -> DataFrame:
+    """One row per (source, destination, ports, protocol) with totals and first MACs.
+
+    ``files`` adds the names of the captures a connection was seen in as an array, which grows with
+    the number of captures; ``connection_files`` has them as rows.
+    """
 
     def first_of(name: str) -> Column:
         return F.min_by(name, F.when(F.col(name).isNotNull(), _order())).alias(name)
@@ -31,12 +35,18 @@ def connections(packets: DataFrame) -> DataFrame:
             first_of("src_mac"),
             first_of("dst_mac"),
             first_of("transport"),
-            F.array_sort(F.collect_set("origin_file")).alias("origin_files"),
+            *([F.array_sort(F.collect_set("origin_file")).alias("origin_files")] if files else []),
         )
         .withColumn("connection_id", X.natural_id(*[F.col(c) for c in CONNECTION_KEY]))
     )
 
 
+def connection_files(packets: DataFrame) -> DataFrame:
+    """Captures of each connection: its key, connection_id, origin_file and the packets in that file."""
+    counted = _ensure_protocol(packets).filter("origin_file IS NOT NULL").groupBy(*CONNECTION_KEY, "origin_file").agg(F.count("*").alias("packet_count"))
+    return counted.withColumn("connection_id", X.natural_id(*[F.col(c) for c in CONNECTION_KEY]))
+
+
 def asset_base(packets: DataFrame) -> DataFrame:
     """Every address seen at either end, from one pass over the packets."""
     ends = F.explode(

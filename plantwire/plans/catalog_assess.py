@@ -11,6 +11,7 @@ from ..operators import drift as B
 from ..operators import segmentation as Z
 from ..operators import similarity as J
 from ..operators import topology as G
+from ..operators import traffic
 from .catalog_findings import found_sql, run_of, switch_site
 from .catalog_traffic import _LLDP, lldp_rows, packets_with_props
 from .registry import AFTER, BEFORE, SQL, joined, on_site, query, sql_joined, us
@@ -307,11 +308,18 @@ def _(spark, d):
     SELECT *, 0 AS late FROM cn UNION ALL SELECT * REPLACE (['[Zeek]'] AS origin_files), 1 FROM cnw) GROUP BY 1, 2, 3, 4""")
 def _(spark, d):
     conns, _ = ingest_batch(spark, d)
-    return B.merge_connections(Site(spark, d).connections, conns).select(
+    return B.merge_connections(traffic.connections(Site(spark, d).packets, files=True), conns).select(
         "src_ip", "src_port", "dst_ip", "dst_port", "protocol", "packet_count", "byte_count", joined("origin_files").alias("origin_files")
     )
 
 
+@query("b8_merge_connection_files", """SELECT DISTINCT src_ip, src_port, dst_ip, dst_port, origin_file FROM pk
+    UNION SELECT src_ip, src_port, dst_ip, dst_port, '[Zeek]' FROM cnw""")
+def _(spark, d):
+    conns, _ = ingest_batch(spark, d)
+    return B.merge_connection_files(traffic.connection_files(Site(spark, d).packets), conns)
+
+
 @query("b9_dedup_ingested_assets", """SELECT ip AS ip_address, array_to_string(list_sort(list(DISTINCT protocol)), ',') AS protocols, count(DISTINCT port) AS ports, min(host) AS hostname FROM (
     SELECT dst_ip AS ip, protocol, dst_port AS port, 'host-' || src_port AS host FROM cnw) GROUP BY ip""")
 def _(spark, d):

@@ -151,12 +151,17 @@ def _(s):
 @on_site("a1_connections", f"""SELECT {KEY}, packet_count, byte_count, epoch_us(first_seen) AS first_seen_us, epoch_us(last_seen) AS last_seen_us,
     src_mac, dst_mac, transport, {sql_joined('origin_files')} AS origin_files FROM cn""")
 def _(s):
-    return s.connections.select(
+    return A.connections(s.packets, files=True).select(
         *KEY.split(", "), "packet_count", "byte_count", us("first_seen"), us("last_seen"), "src_mac", "dst_mac", "transport",
         joined("origin_files").alias("origin_files"),
     )
 
 
+@on_site("a1_connection_files", f"SELECT {KEY}, origin_file, count(*) AS packet_count FROM pk GROUP BY ALL")
+def _(s):
+    return A.connection_files(s.packets).drop("connection_id")
+
+
 @on_site("a2_asset_base", f"""SELECT ip AS ip_address, {sql_joined('protocols')} AS protocols, packet_count, mac AS mac_address,
     epoch_us(first_seen) AS first_seen_us, epoch_us(last_seen) AS last_seen_us FROM ab""")
 def _(s):
