@@ -8,6 +8,7 @@ from .. import constants as C
 from ..operators import analysis as A
 from ..operators import assess as E
 from ..operators import drift as B
+from ..operators import policy as Y
 from ..operators import segmentation as Z
 from ..operators import similarity as J
 from ..operators import topology as G
@@ -628,7 +629,19 @@ _REMARKS = """SELECT m.src_zone, m.dst_zone, m.protocol, m.dst_port, string_agg(
     ('rockwell', 2222, 'EtherNet/IP I/O')) n(word, port, note) ON n.port = m.dst_port AND contains(lower(v.vendor), n.word) GROUP BY 1, 2, 3, 4"""
 
 
-@on_site("z17_enforcement_table")
+_WHY = """'Observed ' || packet_count || ' packets, ' || protocol || '/' || dst_port || ' | ' || src_count || ' sources, ' || dst_count || ' destinations | '
+    || strftime(first_seen, '%Y-%m-%d') || CASE WHEN strftime(first_seen, '%Y-%m-%d') <> strftime(last_seen, '%Y-%m-%d') THEN ' to ' || strftime(last_seen, '%Y-%m-%d') ELSE '' END
+    || CASE WHEN t0886 THEN '; techniques: T0886' ELSE '' END || '; pre-approved in allowlist'"""
+#: Rules with their justification and vendor notes.
+_MXV = f"SELECT *, {_WHY} AS why, coalesce(vendor_context, '') AS note FROM mx LEFT JOIN ({_REMARKS}) USING (src_zone, dst_zone, protocol, dst_port)"
+_TABLE_LINE = f"""concat_ws(chr(9), 'ALLOW', src_zone, 'any', dst_zone, 'any', {_T}, CAST(dst_port AS VARCHAR), '→', risk, why || CASE WHEN note = '' THEN '' ELSE ' [' || note || ']' END)"""
+_JSON_LINE = """CAST(json_object('src_zone', src_zone, 'dst_zone', dst_zone, 'protocol', protocol, 'dst_port', dst_port, 'risk', risk, 'packet_count', packet_count,
+    'justification', why, 'vendor_context', note) AS VARCHAR)"""
+_IDS_LINE = f"""'pass ' || {_T} || ' any any -> any ' || dst_port || ' (msg:"ALLOW: ' || protocol || '/' || dst_port || ' ' || src_zone || ' to ' || dst_zone || ' [' || risk || ']'
+    || CASE WHEN note = '' THEN '' ELSE ' (' || note || ')' END || '"; sid:' || (9000000 + row_number() OVER (ORDER BY src_zone, dst_zone, protocol, dst_port)) || '; rev:1;)'"""
+
+
+@on_site("z17_enforcement_table", f"SELECT src_zone, dst_zone, protocol, dst_port, {_TABLE_LINE} AS line FROM ({_MXV})")
 def _(s):
     return Z.enforcement_rules(s.rules, s.zones, "table", zone_vendors(s))
 
@@ -644,7 +657,7 @@ def _(s):
     )
 
 
-@on_site("z17_enforcement_json")
+@on_site("z17_enforcement_json", f"SELECT src_zone, dst_zone, protocol, dst_port, {_JSON_LINE} AS line FROM ({_MXV})")
 def _(s):
     return Z.enforcement_rules(s.rules, s.zones, "json", zone_vendors(s))
 
@@ -671,3 +684,64 @@ def _(s):
 def _(s):
     parts = [Z.enforcement_denies(s.rules, f).select(F.lit(f).alias("format"), "src_zone", "dst_zone", "line") for f in ("firewall_acl", "table", "ids", "json")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+def _notes(fmt: str) -> str:
+    return " UNION ALL ".join(f"SELECT 0, '', '', 0, 0, '', {n}, 0, '{line.replace(chr(39), chr(39) * 2)}'" for n, line in enumerate(Y.NOTES[fmt]))
+
+
+_ACL = f"'ACL-' || {_N.format('src_zone')} || '-TO-' || {_N.format('dst_zone')}"
+_AT = "2, src_zone, dst_zone, 0, 2, protocol, dst_port"
+_RISK = "'[' || risk || '] ' || why"
+_PAIRS = "(SELECT DISTINCT src_zone, dst_zone FROM mx)"
+_IPN = "(CAST(split_part(ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(ip, '.', 4) AS BIGINT))"
+_BIG = "(SELECT zone, asset_count FROM zn WHERE asset_count > 3 AND zone IN (SELECT src_zone FROM mx UNION SELECT dst_zone FROM mx))"
+_FW_LINE = f"""'access-list ' || {_ACL.replace('src_zone', 'm.src_zone').replace('dst_zone', 'm.dst_zone')} || ' extended permit ' || {_T} || ' ' || {_OBJ.format('x', 'src_zone')} || ' ' || {_OBJ.format('y', 'dst_zone')} || ' eq ' || dst_port"""
+_LEVELS = ", ".join(f"('{name}', {list(levels)}::INTEGER[])" for _, name, _, levels in C.ZONES)
+
+
+def _json_list(section: int, place: str, text: str, source: str) -> str:
+    """Elements of a list, all but the first behind a comma."""
+    return f"SELECT {section}, {place}, CASE WHEN row_number() OVER (ORDER BY {place}) = 1 THEN '' ELSE ',' END || {text} FROM {source}"
+
+
+_DOCUMENTS = {
+    "router_acl": [
+        f"SELECT 2, src_zone, dst_zone, 0, 0, '', 0, 0, 'ip access-list extended ' || {_ACL} FROM {_PAIRS}", f"SELECT 2, src_zone, dst_zone, 0, 1, '', 0, 0, ' remark ' || src_zone || ' to ' || dst_zone FROM {_PAIRS}",
+        f"SELECT {_AT}, 0, ' remark ' || note FROM rv WHERE note <> ''", f"SELECT {_AT}, 1, ' remark ' || {_RISK} FROM rv", f"SELECT {_AT}, 2, ' permit ' || {_T} || ' any any eq ' || dst_port FROM rv",
+        f"SELECT 2, src_zone, dst_zone, 0, 3, '', 0, 0, ' deny ip any any log' FROM {_PAIRS}",
+    ],
+    "firewall_acl": [
+        f"SELECT 1, zone, '', -3, 0, '', 0, 0, 'object-group network OBJ-' || {_N.format('zone')} FROM {_BIG}", f"SELECT 1, zone, '', -2, 0, '', 0, 0, ' description ' || zone || ' (' || asset_count || ' assets)' FROM {_BIG}",
+        f"SELECT 1, zone, '', {_IPN} >> 8, 0, '', {_IPN} % 256, 0, ' network-object host ' || ip FROM iz WHERE zone IN (SELECT zone FROM {_BIG})",
+        f"SELECT 2, src_zone, dst_zone, 0, 1, '', 0, 0, '! Zone pair: ' || src_zone || ' to ' || dst_zone FROM {_PAIRS}", f"SELECT {_AT}, 0, '! ' || note FROM rv WHERE note <> ''",
+        f"SELECT {_AT}, 1, 'access-list ' || {_ACL} || ' remark ' || {_RISK} FROM rv", f"SELECT {_AT}, 2, {_FW_LINE} FROM rv m JOIN zn x ON x.zone = m.src_zone JOIN zn y ON y.zone = m.dst_zone",
+        f"SELECT 2, src_zone, dst_zone, 0, 3, '', 0, 0, 'access-list ' || {_ACL} || ' extended deny ip any any log' FROM {_PAIRS}",
+    ],
+    "table": [f"SELECT {_AT}, 2, {_TABLE_LINE} FROM rv", "SELECT 3, '', '', 0, 0, '', 0, 0, concat_ws(chr(9), 'DENY', '*', '*', '*', '*', '*', '*', '*', '—', 'Default deny')"],
+    "ids": [
+        f"SELECT 2, src_zone, dst_zone, 0, 1, '', 0, 0, '# ' || src_zone || ' to ' || dst_zone FROM {_PAIRS}", f"SELECT {_AT}, 2, {_IDS_LINE} FROM rv",
+        """SELECT 3, '', '', 0, 0, '', 0, 0, 'drop ip any any -> any any (msg:"DENY: default deny"; sid:' || (9000001 + count(*)) || '; rev:1;)' FROM rv""",
+    ],
+    "json": [
+        """SELECT 0, '', '', 0, 0, '', 0, 0, '{"metadata":{"format":"json"},"zones":['""", """SELECT 2, '', '', 0, 0, '', 0, 0, '],"conduits":['""", """SELECT 4, '', '', 0, 0, '', 0, 0, '],"rules":['""",
+        """SELECT 6, '', '', 0, 0, '', 0, 0, '],"default_action":"deny"}'""",
+        _json_list(1, "zone, '', 0, 0, '', 0, 0", "CAST(json_object('name', zone, 'purdue_levels', levels, 'asset_count', asset_count, 'security_level', security_level) AS VARCHAR)", f"zn JOIN (VALUES {_LEVELS}) v(zone, levels) USING (zone)"),
+        _json_list(3, "zone_a, zone_b, 0, 0, '', 0, 0", "CAST(json_object('zone_a', zone_a, 'zone_b', zone_b, 'direction', direction, 'rule_count', rule_count, 'cross_purdue_risk', cross_purdue_risk) AS VARCHAR)", "cd"),
+        _json_list(5, "src_zone, dst_zone, 0, 0, protocol, dst_port, 0", _JSON_LINE, "rv"),
+    ],
+}
+
+
+def _document_query(fmt: str) -> None:
+    rows = " UNION ALL ".join([*([_notes(fmt)] if fmt in Y.NOTES else []), *_DOCUMENTS[fmt]])
+    sql = f"{_CT}, rv AS ({_MXV}), doc(section, k1, k2, b, a, p, q, j, line) AS ({rows}) SELECT row_number() OVER (ORDER BY section, k1, k2, b, a, p, q, j) AS line_no, line FROM doc"
+
+    @on_site(f"z17_document_{fmt}", sql)
+    def _(s):
+        conduits = Z.conduits(s.zones, _conduit_rules(s)) if fmt == "json" else None
+        return Y.policy_document(s.rules, s.zones, s.ip_zone, fmt, conduits, zone_vendors(s))
+
+
+for _fmt in _DOCUMENTS:
+    _document_query(_fmt)
