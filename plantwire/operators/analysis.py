@@ -39,19 +39,26 @@ def polling_deviation(polling: DataFrame) -> tuple[DataFrame, DataFrame]:
     return _anomaly(rows, "polling_deviation", severity, confidence, "ip", what), found
 
 
-def role_reversal(s: Snapshot) -> tuple[DataFrame, DataFrame]:
-    slaves = s.devices.filter("modbus.role = 'slave' AND modbus.master_code_count > 0").select(
+def _reversed_slaves(devices: DataFrame) -> DataFrame:
+    return devices.filter("modbus.role = 'slave' AND modbus.master_code_count > 0").select(
         "ip", F.col("modbus.master_code_count").alias("n")
     )
-    stations = s.devices.filter(
+
+
+def reversal_anomalies(devices: DataFrame) -> DataFrame:
+    stations = devices.filter(
         "dnp3.role = 'outstation' AND dnp3.has_unsolicited AND dnp3.master_code_count > 0"
     ).select("ip", F.col("dnp3.master_code_count").alias("n"))
     codes = text("%d master function codes", "n")
-    anomalies = _union(
-        _anomaly(slaves, "role_reversal", "high", 0.8, "ip", codes),
+    return _union(
+        _anomaly(_reversed_slaves(devices), "role_reversal", "high", 0.8, "ip", codes),
         _anomaly(stations, "role_reversal", "high", 0.7, "ip", codes),
     )
-    return anomalies, finding(slaves, "anomaly", "high", text("Modbus role reversal: slave %s acting as master", "ip"),
+
+
+def role_reversal(s: Snapshot) -> tuple[DataFrame, DataFrame]:
+    slaves, codes = _reversed_slaves(s.devices), text("%d master function codes", "n")
+    return reversal_anomalies(s.devices), finding(slaves, "anomaly", "high", text("Modbus role reversal: slave %s acting as master", "ip"),
                               codes, None, "ip")
 
 
@@ -67,26 +74,8 @@ def unexpected_public_ip(assets: DataFrame) -> tuple[DataFrame, DataFrame]:
 # --- Purdue levels --------------------------------------------------------------------
 
 
-def purdue_assign(s: Snapshot) -> DataFrame:
-    """Level and reason per asset by an ordered decision list.
-
-    Client connections count as rows, not as distinct hosts.
-    """
-    ends = F.explode(
-        F.array(
-            F.struct(F.col("src_ip").alias("ip_address"), F.lit(True).alias("client")),
-            F.struct(F.col("dst_ip").alias("ip_address"), F.lit(False).alias("client")),
-        )
-    )
-    counts = (
-        s.connections.filter(F.col("dst_port").isin(*C.L1_SERVER_PORTS)).select(ends.alias("e"))
-        .groupBy("e.ip_address")
-        .agg(F.count_if("e.client").alias("ot_targets"), F.count_if(~F.col("e.client")).alias("served"))
-    )
-    detail = s.devices.select(
-        F.col("ip").alias("ip_address"), "modbus", "dnp3", "ethernet_ip", "s7comm", "bacnet", "iec104", "profinet"
-    )
-    rows = s.assets.join(counts, "ip_address", "left").join(detail, "ip_address", "left")
+def level_of() -> Column:
+    """Level and reason of a row with the columns of an asset, its device details, ot_targets and served."""
     kind = F.col("device_type")
     ot = F.array_intersect("protocols", F.array(*[F.lit(p) for p in C.OT_PROTOCOLS]))
     targets, served = F.coalesce("ot_targets", F.lit(0)), F.coalesce("served", F.lit(0))
@@ -99,7 +88,7 @@ def purdue_assign(s: Snapshot) -> DataFrame:
     def role(protocol: str) -> Column:
         return F.col(f"{protocol}.role")
 
-    chain = (
+    return (
         F.when(F.col("purdue_level").isNotNull(), to(F.col("purdue_level"), "manual"))
         .when(kind.isin("plc", "rtu"), to(1, F.concat(F.lit("device type "), kind)))
         .when(kind.isin("hmi", "engineering_workstation"), to(2, F.concat(F.lit("device type "), kind)))
@@ -123,8 +112,30 @@ def purdue_assign(s: Snapshot) -> DataFrame:
         .when(role("profinet").isin("io_controller", "io_supervisor"), to(2, F.concat(F.lit("PROFINET "), role("profinet"))))
         .otherwise(to(4, "no OT activity"))
     )
+
+
+def purdue_assign(s: Snapshot) -> DataFrame:
+    """Level and reason per asset by an ordered decision list.
+
+    Client connections count as rows, not as distinct hosts.
+    """
+    ends = F.explode(
+        F.array(
+            F.struct(F.col("src_ip").alias("ip_address"), F.lit(True).alias("client")),
+            F.struct(F.col("dst_ip").alias("ip_address"), F.lit(False).alias("client")),
+        )
+    )
+    counts = (
+        s.connections.filter(F.col("dst_port").isin(*C.L1_SERVER_PORTS)).select(ends.alias("e"))
+        .groupBy("e.ip_address")
+        .agg(F.count_if("e.client").alias("ot_targets"), F.count_if(~F.col("e.client")).alias("served"))
+    )
+    detail = s.devices.select(
+        F.col("ip").alias("ip_address"), "modbus", "dnp3", "ethernet_ip", "s7comm", "bacnet", "iec104", "profinet"
+    )
+    rows = s.assets.join(counts, "ip_address", "left").join(detail, "ip_address", "left")
     method = F.when(F.col("purdue_level").isNotNull(), "manual").otherwise("auto")
-    return rows.select("ip_address", chain.alias("p"), method.alias("method")).select(
+    return rows.select("ip_address", level_of().alias("p"), method.alias("method")).select(
         "ip_address", "p.level", "method", "p.reason"
     )
 

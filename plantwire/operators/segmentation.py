@@ -228,8 +228,11 @@ def baseline_zones(groups: DataFrame) -> DataFrame:
     return zone_table(zone_groups(groups))
 
 
-def split_subzones(assigned: DataFrame, members: DataFrame, conns: DataFrame) -> DataFrame:
-    """Rename zones whose groups do not reach each other: suffixes A, B, then C for the rest."""
+def split_subzones(assigned: DataFrame, members: DataFrame, conns: DataFrame, max_parts: int | None = None) -> DataFrame:
+    """Rename zones whose groups do not reach each other, one letter per part: A to Z, then A1 and so on.
+
+    ``max_parts`` puts all further parts of a zone into the last one it allows.
+    """
     of_ip = members.select("ip", "group_name").join(assigned.select("group_name", "zone"), "group_name")
 
     def end(prefix: str) -> DataFrame:
@@ -241,12 +244,15 @@ def split_subzones(assigned: DataFrame, members: DataFrame, conns: DataFrame) ->
     )
     parts = connected_components(assigned.select(F.col("group_name").alias("id")), links)
     marked = assigned.join(parts, F.col("group_name") == F.col("id")).drop("id")
-    first = marked.groupBy("zone").agg(F.min("component").alias("_a"), F.max("component").alias("_z"))
-    marked = marked.join(first, "zone")
-    second = marked.filter("component > _a").groupBy("zone").agg(F.min("component").alias("_b"))
-    suffix = F.when(F.col("component") == F.col("_a"), " A").when(F.col("component") == F.col("_b"), " B").otherwise(" C")
-    renamed = F.when(F.col("_a") == F.col("_z"), F.col("zone")).otherwise(F.concat("zone", suffix))
-    return marked.join(second, "zone", "left").select(
+    # parts are numbered over the groups of a zone, which are roles and vendors, not devices
+    order = Window.partitionBy("zone").orderBy("component")
+    numbered = marked.select("zone", "component").distinct().withColumn("_n", F.row_number().over(order) - 1)
+    parts_of = numbered.groupBy("zone").agg(F.count("*").alias("_parts"))
+    number = F.col("_n") if max_parts is None else F.least("_n", F.lit(max_parts - 1))
+    more = F.when(number >= 26, F.floor(number / 26).cast("string")).otherwise("")
+    letter = F.concat(F.lit(" "), F.char(F.lit(65) + number % 26), more)
+    renamed = F.when(F.col("_parts") == 1, F.col("zone")).otherwise(F.concat("zone", letter))
+    return marked.join(numbered, ["zone", "component"]).join(parts_of, "zone").select(
         "group_name", renamed.alias("zone"), "base_zone", "purdue_level", "member_count"
     )
 
@@ -548,10 +554,9 @@ def enforcement_rules(
         rules = rules.withColumn("_i", F.row_number().over(inside)).join(F.broadcast(offsets), ["src_zone", "dst_zone"])
         sid = F.col("_o") + F.col("_i") + (first_sid - 1)
         suffix = F.when(context == "", "").otherwise(F.concat(F.lit(" ("), context, F.lit(")")))
-        message = F.substring(
-            F.regexp_replace(
-                F.concat(F.lit("ALLOW: "), "protocol", F.lit("/"), port, F.lit(" "), "src_zone", F.lit(" to "), "dst_zone",
-                         F.lit(" ["), "risk", F.lit("]"), suffix), '[";]', ""), 1, 200)
+        message = F.regexp_replace(
+            F.concat(F.lit("ALLOW: "), "protocol", F.lit("/"), port, F.lit(" "), "src_zone", F.lit(" to "), "dst_zone",
+                     F.lit(" ["), "risk", F.lit("]"), suffix), '[";]', "")
         line = F.concat(
             F.lit("pass "), transport, F.lit(" any any -> any "), port, F.lit(' (msg:"'), message, F.lit('"; sid:'),
             sid.cast("string"), F.lit("; rev:1;)"),

@@ -10,6 +10,7 @@ from ..operators import attack_rules as R
 from ..operators import findings as N
 from ..operators import topology as G
 from ..operators import traffic
+from ..operators.full_run import run_in_few_passes
 from ..operators.patterns import device_first_last_seen
 from .catalog_traffic import lldp_rows, packets_with_props, redundancy_rows
 from .registry import SITES, SQL, at_site, joined, on_site, query, shown_findings, sql_finding, sql_joined
@@ -55,6 +56,11 @@ def _(s):
     return G.cap_topology(G.topo_nodes(s.packets), G.topo_edges(s.packets), n=60, e=400)[1].select("src_ip", "dst_ip", "protocol", "packet_count")
 
 
+@on_site("g3_whole_topology", f"SELECT src_ip, dst_ip, protocol, packet_count FROM ({_EDGES})", "wide")
+def _(s):
+    return G.cap_topology(G.topo_nodes(s.packets), G.topo_edges(s.packets))[1].select("src_ip", "dst_ip", "protocol", "packet_count")
+
+
 # The short-lived guests reach only a few hosts, which keeps one hop smaller than two.
 _HOPS = """WITH adj AS (SELECT src_ip AS a, dst_ip AS b FROM cnw UNION SELECT dst_ip, src_ip FROM cnw),
     h1 AS (SELECT b AS ip FROM adj WHERE a = '10.66.0.1' UNION SELECT '10.66.0.1'),
@@ -558,7 +564,7 @@ def run_of(spark, sf_dir: str, suffix: str = "m") -> dict:
     def build(name):
         if not hasattr(site, "_run"):
             snap = site.snapshot.staged()
-            site._run = A.run_full_analysis(snap, traffic.server_ips(snap.connections), device_first_last_seen(snap.stats), io_writes=HEAVY)
+            site._run = run_in_few_passes(snap, device_first_last_seen(snap.stats), io_writes=HEAVY)
         return site._run[name]
 
     return {"site": site} | {name: shared(site, f"run-{name}", lambda name=name: build(name)) for name in ("findings", "anomalies")}

@@ -22,7 +22,7 @@ from ..sources import sinks as K
 from ..streaming import live as V
 from . import binding
 from .catalog_assess import alerts
-from .registry import joined, on_site, sql_joined
+from .registry import SQL, joined, on_site, sql_joined
 
 KEY = "src_ip, src_port, dst_ip, dst_port, protocol"
 
@@ -263,35 +263,59 @@ def _(s):
     return I.read_oui(s.spark, _text(s.base.select(line).distinct(), _folder(s, "oui")))
 
 
-@on_site("s11_write_connections_csv", "SELECT src_ip, CAST(src_port AS VARCHAR) AS src_port, protocol, CAST(byte_count AS VARCHAR) AS byte_count FROM cn")
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S.%f') || 'Z'"
+
+
+def _csv_back(s, path: str):
+    """A written file as text: columns named in lower case, empty fields as empty text."""
+    rows = s.spark.read.option("header", True).option("escape", '"').csv(path)
+    return rows.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.lower().replace(" ", "_")) for c in rows.columns])
+
+
+@on_site("s11_write_connections_csv", f"""SELECT src_ip AS source_ip, CAST(src_port AS VARCHAR) AS source_port, dst_ip AS destination_ip, CAST(dst_port AS VARCHAR) AS destination_port, protocol, transport,
+    CAST(packet_count AS VARCHAR) AS packet_count, CAST(byte_count AS VARCHAR) AS byte_count, {_ISO.format('first_seen')} AS first_seen, {_ISO.format('last_seen')} AS last_seen FROM cn""")
 def _(s):
     path = _folder(s, "csv")
     K.write_connections_csv(s.connections, path)
-    return s.spark.read.option("header", True).csv(path).select(
-        F.col("Source IP").alias("src_ip"), F.col("Source Port").alias("src_port"), F.col("Protocol").alias("protocol"), F.col("Byte Count").alias("byte_count"))
+    return _csv_back(s, path)
+
+
+_SURE = f"CASE WHEN vendor IS NOT NULL THEN 3 WHEN len(list_filter(protocols, lambda p: p <> 'unknown')) > 0 THEN 1 ELSE 0 END"
 
 
-@on_site("s11_write_assets_csv", "SELECT ip AS ip_address, device_type, array_to_string(protocols, '; ') AS protocols FROM ass")
+@on_site("s11_write_assets_csv", f"""SELECT ip AS ip_address, coalesce(mac, '') AS mac_address, '' AS hostname, device_type, coalesce(vendor, '') AS vendor, '' AS product_family,
+    array_to_string(protocols, '; ') AS protocols, CAST({_SURE} AS VARCHAR) AS confidence, '' AS purdue_level, coalesce(vendor, '') AS oui_vendor, '' AS country,
+    CASE WHEN is_public THEN 'true' ELSE 'false' END AS public_ip, {_ISO.format('first_seen')} AS first_seen, {_ISO.format('last_seen')} AS last_seen,
+    CAST(packet_count AS VARCHAR) AS packet_count, '' AS tags, '' AS notes FROM ass""")
 def _(s):
     path = _folder(s, "csv")
     K.write_assets_csv(s.assets, path)
-    return s.spark.read.option("header", True).csv(path).select(
-        F.col("IP Address").alias("ip_address"), F.col("Device Type").alias("device_type"), F.col("Protocols").alias("protocols"))
+    return _csv_back(s, path)
 
 
-@on_site("s12_write_assets_json", "SELECT ip AS ip_address, device_type, packet_count FROM ass")
+@on_site("s12_write_assets_json", f"""SELECT ip AS ip_address, mac AS mac_address, device_type, vendor, vendor AS oui_vendor, CAST({_SURE} AS INT) AS confidence, is_public AS is_public_ip,
+    array_to_string(protocols, ',') AS protocols, packet_count FROM ass""")
 def _(s):
     path = _folder(s, "json")
     K.write_assets_json(s.assets, path)
-    return s.spark.read.schema("ip_address string, device_type string, packet_count bigint").json(path)
+    kinds = "ip_address string, mac_address string, device_type string, vendor string, oui_vendor string, confidence int, is_public_ip boolean, protocols array<string>, packet_count bigint"
+    return s.spark.read.schema(kinds).json(path).withColumn("protocols", F.array_join("protocols", ","))
 
 
-@on_site("s12_write_topology_json", """SELECT 'asset' AS section, count(*) AS rows FROM ab UNION ALL SELECT 'connection', count(*) FROM cn
-    UNION ALL SELECT 'protocol_stat', count(DISTINCT protocol) FROM pk""")
+@on_site("s12_write_topology_json", f"""SELECT 'asset' AS section, ip AS a, device_type AS b, '' AS c, '' AS d, '' AS protocol, packet_count, CAST(NULL AS BIGINT) AS byte_count FROM ass
+    UNION ALL SELECT 'connection', src_ip, CAST(src_port AS VARCHAR), dst_ip, CAST(dst_port AS VARCHAR), protocol, packet_count, byte_count FROM cn
+    UNION ALL SELECT 'protocol_stat', '', '', '', '', protocol, count(*), CAST(sum(length) AS BIGINT) FROM pk GROUP BY protocol""")
 def _(s):
     path = _folder(s, "topology")
     K.write_topology_json(s.assets, s.connections, traffic.protocol_stats(s.connections), path)
-    return s.spark.read.text(path).groupBy("section").agg(F.count("*").alias("rows"))
+    rows = s.spark.read.text(path)
+    field = lambda *names: F.coalesce(*[F.get_json_object("value", f"$.{n}") for n in names], F.lit(""))
+    number = lambda name: F.get_json_object("value", f"$.{name}").cast("bigint").alias(name)
+    protocol = F.when(F.col("section") == "asset", "").otherwise(field("protocol"))
+    return rows.select(
+        "section", field("ip_address", "src_ip").alias("a"), field("device_type", "src_port").alias("b"), field("dst_ip").alias("c"), field("dst_port").alias("d"),
+        protocol.alias("protocol"), number("packet_count"), number("byte_count"),
+    )
 
 
 @on_site("s13_sessions", "SELECT 's1' AS session_id, (SELECT count(*) FROM ab) AS asset_count, (SELECT count(*) FROM cn) AS connection_count")
@@ -322,17 +346,28 @@ def _(s):
     return L.packet_source(s.spark, binding._STAGED[key]).select("seq", "src_ip", "dst_ip", "length")
 
 
-@on_site("x1_sbom", "SELECT ip AS ip_address, coalesce(vendor, '') AS vendor, array_to_string(protocols, '; ') AS protocols, device_type, CASE level WHEN 1 THEN 'L1 - Basic Control' WHEN 2 THEN 'L2 - Area Supervisory' "
-         "WHEN 3 THEN 'L3 - Site Operations' ELSE 'L4 - Enterprise' END AS purdue_zone FROM ass JOIN lv USING (ip, device_type)")
+@on_site("x1_sbom", f"""SELECT ip AS ip_address, coalesce(mac, '') AS mac_address, '' AS hostname, coalesce(vendor, '') AS vendor, '' AS product, '' AS firmware_version,
+    array_to_string(protocols, '; ') AS protocols, CASE level WHEN 1 THEN 'L1 - Basic Control' WHEN 2 THEN 'L2 - Area Supervisory' WHEN 3 THEN 'L3 - Site Operations' ELSE 'L4 - Enterprise' END AS purdue_zone,
+    device_type, CAST({_SURE} AS INT) AS confidence, {_ISO.format('first_seen')} AS first_seen, {_ISO.format('last_seen')} AS last_seen, '' AS country, '' AS tags FROM ass JOIN lv USING (ip, device_type)""")
 def _(s):
-    return K.sbom(s.leveled).select("ip_address", "vendor", "protocols", "device_type", "purdue_zone")
+    return K.sbom(s.leveled).withColumn("confidence", F.col("confidence").cast("int"))
+
+
+_A, _M, _I = "'ipv4-addr--' || sha256({0})", "'mac-addr--' || sha256({0})", "'infrastructure--' || sha256({0})"
+
+
+def _link(name: str, a: str, b: str, source: str) -> str:
+    return f"SELECT 'relationship', 'relationship--' || sha256({a} || '|{name}|' || {b}), {a}, {b}, '{name}' FROM {source}"
 
 
-@on_site("x2_stix_objects", """SELECT type, count(*) AS objects FROM (SELECT 'ipv4-addr' AS type FROM ab UNION ALL SELECT 'infrastructure' FROM ab UNION ALL SELECT 'relationship' FROM ab UNION ALL SELECT 'relationship' FROM ab
-    UNION ALL SELECT * FROM (SELECT DISTINCT 'mac-addr' AS type, mac FROM ab) t(type, m) WHERE FALSE UNION ALL SELECT 'network-traffic' FROM cn UNION ALL SELECT 'indicator' FROM pv) GROUP BY type
-    UNION ALL SELECT 'mac-addr', count(DISTINCT mac) FROM ab""".replace("SELECT * FROM (SELECT DISTINCT 'mac-addr' AS type, mac FROM ab) t(type, m) WHERE FALSE", "SELECT 'none' WHERE FALSE"))
+@on_site("x2_stix_objects", f"""SELECT DISTINCT 'ipv4-addr' AS type, {_A.format('ip')} AS id, CAST(NULL AS VARCHAR) AS source_ref, CAST(NULL AS VARCHAR) AS target_ref, ip AS name FROM ass
+    UNION ALL SELECT DISTINCT 'mac-addr', {_M.format('mac')}, NULL, NULL, mac FROM ass UNION ALL SELECT 'infrastructure', {_I.format('ip')}, NULL, NULL, ip FROM ass
+    UNION ALL {_link('resolves-to', _A.format('ip'), _M.format('mac'), 'ass')} UNION ALL {_link('consists-of', _I.format('ip'), _A.format('ip'), 'ass')}
+    UNION ALL SELECT 'network-traffic', 'network-traffic--' || sha256(concat_ws('|', src_ip, src_port, dst_ip, dst_port, protocol)), {_A.format('src_ip')}, {_A.format('dst_ip')}, CAST(packet_count AS VARCHAR) FROM cn
+    UNION ALL SELECT 'indicator', 'indicator--' || sha256(concat_ws('|', finding_type, technique_id, title, affected)), NULL, NULL, title FROM ({SQL['f35_purdue_violations']})""")
 def _(s):
-    return K.stix_objects(s.assets, s.connections, s.violations, "2024-02-01T00:00:00Z").groupBy("type").agg(F.count("*").alias("objects"))
+    rows = K.stix_objects(s.assets, s.connections, s.violations, "2024-02-01T00:00:00Z")
+    return rows.select("type", "id", "source_ref", "target_ref", F.coalesce(*[F.get_json_object("body", f"$.{n}") for n in ("name", "value", "relationship_type", "x_packet_count")]).alias("name"))
 
 
 def _stream(s):

@@ -21,6 +21,11 @@ def _(s):
     return s.packets.groupBy("protocol").agg(F.count("*").alias("packets"))
 
 
+@on_site("p1_protocol_of_packets", "SELECT seq, protocol FROM pk")
+def _(s):
+    return s.packets.select("seq", "protocol")
+
+
 @on_site("p2_is_ot", "SELECT protocol IN ('modbus','dnp3','ethernet_ip','bacnet','s7comm','opc_ua','profinet','iec104','mqtt',"
          "'hart_ip','ge_srtp','wonderware_suitelink') AS is_ot, count(*) AS packets FROM pk GROUP BY 1")
 def _(s):
@@ -92,6 +97,11 @@ def _(s):
     return P.connection_packets(s.packets, 1000).select("seq", *KEY.split(", "), "length", "rank")
 
 
+@on_site("p10_all_connection_packets", f"SELECT seq, sha256(concat_ws('|', {KEY})) AS connection_id, {KEY}, transport, length, origin_file FROM pk")
+def _(s):
+    return P.connection_packets(s.packets).drop("ts")
+
+
 _SIG = """SELECT seq, src_ip, dst_ip, unnest(list_filter([
     CASE WHEN u2 AND dp = 47808 THEN 'bacnet_npdu_version:4' END, CASE WHEN u2 AND dp = 47808 THEN 'bacnet_bvlc:4' END,
     CASE WHEN u2 AND dp = 47808 THEN 'bacnet_generic:1' END,
@@ -296,6 +306,16 @@ def _(s):
     return A.list_connections(s.connections, page=2, page_size=500, sort_by="bytes").select(*KEY.split(", "), "byte_count", "total", "has_more")
 
 
+@on_site("a13_list_all_assets", "SELECT ip AS ip_address, packet_count, (SELECT count(*) FROM assw) AS total, FALSE AS has_more FROM assw", "wide")
+def _(s):
+    return A.list_assets(s.assets, sort_by="protocol").select("ip_address", "packet_count", "total", "has_more")
+
+
+@on_site("a13_list_all_connections", f"SELECT {KEY}, byte_count, (SELECT count(*) FROM cnw) AS total, FALSE AS has_more FROM cnw", "wide")
+def _(s):
+    return A.list_connections(s.connections).select(*KEY.split(", "), "byte_count", "total", "has_more")
+
+
 @on_site("a14_search_assets", """SELECT ip AS ip_address, device_type FROM ass WHERE (ip LIKE '%10.200.1%' OR mac LIKE '%10.200.1%'
     OR lower(vendor) LIKE '%10.200.1%') AND list_contains(protocols, 'modbus')""")
 def _(s):
@@ -351,6 +371,12 @@ def _(s):
     )
 
 
+@on_site("a18_all_pattern_rows", """SELECT s.src_ip, s.dst_ip, s.port, s.protocol, s.packet_count, coalesce(a.n, 0) AS anomaly_count FROM str s LEFT JOIN (
+    SELECT src_ip, dst_ip, port, protocol, count(*) AS n FROM anr GROUP BY 1, 2, 3, 4) a USING (src_ip, dst_ip, port, protocol)""", "replay")
+def _(s):
+    return T.pattern_rows(s.stats, s.anomalies).select("src_ip", "dst_ip", "port", "protocol", "packet_count", "anomaly_count")
+
+
 @on_site("a19_device_first_last_seen", "SELECT ip AS ip_address, epoch_us(first_seen) AS first_seen_us, epoch_us(last_seen) AS last_seen_us FROM ab")
 def _(s):
     return s.seen.select("ip_address", us("first_seen"), us("last_seen"))

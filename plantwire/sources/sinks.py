@@ -71,6 +71,7 @@ def write_topology_json(assets: DataFrame, conns: DataFrame, protocol_stats: Dat
 # --- bill of materials ------------------------------------------------------------------
 
 
+# --- fixed values: names of the Purdue levels
 def purdue_zone(level: Column) -> Column:
     return (
         F.when(level == 0, "L0 - Process").when(level == 1, "L1 - Basic Control").when(level == 2, "L2 - Area Supervisory")
@@ -95,13 +96,14 @@ def sbom(assets: DataFrame) -> DataFrame:
 
 
 def _key(*parts) -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)
+    return F.sha2(F.concat_ws("|", *parts), 256)
 
 
 def _stix_id(kind: str, *parts) -> Column:
     return F.concat(F.lit(f"{kind}--"), _key(*parts))
 
 
+# --- fixed values: infrastructure types of the exchange format
 def _infrastructure_type(kind: Column) -> Column:
     return (
         F.when(kind.isin("plc", "rtu"), "control-system").when(kind.isin("hmi", "engineering_workstation"), "workstation")
@@ -157,7 +159,7 @@ def stix_objects(assets: DataFrame, conns: DataFrame, findings: DataFrame, as_of
         F.array("transport", "protocol").alias("protocols"), _when("first_seen").alias("start"), _when("last_seen").alias("end"),
         F.col("packet_count").alias("x_packet_count"), F.col("byte_count").alias("x_byte_count"),
     )
-    indicator = F.concat(F.lit("indicator--"), F.substring("id", 1, 32))
+    indicator = F.concat(F.lit("indicator--"), "id")
     indicator_body = F.struct(
         *common("indicator", indicator), *stamps, F.col("title").alias("name"), F.col("evidence").alias("description"),
         F.array(F.lit("anomalous-activity")).alias("indicator_types"),
