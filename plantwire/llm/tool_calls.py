@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .staging import Stages
@@ -78,6 +78,27 @@ def levels(calls: DataFrame, stages: Stages) -> DataFrame:
     return every
 
 
+#: Turns of one conversation and level in a bucket of positions.
+_TURNS = 1024
+
+
+def positions(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``position``: place of the call in its conversation by level, turn and id, from 1.
+
+    Rows without a level have none. Places are counted inside buckets of turns, and buckets by their
+    counts, so that a conversation with very many calls is no single group.
+    """
+    bucket = ["conv_id", "level", "_bucket"]
+    placed = rows.filter("level IS NOT NULL").select(
+        "conv_id", "call_id", "level", F.coalesce("turn", F.lit(-1)).alias("_turn"), F.floor(F.coalesce("turn", F.lit(-1)) / _TURNS).alias("_bucket")
+    )
+    running = Window.partitionBy("conv_id").orderBy("level", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy(*bucket).agg(F.count("*").alias("_n")).select(*bucket, F.coalesce(F.sum("_n").over(running), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*bucket).orderBy("_turn", "call_id")
+    placed = placed.withColumn("_i", F.row_number().over(inside)).join(before, bucket)
+    return rows.join(placed.select("conv_id", "call_id", (F.col("_before") + F.col("_i")).alias("position")), ["conv_id", "call_id"], "left")
+
+
 def link(calls: DataFrame, results: DataFrame, tools: list[Tool]) -> DataFrame:
     """One row for each (conv_id, call_id) of calls or results, with its message in canonical JSON.
 
@@ -87,8 +108,11 @@ def link(calls: DataFrame, results: DataFrame, tools: list[Tool]) -> DataFrame:
     Returns conv_id, call_id, turn (of the call, of a lone result its own), name, level (null
     behind circles and for lone results), status (orphan_result, unknown_tool, bad_arguments,
     circular, result_first, no_result or ok, the first that holds), problem (why the arguments are
-    bad), n_calls, n_results and message: sorted keys, no blanks, absent values left out. Rows with
-    null conv_id or call_id take no part. Null arguments are no JSON. Empty tables give no rows.
+    bad), n_calls, n_results, position (of the call in its conversation in topological order, null
+    where level is) and message: sorted keys, no blanks, the arguments as an object, absent values left
+    out; arguments that are no JSON stand as ``{"text":...}``. Rows with null conv_id or call_id take
+    no part. Null arguments are no JSON. Very long arguments and results are handled whole. Empty
+    tables give no rows.
     """
     stages = Stages(calls.sparkSession, "tool-calls")
     keys, named = ["conv_id", "call_id"], "conv_id IS NOT NULL AND call_id IS NOT NULL"
@@ -97,7 +121,7 @@ def link(calls: DataFrame, results: DataFrame, tools: list[Tool]) -> DataFrame:
     first = stages.write(first.select(*keys, "c.*", "n_calls", refs.alias("refs")), "calls")
     answer = results.filter(named).groupBy(*keys).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
     rows = (
-        first.drop("refs").join(levels(first, stages), keys, "left")
+        positions(first.drop("refs").join(levels(first, stages), keys, "left"))
         .join(answer, keys, "full")
         .withColumn("value", F.try_parse_json("arguments"))
     )
@@ -113,15 +137,16 @@ def link(calls: DataFrame, results: DataFrame, tools: list[Tool]) -> DataFrame:
     )
     rows = rows.withColumn("status", status)
     # names in order, and objects inside are sorted by the parser
+    given = F.coalesce("value", F.when(F.col("arguments").isNotNull(), F.parse_json(F.to_json(F.struct(F.col("arguments").alias("text"))))))
     message = F.to_json(
         F.struct(
-            F.coalesce(F.to_json("value"), F.to_json(F.struct(F.col("arguments").alias("text")))).alias("arguments"), F.col("call_id").alias("id"),
+            given.alias("arguments"), F.col("call_id").alias("id"),
             "level", "name", "problem", F.col("r.content").alias("result"), "status",
         )
     )
     return rows.select(
         *keys, F.coalesce("turn", "r.turn").alias("turn"), "name", "level", "status", "problem",
-        F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), message.alias("message"),
+        F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), "position", message.alias("message"),
     )
 
 

@@ -1,5 +1,6 @@
 """Operators against brute force, and on nulls, empty and long texts, ties, repeats, empty tables and clashing names."""
 
+import json
 import re
 import zlib
 from collections import Counter
@@ -196,11 +197,62 @@ def test_tool_calls(spark):
     assert [rows[1, k].level for k in "abc"] == [0, 1, 2] and rows[1, "d"].level is None
     assert (rows[1, "a"].n_calls, rows[1, "a"].n_results) == (2, 2)
     assert rows[1, "g"].problem == "query is no string" and rows[1, "i"].problem == "unknown argument"
-    assert r'{\"limit\":2,\"query\":\"$a\"}' in rows[1, "b"].message
+    assert json.loads(rows[1, "b"].message) == {"arguments": {"limit": 2, "query": "$a"}, "id": "b", "level": 1, "name": "search", "result": "early", "status": "result_first"}
+    assert '{"arguments":{"limit":2,"query":"$a"},"id":"b",' in rows[1, "b"].message and json.loads(rows[1, "h"].message)["arguments"] == {"text": "oops"}
+    placed = sorted((r.position, r.level, r.turn, r.call_id) for r in rows.values() if r.conv_id == 1 and r.position)
+    assert [p[0] for p in placed] == list(range(1, len(placed) + 1)) and [p[1:] for p in placed] == sorted(p[1:] for p in placed)
+    assert all((r.position is None) == (r.level is None) for r in rows.values())
     none = tool_calls.calls_of(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert tool_calls.link(*none, tool_calls.TOOLS).count() == 0
 
 
+def plain_links(calls, results):
+    """Status, level and position of every call of conversations, by brute force."""
+    first, answers, out = {}, {}, {}
+    for conv, turn, call, name, arguments in sorted(calls, key=lambda c: (c[1], c[3], c[4] or "")):
+        first.setdefault((conv, call), (turn, name, arguments))
+    for conv, turn, call, content in sorted(results, key=lambda r: (r[1], r[3])):
+        answers.setdefault((conv, call), turn)
+    tools = {t.name: t for t in tool_calls.TOOLS}
+    kinds = {"string": str, "integer": int, "boolean": bool}
+
+    def bad(name, arguments):
+        try:
+            value = json.loads(arguments)
+        except ValueError:
+            return True
+        tool = tools[name]
+        return not isinstance(value, dict) or bool(set(value) - set(tool.arguments)) or any(k not in value for k in tool.required) or any(
+            k in value and type(value[k]) is not kinds[t] for k, t in tool.arguments.items())
+
+    def level(key, behind):
+        refs = {(key[0], r) for r in re.findall(r'"\$([^"\\]+)"', first[key][2] or "")} & set(first)
+        if key in behind:
+            return None
+        below = [level(r, behind | {key}) for r in refs]
+        return None if None in below else 1 + max(below, default=-1)
+
+    for key, (turn, name, arguments) in first.items():
+        at = level(key, frozenset())
+        status = "unknown_tool" if name not in tools else "bad_arguments" if bad(name, arguments) else "circular" if at is None else (
+            "no_result" if key not in answers else "result_first" if answers[key] <= turn else "ok")
+        out[key] = [status, at, None]
+    for conv in {c for c, _ in out}:
+        order = sorted((at, first[conv, call][0], call) for (c, call), (_, at, _) in out.items() if c == conv and at is not None)
+        for n, (_, _, call) in enumerate(order):
+            out[conv, call][2] = n + 1
+    return {k: tuple(v) for k, v in out.items()} | {k: ("orphan_result", None, None) for k in answers if k not in first}
+
+
+def test_tool_calls_of_all_conversations(spark):
+    rows = spark.read.parquet(f"{SF}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    rows += [(900, t, "user", "again " * 30_000) for t in range(0, 40, 2)] + [(900, 1, "assistant", "x"), (900, 1, "assistant", "x"), (901, 0, "assistant", None), (901, 0, "user", None)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("level", F.lit("clash")).withColumn("name", F.lit(1))
+    calls, results = tool_calls.calls_of(table)
+    got = {(r.conv_id, r.call_id): (r.status, r.level, r.position) for r in tool_calls.link(calls.withColumn("position", F.lit(0)), results, tool_calls.TOOLS).collect()}
+    assert got == plain_links([tuple(r) for r in calls.collect()], [(r[0], r[1], r[2], r[3] or "") for r in results.collect()])
+
+
 def test_quality_features(docs):
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
     for i, text in texts_of(docs).items():
