@@ -192,6 +192,43 @@ ADVICE_BY_TITLE = (
     ("internet", "Remove the public address or place the device behind a DMZ"),
     ("public ip", "Remove the public address or place the device behind a DMZ"),
 )
+# What a finding of each technique means, in our words; others go by the type of finding.
+MEANING_BY_TECHNIQUE = {
+    "T0800": "Firmware or program transfer reached field devices, which can put them in update mode",
+    "T0801": "One host reads the state of very many process endpoints",
+    "T0802": "One host collects data from many control devices",
+    "T0803": "A field device has traffic but gets no commands, which may be blocked",
+    "T0804": "An outstation that has a master sends no reports, which may be blocked",
+    "T0806": "Writes to one device come at a rate of brute force",
+    "T0809": "A program service that can delete blocks was called",
+    "T0811": "A device was told to stop or restart its communication",
+    "T0814": "Diagnostic or interrogation commands can keep a device from its work",
+    "T0816": "A device was told to stop, restart or reset its process",
+    "T0822": "A control device uses remote access services",
+    "T0830": "One address was seen with several hardware addresses, as in the middle of a connection",
+    "T0836": "Files of a device that hold its firmware or settings were used",
+    "T0840": "One host probes many ports or hosts of control services",
+    "T0843": "A program was sent to a controller",
+    "T0845": "A program was read from a controller",
+    "T0846": "A host that is no control device looks for control devices, or one is reachable from outside",
+    "T0849": "Office traffic runs on a port of a control protocol",
+    "T0855": "Commands that change the process were sent",
+    "T0856": "Reports or alarms are forged or switched off",
+    "T0861": "One host reads many points or units of a device",
+    "T0864": "A device was on the control network only for a short time",
+    "T0866": "A host from outside uses services through which a control device can be exploited",
+    "T0867": "Files are moved to or from control devices",
+    "T0868": "The operating mode of a controller can be changed by program transfer",
+    "T0881": "A server of a control protocol gets far less traffic than others",
+    "T0884": "A host passes control traffic on as client and server",
+    "T0885": "A control protocol runs on a port that is not its own",
+    "T0886": "Network zones reach each other that should be apart",
+}
+MEANING_BY_TYPE = {
+    "attack_technique": "Traffic fits an attack technique", "purdue_violation": "Levels of the plant reach each other that should be apart",
+    "anomaly": "Behaviour departs from what the device or protocol usually does",
+}
+
 ADVICE_DEFAULT = "Review the finding and apply vendor hardening guidance"
 
 # --- fixed values: known vulnerabilities ---------------------------------------

@@ -71,6 +71,15 @@ def severity_rank(column: Column | str = "severity") -> Column:
     return X.rank_of(F.col(column) if isinstance(column, str) else column, C.SEVERITY_RANK)
 
 
+def described(findings: DataFrame, as_of: Column) -> DataFrame:
+    """Findings with ``description``, what such a finding means, and ``as_of``, the time they hold for."""
+    meaning = F.lit(None).cast("string")
+    for table, column in ((C.MEANING_BY_TYPE, "finding_type"), (C.MEANING_BY_TECHNIQUE, "technique_id")):
+        names = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+        meaning = F.coalesce(F.try_element_at(names, F.col(column)), meaning)
+    return findings.withColumn("description", meaning).withColumn("as_of", as_of)
+
+
 def with_type(table: DataFrame, assets: DataFrame, ip: str, name: str = "device_type") -> DataFrame:
     """Add the device type of an address; unknown addresses are ``unknown``."""
     kinds = assets.select(F.col("ip_address").alias(ip), F.col("device_type").alias(name))

@@ -185,6 +185,17 @@ def best_signature_matches(packets: DataFrame, rules: list[dict] | None = None,
     return best.withColumn("match_rank", F.row_number().over(order))
 
 
+def asset_signatures(assets: DataFrame, best: DataFrame) -> DataFrame:
+    """Assets with ``signature_matches``: name and confidence of each signature they match, best first.
+
+    ``best``: output of ``best_signature_matches``. An array is as long as the list of signatures at most.
+    """
+    matches = F.array_sort(F.collect_list(F.struct("match_rank", "signature_name", "confidence")))
+    lists = best.groupBy(F.col("ip").alias("ip_address")).agg(matches.alias("_m"))
+    shown = F.transform(F.coalesce("_m", F.array()), lambda m: F.struct(m["signature_name"].alias("signature_name"), m["confidence"].alias("confidence")))
+    return assets.join(lists, "ip_address", "left").withColumn("signature_matches", shown).drop("_m")
+
+
 def extract_payload_fields(packets: DataFrame, extractors: list[dict]) -> DataFrame:
     """Slices of the payload as text: label, offset, length (0 = rest), format
     ``ascii`` | ``hex`` | ``uint16_be`` | ``uint16_le``. Empty values are dropped."""

@@ -236,19 +236,32 @@ def derive_packets(spark: SparkSession, sf_dir: str, variant: str = "base", wher
 _STAGED: dict[tuple, str] = {}
 
 
-def packets(spark: SparkSession, sf_dir: str, variant: str = "base", where: str | None = None) -> DataFrame:
-    """Packet table of a variant, written once per application.
+def identity(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells one state of the events from another: time of change and size."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return files.getFileStatus(path).getModificationTime(), files.getContentSummary(path).getLength()
 
-    Analyses start from a stored packet table, so that filters and columns reach the
-    scan instead of the derivation.
-    """
-    key = (spark.sparkContext.applicationId, sf_dir, variant, where)
+
+def packets_path(spark: SparkSession, sf_dir: str, variant: str = "base", where: str | None = None) -> str:
+    """Folder of the packet table of a variant, written once per application and state of the events."""
+    key = (spark.sparkContext.applicationId, sf_dir, identity(spark, sf_dir), variant, where)
     if key not in _STAGED:
         path = f"{shared_dir(spark).rstrip('/')}/packets-{variant}-{uuid.uuid4().hex}"
         derive_packets(spark, sf_dir, variant, where).write.parquet(path)
         _STAGED[key] = path
+    return _STAGED[key]
+
+
+def packets(spark: SparkSession, sf_dir: str, variant: str = "base", where: str | None = None) -> DataFrame:
+    """Packet table of a variant.
+
+    Analyses start from a stored packet table, so that filters and columns reach the
+    scan instead of the derivation.
+    """
+    path = packets_path(spark, sf_dir, variant, where)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(_STAGED[key])
+    return spark.read.parquet(path)
 
 
 def packets_sql(variant: str = "base", where: str | None = None, name: str = "pk") -> str:

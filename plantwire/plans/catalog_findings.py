@@ -643,3 +643,15 @@ def _advice_sql() -> str:
 @query("f43_remediation_list", f"WITH {FOUND} SELECT row_number() OVER (ORDER BY r DESC, id) AS rank, severity, title, {_advice_sql()} AS remediation FROM ranked")
 def _(spark, d):
     return A.remediation_list(run_of(spark, d)["findings"]).select("rank", "severity", "title", "remediation")
+
+
+def _meaning_sql() -> str:
+    cases = [f"WHEN technique_id = '{k}' THEN '{v}'" for k, v in C.MEANING_BY_TECHNIQUE.items()] + [f"WHEN finding_type = '{k}' THEN '{v}'" for k, v in C.MEANING_BY_TYPE.items()]
+    return f"CASE {' '.join(cases)} END"
+
+
+@query("f40_described_findings", f"WITH {FOUND} SELECT id, {_meaning_sql()} AS description, (SELECT epoch_us(max(ts)) FROM pk) AS as_of_us FROM ranked")
+def _(spark, d):
+    run = run_of(spark, d)
+    end = run["site"].packets.agg(F.max("ts")).scalar()
+    return N.described(run["findings"], end).select("id", "description", F.unix_micros("as_of").alias("as_of_us"))

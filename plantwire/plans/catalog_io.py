@@ -341,9 +341,7 @@ def _(s):
 
 @on_site("s14_packet_source", "SELECT seq, src_ip, dst_ip, length FROM pk")
 def _(s):
-    s.packets.count()
-    key = (s.spark.sparkContext.applicationId, s.sf_dir, s.variant, s.where)
-    return L.packet_source(s.spark, binding._STAGED[key]).select("seq", "src_ip", "dst_ip", "length")
+    return L.packet_source(s.spark, binding.packets_path(s.spark, s.sf_dir, s.variant, s.where)).select("seq", "src_ip", "dst_ip", "length")
 
 
 @on_site("x1_sbom", f"""SELECT ip AS ip_address, coalesce(mac, '') AS mac_address, '' AS hostname, coalesce(vendor, '') AS vendor, '' AS product, '' AS firmware_version,
@@ -371,9 +369,7 @@ def _(s):
 
 
 def _stream(s):
-    s.packets.limit(0).count()
-    key = (s.spark.sparkContext.applicationId, s.sf_dir, s.variant, s.where)
-    return L.packet_source(s.spark, binding._STAGED[key], streaming=True)
+    return L.packet_source(s.spark, binding.packets_path(s.spark, s.sf_dir, s.variant, s.where), streaming=True)
 
 
 @on_site("l1_live_connections", f"SELECT {KEY}, packet_count, byte_count FROM cn")

@@ -214,6 +214,14 @@ def packets_with_props(s):
     return s
 
 
+@on_site("a5_asset_signatures", f"""SELECT ip AS ip_address, coalesce(m, '') AS matches FROM ab LEFT JOIN (
+    SELECT ip, string_agg(signature_name || '=' || confidence, ',' ORDER BY match_rank) AS m FROM ({_BEST}) GROUP BY ip) USING (ip)""")
+def _(s):
+    rows = G.asset_signatures(s.assets, G.best_signature_matches(s.packets))
+    shown = F.transform("signature_matches", lambda m: F.concat_ws("=", m["signature_name"], m["confidence"].cast("string")))
+    return rows.select("ip_address", F.array_join(shown, ",").alias("matches"))
+
+
 @on_site("a5_build_assets", f"""WITH {_LLDP}, best AS (SELECT * FROM ({_BEST}) WHERE match_rank = 1),
     ident AS (SELECT src_ip AS ip, last('Vendor ' || (k % 7) ORDER BY ts, seq) AS vendor_name, last('PC-' || k ORDER BY ts, seq) AS product
         FROM pk WHERE src_port = 102 GROUP BY src_ip)

@@ -27,8 +27,8 @@ _SHARED: dict[tuple, DataFrame] = {}
 
 
 def shared(site: "Site", name: str, build) -> DataFrame:
-    """A staged table of a site, written once per application."""
-    key = (site.spark.sparkContext.applicationId, site.sf_dir, site.variant, site.where, site.label, name)
+    """A staged table of a site, written once per application and state of the events."""
+    key = (site.spark.sparkContext.applicationId, site.sf_dir, binding.identity(site.spark, site.sf_dir), site.variant, site.where, site.label, site.hot, name)
     if key not in _SHARED:
         _SHARED[key] = stage(build(), name)
     return _SHARED[key]
@@ -59,8 +59,8 @@ class SiteSnapshot:
 
 
 class Site:
-    def __init__(self, spark: SparkSession, sf_dir: str, variant: str = "base", where: str | None = None):
-        self.spark, self.sf_dir, self.variant, self.where, self.label = spark, sf_dir, variant, where, None
+    def __init__(self, spark: SparkSession, sf_dir: str, variant: str = "base", where: str | None = None, hot: int = 5):
+        self.spark, self.sf_dir, self.variant, self.where, self.label, self.hot = spark, sf_dir, variant, where, None, hot
 
     @cached_property
     def packets(self) -> DataFrame:
@@ -152,7 +152,7 @@ class Site:
     def groups(self) -> DataFrame:
         profiles, observed = self.segment_inputs
         sets = shared(self, "neighbors", lambda: self.neighbors)
-        return shared(self, "groups", lambda: segmentation.policy_groups(profiles, observed, sets, hot=5))
+        return shared(self, "groups", lambda: segmentation.policy_groups(profiles, observed, sets, hot=self.hot))
 
     @cached_property
     def zones(self) -> DataFrame:
