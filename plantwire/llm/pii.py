@@ -20,8 +20,9 @@ class Kind:
 
     ``pattern`` must match no empty text. It is written so that a failed attempt is not tried
     again inside the same run of characters, which keeps long texts linear. ``valid``: SQL over
-    ``m``, the match. ``score`` is what a valid match has by itself; a context word within
-    CONTEXT characters before it adds NEAR. Spans of THRESHOLD or more are reported.
+    ``m``, the match. ``score`` is what a valid match has by itself; one of ``words`` within
+    CONTEXT characters before it adds NEAR, one of ``against`` takes AWAY. Spans of THRESHOLD or
+    more are reported with their score; those of kinds without words have a fixed one.
     """
 
     name: str
@@ -30,11 +31,13 @@ class Kind:
     score: float = 1.0
     words: str | None = None
     needs: str | None = None
+    against: str | None = None
 
 
 THRESHOLD = 0.5
 CONTEXT = 40
 NEAR = 0.4
+AWAY = 0.4
 
 _DIGITS = "regexp_replace(m, '[^0-9]+', '')"
 _OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
@@ -71,14 +74,15 @@ _IBAN = "|".join(
 )
 #: Kinds beyond the base: account numbers by mod-97; shorter card numbers and plain phone numbers only near their words.
 MORE = [
-    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])", _MOD97, 0.6, "iban|account|konto|cuenta|compte"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])", _MOD97, 0.6, "iban|account|konto|cuenta|compte",
+         against="example|sample|dummy|beispiel|ejemplo|exemple"),
     Kind(
         "short_card", r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++", f"length({_DIGITS}) BETWEEN 13 AND 15 AND {_LUHN}", 0.3,
-        "card|karte|carte|tarjeta|visa|amex|credit",
+        "card|karte|carte|tarjeta|visa|amex|credit", against="example|sample|dummy|invoice|order|serial|isbn|version",
     ),
     Kind(
         "local_phone", r"(?<![0-9+.])[0-9]{3}[-.\x20][0-9]{3}[-.\x20][0-9]{4}(?![0-9])", "true", 0.3,
-        "phone|call|tel|mobile|fax|telefon|telefono",
+        "phone|call|tel|mobile|fax|telefon|telefono", against="example|sample|dummy|invoice|order|serial|isbn|version",
     ),
 ]
 
@@ -97,21 +101,26 @@ def _spans(kind: Kind, text: str) -> Column:
     )
     good = f"transform(array(p.m), m -> {kind.valid})[0]"
     spans = f"transform(array({found}), f -> if(size(f) = 0, null, transform(array({gaps}), g -> {walk.replace('{good}', good)})[0]))[0]"
-    if kind.score < THRESHOLD and kind.words:
-        near = f"lower(substr({text}, greatest(s.s - {CONTEXT} + 1, 1), least({CONTEXT}, s.s))) rlike '{kind.words}'"
-        spans = f"filter({spans}, s -> {kind.score} + if({near}, {NEAR}, 0.0) >= {THRESHOLD})"
+    score = "1.0D"
+    if kind.words or kind.against:
+        before = f"lower(substr({text}, greatest(s.s - {CONTEXT} + 1, 1), least({CONTEXT}, s.s)))"
+        parts = [f"if({before} rlike '{words}', {change}D, 0D)" for words, change in ((kind.words, NEAR), (kind.against, -AWAY)) if words]
+        score = f"round(least(1D, greatest(0D, {kind.score}D + {' + '.join(parts)})), 3)"
+    spans = f"filter(transform({spans}, s -> struct(s.s AS s, s.e AS e, {score} AS score)), s -> s.score >= {THRESHOLD}D)"
     if kind.needs:
         spans = f"if(instr({text}, '{kind.needs}') = 0, null, {spans})"
-    none = "cast(array() AS array<struct<m: string, s: int, e: int>>)"
-    return F.transform(F.expr(f"coalesce({spans}, {none})"), lambda s: F.struct(F.lit(kind.name).alias("kind"), s["s"].alias("start"), s["e"].alias("end")))
+    none = "cast(array() AS array<struct<s: int, e: int, score: double>>)"
+    return F.transform(
+        F.expr(f"coalesce({spans}, {none})"), lambda s: F.struct(F.lit(kind.name).alias("kind"), s["s"].alias("start"), s["e"].alias("end"), s["score"].alias("score"))
+    )
 
 
 def find(docs: DataFrame, kinds: list[Kind] = BASE + MORE) -> DataFrame:
-    """``docs`` with one array column per kind, ``pii_<kind>``: structs of kind, start and end.
+    """``docs`` with one array column per kind, ``pii_<kind>``: structs of kind, start, end and score.
 
     Matches of a kind are leftmost and do not overlap; a match that fails its check is dropped
     and not tried again from another place. Kinds are independent, so spans of different kinds
-    may overlap. A null or empty text has no spans. All rows and other columns stay; columns
+    may overlap. A null or empty text has no spans, very long texts are searched whole. All rows and other columns stay; columns
     named ``pii_<kind>`` are replaced. An empty table gives no rows.
     """
     text = fresh("_text", docs)

@@ -368,6 +368,40 @@ def test_pii(spark, odd):
     assert pii.find(odd).count() == odd.count() and pii.mask(odd).columns == odd.columns
 
 
+def plain_added_spans(text):
+    """Added kinds by brute force: (kind, start, end, score)."""
+    out = []
+    for kind in pii.MORE:
+        for m in re.finditer(kind.pattern, text or ""):
+            digits = re.sub("[^0-9]+", "", m[0])
+            if kind.name == "iban":
+                moved = m[0].replace(" ", "")[4:] + m[0].replace(" ", "")[:4]
+                valid = int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+            elif kind.name == "short_card":
+                doubled = [int(d) * (1 + n % 2) for n, d in enumerate(reversed(digits))]
+                valid = 13 <= len(digits) <= 15 and sum(d - 9 * (d > 9) for d in doubled) % 10 == 0
+            else:
+                valid = True
+            before = text[max(0, m.start() - pii.CONTEXT) : m.start()].lower()
+            score = kind.score + pii.NEAR * bool(re.search(kind.words, before)) - pii.AWAY * bool(re.search(kind.against, before))
+            score = round(min(1.0, max(0.0, score)), 3)
+            if valid and score >= pii.THRESHOLD:
+                out.append((kind.name, m.start(), m.end(), score))
+    return out
+
+
+def test_added_kinds_and_scores(spark, docs):
+    iban, card, phone = "DE89370400440532013000", "3782 822463 10005", "202-555-0199"
+    crafted = [f"{w} {x}" for w in ("", "iban", "our account is", "example", "example iban", "card", "card order", "phone", "invoice", "call " + "x" * 50) for x in (iban, card, phone)]
+    texts = [t for t in texts_of(docs).values() if t] + crafted + [f"call {phone} or {phone}, card {card}; {iban} " * 5, "1" * 5000, None]
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: [(s.kind, s.start, s.end, s.score) for k in pii.MORE for s in r[f"pii_{k.name}"]] for r in rows}
+    assert got == {i: plain_added_spans(t) for i, t in enumerate(texts)}
+    scores = {(s[0], s[3]) for spans in got.values() for s in spans}
+    assert {("iban", 0.6), ("iban", 1.0), ("short_card", 0.7), ("local_phone", 0.7)} <= scores
+    assert all(s.score == 1.0 for r in rows for k in pii.BASE for s in r[f"pii_{k.name}"])
+
+
 def test_pii_account_number_before_capitals_and_digits(spark):
     numbers = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "NO9386011117947", "GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606"]
     tails = [" BIC COBADEFFXXX", " BY MAY", " 2024", ". X", ""]
