@@ -495,10 +495,12 @@ def t0801_monitor_state(s: Snapshot, threshold: int = 20) -> DataFrame:
 def finding_targets(s: Snapshot) -> DataFrame:
     """Targets behind the fan-out rules: technique_id, src_ip, target_ip.
 
-    Holds the pairs behind T0855 fan-out, T0846 discovery, T0802 collection and T0856
-    unknown masters, one row each.
+    Holds the pairs behind T0855 fan-out, T0846 discovery, T0802 collection, T0856 unknown masters,
+    T0801 monitoring (which T0840 sweeps share) and T0800 firmware transfer, one row each.
     """
     ctx = context_of(s)
+    field = s.assets.filter(F.col("device_type").isin(*C.FIELD_DEVICE_TYPES)).select(F.col("ip_address").alias("dst_ip"))
+    reached = s.connections.select("src_ip", "dst_ip").distinct().join(field, "dst_ip", "left_semi").select("src_ip", "dst_ip")
     discovery = s.connections.filter(F.col("dst_port").isin(*C.OT_PORTS)).select("src_ip", "dst_ip").distinct()
     unclassified = s.assets.filter(_unclassified()).select(F.col("ip_address").alias("src_ip"))
     parts = [
@@ -506,6 +508,8 @@ def finding_targets(s: Snapshot) -> DataFrame:
         (discovery.join(unclassified, "src_ip", "left_semi"), "T0846"),
         (ctx["read_targets"], "T0802"),
         (s.dnp3_peers.filter("remote_role = 'master'").select("ip", "remote_ip"), "T0856"),
+        (discovery, "T0801"),
+        (reached, "T0800"),
     ]
     return _union(*[
         t.toDF("src_ip", "target_ip").select(F.lit(code).alias("technique_id"), "src_ip", "target_ip") for t, code in parts

@@ -427,7 +427,9 @@ def _(s):
 
 @on_site("f30_finding_targets", f"""SELECT 'T0855' AS technique_id, src_ip, dst_ip AS target_ip FROM wt UNION ALL
     SELECT DISTINCT 'T0846', src_ip, dst_ip FROM cn WHERE dst_port IN {_OTP} AND src_ip IN (SELECT ip FROM ass WHERE device_type IN ('it_device','unknown'))
-    UNION ALL SELECT 'T0802', src_ip, dst_ip FROM rt UNION ALL SELECT 'T0856', ip, remote_ip FROM dp WHERE remote_role = 'master'""")
+    UNION ALL SELECT 'T0802', src_ip, dst_ip FROM rt UNION ALL SELECT 'T0856', ip, remote_ip FROM dp WHERE remote_role = 'master'
+    UNION ALL SELECT DISTINCT 'T0801', src_ip, dst_ip FROM cn WHERE dst_port IN {_OTP}
+    UNION ALL SELECT DISTINCT 'T0800', src_ip, dst_ip FROM cn WHERE dst_ip IN (SELECT ip FROM ass WHERE device_type IN ('plc', 'rtu'))""")
 def _(s):
     return R.finding_targets(s.snapshot)
 
