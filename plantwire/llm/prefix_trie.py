@@ -205,8 +205,10 @@ def _merged_spines(spines: DataFrame) -> DataFrame:
         .withColumn("leaf", (F.col("n_children") == 0).cast("long")).withColumn("gain", (F.col("n_convs") - 1) * F.col("words"))
     )
     up = Window.partitionBy("path").orderBy(F.col("depth").desc())  # one path of one shard
-    own = spines.select("path", "depth", "node").join(total.select("node", "owner", "leaf", "gain"), "node")
-    passed = own.select("node", *[F.sum(F.when(F.col("owner") == F.col("path"), F.col(c)).otherwise(0)).over(up).alias(c) for c in ("leaf", "gain")])
+    # a node's own share joins its owner's row only, so that the root, which is on every path, is no large group
+    share = total.select("node", F.col("owner").alias("path"), "leaf", "gain")
+    own = spines.select("path", "depth", "node").join(share, ["path", "node"], "left")
+    passed = own.select("node", *[F.sum(F.coalesce(c, F.lit(0))).over(up).alias(c) for c in ("leaf", "gain")])
     passed = passed.groupBy("node").agg(F.sum("leaf").alias("more_leaves"), F.sum("gain").alias("more_saved"))
     total = total.join(passed, "node").withColumn("n_leaves", F.col("n_leaves") + F.col("more_leaves")).withColumn("saved_tokens", F.col("saved_tokens") + F.col("more_saved"))
     above = total.select(F.col("node").alias("parent"), F.col("conv_id").alias("parent_conv_id"))

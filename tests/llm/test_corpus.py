@@ -505,8 +505,10 @@ def test_pipeline(spark):
 
 def test_columns_with_names_that_operators_use_stay(spark):
     names = ["_text", "_spans", "_text_key", "_host", "_drop", "_kept", "n_lines", "n_dropped", "_row", "rate", "copies", "domain", "hash", "kept", "group"]
-    body = "some plain words of a text that goes on for a while so that nothing is short about it at all and mail to a@b.org now "
-    texts = ["menu | home\n" + body + f"number {i} " * 30 for i in range(5)] + [None, "", "menu | home\n" + "long " * 20_000]
+    syllables = ["ba", "de", "ki", "lo", "mu", "na", "po", "ri", "so", "tu"]
+    word = lambda n: "".join(syllables[int(d)] for d in str(100 + n))
+    body = lambda i: ".\n".join(" ".join(word(90 * i + 9 * k + j) for j in range(9)) for k in range(8))
+    texts = ["menu | home\n" + body(i) + f" mail to a{i}@b.org now." for i in range(5)] + [None, "", "menu | home\n" + "long " * 20_000]
     rows = [(i % 7, t, "en", "s", 1, *[f"{n}-{i}" for n in names]) for i, t in enumerate(texts)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
     none = spark.createDataFrame([], "doc_id long, domain string")
