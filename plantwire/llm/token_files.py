@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -33,7 +34,7 @@ END_ID = 1
 BLOCK_IDS = 1 << 18
 #: Bounds of a task's memory: words encoded at a time, words remembered.
 BATCH_WORDS = 5_000
-CACHED_WORDS = 200_000
+CACHED_WORDS = 400_000
 
 #: Bytes of each of the four ids of a control byte.
 _SIZES = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], dtype=np.uint8)
@@ -96,12 +97,12 @@ class _Encoder:
         # a word of lower-case ASCII letters is one piece of text to the vocabulary, as it stands
         plain = [w for w in fresh if w.isalpha() and w.islower()]
         split_word = self.tokenizer.model.tokenize
-        self.words.update((w, np.array([t.id for t in split_word(w.decode())], dtype="<u4").tobytes()) for w in plain)
+        self.words.update((w, array("I", [t.id for t in split_word(w.decode())]).tobytes()) for w in plain)
         fresh = list(fresh.difference(plain))
         for at in range(0, len(fresh), BATCH_WORDS):
             some = fresh[at : at + BATCH_WORDS]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.words.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(some, found, strict=True))
+            self.words.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, found, strict=True))
         return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<u4") for words in split]
 
 
