@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from . import graph
+from . import covering, graph
 from .near_copies import drop_near_duplicates  # noqa: F401
 from .staging import Stages
 
@@ -49,10 +49,6 @@ def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
 
 
-def _signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
 def covering_masks(levels: int = LEVELS) -> list[list[int]]:
     """Bit masks of each level; table ``15 * t + k`` of a level refines table ``t`` of the one before."""
     out, above = [], [0]
@@ -60,9 +56,7 @@ def covering_masks(levels: int = LEVELS) -> list[list[int]]:
         masks = []
         for mask in above:
             free = [i for i in range(64) if not mask >> i & 1]
-            for table in range(1, TABLES + 1):
-                more = sum(1 << bit for n, bit in enumerate(free) if (table & (1 + n % TABLES)).bit_count() % 2)
-                masks.append(mask | more)
+            masks += [mask | more for more in covering.masks(free, RADIUS)]
         out.append(masks)
         above = masks
     return out
@@ -104,7 +98,7 @@ def _links(classes: DataFrame, stages: Stages, crowded: int) -> DataFrame:
         rows = (
             rows.select("print", "node", "table", F.explode(F.sequence(F.lit(0), F.lit(TABLES - 1))).alias("k"))
             .select("print", "node", table.alias("table"))
-            .withColumn("key", F.col("print").bitwiseAND(F.element_at(F.lit([_signed(m) for m in masks]), F.col("table") + 1)))
+            .withColumn("key", F.col("print").bitwiseAND(F.element_at(F.lit([covering.signed(m) for m in masks]), F.col("table") + 1)))
         )
         shared = stages.write(rows.groupBy("table", "key").agg(F.count("*").alias("size")).filter("size > 1"), f"buckets-{level}")
         last = level == LEVELS - 1

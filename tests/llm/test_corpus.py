@@ -4,6 +4,7 @@ import json
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import oracle
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from plantwire.llm import boilerplate, caps, catalog, graph, host_trust, mixing, near_copies, pieces, pii, quality, simhash, token_files, tool_calls
+from plantwire.llm import boilerplate, caps, catalog, covering, graph, host_trust, mixing, near_copies, pieces, pii, quality, simhash, token_files, tool_calls
 from plantwire.llm.staging import Stages
 
 SF = "/root/testdata/sf0.001"
@@ -127,6 +128,51 @@ def test_near_copies_of_repeated_ids(spark):
     assert sorted(map(tuple, got)) == [(1, one), (1, two)]
 
 
+def set_with(rng, size, common):
+    """Two sets of ``size`` hashes with so many in common."""
+    both = rng.integers(0, 1 << 63, 2 * size - common, dtype=np.uint64)
+    return both[:size], np.concatenate([both[:common], both[size:]])
+
+
+@pytest.mark.parametrize("size", [27, 180])
+def test_covering_tables_meet_near_copies(size):
+    rng, met, tied = np.random.default_rng(size), 0, 0
+    for _ in range(500):
+        a, b = (near_copies.fingerprints(s) for s in set_with(rng, size, size * 8 // 9))  # similarity 0.8
+        met += any(not int(x) & m for x in a ^ b for m in near_copies._KEPT_BITS)
+        tied += np.bitwise_count(a ^ b)[: near_copies.CHECKED].sum() <= near_copies.NEAR
+    assert met >= 495 and tied >= 498
+    both = set_with(rng, 700, 0)[0]
+    plain = [sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > 700) for hashes in near_copies.mixed(both).T]
+    assert near_copies.fingerprints(both).tolist() == plain
+
+
+def test_covering_of_a_part_is_complete():
+    for radius in (1, 2):
+        masks = covering.masks(range(5, 5 + near_copies.PART), radius)
+        for bits in combinations(range(64), radius):
+            assert any(not sum(1 << b for b in bits) & m for m in masks)
+
+
+@pytest.mark.parametrize("crowded", [30, 1 << 16])
+def test_ties_of_the_near_copy_stage(spark, crowded):
+    """Candidates are the pairs of a bucket whose checked prints are near, whatever the size of the bucket."""
+    rng, rows = np.random.default_rng(8), []
+    for k in range(12):
+        first = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+        for n in range(60 if k == 0 else 4):
+            copy = first.copy()
+            copy[rng.integers(0, 200, 9)] = rng.integers(0, 1 << 63, 9, dtype=np.uint64)
+            rows.append(near_copies.fingerprints(copy))
+    meet = lambda a, b: any(not int(x) & m for x in a ^ b for m in near_copies._KEPT_BITS)
+    near = lambda a, b: np.bitwise_count(a ^ b)[: near_copies.CHECKED].sum() <= near_copies.NEAR
+    linked = [(i, j) for i, j in combinations(range(len(rows)), 2) if near(rows[i], rows[j]) and meet(rows[i], rows[j])]
+    classes = spark.createDataFrame([(i, r.view(np.int64).tolist()) for i, r in enumerate(rows)], "node long, prints array<long>").repartition(3)
+    ties = [(r.u, r.v) for r in near_copies._candidates(classes, Stages(spark, "t"), crowded).collect()]
+    assert linked and all(near(rows[u], rows[v]) for u, v in ties)
+    assert smallest(range(len(rows)), ties) == smallest(range(len(rows)), linked)
+
+
 def test_url_filters(spark):
     urls = [
         "http://A.Example.org/es/x", "https://example.org/en/15?q", "https://x.example.org/fr", "http://b.com/de/#a", "http://b.com/fr/1", "http://b.com/x",
