@@ -16,7 +16,7 @@ character, where no piece crosses (read from the model), so each distinct word i
 
 from __future__ import annotations
 
-import ctypes
+from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
+from .staging import give_back
+
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Bounds of what a task holds: characters in one suffix array, of text handled at a time, words remembered.
 BLOCK_CHARS = 250_000
 TEXT_CHARS = 3_000_000
-CACHED_WORDS = 400_000
+CACHED_WORDS = 200_000
 #: Rows whose texts, or whose ids, are handled at a time.
 ROWS = 1024
 ID_ROWS = 256
@@ -370,14 +372,6 @@ class PieceModel:
         return [data[a + (data[a : a + 1] == b" " and a < b) : b].decode("utf-8", "replace") for a, b in zip(cuts, cuts[1:])]
 
 
-def _give_back() -> None:
-    """Return freed memory to the system, as a worker stays idle for long between tasks."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
-    if trim:
-        trim(0)
-
-
 @lru_cache(maxsize=1)
 def load(path: str) -> PieceModel:
     return PieceModel(path)
@@ -393,14 +387,16 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", out: st
     path = path or public_tokenizers.path(MODEL)
 
     @F.arrow_udf(ArrayType(IntegerType()))
-    def ids(texts: pa.Array) -> pa.Array:
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load(path)
-        parts = [model.encode(texts.slice(at, ROWS).to_pylist()) for at in range(0, len(texts), ROWS)]
-        found = [x for part in parts for x in part]
-        ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-        values = np.concatenate(found) if found else np.zeros(0, dtype=np.int32)
-        _give_back()
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int32()))
+        for texts in batches:
+            # ids go out slice by slice, as those of a whole batch take several times the memory of its texts
+            for at in range(0, len(texts), ROWS):
+                found = model.encode(texts.slice(at, ROWS).to_pylist())
+                ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found), pa.int32()))
+                del found
+            give_back()
 
     return docs.withColumn(out, ids(text))
 

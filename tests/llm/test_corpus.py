@@ -173,6 +173,27 @@ def test_ties_of_the_near_copy_stage(spark, crowded):
     assert smallest(range(len(rows)), ties) == smallest(range(len(rows)), linked)
 
 
+def test_ties_of_a_bucket_are_fewer_than_its_texts():
+    """Groups of up to 120 near prints in one bucket, chains of near prints, and prints near to none."""
+    rng, rows = np.random.default_rng(12), []
+    for bucket, size in enumerate([2, 3, 40, 120, 1, 90]):
+        first = rng.integers(-(1 << 62), 1 << 62, near_copies.CHECKED)
+        for n in range(size):
+            prints = first ^ (rng.integers(0, 1 << 62, near_copies.CHECKED) & rng.integers(0, 1 << 62, near_copies.CHECKED) if n % 7 == 6 else 1 << n % 60)
+            rows.append([bucket, 1000 + 7919 * len(rows) % 997, *prints])
+            first = prints if bucket == 5 and n % 7 != 6 else first
+    rows = np.array(rows, dtype=np.int64)
+    near = lambda a, b: np.bitwise_count(rows[a, 2:] ^ rows[b, 2:]).sum() <= near_copies.NEAR
+    pairs = [(a, b) for a, b in combinations(range(len(rows)), 2) if rows[a, 0] == rows[b, 0] and near(a, b)]
+    for crowded in (1 << 16, 128):
+        got = near_copies._tied(rows, crowded)
+        at = {int(node): k for k, node in enumerate(rows[:, 1])}
+        ties = [(at[u], at[v]) for u, v in zip(got["u"], got["v"])]
+        assert {tuple(sorted(t)) for t in ties} <= set(pairs)
+        want = smallest(range(len(rows)), pairs)
+        assert smallest(range(len(rows)), ties) == want and len(ties) == len(rows) - len(set(want.values())) < len(pairs) // 10
+
+
 def test_url_filters(spark):
     urls = [
         "http://A.Example.org/es/x", "https://example.org/en/15?q", "https://x.example.org/fr", "http://b.com/de/#a", "http://b.com/fr/1", "http://b.com/x",
