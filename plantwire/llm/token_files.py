@@ -23,6 +23,8 @@ from pathlib import Path
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +67,11 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 #: Between a letter or digit and a full stop or comma.
 _MARK = re.compile(rb"(?<=[a-z0-9])(?=[.,])")
+#: Lower-case letters of ASCII and Latin-1 in UTF-8: composed, and the same in lower case.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Characters that stand for the bytes of a word in the vocabulary, where they are not those of Latin-1.
+_PLAIN_BYTES = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_NAMES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN_BYTES)}
 
 
 class _Encoder:
@@ -80,30 +87,61 @@ class _Encoder:
         self.older: dict[bytes, bytes] = {}
 
     @staticmethod
-    def _split(text: str) -> list[bytes]:
-        """Words; fewer distinct ones by what the vocabulary does anyway: lower case, a cut between letter and mark."""
+    def _cut(text: str) -> bytes:
+        """The text with fewer distinct words by what the vocabulary does anyway: lower case, a cut between letter and mark."""
         data = text.encode("utf-8", "surrogatepass")
         if b"<|" in data:  # special tokens are matched before lower-casing
-            return data.split()
-        return _MARK.sub(b" ", data.lower()).split()
+            return data
+        return _MARK.sub(b" ", data.lower())
 
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        split = [self._split(t) if t else [] for t in texts]
+    def _known_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, unseen ones learnt first."""
         if len(self.words) > CACHED_WORDS:
             self.words, self.older = {}, self.words
-        unseen = set().union(*split) - self.words.keys()
-        self.words.update({w: self.older[w] for w in unseen & self.older.keys()})
-        fresh = unseen - self.older.keys()
-        # a word of lower-case ASCII letters is one piece of text to the vocabulary, as it stands
-        plain = [w for w in fresh if w.isalpha() and w.islower()]
-        split_word = self.tokenizer.model.tokenize
-        self.words.update((w, array("I", [t.id for t in split_word(w.decode())]).tobytes()) for w in plain)
-        fresh = list(fresh.difference(plain))
+        ids = list(map(self.words.get, words))
+        unseen = [k for k, found in enumerate(ids) if found is None]
+        fresh = []
+        # lower-case Latin letters are one piece of text to the vocabulary, as it stands but for the names of bytes
+        split_word, whole = self.tokenizer.model.tokenize, _LETTERS.fullmatch
+        for k in unseen:
+            word = words[k]
+            if word in self.older:
+                self.words[word] = self.older[word]
+            elif whole(word):
+                text = word.decode("latin-1")
+                if not text.isascii():
+                    text = text.translate(_BYTE_NAMES)
+                self.words[word] = array("I", [t.id for t in split_word(text)]).tobytes()
+            else:
+                fresh.append(word)
         for at in range(0, len(fresh), BATCH_WORDS):
             some = fresh[at : at + BATCH_WORDS]
             found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
             self.words.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, found, strict=True))
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), dtype="<u4") for words in split]
+        for k in unseen:
+            ids[k] = self.words[words[k]]
+        return ids
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null or empty: none. Only distinct words are handled one by one."""
+        cut = pa.array([self._cut(t) if t else b"" for t in texts], pa.large_binary())
+        split = pc.ascii_split_whitespace(cut.view(pa.large_string()))  # bytes that are no valid text stay as they are
+        flat = split.flatten()
+        full = pc.not_equal(pc.binary_length(flat), 0)
+        bounds = np.append(0, np.cumsum(full.to_numpy(zero_copy_only=False)))[split.offsets.to_numpy()]  # words before each text
+        words = flat.filter(full).dictionary_encode()
+        code = words.indices.to_numpy()
+        ids = self._known_words(words.dictionary.view(pa.large_binary()).to_pylist())
+        size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+        begin = (np.cumsum(size) - size)[code]
+        size = size[code]
+        ends = np.cumsum(size)
+        pool = np.frombuffer(b"".join(ids), dtype="<u4")
+        at = np.repeat(begin - ends + size, size)
+        at += np.arange(len(at))
+        found = pool[at]
+        cuts = np.append(0, ends)[bounds].tolist()
+        return [found[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=1)

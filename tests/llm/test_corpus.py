@@ -383,6 +383,22 @@ def test_words_get_the_tokens_of_their_text():
     assert [list(x) for x in mine.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_latin_words_are_handed_over_as_they_stand():
+    """Letters of Latin-1 need no normalising; others, marks and upper case go the long way. Words known already are not learnt again."""
+    path = public_tokenizers.path(token_files.TOKENIZER)
+    tokenizer, mine = Tokenizer.from_file(path), token_files._Encoder(path)
+    rng = np.random.default_rng(3)
+    letters = [chr(c) for c in [*range(0x61, 0x7B), *range(0xBF, 0x100), 0x101, 0x130, 0x301, 0x1C5]]
+    texts = [" ".join("".join(rng.choice(letters, int(rng.integers(1, 9)))) for _ in range(60)) + " rechçà große naïve ÷ é÷é" for _ in range(40)]
+    for _ in range(2):
+        assert [list(x) for x in mine.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    handed = []
+    mine = token_files._Encoder(path)
+    whole, mine.tokenizer = mine.tokenizer, type("Spy", (), {"model": mine.tokenizer.model, "encode_batch_fast": lambda _, words, **k: handed.extend(words) or whole.encode_batch_fast(words, **k)})()
+    mine.encode(["rechçà große naïve plain Été", " é÷é "])
+    assert sorted(handed) == sorted(["É".lower().upper() + "té", "é÷é"])
+
+
 @pytest.mark.parametrize("block", [512, 3])
 def test_caps(spark, block):
     rng = np.random.default_rng(1)
