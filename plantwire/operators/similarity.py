@@ -2,16 +2,23 @@
 
 The neighbour sets stay in long form (ip, peer). Devices with equal sets are handled
 once with a multiplicity; peers that very many devices share are handled by counts of
-classes; only rare peers are joined to find pairs.
+classes; only rare peers are joined to find pairs. Where many different sets share a peer,
+blocks of sets meet, and a pair of blocks gives sums instead of its pairs.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scale import connected_components, stage
 
+#: Sets in a block, and the peers that they have in all.
+BLOCK = 1024
+BLOCK_PEERS = 1 << 19
+
 
 def neighbor_sets(conns: DataFrame) -> DataFrame:
     """Distinct (ip, peer), both directions."""
@@ -52,7 +59,97 @@ def _signatures(sets: DataFrame) -> DataFrame:
     ).select("ip", "n", F.concat_ws("/", "n", "_x", "_s").alias("sig"))
 
 
-def average_group_similarity(groups: DataFrame, sets: DataFrame, hot: int = 200) -> DataFrame:
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Number of values that each set of ``a`` has in common with each of ``b``.
+
+    A value that many sets of both sides hold is a column of two matrices that are multiplied;
+    the pairs of sets that share any other value are counted one by one.
+    """
+    out = np.zeros(len(a) * len(b))
+    va, vb = (np.concatenate([np.asarray(s, dtype=np.int64) for s in x] or [np.zeros(0, dtype=np.int64)]) for x in (a, b))
+    ra, rb = (np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b))
+    both = np.intersect1d(va, vb)
+    ca, cb = (np.searchsorted(both, v) for v in (va, vb))
+    ina, inb = (np.isin(v, both) for v in (va, vb))
+    ra, ca, rb, cb = ra[ina], ca[ina], rb[inb], cb[inb]
+    fa, fb = (np.bincount(c, minlength=len(both)) for c in (ca, cb))
+    dense = 30 * fa * fb > out.size
+    place = np.cumsum(dense) - 1
+    for at in range(0, int(dense.sum()), 4096):
+        sides = []
+        for r, c, n in ((ra, ca, len(a)), (rb, cb, len(b))):
+            mine = dense[c] & (place[c] >= at) & (place[c] < at + 4096)
+            table = np.zeros((n, min(4096, int(dense.sum()) - at)), dtype=np.float32)
+            table[r[mine], place[c[mine]] - at] = 1
+            sides.append(table)
+        out += (sides[0] @ sides[1].T).ravel()
+    ra, ca = ra[~dense[ca]], ca[~dense[ca]]
+    order = np.argsort(cb, kind="stable")
+    rb, starts = rb[order], np.cumsum(fb) - fb
+    ends = np.cumsum(fb[ca])
+    for at in range(0, int(ends[-1]) if len(ends) else 0, 1 << 22):
+        # pairs number ``at`` and on: the token of ``a`` whose turn it is, and its partner's number
+        pair = np.arange(at, min(at + (1 << 22), int(ends[-1])))
+        token = np.searchsorted(ends, pair, side="right")
+        partner = starts[ca[token]] + pair - (ends[token] - fb[ca[token]])
+        out += np.bincount(ra[token] * len(b) + rb[partner], minlength=out.size)
+    return out.reshape(len(a), len(b))
+
+
+def jaccard_values(a: pd.DataFrame, b: pd.DataFrame, column: str) -> np.ndarray:
+    """Jaccard similarity of each set of ``a`` and of ``b``, from their sizes ``n`` and peers; two empty ones are equal."""
+    common = common_counts(a[column].tolist(), b[column].tolist())
+    union = a["n"].to_numpy(dtype=float)[:, None] + b["n"].to_numpy(dtype=float)[None, :] - common
+    return np.where(union == 0, 1.0, common / np.where(union == 0, 1.0, union))
+
+
+def _sums(rows: pd.DataFrame) -> pd.DataFrame:
+    """Weighted sums of similarity and numbers of pairs for the parts that meet in a pair of blocks."""
+    a, b = rows[rows["block"] == rows["i"]], rows[rows["block"] == rows["j"]]
+    (of_a, parts_a), (of_b, parts_b) = (pd.factorize(x["part"]) for x in (a, b))
+    ma, mb = a["m"].to_numpy(dtype=np.int64), b["m"].to_numpy(dtype=np.int64)
+    by_a, by_b = np.zeros((len(parts_a), len(a))), np.zeros((len(b), len(parts_b)))
+    by_a[of_a, np.arange(len(a))], by_b[np.arange(len(b)), of_b] = ma, mb
+    total = by_a @ jaccard_values(a, b, "h") @ by_b
+    na, nb = (np.array([int(m[of == k].sum()) for k in range(len(parts))], dtype=object) for m, of, parts in ((ma, of_a, parts_a), (mb, of_b, parts_b)))
+    once = rows["i"].iloc[0] == rows["j"].iloc[0]  # a block by itself has each pair of parts in both orders
+    found = [
+        (rows["grp"].iloc[0], min(p, q), max(p, q), float(total[x, y]), int(na[x] * nb[y]))
+        for x, p in enumerate(parts_a) for y, q in enumerate(parts_b) if p < q or (p > q and not once)
+    ]
+    return pd.DataFrame(found, columns=["grp", "part_a", "part_b", "total", "pairs"])
+
+
+def _class_sums(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Sums over pairs of classes (grp, part, n, h, m) of two parts: grp, part_a, part_b, total, pairs, in several rows.
+
+    Classes of a group are dealt to blocks, those of a large part to blocks of its own, and each
+    pair of blocks that may hold two parts is one task's work, so a group is never in one place.
+    """
+    peers = F.size("h")
+    sizes = classes.filter("grp IS NOT NULL AND part IS NOT NULL").groupBy("grp", "part").agg(F.count("*").alias("c"), F.sum(peers).alias("t"))
+    need = F.ceil(F.greatest(F.col("c") / block, F.col("t") / BLOCK_PEERS)).cast("bigint")
+    sizes = sizes.withColumn("own", need).withColumn("large", F.greatest(F.col("c") / block, F.col("t") / BLOCK_PEERS) > 0.5)
+    bins = sizes.filter("NOT large").groupBy("grp").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).select("grp", need.alias("bins"))
+    sizes = stage(sizes.join(bins, "grp", "left").select("grp", "part", "own", "large", "bins"), "parts")
+    name = F.when(F.col("large"), F.concat_ws("/", F.lit("p"), "k", "part")).otherwise(
+        F.concat_ws("/", F.lit("b"), F.pmod(F.xxhash64("part"), F.col("bins")))
+    )
+    blocks = sizes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(F.col("large"), F.col("own") - 1).otherwise(0))))
+    blocks = blocks.select("grp", name.alias("block"), F.when(F.col("large"), F.col("part")).alias("only")).distinct()
+    i = blocks.select("grp", F.col("block").alias("i"), F.col("only").alias("_i"))
+    j = blocks.select("grp", F.col("block").alias("j"), F.col("only").alias("_j"))
+    met = i.join(j, "grp").filter("i <= j AND NOT coalesce(_i = _j, false)").select("grp", "i", "j")
+    ends = met.select("grp", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    k = F.when(F.col("large"), F.pmod(F.xxhash64("n", "h"), F.col("own"))).otherwise(0)
+    dealt = classes.join(sizes, ["grp", "part"]).withColumn("k", k).select("grp", name.alias("block"), "part", "n", "h", "m")
+    kinds = dict(classes.dtypes)
+    return dealt.join(ends, ["grp", "block"]).groupBy("grp", "i", "j").applyInPandas(
+        _sums, f"grp {kinds['grp']}, part_a {kinds['part']}, part_b {kinds['part']}, total double, pairs bigint"
+    )
+
+
+def average_group_similarity(groups: DataFrame, sets: DataFrame, hot: int = 200, block: int = BLOCK) -> DataFrame:
     """Mean Jaccard over all pairs of members of two parts of a group, exactly.
 
     ``groups``: grp, part, ip. Returns grp, part_a, part_b (a < b), similarity.
@@ -60,8 +157,9 @@ def average_group_similarity(groups: DataFrame, sets: DataFrame, hot: int = 200)
     Peers that more than ``hot`` members of a group share are *hot*. Two members that
     share no other peer have a similarity that depends only on their hot peers and set
     sizes, so such members fall into few classes and the sum runs over class pairs with
-    multiplicities. Members that share a rare peer are found by joining on it, at most
-    ``hot`` per peer, and replace the class value by the true one.
+    multiplicities, block by block (``block`` only says how large those are). Members that share
+    a rare peer are found by joining on it, at most ``hot`` per peer, and replace the class value
+    by the true one.
     """
     members = groups.join(_signatures(sets), "ip", "left").select(
         "grp", "part", "ip", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), F.coalesce("sig", F.lit("-")).alias("sig")
@@ -76,9 +174,9 @@ def average_group_similarity(groups: DataFrame, sets: DataFrame, hot: int = 200)
     )
     hot_part = (
         tokens.filter("hot").groupBy("grp", "part", "sig")
-        .agg(F.array_sort(F.collect_set("peer")).alias("h"))
+        .agg(F.array_sort(F.collect_set(F.xxhash64("peer"))).alias("h"))
     )
-    empty = F.array().cast("array<string>")
+    empty = F.array().cast("array<bigint>")
     full = sized.drop("ip").join(hot_part, ["grp", "part", "sig"], "left").withColumn("h", F.coalesce("h", empty))
     classes = full.groupBy("grp", "part", "n", "h").agg(F.sum("m").alias("m"))
 
@@ -90,11 +188,8 @@ def average_group_similarity(groups: DataFrame, sets: DataFrame, hot: int = 200)
         return F.when(union == 0, 1.0).otherwise(common / union)
 
     hot_common = F.size(F.array_intersect("h_a", "h_b"))
-    base = (
-        side(classes, "a", "grp").join(side(classes, "b", "grp"), "grp").filter("part_a < part_b")
-        .groupBy("grp", "part_a", "part_b")
-        .agg(F.sum(F.col("m_a") * F.col("m_b") * value(hot_common)).alias("total"),
-             F.sum(F.col("m_a") * F.col("m_b")).alias("pairs"))
+    base = _class_sums(stage(classes, "classes"), block).groupBy("grp", "part_a", "part_b").agg(
+        F.sum("total").alias("total"), F.sum("pairs").alias("pairs")
     )
     rare = tokens.filter("NOT hot").select("grp", "peer", "part", "sig")
     shared = (
@@ -183,6 +278,12 @@ def candidate_pairs(ips: DataFrame, sets: DataFrame, min_sim: float = 0.6, crowd
     its sets over salts on one side and copies those of the other side to all salts, so that none of
     its groups is large. Callers verify what is left on the full sets.
     """
+    prefix = _prefixes(ips, sets, min_sim)
+    return _meet(prefix, prefix, min_sim, crowd)
+
+
+def _prefixes(ips: DataFrame, sets: DataFrame, min_sim: float) -> DataFrame:
+    """Rarest peers of each distinct set by which it can be found: ip, n, peer, rest, band."""
     from pyspark.sql.window import Window
 
     sig = _signatures(sets.join(ips.select("ip"), "ip", "left_semi"))
@@ -202,16 +303,21 @@ def candidate_pairs(ips: DataFrame, sets: DataFrame, min_sim: float = 0.6, crowd
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(1 / min_sim)))
     # ``rest``: peers of the set from this frequency class on, all that two sets whose rarest common peer it is can share
     prefix = tokens.join(chosen, ["ip", "f"]).select("ip", "n", "peer", (F.col("n") - F.col("b")).alias("rest"), band.alias("band"))
-    crowds = prefix.groupBy("peer", "band").agg(F.ceil(F.count("*") / crowd).cast("int").alias("salts"))
-    prefix = stage(prefix.join(crowds, ["peer", "band"]), "dealt")
+    return stage(prefix, "prefixes")
+
+
+def _meet(first: DataFrame, second: DataFrame, min_sim: float, crowd: int) -> DataFrame:
+    """Candidate pairs of sets whose prefix rows are in ``first`` with those in ``second`` of their own band or the one above."""
+    crowds = first.groupBy("peer", "band").agg(F.ceil(F.count("*") / crowd).cast("int").alias("salts"))
+    first = stage(first.join(crowds, ["peer", "band"]), "dealt")
     # a set meets those of its own band, of which it is the larger address, and all of the band below
     met = crowds.select(F.col("peer").alias("pb"), F.col("band").alias("bb"), F.col("salts").alias("copies"))
-    b = prefix.select(
+    b = second.select(
         F.col("ip").alias("b"), F.col("n").alias("nb"), F.col("rest").alias("rb"), F.col("peer").alias("pb"), F.col("band").alias("own"),
         F.explode(F.array(F.col("band"), F.col("band") - 1)).alias("bb"),
     )
     b = b.join(met, ["pb", "bb"]).withColumn("sb", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
-    a = prefix.select(
+    a = first.select(
         F.col("ip").alias("a"), F.col("n").alias("na"), F.col("rest").alias("ra"), F.col("peer").alias("pa"), F.col("band").alias("ba"),
         F.pmod(F.xxhash64("ip"), F.col("salts")).cast("int").alias("sa"),
     )

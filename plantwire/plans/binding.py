@@ -17,7 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..functions.scale import shared_dir
+from ..functions.scale import compiled, shared_dir
 
 EPOCH_US = 1704067200000000  # 2024-01-01T00:00:00Z
 PAUSE_US = 1705363200000000  # 2024-01-16T00:00:00Z
@@ -248,7 +248,9 @@ def packets_path(spark: SparkSession, sf_dir: str, variant: str = "base", where:
     key = (spark.sparkContext.applicationId, sf_dir, identity(spark, sf_dir), variant, where)
     if key not in _STAGED:
         path = f"{shared_dir(spark).rstrip('/')}/packets-{variant}-{uuid.uuid4().hex}"
-        derive_packets(spark, sf_dir, variant, where).write.parquet(path)
+        rows = derive_packets(spark, sf_dir, variant, where)
+        with compiled(spark):
+            rows.write.parquet(path)
         _STAGED[key] = path
     return _STAGED[key]
 

@@ -12,7 +12,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scale import stage
+from ..functions.scale import compiled, stage
 from ..operators import analysis as A
 from ..operators import assess, devices, patterns, segmentation, similarity, traffic
 from ..operators import packets as P
@@ -30,7 +30,9 @@ def shared(site: "Site", name: str, build) -> DataFrame:
     """A staged table of a site, written once per application and state of the events."""
     key = (site.spark.sparkContext.applicationId, site.sf_dir, binding.identity(site.spark, site.sf_dir), site.variant, site.where, site.label, site.hot, name)
     if key not in _SHARED:
-        _SHARED[key] = stage(build(), name)
+        table = build()
+        with compiled(site.spark):
+            _SHARED[key] = stage(table, name)
     return _SHARED[key]
 
 
@@ -134,25 +136,38 @@ class Site:
     def violations(self) -> DataFrame:
         return A.purdue_violations(self.connections, self.levels)
 
+    def once(self, name: str) -> DataFrame:
+        """A table of the site, written once for steps that read it many times."""
+        return shared(self, name, lambda: getattr(self, name))
+
+    def written(self, *names: str) -> "Site":
+        """This site, with the named tables written once."""
+        site = type(self)(self.spark, self.sf_dir, self.variant, self.where, self.hot)
+        site.label = self.label
+        for name in names:
+            setattr(site, name, site.once(name))
+        return site
+
     @cached_property
     def segment_inputs(self) -> tuple[DataFrame, DataFrame]:
         # Everything after this reads the two tables many times, so they are written once.
-        def build() -> tuple[DataFrame, DataFrame]:
+        def build(*names: str) -> tuple[DataFrame, DataFrame]:
+            s = self.written(*names)
             return segmentation.segmentation_inputs(
-                self.partly_leveled, self.connections, self.stats, self.anomalies, self.devices, self.allowlist, self.violations
+                s.partly_leveled, s.connections, s.stats, s.anomalies, s.devices, s.allowlist, s.violations
             )
 
-        return shared(self, "profiles", lambda: build()[0]), shared(self, "observed", lambda: build()[1])
+        tables = ("connections", "assets", "devices", "levels")
+        return shared(self, "profiles", lambda: build(*tables)[0]), shared(self, "observed", lambda: build(*tables, "stats")[1])
 
     @cached_property
     def neighbors(self) -> DataFrame:
-        return similarity.neighbor_sets(self.connections)
+        return shared(self, "neighbors", lambda: similarity.neighbor_sets(self.once("connections")))
 
     @cached_property
     def groups(self) -> DataFrame:
         profiles, observed = self.segment_inputs
-        sets = shared(self, "neighbors", lambda: self.neighbors)
-        return shared(self, "groups", lambda: segmentation.policy_groups(profiles, observed, sets, hot=self.hot))
+        return shared(self, "groups", lambda: segmentation.policy_groups(profiles, observed, self.neighbors, hot=self.hot))
 
     @cached_property
     def zones(self) -> DataFrame:

@@ -1,6 +1,8 @@
 import datetime as dt
 import itertools
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +106,30 @@ def test_group_similarity_equals_brute_force(spark, hot):
         assert abs(got[(x, y)] - sum(values) / len(values)) < 1e-9
 
 
+def _random_sets(n, peers, seed):
+    draw = random.Random(seed)
+    return {f"d{i:04}": set(draw.sample([f"p{j}" for j in range(peers)], draw.randint(peers // 3, peers - 2))) for i in range(n)}
+
+
+def test_group_similarity_block_by_block(spark):
+    sets = _random_sets(240, 14, 5) | {"e0": set(), "e1": set()}
+    parts = {d: "aaaaaaaabbbcdef"[i % 15] for i, d in enumerate(sets)} | {"e0": "a", "e1": "b"}
+    long = spark.createDataFrame([(d, p) for d, ps in sets.items() for p in ps], "ip string, peer string")
+    groups = spark.createDataFrame([("g", parts[d], d) for d in sets] + [("h", "a", "d0001"), ("h", "b", "d0002"), ("h", None, "d0003"), (None, "a", "d0004")], "grp string, part string, ip string")
+    got = {(r.grp, r.part_a, r.part_b): r.similarity for r in similarity.average_group_similarity(groups, long, 3, block=16).collect()}
+    assert abs(got.pop(("h", "a", "b")) - _jaccard(sets["d0001"], sets["d0002"])) < 1e-9
+    assert set(got) == {("g", *p) for p in itertools.combinations("abcdef", 2)}
+    for x, y in itertools.combinations("abcdef", 2):
+        values = [_jaccard(sets[a], sets[b]) for a in sets for b in sets if parts[a] == x and parts[b] == y]
+        assert abs(got["g", x, y] - sum(values) / len(values)) < 1e-9
+
+
+def test_common_counts_of_frequent_and_rare_values():
+    draw = random.Random(3)
+    a, b = ([np.array(sorted(draw.sample(range(9000), draw.choice((0, 3, 4000)))), dtype=np.int64) for _ in range(n)] for n in (50, 40))
+    assert similarity.common_counts(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
 def test_sketched_similarity_within_its_error(spark):
     sets = {f"d{i}": {f"p{(i % 5) * 7 + j}" for j in range(6 + i % 9)} | ({"hub"} if i % 2 else set()) for i in range(90)}
     sets |= {"e0": set(), "e1": set(), "e2": set()}
@@ -176,3 +202,18 @@ def test_crowded_slices_are_split_down_to_equal_times(spark):
             assert (r.n, r.first_us, r.last_us) == (len(times), times[0], times[-1])
             assert (r.gap_n, r.gap_sum, r.gap_min, r.gap_max) == (len(gaps), sum(gaps), min(gaps), max(gaps))
             assert abs(r.gap_m2 - sum((g - mean) ** 2 for g in gaps)) <= 1e-9 * max(1.0, r.gap_m2)
+
+
+def test_segmentation_reads_packets_once(spark, tmp_path, monkeypatch):
+    from plantwire.plans import site as sites
+
+    rows = [(i, T0 + dt.timedelta(seconds=i), i % 24, ("view", "click", "purchase", "error")[i % 4], 1.0 * i, f'{{"k": {i % 100}}}') for i in range(400)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    written = {}
+    stage = sites.stage
+    monkeypatch.setattr(sites, "stage", lambda df, name: written.setdefault(name, df.inputFiles()) and stage(df, name))
+    members = sites.Site(spark, str(tmp_path), "wide").groups
+    assert members.count() > 0
+    of_packets = {name for name, files in written.items() if any("/packets-wide" in f for f in files)}
+    assert of_packets == {"connections", "assets", "devices", "stats"}
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == "65535"
