@@ -3,7 +3,7 @@
 The neighbour sets stay in long form (ip, peer). Devices with equal sets are handled
 once with a multiplicity; peers that very many devices share are handled by counts of
 classes; only rare peers are joined to find pairs. Where many different sets share a peer,
-blocks of sets meet, and a pair of blocks gives sums instead of its pairs.
+blocks of sets meet, and a pair of blocks gives sums or a spanning forest instead of its pairs.
 """
 
 from __future__ import annotations
@@ -327,6 +327,68 @@ def _meet(first: DataFrame, second: DataFrame, min_sim: float, crowd: int) -> Da
     )).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (row, column) of a spanning forest of the graph that a matrix of links between rows and columns makes."""
+    edges, rows, columns = [], np.ones(near.shape[0], dtype=bool), np.ones(near.shape[1], dtype=bool)
+    turned = np.ascontiguousarray(near.T)
+    for start in range(len(rows)):
+        if not rows[start]:
+            continue
+        rows[start], todo = False, [(start, True)]
+        while todo:
+            at, is_row = todo.pop()
+            left = columns if is_row else rows
+            found = np.flatnonzero((near if is_row else turned)[at] & left)
+            left[found] = False
+            edges += [(at, int(k)) if is_row else (int(k), at) for k in found]
+            todo += [(int(k), not is_row) for k in found]
+    return edges
+
+
+def _link_blocks(min_sim: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["block"] == rows["i"]], rows[rows["block"] == rows["j"]]
+        edges = np.array(_forest(jaccard_values(a, b, "peers") > min_sim), dtype=np.int64).reshape(-1, 2)
+        found = pd.DataFrame({"a": a["ip"].to_numpy()[edges[:, 0]], "b": b["ip"].to_numpy()[edges[:, 1]]})
+        return found[found["a"] != found["b"]]
+
+    return run
+
+
+def similar_links(ips: DataFrame, sets: DataFrame, min_sim: float = 0.6, crowd: int = 100, block: int = BLOCK) -> DataFrame:
+    """Pairs (a, b) of distinct sets more similar than ``min_sim``, enough of them that all such pairs are linked by chains.
+
+    Peers in the prefixes of up to ``crowd`` sets of a band and the one above give their pairs, which
+    are verified. The sets that meet under other peers are dealt to blocks, by their rarest such peer
+    as far as those are small, and blocks that meet under some peer are compared on the full sets.
+    Such a pair of blocks gives a spanning forest of its links, so fewer rows than it has sets.
+    """
+    prefix = _prefixes(ips, sets, min_sim)
+    met = prefix.withColumn("bb", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    full = stage(met.groupBy("peer", "bb").agg(F.count("*").alias("c")).filter(F.col("c") > crowd).select("peer", "bb"), "crowds")
+    apart = prefix.join(full.withColumnRenamed("bb", "band"), ["peer", "band"], "left_anti")
+    candidates = _meet(apart, prefix, min_sim, crowd)
+    links = jaccard_similarity(sets, candidates).filter(F.col("similarity") > min_sim).select("a", "b")
+    if full.isEmpty():
+        return links
+    inside = stage(met.join(full, ["peer", "bb"]), "crowded")
+    need = F.ceil(F.greatest(F.col("c") / block, F.col("t") / BLOCK_PEERS)).cast("bigint")
+    placed = inside.groupBy("ip", "n", "band").agg(F.max_by("peer", F.struct("rest", "peer")).alias("lead"))
+    per_lead = placed.groupBy("band", "lead").agg(F.count("*").alias("c"), F.sum("n").alias("t"))
+    bins = per_lead.groupBy("band").agg(F.sum("c").alias("c"), F.sum("t").alias("t")).select("band", need.alias("bins"))
+    number = F.pmod(F.xxhash64("lead") + F.pmod(F.xxhash64("ip"), F.col("own")), F.col("bins"))
+    placed = placed.join(per_lead.select("band", "lead", need.alias("own")), ["band", "lead"]).join(bins, "band")
+    placed = stage(placed.select("ip", "n", "band", F.concat_ws("/", "band", number).alias("block")), "placed")
+    seen = inside.select("ip", "peer", "bb").join(placed, "ip").select("peer", "bb", "band", "block").distinct()
+    i = seen.filter("band = bb").select("peer", "bb", F.col("block").alias("i"))
+    j = seen.select("peer", "bb", F.col("block").alias("j"), F.col("band").alias("_j"))
+    pairs = stage(i.join(j, ["peer", "bb"]).filter("_j > bb OR i <= j").select("i", "j").distinct(), "block-pairs")
+    ends = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    held = placed.join(sets.filter("peer IS NOT NULL"), "ip").groupBy("ip", "n", "block").agg(F.collect_list(F.xxhash64("peer")).alias("peers"))
+    more = held.join(ends, "block").groupBy("i", "j").applyInPandas(_link_blocks(min_sim), "a string, b string")
+    return links.unionByName(more)
+
+
 def communities(ips: DataFrame, sets: DataFrame, min_sim: float = 0.6) -> DataFrame:
     """Community (smallest member) of each address in ``ips``.
 
@@ -337,7 +399,7 @@ def communities(ips: DataFrame, sets: DataFrame, min_sim: float = 0.6) -> DataFr
     known = ips.select("ip").distinct()
     sig = stage(known.join(_signatures(sets), "ip", "left").withColumn("sig", F.coalesce("sig", F.lit("-"))), "sig")
     lead = sig.groupBy("sig").agg(F.min("ip").alias("lead"))
-    pairs = similar_pairs(known, sets, min_sim)
+    pairs = similar_links(known, sets, min_sim)
     parts = connected_components(lead.select(F.col("lead").alias("id")), pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     return (
         sig.join(lead, "sig").join(parts, F.col("lead") == F.col("id"))

@@ -166,6 +166,29 @@ def test_similar_pairs_of_crowded_peers(spark, crowd):
     assert got == {(a, b) for a, b in itertools.combinations(sorted(lead.values()), 2) if _jaccard(sets[a], sets[b]) > 0.6}
 
 
+@pytest.mark.parametrize("crowd,block", [(2, 8), (20, 1024)])
+def test_similar_links_make_the_same_communities(spark, crowd, block):
+    sets = _random_sets(150, 16, 9) | {f"s{i}": {f"q{i}", f"q{i + 1}", f"r{i // 9}"} for i in range(40)} | {f"t{i}": {f"q{i}"} for i in range(3)}
+    long = spark.createDataFrame([(d, p) for d, ps in sets.items() for p in ps] + [("d0000", None)], "ip string, peer string")
+    ips = long.select("ip").distinct()
+    pairs, links = similarity.similar_pairs(ips, long), similarity.similar_links(ips, long, crowd=crowd, block=block)
+    assert {tuple(sorted(r)) for r in links.collect()} <= {tuple(r[:2]) for r in pairs.collect()}
+    nodes = ips.withColumnRenamed("ip", "id")
+    parts = [{r.id: r.component for r in connected_components(nodes, e.toDF("src", "dst")).collect()} for e in (pairs.select("a", "b"), links)]
+    assert parts[0] == parts[1] and len(set(parts[0].values())) < len(sets)
+
+
+def test_alike_sets_make_fewer_links_than_pairs(spark, monkeypatch):
+    sets = _random_sets(600, 30, 2)
+    sets = {d: s | {f"p{j}" for j in range(20)} for d, s in sets.items()}
+    long = spark.createDataFrame([(d, p) for d, ps in sets.items() for p in ps], "ip string, peer string")
+    n, seen = len({frozenset(s) for s in sets.values()}), []
+    monkeypatch.setattr(similarity, "connected_components", lambda nodes, edges: seen.append(edges.count()) or connected_components(nodes, edges))
+    found = similarity.communities(long.select("ip").distinct(), long).collect()
+    assert len(found) == 600 and {r.community for r in found} == {"d0000"}
+    assert n > 300 and seen[0] < 4 * n
+
+
 def test_similar_pairs_find_all(spark):
     sets = {f"d{i}": {f"p{j}" for j in range(10) if (i + j) % 4 and (i * j) % 7 != 3} for i in range(10)}
     long = spark.createDataFrame([(d, p) for d, ps in sets.items() for p in ps], "ip string, peer string")
