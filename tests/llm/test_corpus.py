@@ -7,6 +7,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import oracle
 import public_tokenizers
 import pytest
@@ -121,6 +122,50 @@ def test_near_copies_agree_with_brute_force(spark, docs, block):
     assert far and sorted(got) == sorted(set(smallest(sets, linked).values()))
 
 
+def test_linked_sets_of_large_groups(spark):
+    rng = np.random.default_rng(4)
+    first, sets, group = rng.integers(-(1 << 62), 1 << 62, (4, 60)), [], []
+    for k, texts in enumerate((60, 50, 40, 3)):
+        for n in range(texts):  # families with members at the limit, some apart, and some of other sizes
+            changed = rng.choice(60, (2, 5, 12)[n % 3], replace=False)
+            made = first[k].copy()
+            made[changed] = rng.integers(-(1 << 62), 1 << 62, len(changed))
+            sets.append(np.unique(made[: 60 - 15 * (n % 5 == 0)]))
+            group.append(k % 3)
+    schema = "group long, node long, shingles array<long>"
+    rows = spark.createDataFrame([(g, n, s.tolist()) for n, (g, s) in enumerate(zip(group, sets))], schema)
+    plain = {n: {n} for n in range(len(sets))}
+    for a, b in combinations(range(len(sets)), 2):
+        common = len(np.intersect1d(sets[a], sets[b]))
+        if group[a] == group[b] and 5 * common >= 4 * (len(sets[a]) + len(sets[b]) - common) and plain[a] is not plain[b]:
+            plain[a] |= plain[b]
+            for n in plain[b]:
+                plain[n] = plain[a]
+    for block in (4, 16, 1024):
+        found = near_copies._linked(rows, Stages(spark, "t"), block)
+        label = list(range(len(sets)))
+        for r in found.collect():
+            low, high = sorted((label[r.u], label[r.v]))
+            label = [low if x == high else x for x in label]
+        assert {n: {m for m in plain if label[m] == label[n]} for n in plain} == plain
+
+
+def test_large_family_is_not_copied_for_each_block(spark, monkeypatch):
+    texts = [(g, n, [g * 1000 + i for i in range(100)] + [-1 - n]) for g in range(2) for n in range(g * 1000, g * 1000 + 160 - 80 * g)]
+    rows, seen = spark.createDataFrame(texts, "group long, node long, shingles array<long>"), []
+    write = Stages.write
+    monkeypatch.setattr(Stages, "write", lambda self, df, name: (out := write(self, df, name)) and (seen.append(out.count()) if name == "ends" else None) or out)
+    found = near_copies._linked(rows, Stages(spark, "t"), 8)
+    assert {r.u // 1000 for r in found.collect()} == {0, 1}
+    assert seen[0] < 30  # all pairs of 30 blocks would be 20 * 19 + 10 * 9
+
+
+def test_thinned_ties_keep_the_components():
+    draw = np.random.default_rng(6).integers(0, 300, (4000, 2))
+    kept = pd.concat(near_copies._thinned(iter([pd.DataFrame(draw[at : at + 900], columns=["u", "v"]) for at in range(0, 4000, 900)])))
+    assert len(kept) == len(np.unique(draw)) - 1 and {tuple(sorted(p)) for p in kept.to_numpy().tolist()} <= {tuple(sorted(p)) for p in draw.tolist()}
+
+
 def test_near_copies_of_repeated_ids(spark):
     one, two = " ".join(f"a{k}" for k in range(50)), " ".join(f"b{k}" for k in range(50))
     rows = [(1, one), (1, two), (1, one), (2, one + " more"), (3, two)]
