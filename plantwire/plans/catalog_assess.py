@@ -481,7 +481,7 @@ _SPLIT = """WITH RECURSIVE gz AS (SELECT m.ip, m.group_name, z.zone FROM gmw m J
 @on_site("z7_split_subzones", _SPLIT, "wide")
 def _(s):
     assigned = Z.zone_groups(Z.group_table(s.groups))
-    return Z.split_subzones(assigned, s.groups, s.connections, max_parts=3).select("group_name", "zone", "member_count")
+    return Z.split_subzones(assigned, s.groups, s.once("connections"), max_parts=3).select("group_name", "zone", "member_count")
 
 
 @on_site("z7_split_subzones_all", _SPLIT.replace("WHEN r = 1 THEN zone || ' A' WHEN r = 2 THEN zone || ' B' ELSE zone || ' C' END", """ELSE zone || ' ' || chr(CAST(65 + (r - 1) % 26 AS INT))
