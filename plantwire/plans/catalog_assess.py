@@ -488,7 +488,7 @@ def _(s):
         || CASE WHEN r > 26 THEN CAST((r - 1) // 26 AS VARCHAR) ELSE '' END END"""), "wide")
 def _(s):
     assigned = Z.zone_groups(Z.group_table(s.groups))
-    return Z.split_subzones(assigned, s.groups, s.connections).select("group_name", "zone", "member_count")
+    return Z.split_subzones(assigned, s.groups, s.once("connections")).select("group_name", "zone", "member_count")
 
 
 @on_site("z8_dmz_zone", """SELECT z.group_name, CASE WHEN (SELECT count(*) FROM zg WHERE zone = 'DMZ Zone') = 0 AND z.group_name IN (SELECT group_name FROM gm JOIN pf USING (ip) WHERE is_ot AND any_it)
